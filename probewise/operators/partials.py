@@ -14,10 +14,10 @@ MAX_SLOTS = 1 << 21
 
 
 def summed(rows: DataFrame, kernel: Callable[[int, dict[str, pa.Array]], np.ndarray],
-           slots: dict[int, int], combined: int | None = None) -> dict[int, np.ndarray]:
+           slots: dict[int, int], whole: tuple[int, ...] = ()) -> dict[int, np.ndarray]:
     """Add up ``kernel(scope_id, columns)`` over all batches of each scope in ``slots``.
 
-    With ``combined``, every row also counts for that scope besides its own.
+    Every row also counts for the scopes in ``whole``, besides its own.
 
     A task adds its own batches first and emits one vector per scope it met; Spark
     adds those by (scope, slot), and the driver receives scopes x slots numbers.
@@ -31,11 +31,10 @@ def summed(rows: DataFrame, kernel: Callable[[int, dict[str, pa.Array]], np.ndar
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
             ids = batch.column("scope_id").to_numpy(zero_copy_only=False)
-            met = set(np.unique(ids).tolist()) | ({combined} if combined is not None else set())
+            met = set(np.unique(ids).tolist()) | set(whole)
             for scope_id in sorted(met & wanted):
-                here = np.flatnonzero(ids == scope_id)
-                whole = scope_id == combined or len(here) == len(ids)
-                part = batch if whole else batch.take(pa.array(here))
+                mine = ids == scope_id
+                part = batch if scope_id in whole or mine.all() else batch.take(pa.array(np.flatnonzero(mine)))
                 if not part.num_rows:
                     continue
                 columns = dict(zip(part.schema.names, part.columns))

@@ -14,6 +14,7 @@ from probewise.functions import kernels
 from probewise.functions.vectors import as_doubles
 from probewise.operators.partials import summed
 from probewise.operators.projection import orthonormal
+from probewise.operators.small import local_table
 from probewise.schemas import BANK
 
 NEWTON_WIDTH = 256  # widest vector for which second derivatives are summed
@@ -71,7 +72,7 @@ def _working_matrix(x: np.ndarray, basis: np.ndarray | None, scaler) -> np.ndarr
 
 def newton_probes(train: DataFrame, weights: dict[int, tuple[float, float]], width: int,
                   alpha: float, bases: dict[int, np.ndarray], scalers: dict[int, tuple] | None = None,
-                  combined: int | None = 0) -> dict[int, Probe]:
+                  whole: tuple[int, ...] = (0,)) -> dict[int, Probe]:
     """Fit one probe per scope; one pass over the rows serves one step of all scopes.
 
     Minimises alpha/2 |w|^2 + sum_i s_i logloss_i with a free intercept. Steps are
@@ -98,7 +99,7 @@ def newton_probes(train: DataFrame, weights: dict[int, tuple[float, float]], wid
             curvature = (x * (s * p * (1.0 - p))[:, None]).T @ x
             return np.concatenate([[loss], gradient, curvature.ravel()])
 
-        sums = summed(train, kernel, {s: 1 + size + size * size for s in open_fits}, combined)
+        sums = summed(train, kernel, {s: 1 + size + size * size for s in open_fits}, whole)
         ridge = np.full(size, alpha)
         ridge[-1] = 0.0
         for s, fit in open_fits.items():
@@ -121,12 +122,12 @@ def newton_probes(train: DataFrame, weights: dict[int, tuple[float, float]], wid
 
 
 def wide_probe(train: DataFrame, scope_id: int, n: int, weights: tuple[float, float], alpha: float,
-               basis: np.ndarray | None, scaler=None, combined: int | None = 0) -> Probe:
+               basis: np.ndarray | None, scaler=None) -> Probe:
     """The same fit for wide vectors, one scope at a time, without second derivatives."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
-    mine = train if scope_id == combined else train.filter(F.col("scope_id") == scope_id)
+    mine = train if scope_id == 0 else train.filter(F.col("scope_id") == scope_id)
     working = kernels.matrix_udf(lambda m: _working_matrix(m, basis, scaler))(F.col("x"))
     table = mine.select(
         array_to_vector(working).alias("features"), F.col("y").cast("double").alias("label"),
@@ -148,7 +149,7 @@ class ScopeIndex:
 
     def column(self, spark, name: str = "domain", scope_id: str = "scope_id") -> DataFrame:
         rows = [(n, i) for i, n in enumerate(self.names) if i]
-        return F.broadcast(spark.createDataFrame(rows, f"{name} string, {scope_id} int"))
+        return F.broadcast(local_table(spark, rows, f"{name} string, {scope_id} int"))
 
 
 def index_scopes(train: DataFrame) -> ScopeIndex:
@@ -180,7 +181,7 @@ def _extract(rows: DataFrame, scopes: ScopeIndex, settings: ProbeSettings) -> Da
         F.sum((F.col("y") == 1).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"),
         F.min(F.size("x")).alias("lo"), F.max(F.size("x")).alias("hi")).collect()
     if not shape:
-        return spark.createDataFrame([], BANK)
+        return local_table(spark, [], BANK)
     width = shape[0]["lo"]
     if any(r["lo"] != width or r["hi"] != width for r in shape):
         raise ValueError("activation vectors differ in length")
@@ -209,7 +210,7 @@ def _extract(rows: DataFrame, scopes: ScopeIndex, settings: ProbeSettings) -> Da
         (scopes.names[s], k, f"{scopes.names[s]}__inlp_{k}", k, p.intercept, settings.alpha,
          settings.positive_label, "shared_train_examples", p.weights.tolist())
         for s in sorted(banks) for k, p in enumerate(banks[s])]
-    return spark.createDataFrame(out, BANK)
+    return local_table(spark, out, BANK)
 
 
 def _fit_round(rows: DataFrame, active: dict[int, tuple[float, float]], sizes: dict, width: int,
@@ -238,7 +239,7 @@ def _scalers(rows: DataFrame, active, bases) -> dict[int, tuple[np.ndarray, np.n
         x = _working_matrix(kernels.as_matrix(columns["x"]), bases.get(scope_id), None)
         return np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)])
 
-    sums = summed(rows, kernel, {s: 1 + 2 * width for s in active}, combined=0)
+    sums = summed(rows, kernel, {s: 1 + 2 * width for s in active}, whole=(0,))
     out = {}
     for s, total in sums.items():
         mean = total[1:1 + width] / total[0]
@@ -267,7 +268,7 @@ def deployment_bank(bank: DataFrame) -> DataFrame:
     names = {(r["scope"], r["row_id"]): r["row_name"] for r in bank.select("scope", "row_id", "row_name").collect()}
     rows = [(s, i, row) for s in order for i, row in enumerate(kernels.unit_rows(matrices[s]))]
     table = [(GLOBAL_BANK, j, s, names[(s, i)], row.tolist()) for j, (s, i, row) in enumerate(rows)]
-    return bank.sparkSession.createDataFrame(
+    return local_table(bank.sparkSession, 
         table, "scope string, row_id int, source_scope string, row_name string, row array<double>")
 
 
@@ -275,4 +276,4 @@ def bank_gram(bank: DataFrame) -> DataFrame:
     """(scope, i, j, dot) of all pairs of rows inside a scope's few rows."""
     table = [(s, i, j, float(g)) for s, m in bank_matrices(bank).items()
              for (i, j), g in np.ndenumerate(m @ m.T)]
-    return bank.sparkSession.createDataFrame(table, "scope string, i int, j int, dot double")
+    return local_table(bank.sparkSession, table, "scope string, i int, j int, dot double")

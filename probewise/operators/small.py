@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 SMALL_ROWS = 100_000
 
@@ -21,3 +24,12 @@ def pin(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
 
 def pinned(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     return pin(df, max_rows)[0]
+
+
+def local_table(spark: SparkSession, rows: list[tuple], schema: T.StructType | str) -> DataFrame:
+    """A table from a few driver-side rows, kept in the plan itself."""
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    names = schema.fieldNames()
+    table = pa.Table.from_pylist([dict(zip(names, row)) for row in rows], schema=to_arrow_schema(schema))
+    return spark.createDataFrame(table, schema)
