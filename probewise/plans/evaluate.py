@@ -50,7 +50,7 @@ def metrics_union(*tables: DataFrame) -> DataFrame:
 def own_scope_counts(rows: DataFrame, scopes: ScopeIndex, scorers: dict[str, object]) -> DataFrame:
     """Score counts (scope, score, pos, neg) of each scope's scorer on its own rows."""
     ids = scopes.ids
-    indexed = rows.join(scopes.column(rows.sparkSession), "domain")
+    indexed = rows if "scope_id" in rows.columns else rows.join(scopes.column(rows.sparkSession), "domain")
     counts = count_model_scores(
         indexed, {(ids[s], 0): scorer for s, scorer in scorers.items()}, True, "x", whole=(0,))
     return counts.select(scope_names(scopes, "model_id").alias("scope"), "score", "pos", "neg")
