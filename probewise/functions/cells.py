@@ -52,10 +52,14 @@ def cell(value: Column, kind: T.DataType) -> Column:
     return F.when(value.isNotNull(), made).otherwise(_empty())
 
 
-@pandas_udf(f"array<struct<name: string, cell: {CELL}>>")
-def literal_cells(texts: pd.Series) -> pd.Series:
+def literal_cells(text: Column) -> Column:
     """Cells of a text that spells a Python dictionary, nested ones included; else NULL."""
-    return texts.map(_literal_cells)
+
+    @pandas_udf(f"array<struct<name: string, cell: {CELL}>>")
+    def parse(texts: pd.Series) -> pd.Series:
+        return texts.map(_literal_cells)
+
+    return parse(text)
 
 
 def _literal_cells(text: str | None):

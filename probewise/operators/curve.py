@@ -121,7 +121,7 @@ def candidate_thresholds(curve: DataFrame, keys: Sequence[str], grid: np.ndarray
     end = before + F.col("pos") + F.col("neg") - 1
     span = F.greatest(n - 1, F.lit(1)).cast("double")
     low = F.greatest(F.lit(0), F.floor((before / span - start) / step) - 1)
-    high = F.least(F.lit(last), F.ceil((end / span - start) / step) + 1)
+    high = F.least(F.lit(last), F.ceil(((end + 1) / span - start) / step) + 1)
     low = F.when(n > 1, low).otherwise(F.lit(0)).cast("int")
     high = F.when(n > 1, high).otherwise(F.lit(last)).cast("int")
 

@@ -19,6 +19,11 @@ def in_scope(rows: DataFrame, scope: str) -> DataFrame:
     return rows if scope == COMBINED else rows.filter(F.col("domain") == scope)
 
 
+def spread_scopes(rows: DataFrame) -> DataFrame:
+    """Every row once per scope it belongs to, with the scope's name."""
+    return rows.withColumn("scope", F.explode(scopes_of()))
+
+
 def scope_view(means: DataFrame, tokens: DataFrame | None, scope: str, split: DataFrame,
                train_on: str = "means", name: str | None = None) -> DataFrame:
     """Rows of one scope (and one split), from example means or from tokens."""

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from probewise.config import GLOBAL_BANK
 from probewise.plans.experiment import Prepared, Results, artifact_examples, hamming_artifacts, projected_artifacts
 
 
-def artifact_name(scope: str, layer: int, mode: str, projection_dim: int, bits: int, eval_mode: str) -> str:
-    label = "GLOBAL_all_rows" if scope == "global_all_rows" else scope
-    return f"wta_{label}_L{layer}_{mode}_proj{projection_dim}_lsq{bits}bit_{eval_mode}"
+def artifact_name(layer: int, mode: str) -> Column:
+    """File-like name from scope, layer, mode, projection width, bits and eval mode."""
+    label = F.when(F.col("scope") == GLOBAL_BANK, "GLOBAL_all_rows").otherwise(F.col("scope"))
+    return F.format_string("wta_%s_L%d_%s_proj%d_lsq%dbit_%s", label, F.lit(layer), F.lit(mode),
+                           "projection_dim", "lsq_bit_precision", "eval_distance_mode")
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
@@ -19,9 +22,7 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
 
 def save_projected(prepared: Prepared, results: Results, path: str, layer: int = 33,
                    mode: str = "post_layer") -> None:
-    named = F.udf(artifact_name, "string")
-    models = projected_artifacts(prepared, results).withColumn("artifact", named(
-        "scope", F.lit(layer), F.lit(mode), "projection_dim", "lsq_bit_precision", "eval_distance_mode"))
+    models = projected_artifacts(prepared, results).withColumn("artifact", artifact_name(layer, mode))
     models.write.partitionBy("scope").parquet(f"{path}/wta_model")
     _save_shared(prepared, results, path)
 
