@@ -108,7 +108,7 @@ def project_out_direction(spark, sf_dir):
     return acts.select("example_id", fx.text_of(kernels.null_space(F.col("x"), basis)).alias("rest"))
 
 
-_COSINE_PAIRS = ("SELECT example_id, domain, y, row_id, round(list_dot_product(u, b), 6) AS score FROM "
+_COSINE_PAIRS = ("SELECT example_id, domain, y, row_id, round(list_dot_product(u, b), 9) AS score FROM "
                  f"(SELECT example_id, domain, y, {fx.unit_sql('x')} AS u FROM act) CROSS JOIN "
                  f"(SELECT row_id, {fx.unit_sql('row')} AS b FROM bank)")
 _COSINE = f"WITH {fx.ACT}, {fx.BANK}, best AS ({fx.best_sql(_COSINE_PAIRS)})"
@@ -116,7 +116,8 @@ _COSINE = f"WITH {fx.ACT}, {fx.BANK}, best AS ({fx.best_sql(_COSINE_PAIRS)})"
 
 def _cosine_best(spark, sf_dir) -> DataFrame:
     acts = fx.activations(spark, sf_dir)
-    return _rounded(scoring.cosine_scores(acts, fx.bank_rows(acts)).drop("x"), "score")
+    scored = scoring.cosine_scores(acts, fx.bank_rows(acts)).drop("x")
+    return scored.withColumn("score", F.round("score", 9))
 
 
 @query(f"{_COSINE} SELECT example_id, score, CAST(row_id AS INT) AS winner FROM best")
