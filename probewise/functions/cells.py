@@ -151,7 +151,7 @@ class Cells:
             return cell(F.col(f"`{name}`"), self.top[name])
         found = [F.when(present, cell(value, kind))
                  for field, value, kind, present in self.nested if field == name]
-        found += [F.filter(cells, lambda c: c["name"] == name)[0]["cell"] for _, cells in self.literals]
+        found += [F.get(F.filter(cells, lambda c: c["name"] == name), F.lit(0))["cell"] for _, cells in self.literals]
         return F.coalesce(*found) if found else None
 
     def first(self, names: Sequence[str]) -> Column:
@@ -177,5 +177,5 @@ class Cells:
         for _, cells in self.literals:
             long = F.filter(cells, lambda c: (c["cell"]["kind"] == "s") & (
                 F.length(c["cell"]["text"]) > longer_than) & ~c["name"].isin(*shut))
-            parts.append(long[0]["cell"]["text"])
+            parts.append(F.get(long, F.lit(0))["cell"]["text"])
         return F.coalesce(*parts) if parts else F.lit(None).cast("string")
