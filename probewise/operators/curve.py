@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from probewise.operators.small import SMALL_ROWS
+from probewise.workspace import written
 
 BINS = 1 << 14
 
@@ -27,6 +28,11 @@ def count_scores(df: DataFrame, keys: Sequence[str], score: str = "score", y: st
     )
 
 
+def stored_counts(df: DataFrame, keys: Sequence[str], score: str = "score", y: str = "y") -> DataFrame:
+    """As ``count_scores``, but worked out once: a curve reads its counts several times."""
+    return written(count_scores(df, keys, score, y), "score-counts")
+
+
 def _binned(counts: DataFrame, keys: Sequence[str], groups: int | None) -> DataFrame:
     """Add n_pos, n_neg and a bin number that grows with the score.
 

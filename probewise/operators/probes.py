@@ -19,6 +19,7 @@ from probewise.schemas import BANK
 
 NEWTON_WIDTH = 256  # widest vector for which second derivatives are summed
 NEWTON_STEPS = 60
+MAX_DOMAINS = 1_000  # every domain becomes a scope with its own models
 TOLERANCE = 1e-10
 
 
@@ -153,7 +154,9 @@ class ScopeIndex:
 
 
 def index_scopes(train: DataFrame) -> ScopeIndex:
-    domains = [r["domain"] for r in train.select("domain").distinct().collect()]
+    domains = [r["domain"] for r in train.select("domain").distinct().limit(MAX_DOMAINS + 1).collect()]
+    if len(domains) > MAX_DOMAINS:
+        raise ValueError(f"more than {MAX_DOMAINS} domains: the domain column does not name scopes")
     return ScopeIndex([COMBINED] + sorted(domains))
 
 
@@ -166,7 +169,7 @@ def extract_banks(train: DataFrame, settings: ProbeSettings = ProbeSettings()) -
     """
     spark = train.sparkSession
     scopes = index_scopes(train)
-    rows = (train.join(scopes.column(spark), "domain")
+    rows = (train.select("domain", "y", "x").join(scopes.column(spark), "domain")
             .select("scope_id", F.col("y").cast("int").alias("y"), F.col("x").cast("array<float>").alias("x"))
             .persist(StorageLevel.MEMORY_AND_DISK))
     try:

@@ -18,14 +18,13 @@ def hash_order(seed: int, row_id: str = "example_id") -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(row_id).cast("string")))
 
 
-def find_cuts(rows: DataFrame, quotas: DataFrame, seed: int, stratum: str = "stratum",
+def find_cuts(rows: DataFrame, quotas: DataFrame, few: bool, seed: int, stratum: str = "stratum",
               row_id: str = "example_id") -> DataFrame:
     """(stratum, n, quota, cut_h, cut_id): the last row each stratum may take.
 
-    ``quotas`` holds (stratum, n, quota) with the stratum sizes. Strata that take
-    everything or nothing need no cut.
+    ``quotas`` holds (stratum, n, quota) with the stratum sizes; ``few`` tells that
+    it was found to be small. Strata that take everything or nothing need no cut.
     """
-    quotas, few = pin(quotas.select(stratum, "n", "quota"))
     slim = rows.select(stratum, row_id, hash_order(seed, row_id).alias("_h")).withColumn(
         "_prefix", F.substring("_h", 1, PREFIX))
     lower = Window.partitionBy(stratum).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
@@ -56,7 +55,8 @@ def is_taken(order: Column, row_id: Column, cut: str = "") -> Column:
 def take_per_stratum(rows: DataFrame, quotas: DataFrame, seed: int, stratum: str = "stratum",
                      row_id: str = "example_id") -> DataFrame:
     """The first ``quota`` rows of every stratum in hash order."""
-    cuts = find_cuts(rows, quotas, seed, stratum, row_id)
+    small, few = pin(quotas.select(stratum, "n", "quota"))
+    cuts = find_cuts(rows, small, few, seed, stratum, row_id)
     taken = is_taken(hash_order(seed, row_id), F.col(row_id))
     return rows.join(cuts, stratum).filter(taken).drop("n", "quota", "cut_h", "cut_id")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from probewise.config import SplitSettings
 from probewise.operators.sampling import find_cuts, hash_order, is_taken
-from probewise.operators.small import pinned
+from probewise.operators.small import pin, pinned
 from probewise.workspace import written
 
 SPLITS = ("train", "val", "test")
@@ -53,9 +53,10 @@ def stratum_quotas(strata: DataFrame, fraction: float) -> DataFrame:
 def _fraction_cuts(rows: DataFrame, fraction: float, seed: int) -> DataFrame:
     """Cut per stratum for a stratified ``fraction`` of (example_id, stratum)."""
     strata = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
-    quotas = pinned(stratum_quotas(strata, fraction))
+    quotas, few = pin(stratum_quotas(strata, fraction))
     pooled = rows.join(quotas.select("stratum", "pool"), "stratum")
-    cuts = find_cuts(pooled, quotas.select("pool", "n", "quota").distinct(), seed, stratum="pool")
+    pools = quotas.select("pool", "n", "quota").distinct()
+    cuts = find_cuts(pooled, F.broadcast(pools) if few else pools, few, seed, stratum="pool")
     return quotas.select("stratum", "pool").join(cuts, "pool").drop("pool")
 
 

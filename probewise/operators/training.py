@@ -137,7 +137,7 @@ def _replay(waiting, learners, progress, val, patience, margin, column, whole) -
     scorers = {}
     for i, (_, models, _) in enumerate(waiting):
         for s, model in models.items():
-            scorers[(s, i)] = _feature_scorer(learners[s], model)
+            scorers[(s, i)] = feature_scorer(learners[s], model)
     counts = count_model_scores(val, scorers, True, column, whole)
     ranked = curve.auroc(counts.select("model_id", "snapshot", "score", "pos", "neg"),
                          ["model_id", "snapshot"], len(scorers)).collect()
@@ -159,7 +159,7 @@ def _replay(waiting, learners, progress, val, patience, margin, column, whole) -
                     state.best = model
 
 
-def _feature_scorer(learner: Learner, model):
+def feature_scorer(learner: Learner, model):
     frozen = learner.frozen()
     return lambda v: frozen.feature_scores(model, v)
 

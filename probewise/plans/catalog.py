@@ -219,7 +219,7 @@ def split_coverage(spark, sf_dir):
        f"round(unnest(quantile_cont(score, {fx.grid_sql(curve.GRIDS['hamming'])})), 6) AS threshold "
        "FROM best GROUP BY domain")
 def quantile_grid(spark, sf_dir):
-    counts = curve.count_scores(_cosine_best(spark, sf_dir), ["domain"])
+    counts = curve.stored_counts(_cosine_best(spark, sf_dir), ["domain"])
     points = curve.score_curve(counts, ["domain"])
     found = curve.candidate_thresholds(points, ["domain"], curve.GRIDS["hamming"])
     return _rounded(found.select("domain", "candidate", "threshold"), "threshold")
@@ -232,7 +232,7 @@ def _threshold_sql(head: str, grid: str, metric: str) -> str:
 
 
 def _selected(scored: DataFrame, grid: str, metric: str) -> DataFrame:
-    points = curve.score_curve(curve.count_scores(scored, ["domain"]), ["domain"])
+    points = curve.score_curve(curve.stored_counts(scored, ["domain"]), ["domain"])
     found = curve.candidate_thresholds(points, ["domain"], curve.GRIDS[grid])
     return _rounded(curve.select_threshold(found, ["domain"], metric), "threshold")
 
@@ -255,7 +255,7 @@ _FIVE = ("round(f1, 6) AS f1, round(accuracy, 6) AS accuracy, round(threshold, 6
 
 @query(f"{_COSINE}, {_SANITY} SELECT domain, {_FIVE} FROM pick WHERE r = 1")
 def threshold_sanity(spark, sf_dir):
-    points = curve.score_curve(curve.count_scores(_cosine_best(spark, sf_dir), ["domain"]), ["domain"])
+    points = curve.score_curve(curve.stored_counts(_cosine_best(spark, sf_dir), ["domain"]), ["domain"])
     found = curve.candidate_thresholds(points, ["domain"], curve.GRIDS["sanity"])
     return _rounded(curve.sanity_threshold(found, ["domain"]), "f1", "accuracy", "threshold", "precision", "recall")
 
@@ -270,7 +270,7 @@ _TRAIN_BEST = (f"WITH {fx.ACT}, {fx.split_sql(fx.BY_DOMAIN)}, {fx.BANK}, whole A
 def sanity_report(spark, sf_dir):
     acts = fx.activations(spark, sf_dir)
     train = splits.rows_in_split(_cosine_best(spark, sf_dir), splits.shared_split(acts), "train")
-    counts = curve.count_scores(train.withColumnRenamed("domain", "scope"), ["scope"])
+    counts = curve.stored_counts(train.withColumnRenamed("domain", "scope"), ["scope"])
     return _rounded(evaluate.sanity_metrics(counts, ["scope"]),
                     "f1", "accuracy", "threshold", "precision", "recall", "auroc")
 
@@ -316,7 +316,8 @@ def _cross_metrics(spark, sf_dir) -> DataFrame:
         i + 1: scoring.HammingModel(row[None, :]) for i, row in enumerate(bank)}
     scorers = {(s, 0): m.scores for s, m in models.items()}
     val = training.count_model_scores(held_out.filter("split = 'val'"), scorers, True, "x", (0,))
-    points = curve.score_curve(val.select("model_id", "score", "pos", "neg"), ["model_id"], len(models))
+    val = written(val.select("model_id", "score", "pos", "neg"), "val-counts")
+    points = curve.score_curve(val, ["model_id"], len(models))
     cuts = curve.select_threshold(curve.candidate_thresholds(
         points, ["model_id"], curve.GRIDS["hamming"]), ["model_id"], "accuracy")
     test = training.count_model_scores(held_out.filter("split = 'test'"), scorers, False, "x")

@@ -12,6 +12,7 @@ from probewise.operators import curve
 from probewise.operators.probes import ScopeIndex
 from probewise.operators.scoring import HammingModel
 from probewise.operators.training import count_model_scores
+from probewise.workspace import written
 
 HELD_OUT = ("test", "cross_eval")
 
@@ -53,7 +54,8 @@ def own_scope_counts(rows: DataFrame, scopes: ScopeIndex, scorers: dict[str, obj
     indexed = rows if "scope_id" in rows.columns else rows.join(scopes.column(rows.sparkSession), "domain")
     counts = count_model_scores(
         indexed, {(ids[s], 0): scorer for s, scorer in scorers.items()}, True, "x", whole=(0,))
-    return counts.select(scope_names(scopes, "model_id").alias("scope"), "score", "pos", "neg")
+    named = counts.select(scope_names(scopes, "model_id").alias("scope"), "score", "pos", "neg")
+    return written(named, "score-counts")
 
 
 def sanity_report(rows: DataFrame, scopes: ScopeIndex, banks: dict[str, np.ndarray]) -> DataFrame:

@@ -26,7 +26,7 @@ from probewise.workspace import written
 class Prepared:
     """What all classifier families share: split, banks and the tagged rows."""
 
-    rows: DataFrame  # scope_id, domain, example_id, y, split, x
+    rows: DataFrame  # scope_id, domain, example_id, y, split, x; stored by split
     split: DataFrame
     bank: DataFrame
     deployment: DataFrame
@@ -61,12 +61,18 @@ def prepare(means: DataFrame, settings: ExperimentSettings = ExperimentSettings(
     def tagged(rows: DataFrame) -> DataFrame:
         return rule.tag(rows) if by_rule and rows is means else splits.tag_split(rows, split)
 
-    train_means = tagged(means).filter(F.col("split") == "train")
-    bank = written(probes.extract_banks(train_means, settings.probe), "bank")
     scopes = probes.index_scopes(unique)
-    rows = tagged(training_table(means, tokens, settings.train_on))
-    rows = rows.join(scopes.column(means.sparkSession), "domain").select(
-        "scope_id", "domain", "example_id", F.col("y").cast("int").alias("y"), "split", "x")
+
+    def stored(table: DataFrame, name: str) -> DataFrame:
+        indexed = tagged(table).join(scopes.column(means.sparkSession), "domain").select(
+            "scope_id", "domain", "example_id", F.col("y").cast("int").alias("y"), "split",
+            F.col("x").cast("array<float>").alias("x"))
+        return written(indexed, name, by=("split",))
+
+    mean_rows = stored(means, "means")
+    bank = written(probes.extract_banks(mean_rows.filter(F.col("split") == "train"), settings.probe), "bank")
+    source = training_table(means, tokens, settings.train_on)
+    rows = mean_rows if source is means else stored(source, "tokens")
     shape = rows.groupBy("scope_id", "split").agg(
         F.sum((F.col("y") == 0).cast("long")).alias("neg"), F.sum((F.col("y") == 1).cast("long")).alias("pos"))
     counts: dict[tuple[int, str], tuple[int, int]] = {}
@@ -104,8 +110,23 @@ class _Evaluation:
     thresholds: dict[int, float]
 
 
-def _evaluate(prepared: Prepared, models: dict[int, object], whole: tuple[int, ...], grid: str,
-              metric: str) -> _Evaluation:
+@dataclass
+class _Validation:
+    """Rows the thresholds are chosen on, and how a model scores one of them."""
+
+    rows: DataFrame
+    column: str
+    whole: tuple[int, ...]
+    learners: dict[int, Learner]
+
+    def counts(self, models: dict[int, object]) -> DataFrame:
+        scorers = {(s, 0): training.feature_scorer(self.learners[s], m) if s in self.learners else m.scores
+                   for s, m in models.items()}
+        return training.count_model_scores(self.rows, scorers, True, self.column, self.whole)
+
+
+def _evaluate(prepared: Prepared, models: dict[int, object], val: _Validation,
+              whole: tuple[int, ...], grid: str, metric: str) -> _Evaluation:
     """Thresholds on val, metrics on val and test, every model on every test scope.
 
     Every test row is scored once for all models; each step after that works on
@@ -113,10 +134,8 @@ def _evaluate(prepared: Prepared, models: dict[int, object], whole: tuple[int, .
     """
     spark = prepared.rows.sparkSession
     scorers = {(s, 0): model.scores for s, model in models.items()}
-    val = prepared.rows.filter(F.col("split") == "val")
     test = prepared.rows.filter(F.col("split") == "test")
-    columns = ["model_id", "score", "pos", "neg"]
-    val_counts = written(training.count_model_scores(val, scorers, True, "x", whole).select(*columns), "val-counts")
+    val_counts = written(val.counts(models).select("model_id", "score", "pos", "neg"), "val-counts")
     test_counts = written(training.count_model_scores(test, scorers, False, "x"), "test-counts")
     found = {r["model_id"]: r["threshold"] for r in _thresholds(val_counts, grid, metric, len(models)).collect()}
     chosen = {s: float(found.get(s, 0.0)) for s in models}
@@ -158,10 +177,10 @@ def run_projected(prepared: Prepared, settings: ExperimentSettings = ExperimentS
         banks[global_id] = probes.bank_matrices(prepared.deployment)[GLOBAL_BANK]
         whole = (0, global_id)
     learners = {s: kind(rows, cfg) for s, rows in banks.items()}
-    progress = _fit(prepared, learners, whole, learned, epochs=cfg.epochs, pending=50,
-                    batches=cfg.batches_per_epoch)
+    progress, val = _fit(prepared, learners, whole, learned, epochs=cfg.epochs, pending=50,
+                         batches=cfg.batches_per_epoch)
     models = training.final_models(learners, progress)
-    checked = _evaluate(prepared, models, whole, "projected", "f1")
+    checked = _evaluate(prepared, models, val, whole, "projected", "f1")
     for s, model in models.items():
         model.threshold = checked.thresholds[s]
     label = F.element_at(F.lit(prepared.scopes.names + [GLOBAL_BANK]), F.col("model_id") + 1)
@@ -192,15 +211,17 @@ def _fit(prepared: Prepared, learners: dict[int, Learner], whole, on_vectors: bo
         table, column, all_rows = rows.select("scope_id", "split", "example_id", "y", "x"), "x", whole
     else:
         features = {s: learner.frozen().features for s, learner in learners.items()}
-        table = written(training.scope_features(rows, features, whole), "features")
+        table = written(training.scope_features(rows, features, whole), "features", by=("split",))
         column, all_rows = "v", ()
     train = table.filter(F.col("split") == "train").drop("split").persist(StorageLevel.MEMORY_AND_DISK)
-    val = table.filter(F.col("split") == "val").drop("split").persist(StorageLevel.MEMORY_AND_DISK)
+    val = table.filter(F.col("split") == "val").drop("split")
+    kept = val.select("*").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return training.fit_learners(learners, train, val, column=column, whole=all_rows, **options)
+        progress = training.fit_learners(learners, train, kept, column=column, whole=all_rows, **options)
     finally:
         train.unpersist()
-        val.unpersist()
+        kept.unpersist()
+    return progress, _Validation(val, column, all_rows, learners)
 
 
 def _fit_bias_only(prepared: Prepared, banks: dict[int, np.ndarray], cfg) -> tuple[dict, dict]:
@@ -258,18 +279,19 @@ def run_hamming(prepared: Prepared, settings: ExperimentSettings = ExperimentSet
         learners: dict[int, Learner] = {}
         if method == "sign" and not cfg.weighted_rows:
             models, progress = _fit_bias_only(prepared, banks, cfg)
+            val = _Validation(prepared.rows.filter(F.col("split") == "val"), "x", (0,), {})
         elif method in ("sign", "learned_matrix"):
             matrix = method == "learned_matrix"
             kind = HashMatrixLearner if matrix else HammingReadout
             learners = {s: kind(rows, cfg, pos_weight[s]) for s, rows in banks.items()}
-            progress = _fit(
+            progress, val = _fit(
                 prepared, learners, (0,), matrix, epochs=cfg.matrix_epochs if matrix else cfg.epochs,
                 eval_every=cfg.matrix_eval_every if matrix else cfg.eval_every, patience=cfg.patience,
                 margin=1e-5, batches=cfg.batches_per_epoch, pending=cfg.patience)
             models = training.final_models(learners, progress)
         else:
             raise ValueError(method)
-        checked = _evaluate(prepared, models, (0,), "hamming", cfg.threshold_metric)
+        checked = _evaluate(prepared, models, val, (0,), "hamming", cfg.threshold_metric)
         for s, model in models.items():
             model.threshold = checked.thresholds[s]
         label = scope_names(prepared.scopes, "model_id")

@@ -21,15 +21,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` once and read it back, so later jobs do not repeat its lineage.
 
-    The files outlive lost executors, unlike blocks kept on them.
+    The files outlive lost executors, unlike blocks kept on them. ``by`` lays them
+    out in folders, so that filters on these columns skip the rest.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def ship(spark: SparkSession) -> SparkSession:
