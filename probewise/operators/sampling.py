@@ -20,10 +20,11 @@ def hash_order(seed: int, row_id: str = "example_id") -> Column:
 
 def find_cuts(rows: DataFrame, quotas: DataFrame, few: bool, seed: int, stratum: str = "stratum",
               row_id: str = "example_id") -> DataFrame:
-    """(stratum, n, quota, cut_h, cut_id): the last row each stratum may take.
+    """(stratum, target, n, quota, cut_h, cut_id): the last row a stratum may take.
 
-    ``quotas`` holds (stratum, n, quota) with the stratum sizes; ``few`` tells that
-    it was found to be small. Strata that take everything or nothing need no cut.
+    ``quotas`` holds (stratum, target, n, quota) with the stratum sizes, one row per
+    cut asked for; ``few`` tells that it was found to be small. Strata that take
+    everything or nothing need no cut.
     """
     slim = rows.select(stratum, row_id, hash_order(seed, row_id).alias("_h")).withColumn(
         "_prefix", F.substring("_h", 1, PREFIX))
@@ -33,15 +34,15 @@ def find_cuts(rows: DataFrame, quotas: DataFrame, few: bool, seed: int, stratum:
     edge = prefixes.join(quotas, stratum).filter(
         (F.col("quota") > F.col("_before")) & (F.col("quota") <= F.col("_before") + F.col("_c"))
         & (F.col("quota") < F.col("n"))
-    ).select(stratum, "_prefix", (F.col("quota") - F.col("_before")).alias("_need"))
-    if few:  # at most one prefix per stratum
+    ).select(stratum, "target", "_prefix", (F.col("quota") - F.col("_before")).alias("_need"))
+    if few:  # at most one prefix per cut
         edge = F.broadcast(edge)
-    in_prefix = Window.partitionBy(stratum).orderBy("_h", row_id)
+    in_prefix = Window.partitionBy(stratum, "target").orderBy("_h", row_id)
     cuts = (slim.join(edge, [stratum, "_prefix"])
             .withColumn("_rank", F.row_number().over(in_prefix))
             .filter(F.col("_rank") == F.col("_need"))
-            .select(stratum, F.col("_h").alias("cut_h"), F.col(row_id).alias("cut_id")))
-    return pinned(quotas.join(cuts, stratum, "left"))
+            .select(stratum, "target", F.col("_h").alias("cut_h"), F.col(row_id).alias("cut_id")))
+    return pinned(quotas.join(cuts, [stratum, "target"], "left"))
 
 
 def is_taken(order: Column, row_id: Column, cut: str = "") -> Column:
@@ -55,10 +56,10 @@ def is_taken(order: Column, row_id: Column, cut: str = "") -> Column:
 def take_per_stratum(rows: DataFrame, quotas: DataFrame, seed: int, stratum: str = "stratum",
                      row_id: str = "example_id") -> DataFrame:
     """The first ``quota`` rows of every stratum in hash order."""
-    small, few = pin(quotas.select(stratum, "n", "quota"))
-    cuts = find_cuts(rows, small, few, seed, stratum, row_id)
+    small, few = pin(quotas.select(stratum, F.lit("").alias("target"), "n", "quota"))
+    cuts = find_cuts(rows, small, few is not None, seed, stratum, row_id)
     taken = is_taken(hash_order(seed, row_id), F.col(row_id))
-    return rows.join(cuts, stratum).filter(taken).drop("n", "quota", "cut_h", "cut_id")
+    return rows.join(cuts, stratum).filter(taken).drop("target", "n", "quota", "cut_h", "cut_id")
 
 
 def balanced_cap(df: DataFrame, cap: int | None, seed: int = 0, row_id: str = "example_id",

@@ -10,16 +10,16 @@ from pyspark.sql.pandas.types import to_arrow_schema
 SMALL_ROWS = 100_000
 
 
-def pin(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
+def pin(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, pa.Table | None]:
     """Turn a table of at most ``max_rows`` rows into broadcast local rows.
 
-    A larger table is returned as it is, and Spark picks the join; the flag tells
-    which of the two happened.
+    A larger table is returned as it is, and Spark picks the join; the rows come
+    along only where the table is small.
     """
     rows = df.limit(max_rows + 1).toArrow()
     if rows.num_rows > max_rows:
-        return df, False
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)), True
+        return df, None
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)), rows
 
 
 def pinned(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:

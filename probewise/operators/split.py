@@ -50,14 +50,18 @@ def stratum_quotas(strata: DataFrame, fraction: float) -> DataFrame:
         F.when(F.col("stratified"), quota).otherwise(F.col("take")).cast("long").alias("quota"))
 
 
-def _fraction_cuts(rows: DataFrame, fraction: float, seed: int) -> DataFrame:
-    """Cut per stratum for a stratified ``fraction`` of (example_id, stratum)."""
-    strata = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
-    quotas, few = pin(stratum_quotas(strata, fraction))
+def _fraction_quotas(strata: DataFrame, fraction: float) -> tuple[DataFrame, bool, bool]:
+    """Quotas of (stratum, n), whether they are few, and whether every stratum is its own pool."""
+    quotas, rows = pin(stratum_quotas(strata, fraction))
+    return quotas, rows is not None, rows is not None and "*" not in rows.column("pool").to_pylist()
+
+
+def _fraction_cuts(rows: DataFrame, quotas: DataFrame, few: bool, seed: int) -> DataFrame:
+    """Cut per stratum for the quotas of its pool."""
     pooled = rows.join(quotas.select("stratum", "pool"), "stratum")
-    pools = quotas.select("pool", "n", "quota").distinct()
+    pools = quotas.select("pool", F.lit("").alias("target"), "n", "quota").distinct()
     cuts = find_cuts(pooled, F.broadcast(pools) if few else pools, few, seed, stratum="pool")
-    return quotas.select("stratum", "pool").join(cuts, "pool").drop("pool")
+    return quotas.select("stratum", "pool").join(cuts, "pool").drop("pool", "target")
 
 
 class SplitRule:
@@ -86,11 +90,29 @@ class SplitRule:
 
 
 def split_rule(rows: DataFrame, settings: SplitSettings = SplitSettings()) -> SplitRule:
-    """Find the cuts from unique (example_id, stratum)."""
-    test = _fraction_cuts(rows, settings.test_fraction, settings.seed)
-    rest = rows.join(test, "stratum").filter(
+    """Find the cuts from unique (example_id, stratum).
+
+    Val is the stretch after test in the same order. Where both fractions are
+    stratified, the sizes left after test are known, and one job finds all cuts.
+    """
+    strata = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
+    test, few, stratified = _fraction_quotas(strata, settings.test_fraction)
+    if stratified:
+        left = test.select("stratum", (F.col("n") - F.col("quota")).alias("n"))
+        val, _, val_stratified = _fraction_quotas(left, settings.val_fraction)
+        if val_stratified:
+            both = test.select("stratum", F.lit("test").alias("target"), "n", "quota").unionByName(
+                test.join(val.select("stratum", F.col("quota").alias("_v")), "stratum").select(
+                    "stratum", F.lit("val").alias("target"), "n", (F.col("quota") + F.col("_v")).alias("quota")))
+            cuts = find_cuts(rows, F.broadcast(both), True, settings.seed)
+            named = {t: cuts.filter(F.col("target") == t).drop("target") for t in ("test", "val")}
+            return SplitRule(named["test"], named["val"], settings.seed)
+    test_cuts = _fraction_cuts(rows, test, few, settings.seed)
+    rest = rows.join(test_cuts, "stratum").filter(
         ~is_taken(hash_order(settings.seed), F.col("example_id"))).select("example_id", "stratum")
-    return SplitRule(test, _fraction_cuts(rest, settings.val_fraction, settings.seed), settings.seed)
+    left = rest.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
+    val, few, _ = _fraction_quotas(left, settings.val_fraction)
+    return SplitRule(test_cuts, _fraction_cuts(rest, val, few, settings.seed), settings.seed)
 
 
 def split_examples(rows: DataFrame, settings: SplitSettings = SplitSettings()) -> DataFrame:

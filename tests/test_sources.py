@@ -68,6 +68,12 @@ def test_numpy_store(spark, tmp_path):
     assert rows[3]["example_id"] == 30 and rows[3]["domain"] == "b" and rows[3]["y"] == 1
     tokens = spark.read.format("numpy_store").option("part", "token").load(str(tmp_path))
     assert [r["token_position"] for r in tokens.orderBy("token_position").collect()] == list(range(5))
+    names = ("X_mean", "y_mean", "domain_mean", "example_index_mean")
+    for save in (np.savez, np.savez_compressed):
+        save(tmp_path / "one.npz", **{n: np.load(tmp_path / f"{n}.npy") for n in names})
+        packed = spark.read.format("numpy_store").option("rows_per_partition", 10).load(str(tmp_path / "one.npz"))
+        assert packed.rdd.getNumPartitions() == 4
+        assert packed.orderBy("example_id").collect() == rows
     (tmp_path / "manifest.json").write_text(json.dumps({"arrays": {"X_mean": {}, "gone": {}}}))
     with pytest.raises(Exception, match="gone.npy"):
         spark.read.format("numpy_store").load(str(tmp_path)).count()
