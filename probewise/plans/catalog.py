@@ -720,6 +720,55 @@ def _prepared(spark, sf_dir) -> experiment.Prepared:
     return experiment.prepare(fx.activations(spark, sf_dir).drop("label"), _SMALL)
 
 
+_EPOCHS = 4
+
+
+def _readout_history(spark, sf_dir, made) -> DataFrame:
+    """History of learners over the fixture bank, one per scope, all from one bank."""
+    acts = fx.activations(spark, sf_dir).drop("label")
+    bank = fx.bank_rows(acts)
+    rule = splits.split_rule(splits.one_row_per_example(acts).select(
+        "example_id", splits.stratum_key().alias("stratum")))
+    index = probes.index_scopes(acts)
+    rows = rule.tag(acts).join(index.column(spark), "domain")
+    sizes = {(r["scope_id"], r["y"]): r["n"] for r in rows.filter("split = 'train'").groupBy("scope_id", "y").agg(
+        F.count(F.lit(1)).alias("n")).collect()}
+    weights = {}
+    for s in range(len(index.names)):
+        neg, pos = (sum(n for (i, y), n in sizes.items() if y == c and s in (0, i)) for c in (0, 1))
+        weights[s] = max(neg, 1) / max(pos, 1)
+    learners = {s: made(bank, w) for s, w in weights.items()}
+    table = written(training.scope_features(
+        rows, {s: m.frozen().features for s, m in learners.items()}), "features", by=("split",))
+    progress = training.fit_learners(
+        learners, table.filter("split = 'train'"), table.filter("split = 'val'"), _EPOCHS)
+    history = [(index.names[s], h["epoch"], h["loss"], h["val_auroc"], h.get("act_scale"), h.get("row_scale"))
+               for s, p in progress.items() for h in p.history]
+    out = local_table(spark, history, "scope string, epoch int, loss double, val_auroc double, act_scale double, row_scale double")
+    return _rounded(out, "loss", "val_auroc", "act_scale", "row_scale")
+
+
+def _unrolled(head: str, step, report) -> str:
+    """Training written out step by step in SQL."""
+    steps = ",".join(step(t) for t in range(1, _EPOCHS + 1))
+    reports = " UNION ALL ".join(report(t) for t in range(1, _EPOCHS + 1))
+    return f"WITH {fx.ACT}, {fx.split_sql(fx.BY_DOMAIN)}, {fx.BANK}, {head}, {steps} {reports}"
+
+
+@query(_unrolled(fx.TRAINING, fx.readout_step_sql, fx.readout_report_sql))
+def hamming_readout_training(spark, sf_dir):
+    from probewise.operators.learners import HammingReadout
+    history = _readout_history(spark, sf_dir, lambda bank, w: HammingReadout(bank, HammingSettings(), w))
+    return history.drop("act_scale", "row_scale")
+
+
+@query(_unrolled(fx.QUANTISED, fx.quantised_step_sql, fx.quantised_report_sql))
+def quantised_readout_training(spark, sf_dir):
+    from probewise.operators.learners import ProjectedReadout
+    settings = ProjectedSettings(use_projection=False)
+    return _readout_history(spark, sf_dir, lambda bank, w: ProjectedReadout(bank, settings))
+
+
 @query()
 def train_projected(spark, sf_dir):
     results = experiment.run_projected(_prepared(spark, sf_dir), _SMALL)

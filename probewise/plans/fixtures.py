@@ -156,3 +156,107 @@ def candidates_sql(source: str, keys: str, grid: np.ndarray) -> str:
             f"FROM {source} GROUP BY {keys}")
     joined = f"(SELECT s.*, c.threshold FROM {source} s JOIN ({cuts}) c USING ({keys}))"
     return confusion_sql(joined, keys, "threshold")
+
+
+def adam_sql(t: int, name: str, gradient: str = "g") -> str:
+    """One optimiser step of ``name`` with its moments m and v (rate 0.03, decay 1e-4)."""
+    m, v = f"(0.9 * m + 0.1 * {gradient})", f"(0.999 * v + 0.001 * {gradient} * {gradient})"
+    return (f"{name} * (1 - 0.03 * 1e-4) - 0.03 * ({m} / (1 - pow(0.9, {t}))) "
+            f"/ (sqrt({v} / (1 - pow(0.999, {t}))) + 1e-8) AS {name}, {m} AS m, {v} AS v")
+
+
+# Training rows: every example once per scope it belongs to.
+TRAINING = f"""
+seen AS MATERIALIZED (SELECT unnest(['combined', domain]) AS scope, example_id, y, x, split
+  FROM act JOIN split USING (example_id)),
+size AS MATERIALIZED (SELECT scope, count(*) AS n, greatest(sum(1 - y), 1) / CAST(greatest(sum(y), 1) AS DOUBLE) AS pw
+  FROM seen WHERE split = 'train' GROUP BY scope),
+pair AS MATERIALIZED (SELECT scope, example_id, y, split, row_id,
+  list_dot_product({signs_sql('x')}, {signs_sql('row')}) / len(x) AS s FROM seen CROSS JOIN (SELECT row_id, row FROM bank)),
+raw0 AS MATERIALIZED (SELECT scope, row_id, ln(exp(1.0::DOUBLE) - 1) AS raw, 0.0::DOUBLE AS m, 0.0::DOUBLE AS v FROM size CROSS JOIN (SELECT row_id FROM bank)),
+bias0 AS MATERIALIZED (SELECT scope, 0.0::DOUBLE AS bias, 0.0::DOUBLE AS m, 0.0::DOUBLE AS v FROM size)"""
+
+
+def best_pair_sql(t: int, split: str) -> str:
+    """The winning row of every example with the weights after step ``t``."""
+    weighted = (f"SELECT p.*, s * (ln(1 + exp(raw)) + 1e-6) AS q, n, pw, bias FROM pair p JOIN raw{t} USING (scope, row_id) "
+                f"JOIN size USING (scope) JOIN bias{t} USING (scope) WHERE split = '{split}'")
+    return best_sql(weighted, "scope, example_id", "q DESC")
+
+
+def readout_step_sql(t: int) -> str:
+    """CTEs of training step ``t`` of row weights and bias over sign similarities."""
+    return f"""
+hit{t} AS MATERIALIZED (SELECT scope, row_id, s, n, q + bias AS z, y, pw, 1 / (1 + exp(-(q + bias))) * (1 - y + pw * y) - pw * y AS e
+  FROM ({best_pair_sql(t - 1, 'train')})),
+loss{t} AS MATERIALIZED (SELECT scope, avg(pw * y * ln(1 + exp(-z)) + (1 - y) * ln(1 + exp(z))) AS loss FROM hit{t} GROUP BY scope),
+raw{t} AS MATERIALIZED (SELECT scope, row_id, {adam_sql(t, 'raw')} FROM (
+  SELECT p.scope, p.row_id, raw, m, v, coalesce(g, 0) / n / (1 + exp(-raw)) AS g FROM raw{t - 1} p JOIN size USING (scope)
+  LEFT JOIN (SELECT scope, row_id, sum(e * s) AS g FROM hit{t} GROUP BY scope, row_id) USING (scope, row_id))),
+bias{t} AS MATERIALIZED (SELECT scope, {adam_sql(t, 'bias')} FROM bias{t - 1} JOIN
+  (SELECT scope, sum(e) / any_value(n) AS g FROM hit{t} GROUP BY scope) USING (scope))"""
+
+
+def readout_report_sql(t: int) -> str:
+    scored = f"(SELECT scope, q + bias AS score, y FROM ({best_pair_sql(t, 'val')}))"
+    return (f"SELECT scope, {t} AS epoch, round(loss, 6) AS loss, round(auroc, 6) AS val_auroc FROM loss{t} JOIN "
+            f"({auroc_sql(scored, 'scope')}) USING (scope)")
+
+
+# Quantised training without a projection: 3 bits, 64 components.
+QUANTISED = f"""
+seen AS MATERIALIZED (SELECT unnest(['combined', domain]) AS scope, example_id, y, x, split
+  FROM act JOIN split USING (example_id)),
+size AS MATERIALIZED (SELECT scope, count(*) AS n FROM seen WHERE split = 'train' GROUP BY scope),
+unit AS MATERIALIZED (SELECT row_id, {unit_sql('row')} AS u FROM bank),
+raw0 AS MATERIALIZED (SELECT scope, row_id, 0.0::DOUBLE AS raw, 0.0::DOUBLE AS m, 0.0::DOUBLE AS v FROM size CROSS JOIN (SELECT row_id FROM bank)),
+bias0 AS MATERIALIZED (SELECT scope, 0.0::DOUBLE AS bias, 0.0::DOUBLE AS m, 0.0::DOUBLE AS v FROM size),
+act0 AS MATERIALIZED (SELECT scope, ln(0.03125::DOUBLE) AS act, 0.0::DOUBLE AS m, 0.0::DOUBLE AS v FROM size),
+row0 AS MATERIALIZED (SELECT scope, ln(0.03125::DOUBLE) AS row, 0.0::DOUBLE AS m, 0.0::DOUBLE AS v FROM size)"""
+
+
+def _levels_sql(x: str, scale: str) -> str:
+    return f"list_transform({x}, lambda c: greatest(-4.0, least(3.0, round_even(c / {scale}, 0))))"
+
+
+def _slopes_sql(x: str, scale: str) -> str:
+    level = f"greatest(-4.0, least(3.0, round_even(c / {scale}, 0)))"
+    return (f"list_transform({x}, lambda c: CASE WHEN c / {scale} >= -4 AND c / {scale} <= 3 "
+            f"THEN {level} - c / {scale} ELSE {level} END)")
+
+
+def quantised_pairs_sql(t: int, split: str) -> str:
+    """The winning row of every example with the parameters after step ``t``."""
+    queries = (f"SELECT scope, example_id, y, n, bias, sa, {_levels_sql('x', 'sa')} AS ql, {_slopes_sql('x', 'sa')} AS qs FROM ("
+               f"SELECT *, exp(act) AS sa FROM seen JOIN size USING (scope) JOIN bias{t} USING (scope) "
+               f"JOIN (SELECT scope, act FROM act{t}) USING (scope) WHERE split = '{split}')")
+    rows = (f"SELECT scope, row_id, ln(1 + exp(raw)) AS alpha, sr, {_levels_sql('u', 'sr')} AS rl, {_slopes_sql('u', 'sr')} AS rs FROM ("
+            f"SELECT scope, row_id, raw, u, exp(row) AS sr FROM raw{t} JOIN unit USING (row_id) JOIN (SELECT scope, row FROM row{t}) USING (scope))")
+    pairs = (f"SELECT *, list_dot_product(ql, rl) * (sa * sr) AS s, list_dot_product(ql, rl) * (sa * sr) * alpha + 0.0 AS q "
+             f"FROM ({queries}) JOIN ({rows}) USING (scope)")
+    return best_sql(pairs, "scope, example_id", "q DESC")
+
+
+def quantised_step_sql(t: int) -> str:
+    """CTEs of training step ``t`` of row weights, bias and both quantiser scales."""
+    return f"""
+hit{t} AS MATERIALIZED (SELECT scope, row_id, s, n, alpha, sa, sr, q + bias AS z, y, 1 / (1 + exp(-(q + bias))) - y AS e,
+  list_dot_product(qs, rl) * sr AS by_act, list_dot_product(ql, rs) * sa AS by_row FROM ({quantised_pairs_sql(t - 1, 'train')})),
+loss{t} AS MATERIALIZED (SELECT scope, avg(y * ln(1 + exp(-z)) + (1 - y) * ln(1 + exp(z))) AS loss FROM hit{t} GROUP BY scope),
+raw{t} AS MATERIALIZED (SELECT scope, row_id, {adam_sql(t, 'raw')} FROM (
+  SELECT p.scope, p.row_id, raw, m, v, coalesce(g, 0) / n / (1 + exp(-raw)) AS g FROM raw{t - 1} p JOIN size USING (scope)
+  LEFT JOIN (SELECT scope, row_id, sum(e * s) AS g FROM hit{t} GROUP BY scope, row_id) USING (scope, row_id))),
+sums{t} AS MATERIALIZED (SELECT scope, sum(e) / any_value(n) AS gb,
+  sum(e * alpha * by_act) / any_value(n) / sqrt(least(512, any_value(n)) * 64.0 * 3.0) * any_value(sa) AS ga,
+  sum(e * alpha * by_row) / any_value(n) / sqrt((SELECT count(*) FROM bank) * 64.0 * 3.0) * any_value(sr) AS gr
+  FROM hit{t} GROUP BY scope),
+bias{t} AS MATERIALIZED (SELECT scope, {adam_sql(t, 'bias', 'gb')} FROM bias{t - 1} JOIN sums{t} USING (scope)),
+act{t} AS MATERIALIZED (SELECT scope, {adam_sql(t, 'act', 'ga')} FROM act{t - 1} JOIN sums{t} USING (scope)),
+row{t} AS MATERIALIZED (SELECT scope, {adam_sql(t, 'row', 'gr')} FROM row{t - 1} JOIN sums{t} USING (scope))"""
+
+
+def quantised_report_sql(t: int) -> str:
+    scored = f"(SELECT scope, q + bias AS score, y FROM ({quantised_pairs_sql(t, 'val')}))"
+    return (f"SELECT scope, {t} AS epoch, round(loss, 6) AS loss, round(auroc, 6) AS val_auroc, round(exp(act), 6) AS act_scale, "
+            f"round(exp(row), 6) AS row_scale FROM loss{t} JOIN act{t} USING (scope) JOIN row{t} USING (scope) JOIN "
+            f"({auroc_sql(scored, 'scope')}) USING (scope)")
