@@ -80,6 +80,7 @@ def newton_probes(train: DataFrame, weights: dict[int, tuple[float, float]], wid
     damped, so nearly separable scopes converge too.
     """
     scalers = scalers or {}
+    upper = np.triu_indices(width + 1)
     fits = {s: _Fit(np.zeros(width + 1)) for s in weights}
     size = width + 1
     for _ in range(NEWTON_STEPS):
@@ -98,9 +99,9 @@ def newton_probes(train: DataFrame, weights: dict[int, tuple[float, float]], wid
             loss = float((s * (np.logaddexp(0.0, t) - y * t)).sum())
             gradient = x.T @ (s * (p - y))
             curvature = (x * (s * p * (1.0 - p))[:, None]).T @ x
-            return np.concatenate([[loss], gradient, curvature.ravel()])
+            return np.concatenate([[loss], gradient, curvature[upper]])
 
-        sums = summed(train, kernel, {s: 1 + size + size * size for s in open_fits}, whole)
+        sums = summed(train, kernel, {s: 1 + size + len(upper[0]) for s in open_fits}, whole)
         ridge = np.full(size, alpha)
         ridge[-1] = 0.0
         for s, fit in open_fits.items():
@@ -111,7 +112,9 @@ def newton_probes(train: DataFrame, weights: dict[int, tuple[float, float]], wid
                 fit.done = fit.step < 1e-8
                 continue
             gradient = sums[s][1:1 + size] + ridge * point
-            curvature = sums[s][1 + size:].reshape(size, size) + np.diag(ridge)
+            curvature = np.zeros((size, size))
+            curvature[upper] = sums[s][1 + size:]
+            curvature = curvature + np.triu(curvature, 1).T + np.diag(ridge)
             curvature[-1, -1] += 1e-12
             fit.point, fit.loss, fit.step = point, loss, 1.0
             fit.direction = -np.linalg.solve(curvature, gradient)

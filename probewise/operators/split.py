@@ -120,16 +120,14 @@ def split_examples(rows: DataFrame, settings: SplitSettings = SplitSettings()) -
     return split_rule(rows, settings).tag(rows, F.col("stratum")).select("example_id", "split")
 
 
-def has_one_label_per_example(acts: DataFrame) -> bool:
-    pair = F.struct("domain", "y")
-    return acts.groupBy("example_id").agg(F.min(pair).alias("a"), F.max(pair).alias("b")).filter(
-        F.col("a") != F.col("b")).isEmpty()
-
-
 def one_row_per_example(acts: DataFrame) -> DataFrame:
-    """One (domain, y) per example id; the smallest pair stands for repeated ids."""
-    return acts.groupBy("example_id").agg(F.min(F.struct("domain", "y")).alias("_r")).select(
-        "example_id", "_r.domain", "_r.y")
+    """(example_id, domain, y, conflict): the smallest (domain, y) stands for a repeated id.
+
+    ``conflict`` marks ids that come with more than one pair.
+    """
+    pair = F.struct("domain", "y")
+    return acts.groupBy("example_id").agg(F.min(pair).alias("_r"), F.max(pair).alias("_s")).select(
+        "example_id", "_r.domain", "_r.y", (F.col("_r") != F.col("_s")).alias("conflict"))
 
 
 def shared_split(acts: DataFrame, settings: SplitSettings = SplitSettings()) -> DataFrame:

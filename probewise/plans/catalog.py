@@ -486,6 +486,25 @@ def claim_sample(spark, sf_dir):
         "doc_id", F.md5("assistant_text").alias("text_md5"), "label")
 
 
+@query(f"""WITH {fx.DOCS}, f AS (SELECT unnest(['csv', 'jsonl', 'parquet']) AS format)
+SELECT format, doc_id, lang AS domain, md5('Please tell me a fact.') AS prompt_md5, md5(text) AS text_md5,
+  CAST(toxic AS INT) AS label FROM docs CROSS JOIN f""")
+def table_formats(spark, sf_dir):
+    import uuid
+    from functools import reduce
+    from probewise.sources.tables import read_table
+    raw = fx.labelled_documents(spark, sf_dir).select("doc_id", "text", F.col("toxic").alias("label"), "lang")
+    folder = f"{shared_folder(spark)}/formats-{uuid.uuid4().hex}"
+    raw.write.option("header", True).option("escape", '"').csv(f"{folder}/docs.csv")
+    raw.write.json(f"{folder}/docs.jsonl")
+    raw.write.parquet(f"{folder}/docs.parquet")
+    parts = []
+    for suffix in ("csv", "jsonl", "parquet"):
+        rows = normalize(read_table(spark, f"{folder}/docs.{suffix}"), F.col("lang"), "documents", (), ("doc_id",))
+        parts.append(rows.select(F.lit(suffix).alias("format"), F.col("doc_id").cast("long").alias("doc_id"), *_example_columns()))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 # --- spans, pooling and the activation table ------------------------------------------------
 
 @query(f"""WITH {fx.CHAT}, t AS (SELECT conv_id, string_split('user ' || coalesce(user_prompt, ''), ' ') AS prefix,
@@ -543,6 +562,16 @@ def cache_inspect(spark, sf_dir):
     return stores.inspect(fx.activations(spark, sf_dir))
 
 
+@query(f"WITH {fx.ACT} SELECT domain, y, count(*) AS n, round(sum(x[1]), 4) AS first_sum FROM act GROUP BY ALL")
+def store_round_trip(spark, sf_dir):
+    import uuid
+    path = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    acts = fx.activations(spark, sf_dir).drop("label")
+    stored = stores.stored_or_made(spark, path, lambda: acts)
+    return stored.groupBy("domain", "y").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum(F.get("x", F.lit(0)).cast("double")), 4).alias("first_sum"))
+
+
 # --- projected, Euclidean and matrix scorers ----------------------------------------------------
 
 _PROJECTED = f"""WITH {fx.ACT}, {fx.BANK}, unit AS (SELECT row_id, {fx.unit_sql('row')} AS u FROM bank),
@@ -689,6 +718,20 @@ def domain_order(spark, sf_dir):
     return scopes.domain_order(fx.activations(spark, sf_dir), ("d3", "d1"))
 
 
+@query(f"WITH {fx.ACT}, {fx.BANK} SELECT scope, CAST(count(*) AS INT) AS n_rows FROM "
+       "(SELECT unnest(['combined', scope]) AS scope FROM bank) GROUP BY scope")
+def scope_list(spark, sf_dir):
+    bank = fx.mean_difference_bank(fx.activations(spark, sf_dir)).withColumnRenamed("scope", "domain")
+    return scopes.scope_list(scopes.spread_scopes(bank))
+
+
+@query(f"{_SPLIT}, {_SPREAD} SELECT DISTINCT scope, split, example_id FROM spread JOIN split USING (example_id)")
+def artifact_examples(spark, sf_dir):
+    acts = fx.activations(spark, sf_dir)
+    tagged = splits.tag_split(acts, splits.shared_split(acts))
+    return experiment.artifact_examples(tagged, probes.index_scopes(acts).names)
+
+
 def _train_rows(spark, sf_dir) -> DataFrame:
     acts = fx.activations(spark, sf_dir)
     return splits.rows_in_split(acts, splits.shared_split(acts), "train")

@@ -14,7 +14,7 @@ from probewise.operators import curve, probes, split as splits, training
 from probewise.operators.learners import (
     HammingReadout, HashMatrixLearner, Learner, LearnedProjection, ProjectedReadout)
 from probewise.operators.probes import ScopeIndex
-from probewise.operators.scopes import training_table
+from probewise.operators.scopes import scopes_of, training_table
 from probewise.operators.scoring import HammingModel, ProjectedModel
 from probewise.operators.small import local_table
 from probewise.plans.evaluate import cross_scope_metrics, metrics_union, scope_names
@@ -56,7 +56,7 @@ def prepare(means: DataFrame, settings: ExperimentSettings = ExperimentSettings(
     stratum = splits.stratum_key().alias("stratum")
     rule = splits.split_rule(unique.select("example_id", stratum), settings.split)
     split = rule.tag(unique).select("example_id", "split")
-    by_rule = splits.has_one_label_per_example(means)
+    by_rule = unique.filter("conflict").isEmpty()
 
     def tagged(rows: DataFrame) -> DataFrame:
         return rule.tag(rows) if by_rule and rows is means else splits.tag_split(rows, split)
@@ -381,7 +381,7 @@ def hamming_artifacts(prepared: Prepared, results: Results, save_matrices: bool
         "best_val_auroc double, code_length int, hash_matrix array<array<double>>"))
 
 
-def artifact_examples(prepared: Prepared) -> DataFrame:
+def artifact_examples(rows: DataFrame, trained: list[str]) -> DataFrame:
     """Distinct example ids per (scope, split) of the trained scopes."""
-    table = prepared.rows.select("example_id", "split", F.explode(F.array(F.lit(COMBINED), "domain")).alias("scope"))
-    return table.filter(F.col("scope").isin(*prepared.trained)).distinct()
+    table = rows.select("example_id", "split", F.explode(scopes_of()).alias("scope"))
+    return table.filter(F.col("scope").isin(*trained)).distinct()

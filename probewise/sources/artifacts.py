@@ -37,5 +37,5 @@ def _save_shared(prepared: Prepared, results: Results, path: str) -> None:
     prepared.bank.write.partitionBy("scope").parquet(f"{path}/bank")
     results.history.write.partitionBy("scope").parquet(f"{path}/wta_history")
     results.artifact_metrics.write.parquet(f"{path}/wta_metrics")
-    artifact_examples(prepared).write.partitionBy("scope", "split").parquet(f"{path}/examples")
+    artifact_examples(prepared.rows, prepared.trained).write.partitionBy("scope", "split").parquet(f"{path}/examples")
     write_metrics(results.metrics, f"{path}/metrics_csv")

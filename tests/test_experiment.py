@@ -143,3 +143,21 @@ def test_metrics_of_all_families_line_up(spark, prepared):
     both = evaluate.ordered_metrics(evaluate.metrics_union(a, b))
     assert both.count() == a.count() + b.count()
     assert both.filter("method is null").count() == b.count()
+
+
+def test_run_all_trains_three_families_from_one_split(spark, data):
+    settings = replace(SETTINGS, projected=replace(SETTINGS.projected, epochs=1),
+                       hamming=replace(SETTINGS.hamming, epochs=2))
+    means = acts_frame(spark, *data)
+    out = experiment.run_all(means, settings)
+    assert set(out) == {"projected", "hamming_weighted", "hamming_unweighted"}
+    sizes = {name: r.metrics.filter("split = 'test' and train_scope = 'combined'").first()["n"] for name, r in out.items()}
+    assert set(sizes.values()) == {48}
+
+
+def test_conflicting_labels_fall_back_to_the_joined_split(spark, data):
+    means = acts_frame(spark, *data)
+    both = means.unionByName(means.filter("example_id < 5").withColumn("y", 1 - F.col("y")))
+    ready = experiment.prepare(both, SETTINGS)
+    assert ready.rows.groupBy("example_id").agg(F.count_distinct("split").alias("n")).filter("n > 1").isEmpty()
+    assert ready.rows.count() == 245

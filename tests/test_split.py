@@ -63,8 +63,9 @@ def test_repeated_ids_count_once(spark):
     acts = alternating(spark, 40)
     doubled = acts.unionByName(acts)
     assert split.shared_split(doubled).count() == 40
-    assert split.has_one_label_per_example(doubled)
-    assert not split.has_one_label_per_example(acts.unionByName(acts.withColumn("y", 1 - F.col("y"))))
+    assert split.one_row_per_example(doubled).filter("conflict").isEmpty()
+    mixed = split.one_row_per_example(acts.unionByName(acts.withColumn("y", 1 - F.col("y"))))
+    assert mixed.filter("conflict and y = 0").count() == 40
 
 
 def test_no_stratum_is_sorted_whole(spark):
