@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql.functions import arrow_udf
 
-MAX_BANK_BYTES = 256 << 20
+MAX_BANK_ROWS = 4096
 
 
 def as_matrix(column: pa.Array, dtype=np.float64) -> np.ndarray:
@@ -35,12 +35,17 @@ def as_list_column(matrix: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(matrix).ravel()))
 
 
+def bounded_rows(bank: DataFrame) -> list:
+    """Collect a bank of at most ``MAX_BANK_ROWS`` rows; a larger one is an error."""
+    rows = bank.limit(MAX_BANK_ROWS + 1).collect()
+    if len(rows) > MAX_BANK_ROWS:
+        raise ValueError(f"a bank of more than {MAX_BANK_ROWS} rows is too large to ship to every task")
+    return rows
+
+
 def bounded_bank(bank: DataFrame, order: str = "row_id", column: str = "row") -> np.ndarray:
-    """Collect a bank after checking its size."""
-    head = bank.selectExpr(f"count(1) AS n", f"coalesce(sum(size({column})), 0) AS v").first()
-    if head["v"] * 8 > MAX_BANK_BYTES:
-        raise ValueError(f"bank of {head['n']} rows is too large to ship to every task")
-    rows = bank.select(order, column).orderBy(order).collect()
+    """Bank rows as a matrix, in the order of ``order``."""
+    rows = sorted(bounded_rows(bank.select(order, column)), key=lambda r: r[order])
     return np.array([r[column] for r in rows], dtype=np.float64)
 
 

@@ -61,16 +61,17 @@ def normalize(df: DataFrame, domain: str | Column, source_path: str | Column,
         return F.struct(user_prompt.alias("user_prompt"), text.alias("assistant_text"),
                         y.cast("int").alias("label"))
 
-    single = F.array(example(prompt, answer, label_rule(cells)))
+    single = example(prompt, answer, label_rule(cells))
     claim, negated = cells["Claim"], cells["Negated Claim"]
     if claim is not None and negated is not None:
         def spelled(c: Column) -> Column:
             return F.coalesce(c["text"], F.lit("nan"))
         pair = F.array(example(F.lit(CLAIM_PAIR_PROMPT), spelled(claim), F.lit(0)),
                        example(F.lit(CLAIM_PAIR_PROMPT), spelled(negated), F.lit(1)))
-        single = F.when(claim.isNotNull() & negated.isNotNull(), pair).otherwise(single)
+        paired = claim.isNotNull() & negated.isNotNull()
+        single = F.explode(F.when(paired, pair).otherwise(F.array(single)))
     rows = cells.df.select(
-        *keep, domain.alias("domain"), source_path.alias("source_path"), F.explode(single).alias("_e"))
+        *keep, domain.alias("domain"), source_path.alias("source_path"), single.alias("_e"))
     rows = rows.select(*keep, "domain", "_e.user_prompt", "_e.assistant_text", "_e.label", "source_path")
     return rows.filter(F.col("assistant_text").isNotNull() & F.col("label").isin(0, 1))
 

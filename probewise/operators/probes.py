@@ -258,11 +258,9 @@ def _scalers(rows: DataFrame, active, bases) -> dict[int, tuple[np.ndarray, np.n
 
 def bank_matrices(bank: DataFrame) -> dict[str, np.ndarray]:
     """Bank rows by scope, on the driver, after a size check."""
-    width = bank.agg(F.sum(F.size("row")).alias("v")).first()["v"] or 0
-    if width * 8 > kernels.MAX_BANK_BYTES:
-        raise ValueError("bank is too large to collect")
+    rows = kernels.bounded_rows(bank.select("scope", "row_id", "row"))
     out: dict[str, list] = {}
-    for r in bank.select("scope", "row_id", "row").orderBy("scope", "row_id").collect():
+    for r in sorted(rows, key=lambda r: (r["scope"], r["row_id"])):
         out.setdefault(r["scope"], []).append(r["row"])
     return {s: np.array(v, dtype=np.float64) for s, v in out.items()}
 
@@ -271,7 +269,8 @@ def deployment_bank(bank: DataFrame) -> DataFrame:
     """All rows as one bank: combined first, then domains by name, unit length again."""
     matrices = bank_matrices(bank)
     order = sorted(matrices, key=lambda s: (s != COMBINED, s))
-    names = {(r["scope"], r["row_id"]): r["row_name"] for r in bank.select("scope", "row_id", "row_name").collect()}
+    named = kernels.bounded_rows(bank.select("scope", "row_id", "row_name"))
+    names = {(r["scope"], r["row_id"]): r["row_name"] for r in named}
     rows = [(s, i, row) for s in order for i, row in enumerate(kernels.unit_rows(matrices[s]))]
     table = [(GLOBAL_BANK, j, s, names[(s, i)], row.tolist()) for j, (s, i, row) in enumerate(rows)]
     return local_table(bank.sparkSession, 

@@ -23,10 +23,12 @@ def _document_layout(df: DataFrame, path: str) -> DataFrame:
             return df.select(F.inline(f"`{key}`"))
     lists = [n for n, kind in fields.items() if isinstance(kind, T.ArrayType)]
     keyed = [n for n in lists if _is_row_list(fields[n])]
-    if lists and not keyed and len(lists) == len(fields):
+    single = [n for n in fields if n not in lists]
+    if lists and not keyed and not any(isinstance(fields[n], (T.StructType, T.MapType)) for n in single):
         sizes = df.select(*[F.size(f"`{n}`").alias(f"c{i}") for i, n in enumerate(lists)]).first()
-        if len(set(sizes)) == 1:
-            return df.select(F.inline(F.arrays_zip(*[F.col(f"`{n}`") for n in lists])))
+        if len(set(sizes)) == 1:  # a single value stands for every row
+            return df.select(*[F.col(f"`{n}`") for n in single],
+                             F.inline(F.arrays_zip(*[F.col(f"`{n}`") for n in lists])))
     if keyed:
         parts = [df.select(F.inline(f"`{n}`")).withColumn("_split_or_key", F.lit(n)) for n in keyed]
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

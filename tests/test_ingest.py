@@ -101,6 +101,7 @@ ROWS = [{"text": "a", "label": 0}, {"text": "b", "label": 1}]
 @pytest.mark.parametrize("name,content", [
     ("list.json", ROWS), ("data.json", {"data": ROWS, "train": []}), ("records.json", {"info": 1, "records": ROWS}),
     ("columns.json", {"text": ["a", "b"], "label": [0, 1]}),
+    ("single.json", {"source": "s", "text": ["a", "b"], "label": [0, 1]}),
 ])
 def test_json_layouts(spark, tmp_path, name, content):
     path = tmp_path / name
