@@ -213,6 +213,15 @@ def split_coverage(spark, sf_dir):
                      F.sum("g").alias("n_gaps"))
 
 
+@query(f"WITH {fx.ACT}, twice AS (SELECT example_id, domain, y FROM act UNION ALL SELECT example_id, domain, 1 - y FROM act "
+       "WHERE domain = 'd2') SELECT example_id, any_value(domain) AS domain, min(y) AS y, count(DISTINCT y) > 1 AS conflict "
+       "FROM twice GROUP BY example_id")
+def unique_examples(spark, sf_dir):
+    acts = fx.activations(spark, sf_dir).select("example_id", "domain", "y")
+    repeated = acts.filter("domain = 'd2'").withColumn("y", 1 - F.col("y"))
+    return splits.one_row_per_example(acts.unionByName(repeated))
+
+
 # --- thresholds and reports --------------------------------------------------------------
 
 @query(f"{_COSINE} SELECT domain, CAST(unnest(range(0, 201)) AS INT) AS candidate, "
@@ -350,6 +359,18 @@ def same_domain_report(spark, sf_dir):
     return evaluate.same_domain_report(metrics)
 
 
+@query(f"{_HAMMING}, auc AS ({fx.auroc_sql('best', 'domain')}) SELECT domain AS eval_scope, round(auroc, 6) AS auroc, "
+       "'shared_test' AS source_split FROM auc UNION ALL BY NAME SELECT domain AS eval_scope, count(*) AS n, "
+       "'shared_example_split' AS split_source FROM best GROUP BY domain")
+def metrics_union(spark, sf_dir):
+    best = _hamming_best(spark, sf_dir)
+    ranks = _rounded(curve.auroc(curve.count_scores(best, ["domain"]), ["domain"]), "auroc")
+    sizes = best.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
+    return evaluate.metrics_union(
+        ranks.withColumnRenamed("domain", "eval_scope").withColumn("source_split", F.lit("shared_test")),
+        sizes.withColumnRenamed("domain", "eval_scope").withColumn("split_source", F.lit("shared_example_split")))
+
+
 # --- ingest ------------------------------------------------------------------------------
 
 def _example_columns() -> list:
@@ -396,6 +417,17 @@ def label_rules(spark, sf_dir):
     return normalize(raw, "facts", "documents", literal_columns=(), keep=("doc_id",)).select("doc_id", "label")
 
 
+@query(f"WITH {fx.DOCS} SELECT doc_id, lang AS domain, md5('about ' || lang) AS prompt_md5, md5('from ' || source) AS text_md5, "
+       "CAST(CASE WHEN quality = 1 THEN 0 ELSE 1 END AS INT) AS label FROM docs")
+def spelled_dicts(spark, sf_dir):
+    flag = F.when(F.col("quality") == 1, "True").otherwise("False")
+    blob = F.concat(F.lit("{'text': 'from "), "source", F.lit("', 'is_true': "), flag, F.lit(", 'note': None, 'more': {'prompt': 'about "),
+                    "lang", F.lit("', 'text': 'hidden'}}"))
+    raw = fx.labelled_documents(spark, sf_dir).select("doc_id", "lang", blob.alias("blob"))
+    rows = normalize(raw, F.col("lang"), "documents", keep=("doc_id",))
+    return rows.select("doc_id", *_example_columns())
+
+
 @query(f"WITH {fx.DOCS} SELECT doc_id, md5(text) AS text_md5, CAST(toxic AS INT) AS label FROM docs WHERE length(text) > 20")
 def long_string_fallback(spark, sf_dir):
     raw = fx.labelled_documents(spark, sf_dir).select(

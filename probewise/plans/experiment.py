@@ -227,13 +227,11 @@ def _fit(prepared: Prepared, learners: dict[int, Learner], whole, on_vectors: bo
 def _fit_bias_only(prepared: Prepared, banks: dict[int, np.ndarray], cfg) -> tuple[dict, dict]:
     """Unweighted sign models: the few distinct similarities hold all that is needed."""
     scorers = {(s, 0): HammingModel(rows).scores for s, rows in banks.items()}
-    width = next(iter(banks.values())).shape[1]
 
     def counted(name: str) -> dict[int, tuple[np.ndarray, ...]]:
         rows = prepared.rows.filter(F.col("split") == name)
         counts = training.count_model_scores(rows, scorers, True, "x", whole=(0,))
-        # At most width + 1 similarities per scope.
-        assert len(scorers) * (width + 1) < 1 << 22
+        # At most one count per possible similarity and scope: width + 1 of them.
         table = counts.select("model_id", "score", "pos", "neg").toArrow().to_pandas()
         return {s: tuple(g[c].to_numpy() for c in ("score", "pos", "neg")) for s, g in table.groupby("model_id")}
 
