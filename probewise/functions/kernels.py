@@ -53,6 +53,31 @@ def signs(matrix: np.ndarray) -> np.ndarray:
     return np.where(matrix >= 0, 1.0, -1.0)
 
 
+def packed_signs(matrix: np.ndarray) -> np.ndarray:
+    """Sign codes as 64-bit words, one bit per component (set where it is at least zero)."""
+    bits = np.packbits(matrix >= 0, axis=1, bitorder="little")
+    words = np.zeros((len(matrix), -(-matrix.shape[1] // 64) * 8), dtype=np.uint8)
+    words[:, :bits.shape[1]] = bits
+    return words.view("<i8")
+
+
+def differing_bits(words: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """In how many components each row of words differs from one row's words."""
+    return np.bitwise_count((words ^ row).view(np.uint64)).sum(axis=1, dtype=np.int64)
+
+
+def sign_words(x: Column) -> Column:
+    """``packed_signs`` of a vector column: a thirty-second of its size as floats."""
+
+    @arrow_udf("array<long>")
+    def pack(column: pa.Array) -> pa.Array:
+        if not len(column):
+            return pa.array([], pa.list_(pa.int64()))
+        return as_list_column(packed_signs(as_matrix(column, np.float32)))
+
+    return pack(x)
+
+
 def unit_rows(matrix: np.ndarray, eps: float = 1e-8) -> np.ndarray:
     return matrix / (np.linalg.norm(matrix, axis=1, keepdims=True) + eps)
 
@@ -62,7 +87,7 @@ def quantized_steps(matrix: np.ndarray, scale: float, qmin: int, qmax: int) -> n
     return np.clip(np.rint(matrix / scale), qmin, qmax)
 
 
-def _winner(scores: np.ndarray, bias: float) -> pa.Array:
+def winners(scores: np.ndarray, bias: float) -> pa.Array:
     best = scores.argmax(axis=1)
     top = scores[np.arange(len(best)), best] + bias
     return pa.StructArray.from_arrays(
@@ -71,7 +96,7 @@ def _winner(scores: np.ndarray, bias: float) -> pa.Array:
 
 
 def _empty_winner() -> pa.Array:
-    return _winner(np.empty((0, 1)), 0.0)
+    return winners(np.empty((0, 1)), 0.0)
 
 
 def winner_udf(similarity, bias: float = 0.0):
@@ -79,7 +104,7 @@ def winner_udf(similarity, bias: float = 0.0):
 
     @arrow_udf("struct<score double, winner int>")
     def best_row(x: pa.Array) -> pa.Array:
-        return _winner(similarity(as_matrix(x)), bias) if len(x) else _empty_winner()
+        return winners(similarity(as_matrix(x)), bias) if len(x) else _empty_winner()
 
     return best_row
 

@@ -198,6 +198,28 @@ def hamming_scores_in_jvm(rows: DataFrame, model: HammingModel, x: str = "x") ->
     return scored.withColumns({"score": score, "winner": winner}).drop("_code", "_scores")
 
 
+def hamming_scores_packed(rows: DataFrame, model: HammingModel, words: str = "words") -> DataFrame:
+    """``hamming_scores`` from stored sign words, by counting differing bits.
+
+    Codes are packed once (``kernels.sign_words``); any bank without a hash matrix
+    is then scored without reading the vectors again.
+    """
+    if model.matrix is not None:
+        raise ValueError("a hash matrix needs the vectors")
+    width = model.row_codes.shape[1]
+    row_words = kernels.packed_signs(model.row_codes)
+    alphas, bias = model.alphas, model.bias
+
+    @arrow_udf("struct<score double, winner int>")
+    def best(column: pa.Array) -> pa.Array:
+        codes = kernels.as_matrix(column, np.int64) if len(column) else np.empty((0, row_words.shape[1]), np.int64)
+        differing = np.stack([kernels.differing_bits(codes, row) for row in row_words], axis=1)
+        scores = (width - 2.0 * differing) / width * alphas
+        return kernels.winners(scores, bias)
+
+    return _with_winner(rows, best(words))
+
+
 def cosine_scores_in_jvm(rows: DataFrame, bank: np.ndarray, x: str = "x") -> DataFrame:
     """Column form of ``cosine_scores``."""
     unit = vectors.l2_normalize(vectors.as_doubles(F.col(x)))

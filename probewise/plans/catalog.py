@@ -70,6 +70,14 @@ def unweighted_hamming_wta(spark, sf_dir):
     return _hamming_best(spark, sf_dir).select("example_id", "score", "winner")
 
 
+@query(f"{_HAMMING} SELECT example_id, score, CAST(row_id AS INT) AS winner FROM best")
+def packed_hamming_wta(spark, sf_dir):
+    acts = fx.activations(spark, sf_dir)
+    model = scoring.HammingModel(fx.bank_rows(acts))
+    codes = written(acts.select("example_id", kernels.sign_words(F.col("x")).alias("words")), "sign-words")
+    return scoring.hamming_scores_packed(codes, model).select("example_id", "score", "winner")
+
+
 @query(f"{_HAMMING} SELECT domain, round(auroc, 6) AS auroc FROM ({fx.auroc_sql('best', 'domain')})")
 def auroc_by_domain(spark, sf_dir):
     counts = curve.count_scores(_hamming_best(spark, sf_dir), ["domain"])

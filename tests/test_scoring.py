@@ -85,6 +85,20 @@ def test_jvm_and_arrow_forms_agree(spark):
     np.testing.assert_allclose(collected(scoring.cosine_scores(df, bank))[0], want.max(axis=1), atol=1e-9)
 
 
+@pytest.mark.parametrize("width", [5, 64, 130, 700])
+def test_packed_codes_give_the_same_scores(spark, width):
+    rng = np.random.default_rng(width)
+    x, bank = rng.normal(size=(40, width)), rng.normal(size=(3, width))
+    model = scoring.HammingModel(bank, np.array([1.0, 1.25, 0.5]), 0.125)
+    df = frame(spark, x)
+    codes = df.select("example_id", kernels.sign_words(F.col("x")).alias("words"))
+    (s1, w1), (s2, w2) = collected(scoring.hamming_scores(df, model)), collected(scoring.hamming_scores_packed(codes, model))
+    np.testing.assert_allclose(s1, s2, atol=1e-12)
+    np.testing.assert_array_equal(w1, w2)
+    with pytest.raises(ValueError):
+        scoring.hamming_scores_packed(codes, scoring.HammingModel(bank, matrix=np.eye(width)))
+
+
 def test_matrix_hash_uses_both_sides(spark):
     rng = np.random.default_rng(5)
     x, bank, matrix = rng.normal(size=(20, 5)), rng.normal(size=(3, 5)), rng.normal(size=(5, 5))
