@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from probewise.config import DECEPTIVE_WORDS, LABEL_COLUMNS, TRUTH_COLUMNS, TRUTHFUL_WORDS
-from probewise.functions.cells import Cells, strip
+from probewise.functions.cells import CELL, Cells, strip
 
 
 def truthiness(c: Column) -> Column:
@@ -18,25 +18,28 @@ def word_label(text: Column) -> Column:
     return F.when(word.isin(*TRUTHFUL_WORDS), 0).when(word.isin(*DECEPTIVE_WORDS), 1)
 
 
-def label(cells: Cells) -> Column:
+def label_parts(cells: Cells) -> dict[str, Column]:
+    """The three cells the label rule looks at, to be worked out once per row."""
+    nothing = F.lit(None).cast(CELL)
+    fallback = cells["is_true"]
+    return {"_value": cells.first(LABEL_COLUMNS), "_truth": cells.first(TRUTH_COLUMNS),
+            "_is_true": nothing if fallback is None else fallback}
+
+
+def label(value: Column, truth: Column, fallback: Column) -> Column:
     """0 truthful, 1 deceptive, another number as it is, NULL where nothing fits.
 
     A flag (or the texts true and false) is inverted only by a truth column; numbers
     are never inverted; other texts go through the word lists. Where that fails, an
     ``is_true`` value decides.
     """
-    value = cells.first(LABEL_COLUMNS)
     word = F.lower(strip(value["text"]))
     spelled = (value["kind"] == "s") & word.isin("true", "false")
     flag = F.when(value["kind"] == "b", value["number"] != 0).when(spelled, word == "true")
-    truth = cells.first(TRUTH_COLUMNS)
     from_flag = F.when(truth.isNotNull(), F.when(truthiness(truth), 0).otherwise(1)).otherwise(flag.cast("int"))
     inferred = (
         F.when(flag.isNotNull(), from_flag)
         .when(value["kind"] == "n", value["number"].cast("int"))
         .otherwise(word_label(value["text"])))
-    fallback = cells["is_true"]
-    if fallback is None:
-        return inferred
     decided = F.when(fallback["kind"] != "z", F.when(truthiness(fallback), 0).otherwise(1))
     return F.coalesce(inferred, decided)

@@ -10,7 +10,7 @@ from probewise.config import (
     ANSWER_COLUMNS, CLAIM_PAIR_PROMPT, DEFAULT_PROMPT, ETHICAL_PROMPT, ETHICAL_PROMPT_COLUMNS,
     LONG_TEXT_LENGTH, NOT_LONG_TEXT_COLUMNS, PROMPT_COLUMNS)
 from probewise.functions.cells import Cells, dict_columns, strip
-from probewise.functions.labels import label as label_rule
+from probewise.functions.labels import label as label_rule, label_parts
 
 
 def _as_column(value: str | Column) -> Column:
@@ -54,6 +54,9 @@ def normalize(df: DataFrame, domain: str | Column, source_path: str | Column,
         prompt = F.when(answer.isNull() & asked, question).otherwise(prompt)
         answer = F.coalesce(answer, F.when(spoken, said))
     answer = F.coalesce(answer, cells.long_text(LONG_TEXT_LENGTH, NOT_LONG_TEXT_COLUMNS))
+    # Values used several times become columns, so that no rule is worked out twice.
+    source = cells.df.withColumns({"_answer": answer, "_prompt": prompt, **label_parts(cells)})
+    answer, prompt = F.col("_answer"), F.col("_prompt")
     repeated = prompt.isNull() | (strip(prompt) == strip(answer))
     prompt = F.when(repeated, default_prompt(domain, cells)).otherwise(prompt)
 
@@ -61,7 +64,7 @@ def normalize(df: DataFrame, domain: str | Column, source_path: str | Column,
         return F.struct(user_prompt.alias("user_prompt"), text.alias("assistant_text"),
                         y.cast("int").alias("label"))
 
-    single = example(prompt, answer, label_rule(cells))
+    single = example(prompt, answer, label_rule(F.col("_value"), F.col("_truth"), F.col("_is_true")))
     claim, negated = cells["Claim"], cells["Negated Claim"]
     if claim is not None and negated is not None:
         def spelled(c: Column) -> Column:
@@ -70,7 +73,7 @@ def normalize(df: DataFrame, domain: str | Column, source_path: str | Column,
                        example(F.lit(CLAIM_PAIR_PROMPT), spelled(negated), F.lit(1)))
         paired = claim.isNotNull() & negated.isNotNull()
         single = F.explode(F.when(paired, pair).otherwise(F.array(single)))
-    rows = cells.df.select(
+    rows = source.select(
         *keep, domain.alias("domain"), source_path.alias("source_path"), single.alias("_e"))
     rows = rows.select(*keep, "domain", "_e.user_prompt", "_e.assistant_text", "_e.label", "source_path")
     return rows.filter(F.col("assistant_text").isNotNull() & F.col("label").isin(0, 1))
