@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probewise.llm import exact, mixing, sharding
+from probewise.llm import exact, fingerprint, mixing, packing, sharding
 from probewise.llm.shared import table
+from probewise.workspace import ship
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,13 +21,24 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", F.col("row.text_sha256").alias("text_sha256"))
 
 
+def op8_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return packing.packed(table(spark, sf_dir))
+
+
+def op9_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return fingerprint.edited_fingerprints(table(spark, sf_dir))
+
+
 def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir)).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op6_source_mix, op7_exact_dedup, op10_virtual_slots)}
+QUERIES = {f.__name__: f for f in (
+    op6_source_mix, op7_exact_dedup, op8_vector_packing, op9_piecewise_hash, op10_virtual_slots)}
 
 _BLANKS = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 
