@@ -16,8 +16,8 @@ from probewise.llm.shared import whole_text
 from probewise.workspace import written
 
 WINDOW = 7      # code points that decide a boundary
-LONGEST = 64    # chunks of a signature at most
-SMALLEST = 4    # block size
+LONGEST = 64    # characters of a signature at most
+RUN = 3         # equal chunks in a row that a signature shows
 GRAM = 4        # signatures that share no run of so many chunks are unlike
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 _CODES = np.frombuffer(ALPHABET.encode(), dtype=np.uint8)
@@ -53,12 +53,13 @@ def fingerprint(points: np.ndarray) -> str:
     """``block:signature:signature of twice the block`` of the whole text.
 
     A boundary follows each place where the hash of the last seven code points ends in
-    enough one bits, so boundaries of a block size include those of twice that size. The block is
-    the smallest whose boundaries give at most 64 chunks.
+    enough one bits, so boundaries of a block size include those of twice that size. Longer runs
+    of one chunk count as three. The block is the smallest of at least a 128th of the
+    text whose signature has at most 64 characters.
     """
     n = len(points)
     if not n:
-        return f"{SMALLEST}::"
+        return "1::"
     mixed = points * np.uint32(2654435761)
     mixed ^= mixed >> np.uint32(15)
     roll, factor = mixed.copy(), 1
@@ -68,29 +69,34 @@ def fingerprint(points: np.ndarray) -> str:
     roll ^= roll >> np.uint32(16)
     roll *= np.uint32(0x85EBCA6B)
     roll ^= roll >> np.uint32(13)
-    at = np.flatnonzero(roll & np.uint32(SMALLEST - 1) == SMALLEST - 1)
-    at = at[at < n - 1]
-    block, marks = SMALLEST, roll[at]
-    while len(at) >= LONGEST and block < 1 << 31:
-        block *= 2
-        keep = marks & np.uint32(block - 1) == block - 1
-        at, marks = at[keep], marks[keep]
-    if len(at) >= LONGEST:
-        at, marks = at[:0], marks[:0]
     up, down = _POWERS.upto(n)
     sums = np.cumsum(mixed.astype(np.uint64) * up[:n], dtype=np.uint64)
 
-    def signature(cuts: np.ndarray) -> str:
-        ends = np.append(cuts, n - 1)
-        begins = np.concatenate(([0], cuts + 1))
+    def cuts(size: int) -> np.ndarray:
+        ends = roll[:-1] & np.uint32(size - 1) == size - 1
+        return np.flatnonzero(ends) if size < 1 << 31 else np.zeros(0, dtype=np.int64)
+
+    def signature(at: np.ndarray) -> str:
+        ends = np.append(at, n - 1)
+        begins = np.concatenate((np.zeros(1, dtype=np.int64), at + 1))
         before = np.where(begins > 0, sums[begins - 1], np.uint64(0))
         chunk = (sums[ends] - before) * down[begins]
         chunk ^= chunk >> np.uint64(29)
         chunk *= np.uint64(0xBF58476D1CE4E5B9)
-        return _CODES[(chunk >> np.uint64(58)).astype(np.int64)].tobytes().decode()
-
-    twice = at[marks & np.uint32(2 * block - 1) == 2 * block - 1] if block < 1 << 31 else at[:0]
-    return f"{block}:{signature(at)}:{signature(twice)}"
+        shown = (chunk >> np.uint64(58)).astype(np.int64)
+        if len(shown) > RUN:
+            equal = shown[1:] == shown[:-1]
+            run = np.ones(len(shown), dtype=bool)
+            run[RUN:] = ~(equal[RUN - 1:] & equal[RUN - 2:-1] & equal[RUN - 3:-2])
+            shown = shown[run]
+        return _CODES[shown].tobytes().decode()
+
+    block = 1 << max(0, (n // (2 * LONGEST)).bit_length())
+    first = signature(cuts(block))
+    while len(first) > LONGEST:
+        block *= 2
+        first = signature(cuts(block))
+    return f"{block}:{first}:{signature(cuts(2 * block))}"
 
 
 def common_subsequence(a: str, b: str) -> int:
