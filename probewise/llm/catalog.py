@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probewise.llm import exact, fingerprint, mixing, packing, quality, sharding, toxicity
+from probewise.llm import exact, fingerprint, mixing, packing, quality, sharding, substrings, toxicity
 from probewise.llm.shared import table
 from probewise.workspace import ship
 
 
+def op2_anchor_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return substrings.repeats_removed(table(spark, sf_dir))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = table(spark, sf_dir)
@@ -50,11 +55,27 @@ def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_toxicity, op4_quality, op6_source_mix, op7_exact_dedup, op8_vector_packing, op9_piecewise_hash, op10_virtual_slots)}
+    op2_anchor_substrings, op3_toxicity, op4_quality, op6_source_mix, op7_exact_dedup, op8_vector_packing, op9_piecewise_hash, op10_virtual_slots)}
 
 _BLANKS = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 
 SQL = {
+    "op2_anchor_substrings": """
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words WHERE len(w) >= 50)),
+repeated AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS first FROM windows) WHERE first < doc_id),
+covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM repeated),
+kept AS (
+  SELECT k.doc_id, string_agg(k.word, ' ' ORDER BY k.i) AS kept
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM words) k
+  LEFT JOIN covered c ON c.doc_id = k.doc_id AND c.i = k.i WHERE c.i IS NULL GROUP BY k.doc_id),
+gone AS (SELECT doc_id, count(*) AS n FROM covered GROUP BY doc_id)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(g.n, 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM words w LEFT JOIN gone g USING (doc_id) LEFT JOIN kept k USING (doc_id)""",
     "op6_source_mix": """
 WITH docs AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
