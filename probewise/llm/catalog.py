@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probewise.llm import exact, fingerprint, mixing, packing, quality, sharding, substrings, toxicity
+from probewise.llm import exact, fingerprint, mixing, nearcopies, packing, quality, sharding, substrings, toxicity
 from probewise.llm.shared import table
 from probewise.workspace import ship
 
@@ -27,6 +27,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, quality.fitted(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return nearcopies.near_classes(table(spark, sf_dir))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir))
 
@@ -55,7 +60,7 @@ def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_anchor_substrings, op3_toxicity, op4_quality, op6_source_mix, op7_exact_dedup, op8_vector_packing, op9_piecewise_hash, op10_virtual_slots)}
+    op2_anchor_substrings, op3_toxicity, op4_quality, op5_order_minhash, op6_source_mix, op7_exact_dedup, op8_vector_packing, op9_piecewise_hash, op10_virtual_slots)}
 
 _BLANKS = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 
