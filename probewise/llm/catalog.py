@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probewise.llm import exact, fingerprint, mixing, nearcopies, packing, quality, sharding, substrings, toxicity
+from probewise.llm import exact, fingerprint, mixing, nearcopies, packing, personal, quality, sharding, substrings, toxicity
 from probewise.llm.shared import table
 from probewise.workspace import ship
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.personal_spans(table(spark, sf_dir))
+
+
 def op2_anchor_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return substrings.repeats_removed(table(spark, sf_dir))
@@ -60,7 +64,7 @@ def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_anchor_substrings, op3_toxicity, op4_quality, op5_order_minhash, op6_source_mix, op7_exact_dedup, op8_vector_packing, op9_piecewise_hash, op10_virtual_slots)}
+    op1_personal_data, op2_anchor_substrings, op3_toxicity, op4_quality, op5_order_minhash, op6_source_mix, op7_exact_dedup, op8_vector_packing, op9_piecewise_hash, op10_virtual_slots)}
 
 _BLANKS = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 
