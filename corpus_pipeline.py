@@ -1,30 +1,68 @@
-"""A pipeline over ``documents``: each stage works on what the stage before it kept."""
+"""A pipeline over ``documents``: each stage works on all that the stage before it kept.
+
+Without rows, stages pass none on; missing texts count as empty, missing ids stay missing, repeated
+rows are copies of which the second stage keeps one, and columns beyond those of
+``documents`` travel along up to the last stage, whatever their names.
+"""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from probewise.llm import exact, mixing
-from probewise.workspace import shared_folder
+from probewise.llm import exact, mixing, nearcopies, packing, toxicity
+from probewise.llm.shared import table, unpacked
+from probewise.workspace import shared_folder, ship
 
-#: Not expressible in SQL as a whole; tests compare it with a brute-force version.
+#: The classifier has no SQL form; tests compare the stages with brute-force versions.
 ORACLE_SQL = None
 
 
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go."""
+    ship(spark)
+    model = toxicity.fitted(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model, carry=docs.columns).filter("predicted = 0").select(*unpacked(docs.columns))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row stays of texts that are equal without white space."""
-    names = docs.columns
-    kept = exact.exact_groups(docs, carry=names).filter("kept")
-    return kept.select(*[f"row.`{c}`" for c in names])
+    return exact.exact_groups(docs, carry=docs.columns).filter("kept").select(*unpacked(docs.columns))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document stays of each class of near duplicates."""
+    ship(spark)
+    return nearcopies.one_of_each(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes its words, rounded: a row for each time, none for none."""
+    mix = mixing.mixed(docs, carry=docs.columns)
+    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    return mix.withColumn("turn", F.explode(F.array_repeat(F.lit(1), times))).select(*unpacked(docs.columns))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences, as ``op8_vector_packing`` returns them."""
+    ship(spark)
+    return packing.packed(docs)
 
 
-STAGES = [("exact dedup", exact_dedup)]
+STAGES = [
+    ("toxicity", toxicity_filter),
+    ("exact dedup", exact_dedup),
+    ("near dedup", near_dedup),
+    ("source mix", source_mix),
+    ("packing", pack),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages, each written to the shared folder and read again."""
+    docs = table(spark, sf_dir)
     for number, (_, stage) in enumerate(STAGES):
         path = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}-{number}"
         stage(spark, docs, sf_dir).write.parquet(path)

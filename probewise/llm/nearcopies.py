@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probewise.llm import words as w
 from probewise.llm.components import components
-from probewise.llm.shared import sieve, sifted, whole_text
+from probewise.llm.shared import row_of, sieve, sifted, unpacked, whole_text, without
 from probewise.workspace import written
 
 SHINGLE = 5      # words of a k-mer
@@ -142,9 +142,9 @@ def similarity(one: np.ndarray, other: np.ndarray, enough: float = SIMILAR) -> f
     return share(front + back + len(rows) - state.bit_count())
 
 
-def _texts(docs: DataFrame) -> DataFrame:
+def _inner_id() -> Column:
     no_id = F.lit(NO_ID) + F.pmod(F.xxhash64("text"), F.lit(NO_ID))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), no_id).alias("doc_id"), whole_text().alias("text"))
+    return F.coalesce(F.col("doc_id").cast("long"), no_id)
 
 
 def _sequences(texts: DataFrame) -> DataFrame:
@@ -258,31 +258,16 @@ def _verified(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def near_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, class_size, kept for every row of ``docs``.
-
-    Two texts are linked if, of their runs of five words (repeats counted), at least 0.8 of those
-    in either align in the order of both texts; classes are what links connect. ``class_id`` is
-    the smallest doc_id of the class, and that row is ``kept``. Texts with equal words are one
-    from the start, so copies meet no sketch and make no pairs.
-
-    A missing text is empty, and empty texts are equal; texts under five words are linked
-    only to equal ones. A missing id comes after all others, by a hash of the text (its class_id
-    is missing if no member has an id). Rows repeated whole share a class and are kept together, ids
-    being unique otherwise and below 2^62. No rows give none. Other columns are not read.
-    """
-    texts = _texts(docs)
+def _placed(texts: DataFrame) -> DataFrame:
+    """(doc_id, class) for every row of ``texts`` (doc_id never missing, text never missing)."""
     rows = written(_sequences(texts), "near-sequences")
     firsts = written(rows.groupBy("one", "two").agg(F.min("doc_id").alias("first")), "near-firsts")
     copies = written(rows.join(firsts, ["one", "two"]).filter("first < doc_id").select("doc_id").distinct(), "near-copies")
-    words, bits = sieve(copies)
-    marked = sifted(texts, words, bits, [F.col("doc_id")])
-    distinct = marked.filter("not candidate").drop("candidate").unionByName(
-        marked.filter("candidate").drop("candidate").join(copies, "doc_id", "left_anti"))
-
+    distinct = without(texts, copies, "doc_id")
     sketches = written(_sketches(distinct).dropDuplicates(["doc_id"]), "sketches")
     pairs = written(candidate_pairs(sketches), "near-pairs")
-    words, bits = sieve(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    words, bits = sieve(ids)
     wanted = sifted(texts, words, bits, [F.col("doc_id")]).filter("candidate").select("doc_id", "text")
     both = (
         pairs.join(wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b")
@@ -293,9 +278,33 @@ def near_classes(docs: DataFrame) -> DataFrame:
     classes = written(
         firsts.join(roots, F.col("first") == F.col("node"), "left")
         .select("one", "two", F.coalesce("root", "first").alias("class")), "near-classes")
-    placed = written(rows.join(classes, ["one", "two"]).select("doc_id", "class"), "near-rows")
+    return written(rows.join(classes, ["one", "two"]).select("doc_id", "class"), "near-rows")
+
+
+def near_classes(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id, class_size, kept for every row of ``docs``.
+
+    Two texts are linked if, of their runs of five words (repeats counted), at least 0.8 of those
+    in either align in the order of both texts; classes are what links connect. ``class_id`` is
+    the smallest doc_id of the class, and that row is ``kept``. Texts with equal words are one
+    from the start, so copies meet no sketch and make no pairs.
+
+    A missing text is empty, and empty texts are equal; texts under five words are linked
+    only to equal ones. A missing id comes after all others, by a hash of the text (its class_id
+    is missing if no member has an id). Rows repeated whole share a class and are kept together, ids
+    being unique otherwise and below 2^62. No rows give none. Other columns are not read.
+    """
+    placed = _placed(docs.select(_inner_id().alias("doc_id"), whole_text().alias("text")))
     sizes = placed.groupBy("class").agg(F.count("*").alias("class_size"))
     known = F.col("class") < NO_ID
     return placed.join(sizes, "class").select(
         F.when(F.col("doc_id") < NO_ID, F.col("doc_id")).alias("doc_id"), F.when(known, F.col("class")).alias("class_id"),
         "class_size", (F.col("doc_id") == F.col("class")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``near_classes`` does not keep; all columns stay."""
+    keyed = docs.select(row_of(docs.columns).alias("row"), _inner_id().alias("near_id"))
+    placed = _placed(docs.select(_inner_id().alias("doc_id"), whole_text().alias("text")))
+    dropped = placed.filter("doc_id != class").select(F.col("doc_id").alias("near_id")).distinct()
+    return without(keyed, written(dropped, "near-dropped"), "near_id").select(*unpacked(docs.columns))

@@ -26,7 +26,7 @@ def row_of(columns: list[str]) -> Column:
 
 
 def unpacked(columns: list[str]) -> list[Column]:
-    return [F.col("row")[c].alias(c) for c in columns]
+    return [F.col("row").getField(c).alias(c) for c in columns]
 
 
 def _slot(keys: list[Column], bits: int) -> Column:
@@ -61,3 +61,11 @@ def sifted(df: DataFrame, words: DataFrame, bits: int, keys: list[Column]) -> Da
         .withColumn("candidate", F.coalesce(
             F.expr("shiftrightunsigned(sieve_bits, int(sieve_at & 63)) & 1L = 1L"), F.lit(False)))
         .drop("sieve_at", "sieve_word", "sieve_bits"))
+
+
+def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """``df`` whose ``key`` is not in ``ids`` (that one column); only rows that a bitmap cannot clear are shuffled."""
+    words, bits = sieve(ids)
+    marked = sifted(df, words, bits, [F.col(key)])
+    clear, rest = marked.filter("not candidate"), marked.filter("candidate")
+    return clear.drop("candidate").unionByName(rest.drop("candidate").join(ids, key, "left_anti").select(*df.columns))

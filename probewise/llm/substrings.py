@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probewise.llm import words as w
-from probewise.llm.shared import sieve, sifted, whole_text
+from probewise.llm.shared import sieve, sifted, whole_text, without
 from probewise.workspace import written
 
 WINDOW = 50           # words of a passage that counts as repeated
@@ -86,14 +86,6 @@ def _sequences(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, whole string")
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` whose id is not in ``ids``; only rows that a bitmap cannot clear are shuffled."""
-    words, bits = sieve(ids)
-    marked = sifted(docs, words, bits, [F.col("doc_id")])
-    clear, rest = marked.filter("not candidate"), marked.filter("candidate")
-    return clear.drop("candidate").unionByName(rest.drop("candidate").join(ids, "doc_id", "left_anti"))
-
-
 def _with(docs: DataFrame, values: DataFrame) -> DataFrame:
     """Inner join of ``docs`` and ``values`` on doc_id; texts that cannot match stay where they are."""
     words, bits = sieve(values.select("doc_id"))
@@ -233,7 +225,7 @@ def repeats_removed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     firsts = written(long.groupBy("whole").agg(F.min("doc_id").alias("first")), "first-sequences")
     judged = rows.join(firsts, "whole", "left")
     copies = judged.filter("first < doc_id").select("doc_id").distinct()
-    originals = _without(texts, written(copies, "copied-sequences"))
+    originals = without(texts, written(copies, "copied-sequences"), "doc_id")
 
     total = int(long.agg(F.sum("n_words")).first()[0] or 0)
     buckets = total // PER_BUCKET + 1
