@@ -152,7 +152,7 @@ def _sequences(texts: DataFrame) -> DataFrame:
         for batch in batches:
             rows = [_whole(w.words_of(t.as_py())) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])],
+                [batch.column("doc_id"), pa.array([r[0] for r in rows], type=pa.int64()), pa.array([r[1] for r in rows], type=pa.int64())],
                 names=["doc_id", "one", "two"])
 
     def _whole(words: list[str]) -> tuple[int, int]:

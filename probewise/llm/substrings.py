@@ -16,7 +16,7 @@ from probewise.workspace import written
 
 WINDOW = 50           # words of a passage that counts as repeated
 PER_BUCKET = 1 << 20  # hashes that one bucket gathers on average
-PER_ROW = 1 << 20     # words that a task packs into one row per bucket
+PER_ROW = 1 << 19     # words that a task packs into one row per bucket
 LAST = (1 << 63) - 1
 NO_ID = 1 << 62       # missing ids are numbered from here by a hash of the text, after all others
 
@@ -78,10 +78,14 @@ def _sequences(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, whole): whole texts as word sequences, by hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [w.words_of(t.as_py()) for t in batch.column("text")]
+            sizes, digests = [], []
+            for text in batch.column("text"):  # one text's words at a time
+                words = w.words_of(text.as_py())
+                sizes.append(len(words))
+                digests.append(_digest(words))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x) for x in words], type=pa.int64()),
-                 pa.array([_digest(x) for x in words])], names=["doc_id", "n_words", "whole"])
+                [batch.column("doc_id"), pa.array(sizes, type=pa.int64()), pa.array(digests, type=pa.string())],
+                names=["doc_id", "n_words", "whole"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, whole string")
 
@@ -199,7 +203,7 @@ def _kept(docs: DataFrame, window: int) -> DataFrame:
                 removed.append(int(gone.sum()))
                 kept.append(_digest([x for x, g in zip(words, gone.tolist()) if not g]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(removed, type=pa.int64()), pa.array(kept)],
+                [batch.column("doc_id"), pa.array(removed, type=pa.int64()), pa.array(kept, type=pa.string())],
                 names=["doc_id", "n_removed", "kept"])
 
     return docs.mapInArrow(run, "doc_id long, n_removed long, kept string")

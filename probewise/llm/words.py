@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 _WORD = re.compile("[^ \t-\r]+")
-_REMEMBERED = 500_000
+_REMEMBERED = 150_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
