@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probewise.llm.shared import row_of, whole_text
+from probewise.llm.shared import row_of, whole_text, with_row
 
 LIMITS = (1024, 64, 1024)  # tokens, segments, loss-bearing tokens of a sequence
 END = 0                    # the id that closes a document
@@ -122,8 +122,6 @@ def packed(docs: DataFrame, limits: tuple[int, int, int] = LIMITS, vocabulary: s
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = (f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
               "loss_tokens long" + (", ids array<int>" if with_ids else ""))
-    if carry:
-        schema += f", row {source.schema['row'].dataType.simpleString()}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode_to_numpy
@@ -162,7 +160,7 @@ def packed(docs: DataFrame, limits: tuple[int, int, int] = LIMITS, vocabulary: s
             packer.pack()
             yield from rows(fields)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, with_row(schema, source))
 
 
 def _arrow_fields(given: pa.Schema, with_ids: bool) -> pa.Schema:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: ASCII white space, as the contracts of the queries count it.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -25,6 +26,12 @@ def row_of(columns: list[str]) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in columns]) if columns else F.struct(F.lit(0).alias("none"))
 
 
+def with_row(schema: str, source: DataFrame) -> StructType:
+    """``schema`` with the field ``row`` of ``source`` at its end, if there is one."""
+    fields = StructType.fromDDL(schema)
+    return fields.add(source.schema["row"]) if "row" in source.columns else fields
+
+
 def unpacked(columns: list[str]) -> list[Column]:
     return [F.col("row").getField(c).alias(c) for c in columns]
 

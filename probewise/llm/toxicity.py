@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probewise.llm.labelled import MOST_LABELS, remainder, sample
-from probewise.llm.shared import row_of, whole_text
+from probewise.llm.shared import row_of, whole_text, with_row
 from probewise.workspace import written
 
 FOLDS = 3            # rows whose remainder is 1 are held out
@@ -293,7 +293,6 @@ def scored(docs: DataFrame, model: ToxicModel, carry: list[str] = ()) -> DataFra
     schema = f"doc_id {kind}, held_out boolean, score double, predicted int"
     names = ["doc_id", "held_out", "score", "predicted"]
     if carry:
-        schema += f", row {source.schema['row'].dataType.simpleString()}"
         names.append("row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,4 +303,4 @@ def scored(docs: DataFrame, model: ToxicModel, carry: list[str] = ()) -> DataFra
                        pa.array((score >= THRESHOLD).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns + ([batch.column("row")] if carry else []), names=names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, with_row(schema, source))
