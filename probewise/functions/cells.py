@@ -52,17 +52,20 @@ def cell(value: Column, kind: T.DataType) -> Column:
     return F.when(value.isNotNull(), made).otherwise(_empty())
 
 
-def literal_cells(text: Column) -> Column:
-    """Cells of a text that spells a Python dictionary, nested ones included; else NULL."""
+def literal_cells(text: Column, depth: int = DEPTH) -> Column:
+    """Cells of a text that spells a Python dictionary, those ``depth`` levels down included; else NULL.
+
+    Of a list ``messages`` the first content by role stands under ``messages/role``.
+    """
 
     @pandas_udf(f"array<struct<name: string, cell: {CELL}>>")
     def parse(texts: pd.Series) -> pd.Series:
-        return texts.map(_literal_cells)
+        return texts.map(lambda t: _literal_cells(t, depth))
 
     return parse(text)
 
 
-def _literal_cells(text: str | None):
+def _literal_cells(text: str | None, depth: int):
     try:
         value = ast.literal_eval(text) if text is not None else None
     except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
@@ -71,7 +74,7 @@ def _literal_cells(text: str | None):
         return None
     flat: dict = {}
     level = [value]
-    for _ in range(DEPTH):
+    for _ in range(depth):
         below = []
         for d in level:
             for name, v in d.items():
@@ -84,7 +87,12 @@ def _literal_cells(text: str | None):
                 if isinstance(v, dict):
                     below.append(v)
         level = below
-    return [{"name": name, "cell": _python_cell(v)} for name, v in flat.items()]
+    found = [{"name": name, "cell": _python_cell(v)} for name, v in flat.items()]
+    spoken: dict = {}
+    for m in flat["messages"] if isinstance(flat.get("messages"), (list, tuple)) else ():
+        if isinstance(m, dict):
+            spoken.setdefault(f"messages/{m.get('role')}", m.get("content"))
+    return found + [{"name": name, "cell": _python_cell(v)} for name, v in spoken.items()]
 
 
 def _python_cell(v) -> dict:
@@ -106,36 +114,55 @@ def looks_like_dict(text: Column) -> Column:
     return bare.startswith("{") & bare.endswith("}")
 
 
-def dict_columns(df: DataFrame) -> list[str]:
-    """Text columns in which some value is written like a dictionary (one pass)."""
-    names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    if not names:
+Path = tuple[str, ...]
+
+
+def _at(path: Path) -> Column:
+    value = F.col(f"`{path[0]}`")
+    for name in path[1:]:
+        value = value.getField(name)
+    return value
+
+
+def _text_paths(kind: T.StructType, depth: int = DEPTH, above: Path = ()) -> list[Path]:
+    """Text columns, and text fields of structs ``depth`` levels down."""
+    out = [(*above, f.name) for f in kind.fields if isinstance(f.dataType, T.StringType)]
+    for f in kind.fields:
+        if depth > 1 and isinstance(f.dataType, T.StructType):
+            out += _text_paths(f.dataType, depth - 1, (*above, f.name))
+    return out
+
+
+def dict_columns(df: DataFrame) -> list[Path]:
+    """Text columns and fields in which some value is written like a dictionary (one pass)."""
+    paths = _text_paths(df.schema)
+    if not paths:
         return []
-    found = df.agg(*[F.coalesce(F.bool_or(looks_like_dict(F.col(f"`{n}`"))), F.lit(False)).alias(f"c{i}")
-                     for i, n in enumerate(names)]).first()
-    return [n for i, n in enumerate(names) if found[f"c{i}"]]
+    found = df.agg(*[F.coalesce(F.bool_or(looks_like_dict(_at(path))), F.lit(False)).alias(f"c{i}")
+                     for i, path in enumerate(paths)]).first()
+    return [path for i, path in enumerate(paths) if found[f"c{i}"]]
 
 
 class Cells:
     """Looks names up in a frame: own columns first, then fields of nested values.
 
     Fields only fill names the row does not have; the first nested value that holds
-    a name wins.
+    a name wins. ``literal_columns`` are columns, or paths of fields, whose text may spell a dictionary.
     """
 
-    def __init__(self, df: DataFrame, literal_columns: Sequence[str] = ()):
+    def __init__(self, df: DataFrame, literal_columns: Sequence[str | Path] = ()):
         self.top = {f.name: f.dataType for f in df.schema.fields}
-        self.literal_columns = [c for c in literal_columns if c in self.top]
-        for i, name in enumerate(self.literal_columns):
-            text = F.when(looks_like_dict(F.col(f"`{name}`")), F.col(f"`{name}`"))
-            df = df.withColumn(f"_literal{i}", literal_cells(text))
+        paths = [(c,) if isinstance(c, str) else tuple(c) for c in literal_columns]
+        self.spelled = {path: f"_literal{i}" for i, path in enumerate(p for p in paths if p[0] in self.top)}
+        for path, name in self.spelled.items():
+            text = F.when(looks_like_dict(_at(path)), _at(path))
+            df = df.withColumn(name, literal_cells(text, DEPTH + 1 - len(path)))
         self.df = df
         self.nested: list[tuple[str, Column, T.DataType, Column]] = []
-        self.literals: list[tuple[str, Column]] = []
         for name, kind in self.top.items():
             self._walk(F.col(f"`{name}`"), kind, DEPTH)
-            if name in self.literal_columns:
-                self.literals.append((name, F.col(f"_literal{self.literal_columns.index(name)}")))
+        order = list(self.top)
+        self.literals = [F.col(self.spelled[p]) for p in sorted(self.spelled, key=lambda p: (len(p), order.index(p[0])))]
 
     def _walk(self, value: Column, kind: T.DataType, depth: int) -> None:
         if depth == 0 or not isinstance(kind, T.StructType):
@@ -145,13 +172,28 @@ class Cells:
         for field in kind.fields:
             self._walk(value.getField(field.name), field.dataType, depth - 1)
 
+    def is_numeric(self, name: str) -> bool:
+        """Whether a name is a column of numbers."""
+        return isinstance(self.top.get(name), T.NumericType)
+
+    def messages(self) -> Column | None:
+        """The chat messages of a row: a column of that name, or else a field of a nested value."""
+        def chat(kind: T.DataType) -> bool:
+            return (isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType)
+                    and {"role", "content"} <= set(kind.elementType.fieldNames()))
+
+        if "messages" in self.top:
+            return F.col("messages") if chat(self.top["messages"]) else None
+        found = [value for name, value, kind, _ in self.nested if name == "messages" and chat(kind)]
+        return F.coalesce(*found) if found else None
+
     def __getitem__(self, name: str) -> Column | None:
         """The cell of a name (NULL where the row lacks it), or None if no row has it."""
         if name in self.top:
             return cell(F.col(f"`{name}`"), self.top[name])
         found = [F.when(present, cell(value, kind))
                  for field, value, kind, present in self.nested if field == name]
-        found += [F.get(F.filter(cells, lambda c: c["name"] == name), F.lit(0))["cell"] for _, cells in self.literals]
+        found += [F.get(F.filter(cells, lambda c: c["name"] == name), F.lit(0))["cell"] for cells in self.literals]
         return F.coalesce(*found) if found else None
 
     def first(self, names: Sequence[str]) -> Column:
@@ -165,16 +207,15 @@ class Cells:
         for name, kind in self.top.items():
             if isinstance(kind, T.StringType) and name not in excluded:
                 value = F.col(f"`{name}`")
-                if name in self.literal_columns:
-                    parsed = F.col(f"_literal{self.literal_columns.index(name)}")
-                    value = F.when(parsed.isNull(), value)
+                if (name,) in self.spelled:
+                    value = F.when(F.col(self.spelled[(name,)]).isNull(), value)
                 parts.append(F.when(F.length(value) > longer_than, value))
         seen = set(self.top)
         for name, value, kind, _ in self.nested:
             if isinstance(kind, T.StringType) and name not in excluded and name not in seen:
                 parts.append(F.when(F.length(value) > longer_than, value))
         shut = list(excluded) + list(self.top)
-        for _, cells in self.literals:
+        for cells in self.literals:
             long = F.filter(cells, lambda c: (c["cell"]["kind"] == "s") & (
                 F.length(c["cell"]["text"]) > longer_than) & ~c["name"].isin(*shut))
             parts.append(F.get(long, F.lit(0))["cell"]["text"])

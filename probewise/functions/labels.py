@@ -23,15 +23,26 @@ def label_parts(cells: Cells) -> dict[str, Column]:
     nothing = F.lit(None).cast(CELL)
     fallback = cells["is_true"]
     return {"_value": cells.first(LABEL_COLUMNS), "_truth": cells.first(TRUTH_COLUMNS),
-            "_is_true": nothing if fallback is None else fallback}
+            "_is_true": nothing if fallback is None else _certain(fallback, cells.is_numeric("is_true"))}
+
+
+def _certain(c: Column, numeric: bool) -> Column:
+    """A cell with an empty value made definite: a missing number is NaN, which counts as true; anything else as false."""
+    value = F.lit(float(numeric))
+    return F.when(c["kind"] == "z", F.struct(F.lit("b").alias("kind"), c["text"].alias("text"), value.alias("number"))).otherwise(c)
+
+
+def whole_number(c: Column) -> Column:
+    """The number without its fraction; 2, which is no label, for any too large; NULL for infinite ones."""
+    return F.when(F.abs(c) < 2.0, c.cast("int")).when(F.abs(c) < float("inf"), F.lit(2))
 
 
 def label(value: Column, truth: Column, fallback: Column) -> Column:
-    """0 truthful, 1 deceptive, another number as it is, NULL where nothing fits.
+    """0 truthful, 1 deceptive, 2 for any other number, NULL where nothing fits.
 
     A flag (or the texts true and false) is inverted only by a truth column; numbers
-    are never inverted; other texts go through the word lists. Where that fails, an
-    ``is_true`` value decides.
+    are never inverted; other texts go through the word lists. Where that fails, ``is_true``
+    decides if the row has it, even empty.
     """
     word = F.lower(strip(value["text"]))
     spelled = (value["kind"] == "s") & word.isin("true", "false")
@@ -39,7 +50,7 @@ def label(value: Column, truth: Column, fallback: Column) -> Column:
     from_flag = F.when(truth.isNotNull(), F.when(truthiness(truth), 0).otherwise(1)).otherwise(flag.cast("int"))
     inferred = (
         F.when(flag.isNotNull(), from_flag)
-        .when(value["kind"] == "n", value["number"].cast("int"))
+        .when(value["kind"] == "n", whole_number(value["number"]))
         .otherwise(word_label(value["text"])))
-    decided = F.when(fallback["kind"] != "z", F.when(truthiness(fallback), 0).otherwise(1))
+    decided = F.when(fallback.isNotNull(), F.when(truthiness(fallback), 0).otherwise(1))
     return F.coalesce(inferred, decided)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from probewise.config import (
     ANSWER_COLUMNS, CLAIM_PAIR_PROMPT, DEFAULT_PROMPT, ETHICAL_PROMPT, ETHICAL_PROMPT_COLUMNS,
@@ -28,15 +28,22 @@ def message_text(messages: Column, role: str) -> tuple[Column, Column]:
     return F.coalesce(F.size(of_role) > 0, F.lit(False)), F.get(of_role, F.lit(0))["content"]
 
 
-def _has_messages(cells: Cells) -> bool:
-    kind = cells.top.get("messages")
-    if not isinstance(kind, T.ArrayType) or not isinstance(kind.elementType, T.StructType):
-        return False
-    return {"role", "content"} <= set(kind.elementType.fieldNames())
+def spoken_by(cells: Cells, role: str) -> tuple[Column, Column] | None:
+    """First message of a role in a row's chat, typed or spelled out; None if no row can have one."""
+    typed, spelled = cells.messages(), None if "messages" in cells.top else cells[f"messages/{role}"]
+    parts = [message_text(typed, role)] if typed is not None else []
+    if spelled is not None:
+        parts.append((spelled.isNotNull(), spelled["text"]))
+    if not parts:
+        return None
+    there, said = parts[0]
+    for more, text in parts[1:]:
+        there, said = there | more, F.when(there, said).otherwise(text)
+    return there, said
 
 
 def normalize(df: DataFrame, domain: str | Column, source_path: str | Column,
-              literal_columns: Sequence[str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
+              literal_columns: Sequence[str | tuple[str, ...]] | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Normalised examples of a raw frame; rows without text or label are dropped.
 
     ``literal_columns`` names text columns whose values may spell dictionaries; when
@@ -47,12 +54,11 @@ def normalize(df: DataFrame, domain: str | Column, source_path: str | Column,
     domain, source_path = _as_column(domain), _as_column(source_path)
     answer = cells.first(ANSWER_COLUMNS)["text"]
     prompt = cells.first(PROMPT_COLUMNS)["text"]
-    if _has_messages(cells):
-        messages = F.col("messages")
-        spoken, said = message_text(messages, "assistant")
-        asked, question = message_text(messages, "user")
-        prompt = F.when(answer.isNull() & asked, question).otherwise(prompt)
-        answer = F.coalesce(answer, F.when(spoken, said))
+    replied, asked = spoken_by(cells, "assistant"), spoken_by(cells, "user")
+    if asked is not None:
+        prompt = F.when(answer.isNull() & asked[0], asked[1]).otherwise(prompt)
+    if replied is not None:
+        answer = F.coalesce(answer, F.when(*replied))
     answer = F.coalesce(answer, cells.long_text(LONG_TEXT_LENGTH, NOT_LONG_TEXT_COLUMNS))
     # Values used several times become columns, so that no rule is worked out twice.
     source = cells.df.withColumns({"_answer": answer, "_prompt": prompt, **label_parts(cells)})
@@ -83,7 +89,7 @@ def normalize_or_fail(df: DataFrame, domain: str, source_path: str, **options) -
     """As ``normalize``; a frame without any usable row is an error."""
     out = normalize(df, domain, source_path, **options)
     if out.isEmpty():
-        raise ValueError(f"No usable rows parsed from {source_path}")
+        raise ValueError(f"{source_path} holds no row with both a text and a label")
     return out
 
 

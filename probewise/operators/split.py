@@ -10,10 +10,16 @@ from probewise.operators.small import pin, pinned
 from probewise.workspace import written
 
 SPLITS = ("train", "val", "test")
+MISSING = "None"  # how a missing domain or label is written in a stratum
 
 
 def stratum_key(domain: str = "domain", y: str = "y") -> Column:
-    return F.concat(F.col(domain), F.lit("__label_"), F.col(y).cast("string"))
+    """The stratum of a row; a missing domain or label is a value of its own, so no row is lost."""
+    return F.concat(known(F.col(domain)), F.lit("__label_"), known(F.col(y)))
+
+
+def known(c: Column) -> Column:
+    return F.coalesce(c.cast("string"), F.lit(MISSING))
 
 
 def stratum_quotas(strata: DataFrame, fraction: float) -> DataFrame:
@@ -138,14 +144,14 @@ def shared_split(acts: DataFrame, settings: SplitSettings = SplitSettings()) ->
 
 def fallback_split(acts: DataFrame, settings: SplitSettings = SplitSettings()) -> DataFrame:
     """Split used for one scope when no shared split is given: strata are labels."""
-    rows = one_row_per_example(acts).select("example_id", F.col("y").cast("string").alias("stratum"))
+    rows = one_row_per_example(acts).select("example_id", known(F.col("y")).alias("stratum"))
     return split_examples(written(rows, "split-rows"), settings)
 
 
 def rows_in_split(rows: DataFrame, split: DataFrame, name: str) -> DataFrame:
     """Rows (examples or tokens) whose example belongs to one split."""
     if name not in SPLITS:
-        raise ValueError(f"Unknown split: {name}")
+        raise ValueError(f"{name!r} is none of the splits {SPLITS}")
     return rows.join(split.filter(F.col("split") == name), "example_id", "left_semi")
 
 

@@ -158,6 +158,16 @@ def shared_split(spark, sf_dir):
     return splits.shared_split(fx.activations(spark, sf_dir))
 
 
+_HOLES = ("SELECT example_id, CASE WHEN domain = 'd1' THEN 'None' ELSE domain END || '__label_' || CAST(y AS VARCHAR) "
+          "AS stratum FROM act")
+
+
+@query(f"WITH {fx.ACT}, {fx.split_sql(_HOLES)} SELECT example_id, split FROM split")
+def split_missing_domains(spark, sf_dir):
+    acts = fx.activations(spark, sf_dir)
+    return splits.shared_split(acts.withColumn("domain", F.when(F.col("domain") != "d1", F.col("domain"))))
+
+
 @query(f"WITH {fx.ACT}, {fx.split_sql('SELECT example_id, CAST(y AS VARCHAR) AS stratum FROM act')} "
        "SELECT example_id, split FROM split")
 def fallback_split(spark, sf_dir):
@@ -415,7 +425,7 @@ SELECT * FROM (SELECT doc_id, CAST(CASE
   WHEN verdict IN ('True', 'FALSE') AND is_true IS NOT NULL THEN CASE WHEN is_true THEN 0 ELSE 1 END
   WHEN verdict = 'True' THEN 1 WHEN verdict = 'FALSE' THEN 0
   WHEN verdict = 'Supported ' THEN 0 WHEN verdict = ' Refuted' THEN 1
-  WHEN is_true IS NOT NULL THEN CASE WHEN is_true THEN 0 ELSE 1 END END AS INT) AS label FROM raw) WHERE label IS NOT NULL""")
+  ELSE CASE WHEN is_true THEN 0 ELSE 1 END END AS INT) AS label FROM raw)""")
 def label_rules(spark, sf_dir):
     verdict = (F.when(F.col("toxic") == 1, " Refuted").when(F.col("lang") == "en", "Supported ")
                .when(F.col("lang") == "de", "True").when(F.col("lang") == "fr", "maybe").otherwise("FALSE"))
@@ -425,6 +435,37 @@ def label_rules(spark, sf_dir):
     return normalize(raw, "facts", "documents", literal_columns=(), keep=("doc_id",)).select("doc_id", "label")
 
 
+@query(f"""WITH {fx.DOCS} SELECT doc_id, CAST(CASE WHEN lang = 'en' THEN quality ELSE 0 END AS INT) AS label
+  FROM docs WHERE lang IN ('en', 'de')""")
+def number_labels(spark, sf_dir):
+    number = (F.when(F.col("lang") == "en", F.col("quality").cast("double")).when(F.col("lang") == "es", 3e9)
+              .when(F.col("lang") == "fr", -2.5))
+    raw = fx.labelled_documents(spark, sf_dir).select(
+        "doc_id", "text", number.alias("label"), F.when(F.col("source") == "src1", 0).alias("is_true"))
+    return normalize(raw, "facts", "documents", literal_columns=(), keep=("doc_id",)).select("doc_id", "label")
+
+
+@query(f"""WITH {fx.CHAT} SELECT conv_id, md5(CASE WHEN user_prompt IS NULL OR trim(user_prompt) = trim(assistant_text)
+  THEN 'Please tell me a fact.' ELSE user_prompt END) AS prompt_md5, md5(assistant_text) AS text_md5, CAST(conv_id % 2 AS INT) AS label
+  FROM chat""")
+def chat_messages(spark, sf_dir):
+    turns = fx.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(
+        F.struct("turn", "role", F.col("text").alias("content")))).alias("messages"))
+    raw = turns.select("conv_id", F.struct(F.struct("messages").alias("log")).alias("record"), (F.col("conv_id") % 2).alias("label"))
+    rows = normalize(raw, "chat", "conversations", literal_columns=(), keep=("conv_id",))
+    return rows.select("conv_id", F.md5("user_prompt").alias("prompt_md5"), F.md5("assistant_text").alias("text_md5"), "label")
+
+
+@query(f"WITH {fx.DOCS} SELECT doc_id, lang AS domain, md5('about ' || lang) AS prompt_md5, md5('from ' || source) AS text_md5, "
+       "CAST(CASE WHEN quality = 1 THEN 0 ELSE 1 END AS INT) AS label FROM docs")
+def spelled_in_structs(spark, sf_dir):
+    flag = F.when(F.col("quality") == 1, "True").otherwise("False")
+    chat = F.concat(F.lit("{'messages': [{'role': 'user', 'content': 'about "), "lang",
+                    F.lit("'}, {'role': 'assistant', 'content': 'from "), "source", F.lit("'}], 'is_true': "), flag, F.lit("}"))
+    raw = fx.labelled_documents(spark, sf_dir).select("doc_id", "lang", F.struct(F.struct(chat.alias("raw")).alias("log")).alias("record"))
+    return normalize(raw, F.col("lang"), "documents", keep=("doc_id",)).select("doc_id", *_example_columns())
+
+
 @query(f"WITH {fx.DOCS} SELECT doc_id, lang AS domain, md5('about ' || lang) AS prompt_md5, md5('from ' || source) AS text_md5, "
        "CAST(CASE WHEN quality = 1 THEN 0 ELSE 1 END AS INT) AS label FROM docs")
 def spelled_dicts(spark, sf_dir):

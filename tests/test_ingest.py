@@ -15,6 +15,7 @@ LABELS = [
     ({"label": "maybe"}, None), ({"label": 2}, None), ({"labels": ["lie", "true"]}, 1),
     ({"label": 1.9}, 1), ({"label": True, "truthful": "false"}, 0), ({"labels": [], "target": "wrong"}, 1),
     ({"label": True, "truth": None, "correct": False}, 1), ({"label": "TRUE", "is_true": True}, 0),
+    ({"label": 3e9}, None), ({"label": 3e9, "is_true": True}, None), ({"label": "maybe", "is_true": None}, 1),
     ({"label": " 1 "}, 1), ({"label": "not deceptive"}, 0),
 ]
 
@@ -91,7 +92,7 @@ def test_csv_with_spelled_dict(spark, tmp_path):
 def test_nothing_usable_is_an_error(spark, tmp_path):
     path = tmp_path / "bad.jsonl"
     path.write_text(json.dumps({"text": "a", "label": "maybe"}) + "\n")
-    with pytest.raises(ValueError, match="No usable rows"):
+    with pytest.raises(ValueError, match="no row with both"):
         normalize_or_fail(spark.read.json(str(path)), "facts", str(path))
 
 
@@ -205,3 +206,10 @@ def test_chat_pairs(spark):
         (2, 0, "user", "alone")], "conv_id long, turn long, role string, text string")
     rows = chat_pairs(turns).collect()
     assert [(r["conv_id"], r["user_prompt"], r["assistant_text"]) for r in rows] == [(1, "u", "a")]
+
+
+def test_missing_fallbacks_count_by_their_column(spark):
+    rows = [("an answer", "maybe", None, None)]
+    flag = spark.createDataFrame(rows, "text string, label string, is_true boolean, other int").drop("other")
+    number = spark.createDataFrame(rows, "text string, label string, other boolean, is_true int").drop("other")
+    assert [[r["label"] for r in normalize(df, "facts", "p").collect()] for df in (flag, number)] == [[1], [0]]
