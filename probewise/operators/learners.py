@@ -13,7 +13,7 @@ from copy import deepcopy
 import numpy as np
 import pyarrow as pa
 
-from probewise.config import HammingSettings, ProjectedSettings
+from probewise.config import HammingSettings, Optimiser, ProjectedSettings, Projection
 from probewise.functions.kernels import as_matrix, signs
 from probewise.operators.projection import row_span_projection
 from probewise.operators.scoring import HammingModel, ProjectedModel, qrange
@@ -22,13 +22,13 @@ from probewise.operators.scoring import HammingModel, ProjectedModel, qrange
 class AdamW:
     """Adam with decoupled weight decay over named arrays."""
 
-    def __init__(self, rates: dict[str, tuple[float, float]]):
+    def __init__(self, rates: dict[str, Optimiser]):
         self.rates = rates
         self.state: dict[str, tuple[np.ndarray, np.ndarray, int]] = {}
 
     def update(self, params: dict[str, np.ndarray], gradients: dict[str, np.ndarray]) -> None:
         for name, gradient in gradients.items():
-            lr, decay = self.rates[name]
+            lr, decay = self.rates[name].rate, self.rates[name].decay
             first, second, t = self.state.get(name, (0.0, 0.0, 0))
             first = 0.9 * first + 0.1 * gradient
             second = 0.999 * second + 0.001 * gradient * gradient
@@ -93,7 +93,7 @@ class HammingReadout(Learner):
         self.rows, self.pos_weight = rows, pos_weight
         k = len(rows)
         self.params = {"raw": np.full(k, math.log(math.expm1(1.0))), "bias": np.zeros(1)}
-        self.optimizer = AdamW({n: (settings.lr, settings.weight_decay) for n in self.params})
+        self.optimizer = AdamW({n: settings.readout for n in self.params})
         self.slots = k + 3
 
     @property
@@ -133,11 +133,10 @@ class HashMatrixLearner(HammingReadout):
         self.settings = settings
         d, k = rows.shape[1], len(rows)
         self.params["matrix"] = np.eye(d)
-        self.weighted = settings.weighted_rows
+        self.weighted = settings.weighted
         if not self.weighted:
             del self.params["raw"]
-        self.optimizer = AdamW({n: (settings.lr, settings.weight_decay) for n in self.params}
-                               | {"matrix": (settings.matrix_lr, settings.matrix_weight_decay)})
+        self.optimizer = AdamW({n: settings.readout for n in self.params} | {"matrix": settings.matrix})
         self.parts = [("row", k), ("bias", 1), ("loss", 1), ("n", 1), ("code", d),
                       ("row_code", k * d), ("matrix", d * d), ("balance", d * d)]
         self.slots = sum(size for _, size in self.parts)
@@ -150,7 +149,7 @@ class HashMatrixLearner(HammingReadout):
     def _encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hard codes and the slope of the smooth stand-in."""
         z = x @ self.params["matrix"].T
-        width = self.settings.ste_temperature * np.maximum(np.abs(z).mean(axis=1, keepdims=True), 1e-6)
+        width = self.settings.softness * np.maximum(np.abs(z).mean(axis=1, keepdims=True), 1e-6)
         return signs(z), (1.0 - np.tanh(z / width) ** 2) / width
 
     def batch_sums(self, columns):
@@ -185,14 +184,14 @@ class HashMatrixLearner(HammingReadout):
         _, row_slope = self._encode(self.rows)
         gradient = part["matrix"].reshape(d, d) / n
         gradient += (part["row_code"].reshape(k, d) / n * row_slope).T @ self.rows
-        gradient += self.settings.identity_reg * (2.0 * weight - 2.0 * np.eye(d)) / (d * d)
-        gradient += self.settings.bit_balance_reg * 2.0 / (d * n) * mean_code[:, None] * part["balance"].reshape(d, d)
+        gradient += self.settings.penalties.identity * (2.0 * weight - 2.0 * np.eye(d)) / (d * d)
+        gradient += self.settings.penalties.balance * 2.0 / (d * n) * mean_code[:, None] * part["balance"].reshape(d, d)
         gradients = {"matrix": gradient, "bias": part["bias"] / n}
         if self.weighted:
             gradients["raw"] = part["row"] / n * _sigmoid(self.params["raw"])
         self.optimizer.update(self.params, gradients)
-        return float(part["loss"][0] / n + self.settings.identity_reg * identity
-                     + self.settings.bit_balance_reg * balance)
+        return float(part["loss"][0] / n + self.settings.penalties.identity * identity
+                     + self.settings.penalties.balance * balance)
 
     def report(self):
         return {"identity_penalty": self.penalties[0], "bit_balance_penalty": self.penalties[1]}
@@ -212,44 +211,49 @@ class ProjectedReadout(Learner):
         unit = rows / (np.linalg.norm(rows, axis=1, keepdims=True) + 1e-8)
         self.settings = settings
         projection, self.metadata = None, {"method": "none", "uses_labels": False}
-        if settings.use_projection:
-            projection, self.metadata = self._first_projection(rows, settings)
+        if settings.projection is not None:
+            projection, self.metadata = self._first_projection(rows, settings.projection)
+        quantiser = settings.quantiser
         self.base = ProjectedModel(
-            unit, projection, quantize=settings.quantize, bits=settings.bits, signed=settings.signed,
-            act_scale=settings.initial_scale, row_scale=settings.initial_scale,
-            normalize=settings.normalize_after_projection, eval_mode=settings.eval_mode)
+            unit, projection, quantize=quantiser.on, bits=quantiser.bits, signed=quantiser.signed,
+            act_scale=quantiser.start, row_scale=quantiser.start,
+            normalize=self.normalised, eval_mode=settings.distance)
         k = len(rows)
         self.params = {
             "raw": np.zeros(k), "bias": np.zeros(1),
-            "act": np.array([math.log(max(self.base.act_scale, settings.eps))]),
-            "row": np.array([math.log(max(self.base.row_scale, settings.eps))])}
-        self.optimizer = AdamW({n: (settings.lr, settings.weight_decay) for n in self.params})
+            "act": np.array([math.log(max(self.base.act_scale, quantiser.floor))]),
+            "row": np.array([math.log(max(self.base.row_scale, quantiser.floor))])}
+        self.optimizer = AdamW({n: settings.optimiser for n in self.params})
         self.parts = [("raw", k), ("bias", 1), ("act", 1), ("row", 1), ("loss", 1), ("n", 1)]
         self.slots = sum(size for _, size in self.parts)
         self.learned = False
 
     @staticmethod
-    def _first_projection(rows, settings):
-        if settings.projection_method == "row_subspace":
-            return row_span_projection(rows, settings.projection_dim, settings.seed, settings.rcond,
-                                       settings.pad_orthogonal)
-        raise ValueError(f"Unknown projection method: {settings.projection_method}")
+    def _first_projection(rows, wanted: Projection):
+        if wanted.method != "row_subspace":
+            raise ValueError(f"a projection is row_subspace or learned, not {wanted.method!r}")
+        weight, coverage = row_span_projection(rows, wanted.dim, wanted.seed, wanted.tolerance, wanted.complete)
+        return weight, {"method": wanted.method, "uses_labels": False, **coverage.columns()}
+
+    @property
+    def normalised(self) -> bool:
+        return self.settings.projection is not None and self.settings.projection.normalise
 
     @property
     def quantized(self) -> bool:
-        return self.settings.quantize and self.settings.bits < 32
+        return self.settings.quantiser.on and self.settings.quantiser.bits < 32
 
     def features(self, x: np.ndarray) -> np.ndarray:
         return self.base.project(x)
 
     def _scales(self) -> tuple[float, float]:
-        return tuple(max(float(np.exp(self.params[n][0])), self.settings.eps) for n in ("act", "row"))
+        return tuple(max(float(np.exp(self.params[n][0])), self.settings.quantiser.floor) for n in ("act", "row"))
 
     def _encode(self, z: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Levels, their derivative by the scale, and where the quantiser is not clipped."""
         if not self.quantized:
             return z, np.zeros_like(z), np.ones_like(z)
-        low, high = qrange(self.settings.bits, self.settings.signed)
+        low, high = qrange(self.settings.quantiser.bits, self.settings.quantiser.signed)
         ratio = z / scale
         levels = np.clip(np.rint(ratio), low, high)
         inside = (ratio >= low) & (ratio <= high)
@@ -285,13 +289,13 @@ class ProjectedReadout(Learner):
         n = part["n"][0]
         gradients = {"raw": part["raw"] / n * _sigmoid(self.params["raw"]), "bias": part["bias"] / n}
         if self.quantized:
-            high = max(abs(qrange(self.settings.bits, self.settings.signed)[1]), 1)
+            high = max(abs(qrange(self.settings.quantiser.bits, self.settings.quantiser.signed)[1]), 1)
             rows = self.base.rows
             dim = rows.shape[1] if self.base.projection is None else len(self.base.projection)
             act, row = self._scales()
-            batch = min(self.settings.nominal_batch, n)
+            batch = min(self.settings.schedule.batch, n)
             for name, count, scale in (("act", batch * dim, act), ("row", len(rows) * dim, row)):
-                above = np.exp(self.params[name][0]) > self.settings.eps
+                above = np.exp(self.params[name][0]) > self.settings.quantiser.floor
                 gradients[name] = part[name] / n / math.sqrt(max(count * high, 1)) * scale * above
         return gradients
 
@@ -321,25 +325,25 @@ class LearnedProjection(ProjectedReadout):
         super().__init__(rows, settings)
         p, d = self.base.projection.shape
         self.params["projection"] = self.base.projection
-        self.optimizer.rates["projection"] = (settings.lr, settings.weight_decay)
+        self.optimizer.rates["projection"] = settings.optimiser
         self.parts += [("rows", len(rows) * p), ("projection", p * d)]
         self.slots += len(rows) * p + p * d
         self.learned = True
 
     @staticmethod
-    def _first_projection(rows, settings):
+    def _first_projection(rows, wanted: Projection):
         """Random orthonormal rows."""
-        noise = np.random.default_rng(settings.seed).normal(size=(rows.shape[1], settings.projection_dim))
+        noise = np.random.default_rng(wanted.seed).normal(size=(rows.shape[1], wanted.dim))
         if noise.shape[0] >= noise.shape[1]:
             q, r = np.linalg.qr(noise)
             weight = (q * np.sign(np.diag(r))).T
         else:
             q, r = np.linalg.qr(noise.T)
             weight = q * np.sign(np.diag(r))
-        return weight, {"method": settings.projection_method, "uses_labels": True}
+        return weight, {"method": wanted.method, "uses_labels": True}
 
     def _through_norm(self, raw: np.ndarray, gradient: np.ndarray) -> np.ndarray:
-        if not self.settings.normalize_after_projection:
+        if not self.normalised:
             return gradient
         length = np.maximum(np.linalg.norm(raw, axis=1, keepdims=True), 1e-12)
         unit = raw / length

@@ -1,4 +1,4 @@
-"""Sums of small numeric vectors that every partition contributes to."""
+"""Sums of numeric vectors that every partition contributes to."""
 
 from __future__ import annotations
 
@@ -6,25 +6,39 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from probewise.schemas import PARTIAL_SUMS
 
-MAX_SLOTS = 1 << 21
+BLOCK = 1 << 12     # numbers of a vector that travel as one array
+TOGETHER = 1 << 23  # numbers that one job brings to the driver, unless one scope alone has more
+
+
+def added(vectors: Column) -> Column:
+    """The sum of an array of equally long arrays, place by place."""
+    return F.reduce(F.slice(vectors, 2, F.size(vectors)), F.get(vectors, F.lit(0)),
+                    lambda total, v: F.zip_with(total, v, lambda a, b: a + b))
 
 
 def summed(rows: DataFrame, kernel: Callable[[int, dict[str, pa.Array]], np.ndarray],
            slots: dict[int, int], whole: tuple[int, ...] = ()) -> dict[int, np.ndarray]:
     """Add up ``kernel(scope_id, columns)`` over all batches of each scope in ``slots``.
 
-    Every row also counts for the scopes in ``whole``, besides its own.
-
-    A task adds its own batches first and emits one vector per scope it met; Spark
-    adds those by (scope, slot), and the driver receives scopes x slots numbers.
+    Every row also counts for the scopes in ``whole``, besides its own. A task adds its own
+    batches first and emits each scope's vector in blocks; Spark adds those by (scope, block), and
+    the driver receives the totals. Scopes with many sums take turns, so no number of them is refused.
     """
-    if sum(slots.values()) > MAX_SLOTS:
-        raise ValueError(f"{sum(slots.values())} sums are too many for one step")
+    out, turn, size = {}, {}, 0
+    for scope_id, n in slots.items():
+        if turn and size + n > TOGETHER:
+            out.update(_summed(rows, kernel, turn, whole))
+            turn, size = {}, 0
+        turn[scope_id] = n
+        size += n
+    return {**out, **_summed(rows, kernel, turn, whole)} if turn else out
 
+
+def _summed(rows: DataFrame, kernel, slots: dict[int, int], whole: tuple[int, ...]) -> dict[int, np.ndarray]:
     wanted = set(slots)
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,17 +55,18 @@ def summed(rows: DataFrame, kernel: Callable[[int, dict[str, pa.Array]], np.ndar
                 value = kernel(int(scope_id), columns)
                 totals[scope_id] = totals[scope_id] + value if scope_id in totals else value
         for scope_id, total in totals.items():
-            n = len(total)
-            yield pa.RecordBatch.from_pydict({
-                "scope_id": np.full(n, scope_id, dtype=np.int32),
-                "slot": np.arange(n, dtype=np.int32),
-                "value": total.astype(np.float64)})
-
-    sums = rows.mapInArrow(add_up, PARTIAL_SUMS).groupBy("scope_id", "slot").agg(
-        F.sum("value").alias("value")).toArrow()
+            starts = np.arange(0, len(total) + BLOCK, BLOCK).clip(max=len(total))
+            blocks = len(starts) - 1
+            values = pa.ListArray.from_arrays(
+                pa.array(starts, type=pa.int32()), pa.array(total.astype(np.float64)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(blocks, scope_id, dtype=np.int32)), pa.array(np.arange(blocks, dtype=np.int32)), values],
+                names=["scope_id", "block", "part"])
+
+    sums = rows.mapInArrow(add_up, PARTIAL_SUMS).groupBy("scope_id", "block").agg(
+        F.collect_list("part").alias("parts")).select("scope_id", "block", added(F.col("parts")).alias("total")).toArrow()
     out = {scope_id: np.zeros(n) for scope_id, n in slots.items()}
-    ids, slot, value = (sums.column(c).to_numpy() for c in ("scope_id", "slot", "value"))
-    for scope_id in out:
-        mine = ids == scope_id
-        out[scope_id][slot[mine]] = value[mine]
+    for scope_id, block, total in zip(sums.column(0).to_pylist(), sums.column(1).to_pylist(), sums.column(2)):
+        values = total.values.to_numpy()
+        out[scope_id][block * BLOCK:block * BLOCK + len(values)] = values
     return out

@@ -196,10 +196,10 @@ def _extract(rows: DataFrame, scopes: ScopeIndex, settings: ProbeSettings) -> Da
     weights = {s: (sum(c) / (2.0 * c[0]), sum(c) / (2.0 * c[1])) for s, c in sizes.items() if min(c)}
     bases: dict[int, np.ndarray] = {s: np.empty((0, width)) for s in weights}
     banks: dict[int, list[Probe]] = {s: [] for s in weights}
-    quota = {s: settings.n_single if s else settings.n_combined for s in weights}
-    waves = [{0}, set(weights) - {0}] if settings.remove_combined_first else [set(weights)]
+    quota = {s: settings.directions.single if s else settings.directions.combined for s in weights}
+    waves = [{0}, set(weights) - {0}] if settings.combined_first else [set(weights)]
     for wave in waves:
-        if settings.remove_combined_first and 0 not in wave and banks.get(0):
+        if settings.combined_first and 0 not in wave and banks.get(0):
             first = orthonormal(np.array([p.weights for p in banks[0]]))
             bases.update({s: first for s in wave})
         for k in range(max((quota[s] for s in wave if s in quota), default=0)):
@@ -221,7 +221,7 @@ def _extract(rows: DataFrame, scopes: ScopeIndex, settings: ProbeSettings) -> Da
 
 def _fit_round(rows: DataFrame, active: dict[int, tuple[float, float]], sizes: dict, width: int,
                bases: dict[int, np.ndarray], settings: ProbeSettings) -> dict[int, Probe]:
-    scalers = _scalers(rows, active, bases) if settings.use_scaler else {}
+    scalers = _scalers(rows, active, bases) if settings.standardise else {}
     if width <= NEWTON_WIDTH:
         probes = newton_probes(rows, active, width, settings.alpha, bases, scalers)
     else:

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from probewise.config import Optimiser
 from probewise.functions.kernels import as_list_column, as_matrix
 from probewise.operators import curve
 from probewise.operators.learners import Learner
@@ -95,9 +96,43 @@ class Progress:
     stopped: bool = False
 
 
+def dealt(train: DataFrame) -> DataFrame:
+    """``train`` with ``deal``, a number in [0, 1) that decides a row's batch, in its order inside each partition."""
+    number = F.shiftrightunsigned(F.xxhash64(F.lit("deal"), "example_id"), 11).cast("double") / float(1 << 53)
+    return train.withColumn("deal", number).sortWithinPartitions("deal")
+
+
+def _stretches(train: DataFrame, counts: dict[int, int], b: int, epoch: int) -> tuple[DataFrame, dict[int, tuple | None]]:
+    """Rows that step ``b`` of an epoch may need, and the stretch (low, width) of ``deal`` each scope takes.
+
+    An epoch starts elsewhere on the circle, so batches differ from epoch to epoch. A scope of
+    one batch takes all its rows.
+    """
+    start = epoch * 0.6180339887498949 % 1.0
+    stretches = {s: None if n == 1 else ((start + b / n) % 1.0, 1.0 / n) for s, n in counts.items()}
+    if None in stretches.values():
+        return train, stretches
+    low, high = min(b / n for n in counts.values()), max((b + 1) / n for n in counts.values())
+    return train.filter(_inside(F.col("deal"), (start + low) % 1.0, high - low)), stretches
+
+
+def _inside(deal, low: float, width: float):
+    high = low + width
+    return (deal >= low) & (deal < high) if high <= 1.0 else (deal >= low) | (deal < high - 1.0)
+
+
+def _batch_sums(learner: Learner, columns: dict, stretch: tuple | None) -> np.ndarray:
+    if stretch is None:
+        return learner.batch_sums(columns)
+    mine = np.flatnonzero(_inside(columns["deal"].to_numpy(), *stretch))
+    if not len(mine):
+        return np.zeros(learner.slots)
+    return learner.batch_sums({name: values.take(pa.array(mine)) for name, values in columns.items()})
+
+
 def fit_learners(learners: dict[int, Learner], train: DataFrame, val: DataFrame, epochs: int,
                  eval_every: int = 1, patience: int | None = None, margin: float = 0.0,
-                 batches: int = 1, pending: int = 8, column: str = "v",
+                 steps: dict[int, int] | None = None, pending: int = 8, column: str = "v",
                  whole: tuple[int, ...] = ()) -> dict[int, Progress]:
     """Train all learners together and keep each one's best validation state.
 
@@ -112,21 +147,23 @@ def fit_learners(learners: dict[int, Learner], train: DataFrame, val: DataFrame,
         if not active:
             break
         losses: dict[int, list[float]] = {s: [] for s in active}
-        for b in range(batches):
-            part = train if batches == 1 else train.filter(
-                F.pmod(F.xxhash64(F.col("example_id"), F.lit(epoch)), F.lit(batches)) == b)
-            frozen = {s: learner.frozen() for s, learner in active.items()}
-            sums = summed(part, lambda s, columns: frozen[s].batch_sums(columns),
-                          {s: learner.slots for s, learner in active.items()}, whole)
-            for s, learner in active.items():
+        counts = {s: (steps or {}).get(s, 1) for s in active}
+        for b in range(max(counts.values())):
+            turn = {s: learner for s, learner in active.items() if b < counts[s]}
+            part, stretches = _stretches(train, {s: counts[s] for s in turn}, b, epoch)
+            frozen = train.sparkSession.sparkContext.broadcast({s: learner.frozen() for s, learner in turn.items()})
+            sums = summed(part, lambda s, columns: _batch_sums(frozen.value[s], columns, stretches[s]),
+                          {s: learner.slots for s, learner in turn.items()}, whole)
+            for s, learner in turn.items():
                 if sums[s].any():
                     losses[s].append(learner.step(sums[s]))
+            frozen.destroy()
         last = epoch == epochs - 1
         if (epoch + 1) % eval_every and not last:
             continue
         waiting.append((
             epoch + 1, {s: learner.snapshot() for s, learner in active.items()},
-            {s: {"loss": float(np.mean(losses[s])), **learner.report()} for s, learner in active.items()}))
+            {s: {"loss": float(np.mean(losses[s])) if losses[s] else None, **learner.report()} for s, learner in active.items()}))
         if len(waiting) >= pending or last:
             _replay(waiting, learners, progress, val, patience, margin, column, whole)
             waiting = []
@@ -169,7 +206,7 @@ def final_models(learners: dict[int, Learner], progress: dict[int, Progress]) ->
 
 
 def bias_from_counts(scores: np.ndarray, pos: np.ndarray, neg: np.ndarray, pos_weight: float,
-                     epochs: int, lr: float, decay: float) -> tuple[np.ndarray, np.ndarray]:
+                     epochs: int, optimiser: Optimiser) -> tuple[np.ndarray, np.ndarray]:
     """Bias and loss after each epoch when only the bias is trained.
 
     With fixed row weights the winner never changes, so the few distinct scores
@@ -177,7 +214,7 @@ def bias_from_counts(scores: np.ndarray, pos: np.ndarray, neg: np.ndarray, pos_w
     """
     from probewise.operators.learners import AdamW, _sigmoid, _softplus
 
-    params, optimizer = {"bias": np.zeros(1)}, AdamW({"bias": (lr, decay)})
+    params, optimizer = {"bias": np.zeros(1)}, AdamW({"bias": optimiser})
     n = float(pos.sum() + neg.sum())
     biases, losses = [], []
     for _ in range(epochs):

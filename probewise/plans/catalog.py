@@ -820,28 +820,28 @@ def _train_rows(spark, sf_dir) -> DataFrame:
 
 @query()
 def inlp_bank(spark, sf_dir):
-    bank = probes.extract_banks(_train_rows(spark, sf_dir), ProbeSettings(n_single=2, n_combined=3))
+    bank = probes.extract_banks(_train_rows(spark, sf_dir), ProbeSettings())
     return bank.select("scope", "row_id", "row_name", F.round("bias_from_probe", 4).alias("bias_from_probe"),
                        fx.text_of(F.col("row")).alias("row"))
 
 
 @query()
 def deployment_bank(spark, sf_dir):
-    bank = probes.extract_banks(_train_rows(spark, sf_dir), ProbeSettings(n_single=1, n_combined=2))
+    bank = probes.extract_banks(_train_rows(spark, sf_dir), ProbeSettings())
     return probes.deployment_bank(bank).select("row_id", "source_scope", "row_name", fx.text_of(F.col("row")).alias("row"))
 
 
 # --- training and experiments ---------------------------------------------------------------------
 
-_SMALL = ExperimentSettings(
-    probe=ProbeSettings(n_single=2, n_combined=3),
-    projected=ProjectedSettings(projection_dim=16, epochs=8),
-    hamming=HammingSettings(methods=("sign",), epochs=10))
+_DEFAULTS = ExperimentSettings()
+_SIGN = replace(_DEFAULTS, hamming=replace(_DEFAULTS.hamming, methods=("sign",)))
+_MATRIX = replace(_DEFAULTS, hamming=replace(_DEFAULTS.hamming, methods=("learned_matrix",)))
+_UNWEIGHTED = replace(_SIGN, hamming=replace(_SIGN.hamming, weighted=False))
 _METRICS = ("accuracy", "precision", "recall", "f1", "auroc", "threshold")
 
 
 def _prepared(spark, sf_dir) -> experiment.Prepared:
-    return experiment.prepare(fx.activations(spark, sf_dir).drop("label"), _SMALL)
+    return experiment.prepare(fx.activations(spark, sf_dir).drop("label"), _DEFAULTS)
 
 
 _EPOCHS = 4
@@ -889,27 +889,26 @@ def hamming_readout_training(spark, sf_dir):
 @query(_unrolled(fx.QUANTISED, fx.quantised_step_sql, fx.quantised_report_sql))
 def quantised_readout_training(spark, sf_dir):
     from probewise.operators.learners import ProjectedReadout
-    settings = ProjectedSettings(use_projection=False)
+    settings = ProjectedSettings(projection=None)
     return _readout_history(spark, sf_dir, lambda bank, w: ProjectedReadout(bank, settings))
 
 
 @query()
 def train_projected(spark, sf_dir):
-    results = experiment.run_projected(_prepared(spark, sf_dir), _SMALL)
+    results = experiment.run_projected(_prepared(spark, sf_dir), _DEFAULTS)
     return _rounded(results.history.select("scope", "epoch", "loss", "val_auroc", "act_scale", "row_scale"),
                     "loss", "val_auroc", "act_scale", "row_scale")
 
 
 @query()
 def train_hamming(spark, sf_dir):
-    results = experiment.run_hamming(_prepared(spark, sf_dir), _SMALL)
+    results = experiment.run_hamming(_prepared(spark, sf_dir), _SIGN)
     return _rounded(results.history.select("scope", "epoch", "loss", "val_auroc"), "loss", "val_auroc")
 
 
 @query()
 def train_hash_matrix(spark, sf_dir):
-    settings = replace(_SMALL, hamming=replace(_SMALL.hamming, methods=("learned_matrix",), matrix_epochs=4))
-    results = experiment.run_hamming(_prepared(spark, sf_dir), settings)
+    results = experiment.run_hamming(_prepared(spark, sf_dir), _MATRIX)
     return _rounded(results.history.select(
         "scope", "epoch", "loss", "val_auroc", "identity_penalty", "bit_balance_penalty"),
         "loss", "val_auroc", "bit_balance_penalty")
@@ -917,13 +916,12 @@ def train_hash_matrix(spark, sf_dir):
 
 @query()
 def projected_experiment(spark, sf_dir):
-    return _rounded(experiment.run_projected(_prepared(spark, sf_dir), _SMALL, False).metrics, *_METRICS)
+    return _rounded(experiment.run_projected(_prepared(spark, sf_dir), _DEFAULTS).metrics, *_METRICS)
 
 
 @query()
 def hamming_experiment(spark, sf_dir):
-    settings = replace(_SMALL, hamming=replace(_SMALL.hamming, weighted_rows=False))
-    return _rounded(experiment.run_hamming(_prepared(spark, sf_dir), settings).metrics, *_METRICS)
+    return _rounded(experiment.run_hamming(_prepared(spark, sf_dir), _UNWEIGHTED).metrics, *_METRICS)
 
 
 @query(f"WITH {fx.ACT} SELECT example_id, domain, CAST(label >= 5 AS INT) AS y FROM act")
@@ -957,7 +955,6 @@ def _run_to_end(stream: DataFrame) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-domain AUROC matrix of unweighted sign classifiers over probe banks."""
-    settings = replace(_SMALL, hamming=replace(_SMALL.hamming, weighted_rows=False))
     prepared = _prepared(spark, sf_dir)
-    results = experiment.run_hamming(prepared, settings)
+    results = experiment.run_hamming(prepared, _UNWEIGHTED)
     return evaluate.auroc_matrix(results.metrics, prepared.trained)

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from probewise.config import COMBINED, GLOBAL_BANK, ExperimentSettings
+from probewise.config import COMBINED, GLOBAL_BANK, ExperimentSettings, Schedule
 from probewise.operators import curve, probes, split as splits, training
 from probewise.operators.learners import (
     HammingReadout, HashMatrixLearner, Learner, LearnedProjection, ProjectedReadout)
@@ -166,7 +166,7 @@ def run_projected(prepared: Prepared, settings: ExperimentSettings = ExperimentS
         for name in splits.SPLITS:
             if not sum(prepared.n_train.get((s, name), (0, 0))):
                 raise ValueError(f"Empty split {name} for scope {prepared.scopes.names[s]}")
-    learned = cfg.use_projection and cfg.projection_method in ("learned", "learned_supervised")
+    learned = cfg.projection is not None and cfg.projection.method in ("learned", "learned_supervised")
     kind = LearnedProjection if learned else ProjectedReadout
     names = {s: prepared.scopes.names[s] for s in usable}
     banks = {s: prepared.matrices[names[s]] for s in usable}
@@ -177,8 +177,7 @@ def run_projected(prepared: Prepared, settings: ExperimentSettings = ExperimentS
         banks[global_id] = probes.bank_matrices(prepared.deployment)[GLOBAL_BANK]
         whole = (0, global_id)
     learners = {s: kind(rows, cfg) for s, rows in banks.items()}
-    progress, val = _fit(prepared, learners, whole, learned, epochs=cfg.epochs, pending=50,
-                         batches=cfg.batches_per_epoch)
+    progress, val = _fit(prepared, learners, whole, learned, cfg.schedule, pending=50)
     models = training.final_models(learners, progress)
     checked = _evaluate(prepared, models, val, whole, "projected", "f1")
     for s, model in models.items():
@@ -186,10 +185,10 @@ def run_projected(prepared: Prepared, settings: ExperimentSettings = ExperimentS
     label = F.element_at(F.lit(prepared.scopes.names + [GLOBAL_BANK]), F.col("model_id") + 1)
     common = [
         "n", "precision", "recall", "f1", "accuracy", "auroc", "threshold",
-        F.lit(cfg.eval_mode).alias("eval_distance_mode"), F.lit(cfg.bits).alias("lsq_bit_precision"),
-        F.lit(cfg.projection_dim).alias("projection_dim"),
-        F.lit(cfg.projection_method if cfg.use_projection else "none").alias("projection_method"),
-        F.lit(cfg.normalize_after_projection).alias("normalize_after_projection"),
+        F.lit(cfg.distance).alias("eval_distance_mode"), F.lit(cfg.quantiser.bits).alias("lsq_bit_precision"),
+        F.lit(cfg.projection.dim if cfg.projection else None).cast("int").alias("projection_dim"),
+        F.lit(cfg.projection.method if cfg.projection else "none").alias("projection_method"),
+        F.lit(bool(cfg.projection and cfg.projection.normalise)).alias("normalize_after_projection"),
         _sizes(models, len(prepared.scopes.names) + 1), F.lit(settings.train_on).alias("train_on")]
     own = checked.own.select(
         label.alias("train_scope"), label.alias("eval_scope"), "split", *common,
@@ -204,7 +203,7 @@ def run_projected(prepared: Prepared, settings: ExperimentSettings = ExperimentS
                    {("projected", names[s]): learner for s, learner in learners.items()})
 
 
-def _fit(prepared: Prepared, learners: dict[int, Learner], whole, on_vectors: bool, **options):
+def _fit(prepared: Prepared, learners: dict[int, Learner], whole, on_vectors: bool, plan: Schedule, **options):
     """Derive each scope's training columns once, then loop over them."""
     rows = prepared.rows.filter(F.col("split").isin("train", "val"))
     if on_vectors:
@@ -213,11 +212,17 @@ def _fit(prepared: Prepared, learners: dict[int, Learner], whole, on_vectors: bo
         features = {s: learner.frozen().features for s, learner in learners.items()}
         table = written(training.scope_features(rows, features, whole), "features", by=("split",))
         column, all_rows = "v", ()
-    train = table.filter(F.col("split") == "train").drop("split").persist(StorageLevel.MEMORY_AND_DISK)
+    # Sorted by the number that deals rows to batches, a step reads only its stretch of the cache.
+    train = training.dealt(table.filter(F.col("split") == "train").drop("split")).persist(StorageLevel.MEMORY_AND_DISK)
+    everyone = sum(sum(prepared.n_train.get((s, "train"), (0, 0))) for s in range(1, len(prepared.scopes.names)))
+    steps = {s: max(1, -(-(everyone if s in whole else sum(prepared.n_train.get((s, "train"), (0, 0)))) // plan.batch))
+             for s in learners}
     val = table.filter(F.col("split") == "val").drop("split")
     kept = val.select("*").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        progress = training.fit_learners(learners, train, kept, column=column, whole=all_rows, **options)
+        progress = training.fit_learners(
+            learners, train, kept, plan.epochs, plan.score_every, plan.patience, steps=steps, column=column,
+            whole=all_rows, **options)
     finally:
         train.unpersist()
         kept.unpersist()
@@ -227,6 +232,7 @@ def _fit(prepared: Prepared, learners: dict[int, Learner], whole, on_vectors: bo
 def _fit_bias_only(prepared: Prepared, banks: dict[int, np.ndarray], cfg) -> tuple[dict, dict]:
     """Unweighted sign models: the few distinct similarities hold all that is needed."""
     scorers = {(s, 0): HammingModel(rows).scores for s, rows in banks.items()}
+    plan = cfg.sign_schedule
 
     def counted(name: str) -> dict[int, tuple[np.ndarray, ...]]:
         rows = prepared.rows.filter(F.col("split") == name)
@@ -240,15 +246,15 @@ def _fit_bias_only(prepared: Prepared, banks: dict[int, np.ndarray], cfg) -> tup
     for s, rows in banks.items():
         neg, pos = prepared.n_train[(s, "train")]
         biases, losses = training.bias_from_counts(
-            *train[s], max(neg, 1) / max(pos, 1), cfg.epochs, cfg.lr, cfg.weight_decay)
+            *train[s], max(neg, 1) / max(pos, 1), plan.epochs, cfg.readout)
         score, p, n = val.get(s, (np.zeros(0), np.zeros(0), np.zeros(0)))
         order = np.argsort(score)
         p, n = p[order], n[order]
         pairs = float(p.sum()) * float(n.sum())
         auroc = float((p * (np.cumsum(n) - n / 2.0)).sum() / pairs) if pairs else None
         state = training.Progress()
-        for epoch in range(cfg.epochs):
-            if (epoch + 1) % cfg.eval_every and epoch < cfg.epochs - 1:
+        for epoch in range(plan.epochs):
+            if (epoch + 1) % plan.score_every and epoch < plan.epochs - 1:
                 continue
             state.history.append({"epoch": epoch + 1, "loss": float(losses[epoch]), "val_auroc": auroc,
                                   "identity_penalty": 0.0, "bit_balance_penalty": 0.0})
@@ -257,7 +263,7 @@ def _fit_bias_only(prepared: Prepared, banks: dict[int, np.ndarray], cfg) -> tup
                 state.best_auroc, state.best, state.misses = auroc, model, 0
             else:
                 state.misses += 1
-            if state.misses >= cfg.patience:
+            if state.misses >= plan.patience:
                 break
         models[s] = state.best or model
         progress[s] = state
@@ -275,17 +281,16 @@ def run_hamming(prepared: Prepared, settings: ExperimentSettings = ExperimentSet
     metrics, histories, all_models, all_learners = [], [], {}, {}
     for method in cfg.methods:
         learners: dict[int, Learner] = {}
-        if method == "sign" and not cfg.weighted_rows:
+        if method == "sign" and not cfg.weighted:
             models, progress = _fit_bias_only(prepared, banks, cfg)
             val = _Validation(prepared.rows.filter(F.col("split") == "val"), "x", (0,), {})
         elif method in ("sign", "learned_matrix"):
             matrix = method == "learned_matrix"
+            plan = cfg.matrix_schedule if matrix else cfg.sign_schedule
             kind = HashMatrixLearner if matrix else HammingReadout
             learners = {s: kind(rows, cfg, pos_weight[s]) for s, rows in banks.items()}
             progress, val = _fit(
-                prepared, learners, (0,), matrix, epochs=cfg.matrix_epochs if matrix else cfg.epochs,
-                eval_every=cfg.matrix_eval_every if matrix else cfg.eval_every, patience=cfg.patience,
-                margin=1e-5, batches=cfg.batches_per_epoch, pending=cfg.patience)
+                prepared, learners, (0,), matrix, plan, margin=1e-5, pending=plan.patience or 8)
             models = training.final_models(learners, progress)
         else:
             raise ValueError(method)
@@ -294,7 +299,7 @@ def run_hamming(prepared: Prepared, settings: ExperimentSettings = ExperimentSet
             model.threshold = checked.thresholds[s]
         label = scope_names(prepared.scopes, "model_id")
         common = ["accuracy", "precision", "recall", "f1", "auroc", "threshold", "n",
-                  F.lit(method).alias("method"), F.lit(cfg.weighted_rows).alias("weighted_rows"),
+                  F.lit(method).alias("method"), F.lit(cfg.weighted).alias("weighted_rows"),
                   _sizes(models, len(prepared.scopes.names)), F.lit(settings.train_on).alias("train_on")]
         own = checked.own.select(
             label.alias("train_scope"), label.alias("eval_scope"), "split",
@@ -317,8 +322,8 @@ def run_all(means: DataFrame, settings: ExperimentSettings = ExperimentSettings(
     from dataclasses import replace
 
     prepared = prepare(means, settings, tokens)
-    weighted = replace(settings, hamming=replace(settings.hamming, weighted_rows=True))
-    unweighted = replace(settings, hamming=replace(settings.hamming, weighted_rows=False))
+    weighted = replace(settings, hamming=replace(settings.hamming, weighted=True))
+    unweighted = replace(settings, hamming=replace(settings.hamming, weighted=False))
     return {
         "projected": run_projected(prepared, settings),
         "hamming_weighted": run_hamming(prepared, weighted),

@@ -25,10 +25,8 @@ BANK = T.StructType([
     T.StructField("row", T.ArrayType(T.DoubleType())),
 ])
 
-# One row per (scope, summed parameter) of a partial gradient or count.
-PARTIAL_SUMS = "scope_id int, slot int, value double"
-# Per scored group: how often each distinct score occurs, by class.
-SCORE_COUNTS = "model_id int, snapshot int, domain string, score double, pos long, neg long"
+# One row per task, scope and block of a vector of partial sums.
+PARTIAL_SUMS = "scope_id int, block int, part array<double>"
 
 ALPHA_HISTORY = T.StructType([
     T.StructField("scope", T.StringType()),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
-from functools import reduce
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -30,49 +30,105 @@ def repair_one_class(rows: DataFrame, repair: DataFrame | None, domain: str) ->
     return rows.unionByName(repair.withColumns({"domain": F.lit(domain), "label": F.lit(0)}))
 
 
-def load_domain(spark: SparkSession, root: str, domain: str, cap: int | None = None, seed: int = 0,
-                aliases: Mapping[str, Sequence[str]] = DATASET_ALIASES,
-                files: DataFrame | None = None) -> DataFrame:
-    """The first file of a domain that parses and has both labels."""
-    files = listed_files(spark, root) if files is None else files
-    paths = [r["path"] for r in matching_files(files, domain, aliases).collect()]
-    if not paths:
-        raise FileNotFoundError(f"Could not find a data file for domain={domain!r} under {root}")
-    problem: Exception | None = None
-    for path in paths:
+@dataclass(frozen=True)
+class Verdict:
+    """What became of one candidate file."""
+
+    domain: str
+    path: str
+    usable: bool
+    reason: str
+
+
+VERDICTS = "domain string, path string, usable boolean, reason string"
+
+
+class NoUsableFile(ValueError):
+    """A domain has no file to take; ``verdicts`` says why for each candidate."""
+
+    def __init__(self, domain: str, verdicts: list[Verdict]):
+        reasons = "; ".join(f"{v.path}: {v.reason}" for v in verdicts) or "no file name matches"
+        super().__init__(f"nothing to load for {domain!r} ({reasons})")
+        self.verdicts = verdicts
+
+
+class Domains:
+    """The domains under one folder: lists the files once, judges candidates in order, keeps the verdicts."""
+
+    def __init__(self, spark: SparkSession, root: str, aliases: Mapping[str, Sequence[str]] = DATASET_ALIASES):
+        self.spark, self.aliases = spark, aliases
+        self.files = listed_files(spark, root).persist()
+        self.verdicts: list[Verdict] = []
+
+    def close(self) -> None:
+        self.files.unpersist()
+
+    def candidates(self, domain: str) -> list[str]:
+        return [r["path"] for r in matching_files(self.files, domain, self.aliases).collect()]
+
+    def judged(self, domain: str, path: str) -> tuple[DataFrame | None, Verdict]:
+        """The examples of a file with both labels, repaired where the domain allows it."""
         try:
-            rows = normalize_or_fail(read_table(spark, path), domain, path)
-            if domain in REPAIRED_DOMAINS and not has_both_labels(rows):
-                spare = [r["path"] for r in matching_files(files, REPAIR_SOURCE, aliases).collect()]
-                repair = normalize_or_fail(read_table(spark, spare[0]), domain, spare[0]) if spare else None
-                rows = repair_one_class(rows, repair, domain)
-            if not has_both_labels(rows):
-                continue
-            if cap is not None and rows.count() > cap:
-                rows = balanced_cap(with_example_ids(rows), cap, seed).drop("example_id")
-            return rows
-        except Exception as error:  # the next candidate may still work
-            problem = error
-    raise RuntimeError(f"Found candidate files for {domain}, but none parsed successfully. Last error: {problem}")
-
-
-def load_domains(spark: SparkSession, root: str, domains: Iterable[str], cap: int | None = None,
-                 seed: int = 0, aliases: Mapping[str, Sequence[str]] = DATASET_ALIASES,
-                 flipped: Sequence[str] = FLIPPED_DOMAINS) -> tuple[DataFrame, list[str]]:
-    """All domains that load, with label fixes, and the names of those that do not."""
-    files = listed_files(spark, root).persist()
-    parts, missing = [], []
-    for domain in domains:
+            rows = normalize_or_fail(read_table(self.spark, path), domain, path)
+            complete = has_both_labels(rows)
+            if not complete and domain in REPAIRED_DOMAINS and (spare := self.candidates(REPAIR_SOURCE)):
+                rows = repair_one_class(rows, normalize_or_fail(read_table(self.spark, spare[0]), domain, spare[0]), domain)
+                complete = has_both_labels(rows)
+        except Exception as error:  # one unreadable file must not hide the others
+            return None, Verdict(domain, path, False, f"{type(error).__name__}: {error}".splitlines()[0])
+        if not complete:
+            return None, Verdict(domain, path, False, "all rows have the same label")
+        return rows, Verdict(domain, path, True, "taken")
+
+    def first_usable(self, domain: str) -> DataFrame:
+        seen: list[Verdict] = []
+        for path in self.candidates(domain):
+            rows, verdict = self.judged(domain, path)
+            seen.append(verdict)
+            if rows is not None:
+                self.verdicts += seen
+                return rows
+        self.verdicts += seen
+        raise NoUsableFile(domain, seen)
+
+    def report(self) -> DataFrame:
+        """(domain, path, usable, reason) of every file looked at."""
+        return local_table(self.spark, [(v.domain, v.path, v.usable, v.reason) for v in self.verdicts], VERDICTS)
+
+
+def capped(rows: DataFrame, cap: int | None, seed: int) -> DataFrame:
+    """``rows``, or half of ``cap`` of each label where there are more rows than ``cap``."""
+    if cap is None or rows.count() <= cap:
+        return rows
+    return balanced_cap(with_example_ids(rows), cap, seed).drop("example_id")
+
+
+def load_domain(spark: SparkSession, root: str, domain: str, cap: int | None = None, seed: int = 0,
+                aliases: Mapping[str, Sequence[str]] = DATASET_ALIASES) -> DataFrame:
+    """The first file of a domain that can be read and has both labels."""
+    domains = Domains(spark, root, aliases)
+    try:
+        return capped(domains.first_usable(domain), cap, seed)
+    finally:
+        domains.close()
+
+
+def load_domains(spark: SparkSession, root: str, names: Iterable[str], cap: int | None = None, seed: int = 0,
+                 aliases: Mapping[str, Sequence[str]] = DATASET_ALIASES,
+                 flipped: Sequence[str] = FLIPPED_DOMAINS) -> tuple[DataFrame, DataFrame]:
+    """All domains that load, with label fixes, and the verdicts on all files.
+
+    A name without a candidate file has one verdict with an empty path.
+    """
+    domains, found = Domains(spark, root, aliases), local_table(spark, [], EXAMPLES)
+    for name in names:
         try:
-            parts.append(load_domain(spark, root, domain, cap, seed, aliases, files))
-        except Exception as error:
-            print(f"WARNING: failed to load {domain}: {error}")
-            missing.append(domain)
-    files.unpersist()
-    if not parts:
-        return local_table(spark, [], EXAMPLES), missing
-    rows = reduce(lambda a, b: a.unionByName(b), parts)
-    return flip_labels(rows, flipped), missing
+            found = found.unionByName(capped(domains.first_usable(name), cap, seed))
+        except NoUsableFile as error:
+            if not error.verdicts:
+                domains.verdicts.append(Verdict(name, "", False, "no file name matches"))
+    domains.close()
+    return flip_labels(found, flipped), domains.report()
 
 
 def with_example_ids(rows: DataFrame) -> DataFrame:
@@ -115,19 +171,19 @@ def sampled_claims(claims: DataFrame, per_class: int = 1000, seed: int = 0, row_
 
 
 def load_benchmarks(spark: SparkSession, questions_path: str | None = None, claims_path: str | None = None,
-                    per_class: int = 1000, seed: int = 0) -> DataFrame:
-    """The optional benchmark tables from local files; one that fails is left out."""
-    out = local_table(spark, [], EXAMPLES)
-    names = EXAMPLES.fieldNames()
-    if questions_path:
-        try:
-            out = out.unionByName(paired_answers(read_table(spark, questions_path)).select(*names))
-        except Exception as error:
-            print(f"Failed to load paired answers: {error}")
-    if claims_path:
+                    per_class: int = 1000, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Examples of the optional benchmark tables that can be read, and the verdicts on their files."""
+    makers = {
+        "truthfulqa": (questions_path, paired_answers),
+        "fever": (claims_path, lambda table: sampled_claims(with_example_ids(table), per_class, seed)),
+    }
+    found, verdicts = local_table(spark, [], EXAMPLES), []
+    for name, (path, make) in makers.items():
+        if not path:
+            continue
         try:
-            claims = with_example_ids(read_table(spark, claims_path))
-            out = out.unionByName(sampled_claims(claims, per_class, seed).select(*names))
-        except Exception as error:
-            print(f"Failed to load claims: {error}")
-    return out
+            found = found.unionByName(make(read_table(spark, path)).select(*EXAMPLES.fieldNames()))
+            verdicts.append((name, path, True, "taken"))
+        except Exception as error:  # the other table may still be there
+            verdicts.append((name, path, False, f"{type(error).__name__}: {error}".splitlines()[0]))
+    return found, local_table(spark, verdicts, VERDICTS)

@@ -6,14 +6,14 @@ from helpers import acts_frame, brute_auroc, brute_metrics, planted
 from pyspark.sql import functions as F
 
 from probewise.config import (
-    ExperimentSettings, HammingSettings, ProbeSettings, ProjectedSettings)
+    Directions, ExperimentSettings, HammingSettings, ProbeSettings, ProjectedSettings, Projection, Schedule)
 from probewise.plans import evaluate, experiment
 from probewise.sources import artifacts
 
 SETTINGS = ExperimentSettings(
-    probe=ProbeSettings(n_single=1, n_combined=2),
-    projected=ProjectedSettings(projection_dim=4, epochs=3),
-    hamming=HammingSettings(methods=("sign",), epochs=6, eval_every=2))
+    probe=ProbeSettings(Directions(1, 2)),
+    projected=ProjectedSettings(Projection(4), schedule=Schedule(3, 512)),
+    hamming=HammingSettings(methods=("sign",), sign_schedule=Schedule(6, 512, 2, 6)))
 
 
 @pytest.fixture(scope="module")
@@ -80,7 +80,7 @@ def test_projected_experiment(spark, data, prepared, tmp_path):
 
 @pytest.mark.parametrize("weighted", [False, True])
 def test_hamming_experiment(spark, data, prepared, tmp_path, weighted):
-    settings = replace(SETTINGS, hamming=replace(SETTINGS.hamming, weighted_rows=weighted))
+    settings = replace(SETTINGS, hamming=replace(SETTINGS.hamming, weighted=weighted))
     results = experiment.run_hamming(prepared, settings)
     check_metrics(prepared, data, results, "sign")
     row = results.metrics.filter("split = 'val'").first()
@@ -94,7 +94,7 @@ def test_hamming_experiment(spark, data, prepared, tmp_path, weighted):
 
 
 def test_unweighted_early_stop_comes_after_seven_evaluations(spark, prepared):
-    hamming = replace(SETTINGS.hamming, weighted_rows=False, epochs=150, eval_every=5)
+    hamming = replace(SETTINGS.hamming, weighted=False, epochs=150, eval_every=5)
     history = experiment.run_hamming(prepared, replace(SETTINGS, hamming=hamming)).history
     assert [r["epoch"] for r in history.filter("scope = 'combined'").orderBy("epoch").collect()] == list(range(5, 36, 5))
 
@@ -138,16 +138,16 @@ def test_sanity_reports(spark, data, prepared):
 
 
 def test_metrics_of_all_families_line_up(spark, prepared):
-    a = experiment.run_hamming(prepared, replace(SETTINGS, hamming=replace(SETTINGS.hamming, weighted_rows=False))).metrics
-    b = experiment.run_projected(prepared, replace(SETTINGS, projected=replace(SETTINGS.projected, epochs=1)), False).metrics
+    a = experiment.run_hamming(prepared, replace(SETTINGS, hamming=replace(SETTINGS.hamming, weighted=False))).metrics
+    b = experiment.run_projected(prepared, replace(SETTINGS, projected=replace(SETTINGS.projected, schedule=Schedule(1, 512))), False).metrics
     both = evaluate.ordered_metrics(evaluate.metrics_union(a, b))
     assert both.count() == a.count() + b.count()
     assert both.filter("method is null").count() == b.count()
 
 
 def test_run_all_trains_three_families_from_one_split(spark, data):
-    settings = replace(SETTINGS, projected=replace(SETTINGS.projected, epochs=1),
-                       hamming=replace(SETTINGS.hamming, epochs=2))
+    settings = replace(SETTINGS, projected=replace(SETTINGS.projected, schedule=Schedule(1, 512)),
+                       hamming=replace(SETTINGS.hamming, sign_schedule=Schedule(2, 512, 5, 6)))
     means = acts_frame(spark, *data)
     out = experiment.run_all(means, settings)
     assert set(out) == {"projected", "hamming_weighted", "hamming_unweighted"}

@@ -158,19 +158,21 @@ def test_discovery_order_and_skips(spark, root):
 
 
 def test_load_domains(spark, root):
-    rows, missing = loading.load_domains(
+    rows, verdicts = loading.load_domains(
         spark, str(root), ["empirical", "logical", "roleplaying", "fictional", "ethical"])
     counts = {(r["domain"], r["label"]): r["count"] for r in rows.groupBy("domain", "label").count().collect()}
     assert counts == {("empirical", 0): 20, ("empirical", 1): 20, ("logical", 0): 5, ("logical", 1): 5,
                       ("roleplaying", 0): 7, ("roleplaying", 1): 5}
-    assert missing == ["fictional", "ethical"]
+    seen = {(r["domain"], r["usable"]): r["reason"] for r in verdicts.collect()}
+    assert {d for d, usable in seen if not usable} - {d for d, usable in seen if usable} == {"fictional", "ethical"}
+    assert seen["ethical", False] == "no file name matches"
     flipped = rows.filter("domain = 'empirical' and assistant_text = 'text 0'").first()
     assert flipped["label"] == 1
-    none, missing = loading.load_domains(spark, str(root), ["ethical"])
+    none, _ = loading.load_domains(spark, str(root), ["ethical"])
     assert none.columns == ["domain", "user_prompt", "assistant_text", "label", "source_path"] and none.isEmpty()
-    with pytest.raises(RuntimeError, match="none parsed"):
+    with pytest.raises(loading.NoUsableFile, match="fictional"):
         loading.load_domain(spark, str(root), "fictional")
-    with pytest.raises(FileNotFoundError):
+    with pytest.raises(loading.NoUsableFile, match="no file name"):
         loading.load_domain(spark, str(root), "ethical")
 
 
@@ -193,11 +195,11 @@ def test_benchmarks(spark, tmp_path):
         {"question": "q2", "best_answer": "s", "incorrect_answers": []}])
     write_lines(tmp_path / "c.jsonl", [
         {"claim": f"c{i}", "label": ["SUPPORTS", "REFUTES", "NOT ENOUGH INFO"][i % 3]} for i in range(12)])
-    rows = loading.load_benchmarks(spark, str(tmp_path / "q.jsonl"), str(tmp_path / "c.jsonl"), per_class=3)
+    rows, verdicts = loading.load_benchmarks(spark, str(tmp_path / "q.jsonl"), str(tmp_path / "c.jsonl"), per_class=3)
     counts = {(r["domain"], r["label"]): r["count"] for r in rows.groupBy("domain", "label").count().collect()}
     assert counts == {("truthfulqa", 0): 2, ("truthfulqa", 1): 1, ("fever", 0): 3, ("fever", 1): 3}
-    short = loading.load_benchmarks(spark, None, str(tmp_path / "c.jsonl"), per_class=5)
-    assert short.isEmpty()
+    short, verdicts = loading.load_benchmarks(spark, None, str(tmp_path / "c.jsonl"), per_class=5)
+    assert short.isEmpty() and [r["usable"] for r in verdicts.collect()] == [False]
 
 
 def test_chat_pairs(spark):

@@ -24,13 +24,14 @@ def test_projection_preserves_dot_products(spark):
     unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
     z = frame(spark, x).select("example_id", kernels.linear_map(F.col("x"), weight).alias("z")).orderBy("example_id")
     after = np.array([r["z"] for r in z.collect()]) @ (unit @ weight.T).T
-    assert meta["exact_when_projection_dim_covers_rank"] and meta["row_bank_rank"] == 4
+    assert meta.exact and meta.rank == 4 and meta.filled == 4 and meta.gram_error < 1e-9
     np.testing.assert_allclose(after, x @ unit.T, atol=2e-5)
     assert weight.shape == (8, 16)
     np.testing.assert_allclose(weight @ weight.T, np.eye(8), atol=1e-9)
-    assert row_span_projection(rows, 8, pad=False)[0].shape == (4, 16)
+    assert row_span_projection(rows, 8, complete=False)[0].shape == (4, 16)
     assert row_span_projection(rows, 99)[0].shape == (16, 16)
-    assert not row_span_projection(rows, 2)[1]["exact_when_projection_dim_covers_rank"]
+    assert not row_span_projection(rows, 2)[1].exact
+    assert row_span_projection(np.vstack([rows, rows[:2] * 3]), 16)[1].rank == 4
     with pytest.raises(ValueError):
         row_span_projection(np.empty((0, 4)))
 

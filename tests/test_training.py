@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from helpers import brute_auroc, planted
 
-from probewise.config import HammingSettings, ProjectedSettings
+from probewise.config import HammingSettings, Optimiser, ProjectedSettings, Projection, Quantiser, Schedule
 from probewise.functions.kernels import as_list_column
 from probewise.operators import learners, training
 from probewise.operators.scoring import HammingModel, qrange
@@ -64,7 +64,7 @@ def test_hamming_gradient_is_the_derivative():
 def test_projected_gradient_without_quantisation():
     x, y, _ = planted(150, 6)
     rows = np.random.default_rng(2).normal(size=(3, 6))
-    learner = learners.ProjectedReadout(rows, ProjectedSettings(projection_dim=4, quantize=False))
+    learner = learners.ProjectedReadout(rows, ProjectedSettings(Projection(4), Quantiser(3, on=False)))
     learner.params["raw"] = np.array([0.3, 0.1, -0.5])
     learner.optimizer = Recorder()
     z = learner.features(x.astype(float))
@@ -111,7 +111,7 @@ def lsq_twin(z, r, y, raw, bias, s_a, s_r, bits, batch):
 def test_quantiser_scale_gradients_follow_the_straight_through_rules():
     x, y, _ = planted(80, 6)
     rows = np.random.default_rng(3).normal(size=(4, 6))
-    learner = learners.ProjectedReadout(rows, ProjectedSettings(projection_dim=5, nominal_batch=64))
+    learner = learners.ProjectedReadout(rows, ProjectedSettings(Projection(5), schedule=Schedule(300, 64)))
     learner.params["raw"] = np.array([0.3, 0.1, -0.5, 0.2])
     learner.params["bias"] = np.array([0.05])
     learner.optimizer = Recorder()
@@ -130,8 +130,7 @@ def test_learned_projection_gradient_without_quantisation():
     x, y, _ = planted(60, 5)
     rows = np.random.default_rng(4).normal(size=(2, 5))
     for normalise in (False, True):
-        settings = ProjectedSettings(projection_dim=3, quantize=False, projection_method="learned",
-                                     normalize_after_projection=normalise)
+        settings = ProjectedSettings(Projection(3, "learned", normalise), Quantiser(3, on=False))
         learner = learners.LearnedProjection(rows, settings)
         w0 = learner.params["projection"].copy()
         np.testing.assert_allclose(w0 @ w0.T, np.eye(3), atol=1e-9)
@@ -171,7 +170,7 @@ def test_hash_matrix_gradient_of_the_smooth_stand_in():
         logits = ((c * r[best]).sum(axis=1)) / d * alphas[best]
         bce = (1.3 * y * np.logaddexp(0, -logits) + (1 - y) * np.logaddexp(0, logits)).mean()
         identity = np.square(w - np.eye(d)).sum() / d ** 2
-        return bce + cfg.identity_reg * identity + cfg.bit_balance_reg * np.square(c.mean(axis=0)).mean()
+        return bce + cfg.penalties.identity * identity + cfg.penalties.balance * np.square(c.mean(axis=0)).mean()
 
     np.testing.assert_allclose(learner.optimizer.gradients["matrix"], numeric(smooth, np.eye(d)), atol=1e-6)
     assert loss == pytest.approx(smooth(np.eye(d)))
@@ -183,16 +182,16 @@ def readout_twin(rows, x, y, val_x, val_y, cfg, pw):
     raw, bias = np.full(len(rows), math.log(math.expm1(1.0))), 0.0
     s_raw = s_bias = (0.0, 0.0, 0)
     best, state, misses, evaluated = -np.inf, None, 0, []
-    for epoch in range(cfg.epochs):
+    for epoch in range(cfg.sign_schedule.epochs):
         alphas = np.log1p(np.exp(raw)) + 1e-6
         scores = sims * alphas
         j = scores.argmax(axis=1)
         p = 1 / (1 + np.exp(-(scores.max(axis=1) + bias)))
         e = p * (1 - y + pw * y) - pw * y
         g = np.bincount(j, e * sims[np.arange(len(j)), j], len(rows)) / len(y) / (1 + np.exp(-raw))
-        raw, s_raw = adam(raw, g, s_raw, cfg.lr, cfg.weight_decay)
-        bias, s_bias = adam(bias, e.mean(), s_bias, cfg.lr, cfg.weight_decay)
-        if (epoch + 1) % cfg.eval_every and epoch < cfg.epochs - 1:
+        raw, s_raw = adam(raw, g, s_raw, cfg.readout.rate, cfg.readout.decay)
+        bias, s_bias = adam(bias, e.mean(), s_bias, cfg.readout.rate, cfg.readout.decay)
+        if (epoch + 1) % cfg.sign_schedule.score_every and epoch < cfg.sign_schedule.epochs - 1:
             continue
         auroc = brute_auroc((val_sims * (np.log1p(np.exp(raw)) + 1e-6)).max(axis=1) + bias, val_y)
         evaluated.append((epoch + 1, auroc))
@@ -200,7 +199,7 @@ def readout_twin(rows, x, y, val_x, val_y, cfg, pw):
             best, state, misses = auroc, (np.log1p(np.exp(raw)) + 1e-6, bias), 0
         else:
             misses += 1
-        if misses >= cfg.patience:
+        if misses >= cfg.sign_schedule.patience:
             break
     return state, evaluated
 
@@ -208,7 +207,7 @@ def readout_twin(rows, x, y, val_x, val_y, cfg, pw):
 def test_training_loop_matches_numpy_with_early_stopping(spark):
     x, y, domain = planted(300, 8, ("a", "b"))
     rows = {0: np.random.default_rng(7).normal(size=(4, 8)), 1: np.random.default_rng(8).normal(size=(3, 8))}
-    cfg = HammingSettings(epochs=30, eval_every=2, patience=3, lr=0.2)
+    cfg = HammingSettings(readout=Optimiser(0.2, 1e-4), sign_schedule=Schedule(30, 512, 2, 3))
     is_val = np.arange(300) % 4 == 0
     table = spark.createDataFrame(
         [(1 if d == "a" else 2, "val" if v else "train", i, int(t), [float(f) for f in r])
@@ -217,8 +216,8 @@ def test_training_loop_matches_numpy_with_early_stopping(spark):
     made = {s: learners.HammingReadout(r, cfg, 1.2) for s, r in rows.items()}
     feats = training.scope_features(table, {s: m.frozen().features for s, m in made.items()}).persist()
     progress = training.fit_learners(
-        made, feats.filter("split = 'train'"), feats.filter("split = 'val'"), cfg.epochs,
-        eval_every=cfg.eval_every, patience=cfg.patience, margin=1e-5, pending=4)
+        made, feats.filter("split = 'train'"), feats.filter("split = 'val'"), cfg.sign_schedule.epochs,
+        eval_every=cfg.sign_schedule.score_every, patience=cfg.sign_schedule.patience, margin=1e-5, pending=4)
     models = training.final_models(made, progress)
     for s in rows:
         mine = np.ones(300, bool) if s == 0 else domain == "a"
@@ -237,12 +236,12 @@ def test_bias_only_training_equals_the_general_learner():
     distinct, slot = np.unique(scores, return_inverse=True)
     pos, neg = np.bincount(slot, y == 1), np.bincount(slot, y == 0)
     cfg = HammingSettings()
-    biases, losses = training.bias_from_counts(distinct, pos, neg, 1.4, 12, cfg.lr, cfg.weight_decay)
+    biases, losses = training.bias_from_counts(distinct, pos, neg, 1.4, 12, cfg.readout)
     bias, state = 0.0, (0.0, 0.0, 0)
     for epoch in range(12):
         p = 1 / (1 + np.exp(-(scores + bias)))
         e = p * (1 - y + 1.4 * y) - 1.4 * y
-        bias, state = adam(bias, e.mean(), state, cfg.lr, cfg.weight_decay)
+        bias, state = adam(bias, e.mean(), state, cfg.readout.rate, cfg.readout.decay)
         assert biases[epoch] == pytest.approx(bias, abs=1e-12)
     assert losses[0] == pytest.approx((1.4 * y * np.logaddexp(0, -scores) + (1 - y) * np.logaddexp(0, scores)).mean())
 
@@ -250,7 +249,7 @@ def test_bias_only_training_equals_the_general_learner():
 def test_mini_batches_cover_every_row_once(spark):
     x, y, _ = planted(100, 4, ("a",))
     rows = np.eye(4)[:2]
-    cfg = HammingSettings(epochs=1)
+    cfg = HammingSettings()
     table = spark.createDataFrame([(0, "train", i, int(t), HammingModel(rows).matches(r[None, :])[0].tolist())
                                    for i, (t, r) in enumerate(zip(y, x.astype(float)))],
                                   "scope_id int, split string, example_id long, y int, v array<double>")
@@ -266,5 +265,5 @@ def test_mini_batches_cover_every_row_once(spark):
             copy.params = self.params
             return copy
 
-    training.fit_learners({0: Counting(rows, cfg, 1.0)}, table, table, 1, batches=4)
+    training.fit_learners({0: Counting(rows, cfg, 1.0)}, training.dealt(table), table, 1, steps={0: 4})
     assert sum(seen) == 100 and len(seen) == 4
