@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from probewise.functions.kernels import as_list_column, as_matrix
 from probewise.schemas import PARTIAL_SUMS
 
 BLOCK = 1 << 12     # numbers of a vector that travel as one array
@@ -70,3 +71,51 @@ def _summed(rows: DataFrame, kernel, slots: dict[int, int], whole: tuple[int, ..
         values = total.values.to_numpy()
         out[scope_id][block * BLOCK:block * BLOCK + len(values)] = values
     return out
+
+
+_MOMENTS = "struct<n: double, mean: array<double>, spread: array<double>>"
+
+
+def _merged(a: Column, b: Column) -> Column:
+    """Moments of two groups of vectors as those of both, without the difference of large squares."""
+    n = a["n"] + b["n"]
+    apart = F.zip_with(b["mean"], a["mean"], lambda y, x: y - x)
+    mean = F.zip_with(a["mean"], apart, lambda x, d: x + d * b["n"] / n)
+    inside = F.zip_with(a["spread"], b["spread"], lambda x, y: x + y)
+    spread = F.zip_with(inside, apart, lambda x, d: x + d * d * a["n"] * b["n"] / n)
+    return F.struct(n.alias("n"), mean.alias("mean"), spread.alias("spread"))
+
+
+def vector_moments(rows: DataFrame, keys: tuple[str, ...] = (), x: str = "x") -> DataFrame:
+    """(keys, n, mean, spread): mean vector of each group and the summed squared distances from it, by component.
+
+    Whole vectors are added up per Arrow batch, so a task sends one row per group it met in a batch,
+    and those are merged.
+    """
+    named = {k: rows.schema[k] for k in keys}
+    schema = ", ".join([f"`{k}` {f.dataType.simpleString()}" for k, f in named.items()] + [f"part {_MOMENTS}"])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code = np.zeros(batch.num_rows, dtype=np.int64)
+            for k in keys:
+                values = batch.column(k).dictionary_encode(null_encoding="encode")
+                code = code * (len(values.dictionary) + 1) + values.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(code, kind="stable")
+            code = code[order]
+            starts = np.flatnonzero(np.diff(code, prepend=code[0] - 1))
+            matrix = as_matrix(batch.column(x))[order]
+            n = np.diff(np.append(starts, len(code)))
+            mean = np.add.reduceat(matrix, starts, axis=0) / n[:, None]
+            spread = np.add.reduceat((matrix - np.repeat(mean, n, axis=0)) ** 2, starts, axis=0)
+            part = pa.StructArray.from_arrays(
+                [pa.array(n.astype(np.float64)), as_list_column(mean), as_list_column(spread)], ["n", "mean", "spread"])
+            first = pa.array(order[starts])
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(first) for k in keys] + [part], [*keys, "part"])
+
+    parts = rows.select(*keys, F.col(x).cast("array<double>").alias(x)).mapInArrow(add_up, schema)
+    whole = parts.groupBy(*keys).agg(F.collect_list("part").alias("parts")).filter(F.size("parts") > 0).select(
+        *keys, F.reduce(F.slice("parts", 2, F.size("parts")), F.get("parts", F.lit(0)), _merged).alias("all"))
+    return whole.select(*keys, F.col("all.n").cast("long").alias("n"), "all.mean", "all.spread")

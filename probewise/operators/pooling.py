@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from probewise.functions.vectors import as_doubles
+from probewise.operators.partials import vector_moments
 
 
 def assistant_span(prefix_ids: Column, full_ids: Column, assistant_ids: Column, eos_id) -> Column:
@@ -36,10 +36,6 @@ def mean_pool(token_vectors: DataFrame, keys: tuple[str, ...] = ("example_id",),
               x: str = "x") -> DataFrame:
     """Mean vector per example over all of its token vectors.
 
-    Sums are taken per (example, component), so partial sums are combined before
-    the shuffle and a long example is not gathered in one place.
+    Vectors are added up whole inside each task, so a long example is not gathered in one place.
     """
-    parts = token_vectors.select(*keys, F.posexplode(as_doubles(F.col(x))).alias("_pos", "_v"))
-    means = parts.groupBy(*keys, "_pos").agg(F.avg("_v").alias("_v"))
-    return means.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_v"))), lambda s: s["_v"]).alias("x"))
+    return vector_moments(token_vectors, keys, x).select(*keys, F.col("mean").alias("x"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,8 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from probewise.config import COMBINED, GLOBAL_BANK, ProbeSettings
 from probewise.functions import kernels
-from probewise.functions.vectors import as_doubles
-from probewise.operators.partials import summed
+from probewise.operators.partials import summed, vector_moments
 from probewise.operators.projection import orthonormal
 from probewise.operators.small import local_table
 from probewise.schemas import BANK
@@ -39,18 +39,16 @@ class _Fit:
     slope: float = 0.0
     step: float = 1.0
     done: bool = False
+    failed: bool = False
 
     def trial(self) -> np.ndarray:
         return self.point if self.direction is None else self.point + self.step * self.direction
 
 
 def column_moments(rows: DataFrame, keys: tuple[str, ...] = ("scope",), x: str = "x") -> DataFrame:
-    """(keys, pos, mean, scale) with the population deviation; constant columns get scale 1."""
-    parts = rows.select(*keys, F.posexplode(as_doubles(F.col(x))).alias("pos", "_v"))
-    deviation = F.stddev_pop("_v")
-    return parts.groupBy(*keys, "pos").agg(
-        F.avg("_v").alias("mean"),
-        F.when(deviation == 0, F.lit(1.0)).otherwise(deviation).alias("scale"))
+    """(keys, mean, scale) by component, with the population deviation; constant columns get scale 1."""
+    return vector_moments(rows, keys, x).select(*keys, "mean", F.transform(
+        "spread", lambda v: F.when(v > 0, F.sqrt(v / F.col("n"))).otherwise(1.0)).alias("scale"))
 
 
 def fold_scaler(probe: Probe, mean: np.ndarray, scale: np.ndarray) -> Probe:
@@ -117,12 +115,19 @@ def newton_probes(train: DataFrame, weights: dict[int, tuple[float, float]], wid
             curvature = curvature + np.triu(curvature, 1).T + np.diag(ridge)
             curvature[-1, -1] += 1e-12
             fit.point, fit.loss, fit.step = point, loss, 1.0
-            fit.direction = -np.linalg.solve(curvature, gradient)
+            try:
+                fit.direction = -np.linalg.solve(curvature, gradient)
+            except np.linalg.LinAlgError:  # this scope ends here, the others go on
+                fit.failed = fit.done = True
+                continue
             fit.slope = float(gradient @ fit.direction)
             fit.done = -0.5 * fit.slope <= TOLERANCE * max(1.0, loss)
             if fit.done:
                 fit.point = fit.trial()
-    return {s: Probe(f.point[:-1], float(f.point[-1])) for s, f in fits.items()}
+    for s, fit in fits.items():
+        if not fit.done:
+            warnings.warn(f"the probe of scope {s} has not converged in {NEWTON_STEPS} steps", stacklevel=2)
+    return {s: Probe(f.point[:-1], float(f.point[-1])) for s, f in fits.items() if not f.failed}
 
 
 def wide_probe(train: DataFrame, scope_id: int, n: int, weights: tuple[float, float], alpha: float,
@@ -225,8 +230,12 @@ def _fit_round(rows: DataFrame, active: dict[int, tuple[float, float]], sizes: d
     if width <= NEWTON_WIDTH:
         probes = newton_probes(rows, active, width, settings.alpha, bases, scalers)
     else:
-        probes = {s: wide_probe(rows, s, sum(sizes[s]), w, settings.alpha, bases[s], scalers.get(s))
-                  for s, w in active.items()}
+        probes = {}
+        for s, w in active.items():
+            try:
+                probes[s] = wide_probe(rows, s, sum(sizes[s]), w, settings.alpha, bases[s], scalers.get(s))
+            except Exception as error:  # as above: a fit that fails ends its own scope
+                warnings.warn(f"the probe of scope {s} failed: {error}", stacklevel=2)
     for s, probe in probes.items():
         if s in scalers:
             probe = fold_scaler(probe, *scalers[s])
@@ -237,23 +246,21 @@ def _fit_round(rows: DataFrame, active: dict[int, tuple[float, float]], sizes: d
 
 
 def _scalers(rows: DataFrame, active, bases) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Column means and deviations of each scope's remaining data, summed in one pass."""
-    width = len(next(iter(bases.values()))[0]) if any(len(b) for b in bases.values()) else None
-    width = width or rows.select(F.size("x").alias("w")).first()["w"]
+    """Column means and deviations of each scope's remaining data: means first, then distances from them."""
+    width = rows.select(F.size("x").alias("w")).first()["w"]
+
+    def remaining(scope_id: int, columns: dict[str, pa.Array]) -> np.ndarray:
+        return _working_matrix(kernels.as_matrix(columns["x"]), bases.get(scope_id), None)
 
-    def kernel(scope_id: int, columns: dict[str, pa.Array]) -> np.ndarray:
-        x = _working_matrix(kernels.as_matrix(columns["x"]), bases.get(scope_id), None)
-        return np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)])
+    def totals(scope_id: int, columns: dict[str, pa.Array]) -> np.ndarray:
+        x = remaining(scope_id, columns)
+        return np.concatenate([[len(x)], x.sum(axis=0)])
 
-    sums = summed(rows, kernel, {s: 1 + 2 * width for s in active}, whole=(0,))
-    out = {}
-    for s, total in sums.items():
-        mean = total[1:1 + width] / total[0]
-        variance = np.maximum(total[1 + width:] / total[0] - mean * mean, 0.0)
-        scale = np.sqrt(variance)
-        scale[scale < 1e-12] = 1.0
-        out[s] = (mean, scale)
-    return out
+    sums = summed(rows, totals, {s: 1 + width for s in active}, whole=(0,))
+    means = {s: t[1:] / t[0] for s, t in sums.items()}
+    spread = summed(rows, lambda s, c: ((remaining(s, c) - means[s]) ** 2).sum(axis=0), {s: width for s in active}, whole=(0,))
+    scales = {s: np.sqrt(v / sums[s][0]) for s, v in spread.items()}
+    return {s: (means[s], np.where(v < 1e-12, 1.0, v)) for s, v in scales.items()}
 
 
 def bank_matrices(bank: DataFrame) -> dict[str, np.ndarray]:
@@ -278,7 +285,6 @@ def deployment_bank(bank: DataFrame) -> DataFrame:
 
 
 def bank_gram(bank: DataFrame) -> DataFrame:
-    """(scope, i, j, dot) of all pairs of rows inside a scope's few rows."""
-    table = [(s, i, j, float(g)) for s, m in bank_matrices(bank).items()
-             for (i, j), g in np.ndenumerate(m @ m.T)]
-    return local_table(bank.sparkSession, table, "scope string, i int, j int, dot double")
+    """(scope, i, dots): for each row of a bank its dot products with all rows of its scope, in order."""
+    table = [(s, i, dots.tolist()) for s, m in bank_matrices(bank).items() for i, dots in enumerate(m @ m.T)]
+    return local_table(bank.sparkSession, table, "scope string, i int, dots array<double>")

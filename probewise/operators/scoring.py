@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
+from probewise.operators.partials import vector_moments
 from probewise.functions import kernels, vectors
 
 
@@ -230,7 +231,6 @@ def cosine_scores_in_jvm(rows: DataFrame, bank: np.ndarray, x: str = "x") -> Dat
 
 
 def bit_balance(rows: DataFrame, model: HammingModel, x: str = "x") -> DataFrame:
-    """(pos, mean_code) per bit; the balance penalty is the mean of its squares."""
+    """One row (n, mean_code): the mean code of every bit; the balance penalty is the mean of its squares."""
     coded = rows.select(kernels.matrix_udf(model.codes)(F.col(x)).alias("code"))
-    return coded.select(F.posexplode("code").alias("pos", "code")).groupBy("pos").agg(
-        F.avg("code").alias("mean_code"))
+    return vector_moments(coded, (), "code").select("n", F.col("mean").alias("mean_code"))

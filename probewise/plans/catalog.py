@@ -628,10 +628,24 @@ def extract_means(spark, sf_dir):
     examples = fx.chat(spark, sf_dir).select(
         F.col("conv_id").alias("example_id"), F.lit("chat").alias("domain"), F.lit(0).alias("label"),
         "user_prompt", "assistant_text")
-    rows = extract.extract_activations(examples, extract.hash_encoder(4))
+    rows = extract.extract(examples, extract.hash_encoder(4)).means
     return rows.select("example_id", "domain", "y", fx.text_of(F.col("x")).alias("mean_vector"))
 
 
+@query(f"""WITH {fx.CHAT}, t AS (SELECT conv_id, string_split(assistant_text, ' ') AS w FROM chat),
+k AS (SELECT conv_id, unnest(range(0, least(64, len(w)))) AS token_position, unnest(w[1:64]) AS token FROM t),
+p AS (SELECT conv_id, token_position, i, CAST(('0x' || substr(md5(token || '|' || CAST(i AS VARCHAR)), 1, 4))::INT AS DOUBLE) / 32768.0 - 1.0 AS v
+  FROM k CROSS JOIN range(0, 4) r(i))
+SELECT conv_id AS example_id, CAST(token_position AS INT) AS token_position, {fx.text_of_sql('x')} AS vector
+FROM (SELECT conv_id, token_position, list(v ORDER BY i) AS x FROM p GROUP BY conv_id, token_position)""")
+def extract_tokens(spark, sf_dir):
+    examples = fx.chat(spark, sf_dir).select(
+        F.col("conv_id").alias("example_id"), F.lit("chat").alias("domain"), F.lit(0).alias("label"),
+        "user_prompt", "assistant_text")
+    rows = extract.extract(examples, extract.hash_encoder(4)).tokens
+    return rows.select("example_id", "token_position", fx.text_of(F.col("x")).alias("vector"))
+
+
 @query(f"WITH {fx.ACT} SELECT count(*) AS n_rows, count(DISTINCT example_id) AS n_examples, CAST(min(len(x)) AS INT) AS min_width, "
        "CAST(max(len(x)) AS INT) AS max_width, CAST(max(length(domain)) AS INT) AS longest_domain FROM act")
 def cache_manifest(spark, sf_dir):
@@ -744,14 +758,15 @@ def matrix_hash_wta(spark, sf_dir):
        "SELECT CAST(pos AS INT) AS pos, round(avg(v), 6) AS mean_code FROM c GROUP BY pos")
 def bit_balance(spark, sf_dir):
     acts = fx.activations(spark, sf_dir)
-    return _rounded(scoring.bit_balance(acts, scoring.HammingModel(fx.bank_rows(acts))), "mean_code")
+    balance = scoring.bit_balance(acts, scoring.HammingModel(fx.bank_rows(acts)))
+    return _rounded(balance.select(F.posexplode("mean_code").alias("pos", "mean_code")), "mean_code")
 
 
 @query(f"WITH {fx.ACT}, {fx.BANK} SELECT 'fixture' AS scope, CAST(a.row_id AS INT) AS i, CAST(b.row_id AS INT) AS j, "
        "round(list_dot_product(a.row, b.row), 6) AS dot FROM bank a CROSS JOIN bank b")
 def bank_gram(spark, sf_dir):
     bank = fx.mean_difference_bank(fx.activations(spark, sf_dir)).withColumn("scope", F.lit("fixture"))
-    return _rounded(probes.bank_gram(bank), "dot")
+    return _rounded(probes.bank_gram(bank).select("scope", "i", F.posexplode("dots").alias("j", "dot")), "dot")
 
 
 # --- banks ------------------------------------------------------------------------------------
@@ -782,7 +797,8 @@ def pos_weight(spark, sf_dir):
        "ELSE stddev_pop(v) END, 6) AS scale FROM c GROUP BY scope, pos")
 def standardize(spark, sf_dir):
     rows = scopes.spread_scopes(fx.activations(spark, sf_dir))
-    return _rounded(probes.column_moments(rows), "mean", "scale")
+    moments = probes.column_moments(rows).select("scope", F.posexplode(F.arrays_zip("mean", "scale")).alias("pos", "m"))
+    return _rounded(moments.select("scope", "pos", "m.mean", "m.scale"), "mean", "scale")
 
 
 @query(f"WITH {fx.ACT}, {fx.split_sql(fx.BY_DOMAIN)}, {_SPREAD} SELECT scope, example_id, y FROM spread "

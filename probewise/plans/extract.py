@@ -4,15 +4,23 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from probewise.functions.kernels import as_list_column
+from probewise.workspace import written
 
-# (user_prompt, assistant_text) -> one vector per token of the answer
-Encoder = Callable[[str, str], np.ndarray]
+# [(user_prompt, assistant_text), ...] -> for each, one vector per token of the answer
+Encoder = Callable[[list[tuple[str, str]]], list[np.ndarray]]
+
+
+@dataclass(frozen=True)
+class Extracted:
+    means: DataFrame   # example_id, domain, y, x
+    tokens: DataFrame  # example_id, domain, y, token_position, x: the first tokens of each answer
+    errors: DataFrame  # example_id, error: examples that gave no vectors
 
 
 def hash_vector(token: str, width: int) -> np.ndarray:
@@ -22,53 +30,75 @@ def hash_vector(token: str, width: int) -> np.ndarray:
 
 
 def hash_encoder(width: int = 8) -> Encoder:
-    def encode(user_prompt: str, assistant_text: str) -> np.ndarray:
-        tokens = [t for t in assistant_text.split(" ")]
-        return np.stack([hash_vector(t, width) for t in tokens])
+    def encode(pairs: list[tuple[str, str]]) -> list[np.ndarray]:
+        return [np.stack([hash_vector(t, width) for t in answer.split(" ")]) for _, answer in pairs]
     return encode
 
 
-def extract_activations(examples: DataFrame, encoder: Encoder, tokens: bool = False,
-                        cap: int = 64) -> DataFrame:
-    """Mean activations (all answer tokens) or, with ``tokens``, the first ``cap`` of them.
+def _encoded(encoder: Encoder, pairs: list[tuple[str, str]]) -> list[np.ndarray | str]:
+    """Vectors or, as text, what went wrong; a batch that fails is tried again pair by pair."""
+    try:
+        found = list(encoder(pairs))
+        if len(found) != len(pairs):
+            raise ValueError(f"{len(found)} results for {len(pairs)} pairs")
+    except MemoryError:
+        raise
+    except Exception as error:
+        if "out of memory" in str(error).lower():
+            raise
+        if len(pairs) > 1:
+            return [_encoded(encoder, [pair])[0] for pair in pairs]
+        return [f"{type(error).__name__}: {error}"]
+    vectors = [np.asarray(v, dtype=np.float64) for v in found]
+    return [v if v.ndim == 2 and len(v) else "no token vectors" for v in vectors]
 
-    A row whose encoding fails is left out, as is an empty answer; running out of
-    memory ends the job. An example is pooled in the task that encodes it.
-    """
-    shape = "example_id long, domain string, y int"
-    schema = f"{shape}, token_position int, x array<double>" if tokens else f"{shape}, x array<double>"
 
+_EXTRACTED = "example_id long, domain string, y int, token_position int, x array<double>, error string"
+
+
+def extract(examples: DataFrame, encoder: Encoder, cap: int = 64, batch: int = 32) -> Extracted:
+    """Mean activations over all answer tokens and the vectors of the first ``cap``, from one run of the encoder.
+
+    The encoder gets ``batch`` pairs at a time. An example without vectors is listed with its
+    error; running out of memory ends the job. An example is pooled in the task that
+    encodes it, and the result is written once.
+    """
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                try:
-                    vectors = np.asarray(encoder(row["user_prompt"], row["assistant_text"]), dtype=np.float64)
-                except MemoryError:
-                    raise
-                except Exception as error:
-                    if "out of memory" in str(error).lower():
-                        raise
-                    continue
-                if vectors.ndim != 2 or not len(vectors):
-                    continue
-                block = vectors[:cap] if tokens else vectors.mean(axis=0, keepdims=True)
-                n = len(block)
-                columns = [pa.array([row["example_id"]] * n, pa.int64()), pa.array([row["domain"]] * n),
-                           pa.array([int(row["label"])] * n, pa.int32())]
-                names = ["example_id", "domain", "y"]
-                if tokens:
-                    columns.append(pa.array(np.arange(n, dtype=np.int32)))
-                    names.append("token_position")
-                yield pa.RecordBatch.from_arrays(columns + [as_list_column(block)], names + ["x"])
-
-    slim = examples.select("example_id", "domain", "label", "user_prompt", "assistant_text")
-    return slim.mapInArrow(encode, schema)
-
-
-def extracted_or_fail(rows: DataFrame) -> DataFrame:
-    if rows.isEmpty():
-        raise RuntimeError("All rows failed extraction.")
-    return rows
+        for rows in batches:
+            for at in range(0, rows.num_rows, batch):
+                some = rows.slice(at, batch)
+                pairs = list(zip(some.column("user_prompt").to_pylist(), some.column("assistant_text").to_pylist()))
+                found = _encoded(encoder, pairs)
+                source, position, vectors, errors = [], [], [], []
+                for i, v in enumerate(found):
+                    failed = isinstance(v, str)
+                    block = [None] if failed else [v.mean(axis=0), *v[:cap]]
+                    source += [i] * len(block)
+                    position += [None] if failed else [-1, *range(len(block) - 1)]
+                    vectors += block
+                    errors += [v if failed else None] * len(block)
+                took = pa.array(source, type=pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [some.column("example_id").take(took), some.column("domain").take(took), some.column("y").take(took),
+                     pa.array(position, type=pa.int32()), pa.array(vectors, type=pa.list_(pa.float64())),
+                     pa.array(errors, type=pa.string())],
+                    ["example_id", "domain", "y", "token_position", "x", "error"])
+
+    slim = examples.select(F.col("example_id").cast("long").alias("example_id"), "domain",
+                           F.col("label").cast("int").alias("y"), "user_prompt", "assistant_text")
+    rows = written(slim.mapInArrow(encode, _EXTRACTED), "activations")
+    return Extracted(
+        rows.filter("token_position = -1").select("example_id", "domain", "y", "x"),
+        rows.filter("token_position >= 0").select("example_id", "domain", "y", "token_position", "x"),
+        rows.filter("error is not null").select("example_id", "error"))
+
+
+def extracted_or_fail(found: Extracted) -> Extracted:
+    """``found``, unless no example gave vectors."""
+    if found.means.isEmpty():
+        reasons = [r["error"] for r in found.errors.select("error").distinct().limit(3).collect()]
+        raise ValueError(f"no example could be encoded; among the errors: {reasons}")
+    return found
 
 
 def hashed_tokens(rows: DataFrame, width: int, token: str = "token") -> DataFrame:

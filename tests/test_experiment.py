@@ -6,7 +6,7 @@ from helpers import acts_frame, brute_auroc, brute_metrics, planted
 from pyspark.sql import functions as F
 
 from probewise.config import (
-    Directions, ExperimentSettings, HammingSettings, ProbeSettings, ProjectedSettings, Projection, Schedule)
+    Directions, ExperimentSettings, HammingSettings, ProbeSettings, ProjectedSettings, Projection, Quantiser, Schedule)
 from probewise.plans import evaluate, experiment
 from probewise.sources import artifacts
 
@@ -94,24 +94,24 @@ def test_hamming_experiment(spark, data, prepared, tmp_path, weighted):
 
 
 def test_unweighted_early_stop_comes_after_seven_evaluations(spark, prepared):
-    hamming = replace(SETTINGS.hamming, weighted=False, epochs=150, eval_every=5)
+    hamming = replace(SETTINGS.hamming, weighted=False, sign_schedule=Schedule(150, 512, 5, 6))
     history = experiment.run_hamming(prepared, replace(SETTINGS, hamming=hamming)).history
     assert [r["epoch"] for r in history.filter("scope = 'combined'").orderBy("epoch").collect()] == list(range(5, 36, 5))
 
 
 def test_learned_matrix_and_learned_projection(spark, data, prepared):
-    hamming = replace(SETTINGS.hamming, methods=("learned_matrix",), matrix_epochs=2)
+    hamming = replace(SETTINGS.hamming, methods=("learned_matrix",), matrix_schedule=Schedule(2, 32, 2, 6))
     results = experiment.run_hamming(prepared, replace(SETTINGS, hamming=hamming))
     check_metrics(prepared, data, results, "learned_matrix")
     assert experiment.hamming_artifacts(prepared, results, True).first()["hash_matrix"]
-    projected = replace(SETTINGS.projected, projection_method="learned", epochs=2)
+    projected = replace(SETTINGS.projected, projection=Projection(4, "learned"), schedule=Schedule(2, 512))
     results = experiment.run_projected(prepared, replace(SETTINGS, projected=projected), False)
     check_metrics(prepared, data, results, "projected")
-    plain = replace(SETTINGS.projected, use_projection=False, quantize=False, epochs=1, eval_mode="dot")
+    plain = replace(SETTINGS.projected, projection=None, quantiser=Quantiser(3, on=False), schedule=Schedule(1, 512), distance="dot")
     results = experiment.run_projected(prepared, replace(SETTINGS, projected=plain), False)
     check_metrics(prepared, data, results, "projected")
-    with pytest.raises(ValueError, match="projection method"):
-        bad = replace(SETTINGS.projected, projection_method="pca")
+    with pytest.raises(ValueError, match="row_subspace or learned"):
+        bad = replace(SETTINGS.projected, projection=Projection(4, "pca"))
         experiment.run_projected(prepared, replace(SETTINGS, projected=bad))
 
 

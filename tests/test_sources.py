@@ -104,27 +104,31 @@ def test_extraction_pools_all_tokens_and_caps_the_stored_ones(spark):
         [(0, "a", 1, "p", text), (1, "a", 0, "p", "bad"), (2, "b", 0, "p", "empty")],
         "example_id long, domain string, label int, user_prompt string, assistant_text string")
 
-    def encoder(prompt, answer):
-        if answer == "bad":
+    sizes = []
+
+    def encoder(pairs):
+        sizes.append(len(pairs))
+        if any(answer == "bad" for _, answer in pairs):
             raise RuntimeError("no")
-        if answer == "empty":
-            return np.empty((0, 3))
-        return np.arange(len(answer.split(" ")), dtype=float)[:, None] * np.ones(3)
+        return [np.empty((0, 3)) if answer == "empty" else
+                np.arange(len(answer.split(" ")), dtype=float)[:, None] * np.ones(3) for _, answer in pairs]
 
-    mean = extract.extract_activations(examples, encoder).collect()
+    found = extract.extract(examples, encoder)
+    mean = found.means.collect()
     assert [r["example_id"] for r in mean] == [0] and mean[0]["x"] == [34.5] * 3 and mean[0]["y"] == 1
-    tokens = extract.extract_activations(examples, encoder, tokens=True).collect()
-    assert len(tokens) == 64 and tokens[-1]["token_position"] == 63
+    tokens = sorted(found.tokens.collect(), key=lambda r: r["token_position"])
+    assert len(tokens) == 64 and tokens[-1]["token_position"] == 63 and tokens[5]["x"] == [5.0] * 3
+    assert {r["example_id"]: r["error"] for r in found.errors.collect()} == {1: "RuntimeError: no", 2: "no token vectors"}
     pooled = pooling.mean_pool(spark.createDataFrame(
-        [(0, [1.0, 2.0]), (0, [3.0, 4.0]), (1, [5.0, 6.0])], "example_id long, x array<double>"))
+        [(0, [1.0, 2.0]), (0, [3.0, 4.0]), (1, [5.0, 6.0])], "example_id long, x array<double>").repartition(3))
     assert {r["example_id"]: r["x"] for r in pooled.collect()} == {0: [2.0, 3.0], 1: [5.0, 6.0]}
-    with pytest.raises(RuntimeError, match="All rows failed"):
-        extract.extracted_or_fail(extract.extract_activations(examples.filter("example_id = 1"), encoder))
+    with pytest.raises(ValueError, match="RuntimeError: no"):
+        extract.extracted_or_fail(extract.extract(examples.filter("example_id = 1"), encoder))
 
-    def exhausted(prompt, answer):
+    def exhausted(pairs):
         raise RuntimeError("CUDA out of memory")
     with pytest.raises(Exception, match="out of memory"):
-        extract.extract_activations(examples, exhausted).collect()
+        extract.extract(examples, exhausted)
 
 
 def test_hash_encoder_equals_its_jvm_form(spark):
