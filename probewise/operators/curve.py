@@ -2,9 +2,9 @@
 
 Scores are first counted per (group, score, class), which collapses ties before
 any shuffle of rows. The distinct scores of one group are then spread over bins
-of its score range, so that no task ever orders a whole group: running counts
-inside a bin come from a window over (group, bin), and what lies below the bin
-from a window over the bin totals.
+with about as many scores each, whatever their distribution, so that no task ever
+orders a whole group: running counts inside a bin come from a window over (group, bin),
+and what lies below the bin from a window over the bin totals.
 """
 
 from __future__ import annotations
@@ -14,10 +14,10 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from probewise.operators.small import SMALL_ROWS
 from probewise.workspace import written
 
-BINS = 1 << 14
+STEPS = 32            # bins are found in two steps of so many; their square is the number of bins
+MOST_RANGES = 1 << 13  # groups whose bin edges, 8 KB each, may be broadcast
 
 
 def count_scores(df: DataFrame, keys: Sequence[str], score: str = "score", y: str = "y") -> DataFrame:
@@ -36,19 +36,26 @@ def stored_counts(df: DataFrame, keys: Sequence[str], score: str = "score", y: s
 def _binned(counts: DataFrame, keys: Sequence[str], groups: int | None) -> DataFrame:
     """Add n_pos, n_neg and a bin number that grows with the score.
 
-    ``groups`` is the number of groups when the caller knows it; a known small
-    number lets the per-group ranges be broadcast.
+    Edges are quantiles of the group's distinct scores from a mergeable sketch, so a bin holds
+    at most about a 500th of them. ``groups`` is the number of groups when the caller knows
+    it; a known small number lets the edges be broadcast.
     """
+    bins = STEPS * STEPS
+    edges = F.percentile_approx("score", [i / bins for i in range(1, bins)], 2 * bins)
     ranges = counts.groupBy(*keys).agg(
-        F.min("score").alias("_lo"), F.max("score").alias("_hi"),
-        F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"),
-    )
-    if groups is not None and groups <= SMALL_ROWS:
+        edges.alias("_edges"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"),
+    ).select(
+        *keys, "n_pos", "n_neg", F.filter("_edges", lambda e, i: i % STEPS == STEPS - 1).alias("_coarse"),
+        F.transform(F.sequence(F.lit(0), F.lit(STEPS - 1)), lambda c: F.slice("_edges", c * STEPS + 1, F.lit(STEPS - 1))).alias("_fine"))
+    if groups is not None and groups <= MOST_RANGES:
         ranges = F.broadcast(ranges)
-    share = (F.col("score") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    bin_number = F.when(F.col("_hi") > F.col("_lo"), F.floor(share * BINS)).otherwise(F.lit(0))
-    return (counts.join(ranges, list(keys))
-            .withColumn("_bin", bin_number.cast("int")).drop("_lo", "_hi"))
+
+    def reached(among: Column) -> Column:
+        return F.size(F.filter(among, lambda e: e <= F.col("score")))
+
+    placed = counts.join(ranges, list(keys)).withColumn("_step", reached(F.col("_coarse")))
+    return placed.withColumn("_bin", F.col("_step") * STEPS + reached(F.get("_fine", F.col("_step")))).drop(
+        "_step", "_coarse", "_fine")
 
 
 def auroc(counts: DataFrame, keys: Sequence[str], groups: int | None = None) -> DataFrame:

@@ -83,3 +83,13 @@ def test_metrics_at_threshold(spark, groups):
 def test_unknown_metric(spark, groups):
     with pytest.raises(ValueError):
         curve.select_threshold(spark.createDataFrame([("a", 0.1, 0.5)], "g string, threshold double, auroc double"), ["g"], "auroc")
+
+
+def test_one_outlier_does_not_fill_a_bin(spark):
+    counts = spark.range(50_000).select(
+        F.lit("a").alias("domain"), (F.col("id") / 50_000).alias("score"), (F.col("id") % 2).alias("pos"), (1 - F.col("id") % 2).alias("neg"))
+    outlier = spark.createDataFrame([("a", 1e12, 1, 0)], "domain string, score double, pos long, neg long")
+    binned = curve._binned(counts.unionByName(outlier), ["domain"], 1)
+    assert binned.groupBy("_bin").count().agg(F.max("count")).first()[0] <= 50_000 / 500
+    assert binned.groupBy("_bin").agg(F.min("score").alias("lo"), F.max("score").alias("hi")).orderBy("_bin").selectExpr(
+        "lo > coalesce(lag(hi) over (order by _bin), -1) as apart").filter("not apart").isEmpty()
