@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probewise.llm import exact, mixing, nearcopies, packing, toxicity
-from probewise.llm.shared import table, unpacked
-from probewise.workspace import shared_folder, ship
+from probewise.llm.shared import row_of, table, unpacked, without
+from probewise.workspace import shared_folder, ship, written
 
 #: The classifier has no SQL form; tests compare the stages with brute-force versions.
 ORACLE_SQL = None
@@ -24,7 +24,11 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents that the toxicity model rejects go."""
     ship(spark)
     model = toxicity.fitted(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model, carry=docs.columns).filter("predicted = 0").select(*unpacked(docs.columns))
+    key = F.xxhash64("doc_id", "text")  # the same id and text score alike, so the key names what is rejected
+    scores = toxicity.scored(docs.select(key.alias("doc_id"), "text"), model)
+    rejected = scores.filter("predicted = 1").select(F.col("doc_id").alias("row_key")).distinct()
+    keyed = docs.select(key.alias("row_key"), row_of(docs.columns).alias("row"))
+    return without(keyed, written(rejected, "rejected"), "row_key").select(*unpacked(docs.columns))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

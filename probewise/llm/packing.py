@@ -18,6 +18,7 @@ from probewise.llm.shared import row_of, whole_text, with_row
 LIMITS = (1024, 64, 1024)  # tokens, segments, loss-bearing tokens of a sequence
 END = 0                    # the id that closes a document
 WAITING = 1024             # pieces a task gathers before it packs them
+ROWS = 2048                # pieces of an output batch
 KEPT_BACK = 128            # of these, left for the next round so that late pieces find company
 VOCABULARY = "byte_bpe_50k.tiktoken"  # the ranks of byte_bpe_50k.json; gives the same ids, several times faster
 
@@ -130,8 +131,8 @@ def packed(docs: DataFrame, limits: tuple[int, int, int] = LIMITS, vocabulary: s
 
         def rows(fields: pa.Schema) -> Iterator[pa.RecordBatch]:
             done, packer.done = packer.done, []
-            for at in range(0, len(done), 5000):
-                some = done[at:at + 5000]
+            for at in range(0, len(done), ROWS):
+                some = done[at:at + ROWS]
                 cut = [d.ids[s:e].astype("<u4") for d, s, e, _, _ in some]
                 columns = [
                     [d.doc_id for d, *_ in some], [s for _, s, *_ in some], [e - s for _, s, e, *_ in some],
@@ -155,6 +156,8 @@ def packed(docs: DataFrame, limits: tuple[int, int, int] = LIMITS, vocabulary: s
                 ids = encode(text.as_py(), allowed_special="all")
                 ids = np.concatenate((first, ids, ends)).astype(np.uint32) if prompt else np.append(ids, ends)
                 packer.add(Document(doc_id, ids, len(first), extra[i].as_py() if carry else None))
+                if len(packer.done) >= ROWS:  # so that the ids of documents packed already can go
+                    yield from rows(fields)
             yield from rows(fields)
         if fields is not None:
             packer.pack()

@@ -23,7 +23,8 @@ STEMS = (4, 5, 6)    # lengths of word beginnings that may enter the lexicon
 MOST_CANDIDATES = 20_000
 MOST_TERMS = 400
 NEAR = 12            # words on either side that make the context of a hit
-REMEMBERED = 400_000
+REMEMBERED = 150_000  # words whose match a task keeps
+COUNTED = 100_000     # pieces a task counts before it sends them on
 _WORD = re.compile(r"\w+")
 _QUOTES = "\"“”„«»‹›"
 
@@ -198,15 +199,20 @@ def _pieces(words: set[str]) -> set[str]:
 
 def _partial_counts(rows: DataFrame, wanted=None) -> DataFrame:
     """(piece, n): documents of each task that hold a piece; ``wanted`` limits the pieces."""
+    def counted(counts: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(counts), type=pa.string()), pa.array(list(counts.values()), type=pa.int64())], names=["piece", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
         for batch in batches:
-            counts: Counter = Counter()
             for text in batch.column("text"):
                 found = _pieces(set(_WORD.findall(text.as_py().lower())))
                 counts.update(found if wanted is None else found & wanted.value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), type=pa.string()), pa.array(list(counts.values()), type=pa.int64())],
-                names=["piece", "n"])
+                if len(counts) > COUNTED:
+                    yield counted(counts)
+                    counts.clear()
+        yield counted(counts)
 
     return rows.select("text").mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
 
