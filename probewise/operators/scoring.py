@@ -139,7 +139,7 @@ class ProjectedModel:
             best = distance.argmin(axis=1)
             nearest = distance[np.arange(len(best)), best]
             return -0.5 * (nearest - square - constant) + self.bias, best
-        raise ValueError(f"Unknown eval mode: {mode}")
+        raise ValueError(f"rows are scored by dot or euclidean, not {mode!r}")
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """Scores from exact level products; both modes rank rows this way."""
@@ -165,7 +165,7 @@ def hamming_scores(rows: DataFrame, model: HammingModel, x: str = "x") -> DataFr
 def projected_scores(rows: DataFrame, model: ProjectedModel, mode: str | None = None,
                      x: str = "x") -> DataFrame:
     if (mode or model.eval_mode) not in ("dot", "euclidean"):
-        raise ValueError(f"Unknown eval mode: {mode}")
+        raise ValueError(f"rows are scored by dot or euclidean, not {mode!r}")
 
     @arrow_udf("struct<score double, winner int>")
     def best(column: pa.Array) -> pa.Array:

@@ -165,7 +165,7 @@ def run_projected(prepared: Prepared, settings: ExperimentSettings = ExperimentS
     for s in usable:
         for name in splits.SPLITS:
             if not sum(prepared.n_train.get((s, name), (0, 0))):
-                raise ValueError(f"Empty split {name} for scope {prepared.scopes.names[s]}")
+                raise ValueError(f"scope {prepared.scopes.names[s]} has no rows in {name}")
     learned = cfg.projection is not None and cfg.projection.method in ("learned", "learned_supervised")
     kind = LearnedProjection if learned else ProjectedReadout
     names = {s: prepared.scopes.names[s] for s in usable}
@@ -293,7 +293,7 @@ def run_hamming(prepared: Prepared, settings: ExperimentSettings = ExperimentSet
                 prepared, learners, (0,), matrix, plan, margin=1e-5, pending=plan.patience or 8)
             models = training.final_models(learners, progress)
         else:
-            raise ValueError(method)
+            raise ValueError(f"no Hamming method is called {method!r}")
         checked = _evaluate(prepared, models, val, (0,), "hamming", cfg.threshold_metric)
         for s, model in models.items():
             model.threshold = checked.thresholds[s]

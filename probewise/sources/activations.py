@@ -19,7 +19,7 @@ def read_activations(spark: SparkSession, path: str, tokens: bool = False) -> Da
 def require_columns(table: DataFrame, required: tuple[str, ...] = MEAN_COLUMNS) -> DataFrame:
     missing = sorted(set(required) - set(table.columns))
     if missing:
-        raise KeyError(f"Saved activations are missing required columns: {missing}")
+        raise KeyError(f"the stored activations lack the columns {missing}")
     return table
 
 

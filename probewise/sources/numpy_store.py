@@ -33,13 +33,13 @@ def array_names(folder: Path) -> list[str]:
     else:
         names = [p.stem for p in sorted(folder.glob("*.npy"))]
     if not names:
-        raise ValueError(f"No .npy arrays found in {folder}")
+        raise ValueError(f"{folder} holds no .npy file")
     for name in names:
         if folder.is_dir() and not (folder / f"{name}.npy").exists():
             raise FileNotFoundError(folder / f"{name}.npy")
     missing = sorted(set(REQUIRED) - set(names))
     if missing:
-        raise KeyError(f"Saved activations are missing required arrays: {missing}")
+        raise KeyError(f"the store lacks the arrays {missing}")
     return names
 
 

@@ -19,7 +19,7 @@ def _document_layout(df: DataFrame, path: str) -> DataFrame:
     for key in JSON_WRAPPER_KEYS:
         if isinstance(fields.get(key), T.ArrayType):
             if not _is_row_list(fields[key]):
-                raise ValueError(f"Unsupported JSON layout: {path}")
+                raise ValueError(f"{path} is neither a list of records nor equally long keyed lists")
             return df.select(F.inline(f"`{key}`"))
     lists = [n for n, kind in fields.items() if isinstance(kind, T.ArrayType)]
     keyed = [n for n in lists if _is_row_list(fields[n])]
@@ -32,7 +32,7 @@ def _document_layout(df: DataFrame, path: str) -> DataFrame:
     if keyed:
         parts = [df.select(F.inline(f"`{n}`")).withColumn("_split_or_key", F.lit(n)) for n in keyed]
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    raise ValueError(f"Unsupported JSON layout: {path}")
+    raise ValueError(f"{path} is neither a list of records nor equally long keyed lists")
 
 
 def read_json_document(spark: SparkSession, path: str) -> DataFrame:
@@ -54,4 +54,4 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
         return spark.read.csv(path, header=True, inferSchema=True, multiLine=True, escape='"')
     if suffix == "parquet":
         return spark.read.parquet(path)
-    raise ValueError(f"Unsupported file suffix: {path}")
+    raise ValueError(f"no reader for the suffix of {path}")

@@ -123,7 +123,7 @@ def test_json_keyed_layout_and_formats(spark, tmp_path):
     assert tables.read_table(spark, str(tmp_path / "t.parquet")).count() == 2
     odd = tmp_path / "odd.json"
     odd.write_text(json.dumps({"a": 1}))
-    with pytest.raises(ValueError, match="Unsupported JSON layout"):
+    with pytest.raises(ValueError, match="keyed lists"):
         tables.read_table(spark, str(odd))
     with pytest.raises(ValueError, match="suffix"):
         tables.read_table(spark, str(tmp_path / "x.pkl"))

@@ -78,7 +78,7 @@ def test_numpy_store(spark, tmp_path):
     with pytest.raises(Exception, match="gone.npy"):
         spark.read.format("numpy_store").load(str(tmp_path)).count()
     (tmp_path / "manifest.json").write_text(json.dumps({"arrays": {"X_mean": {}}}))
-    with pytest.raises(Exception, match="missing required arrays"):
+    with pytest.raises(Exception, match="lacks the arrays"):
         spark.read.format("numpy_store").load(str(tmp_path)).count()
 
 
