@@ -14,7 +14,7 @@ def _is_row_list(kind: T.DataType) -> bool:
 
 
 def _document_layout(df: DataFrame, path: str) -> DataFrame:
-    """Rows of a JSON document: wrapped list, dict of columns, or lists by key."""
+    """Rows of a JSON document: a wrapped list, equally long lists as columns (also lists of records), or lists of records by key."""
     fields = {f.name: f.dataType for f in df.schema.fields}
     for key in JSON_WRAPPER_KEYS:
         if isinstance(fields.get(key), T.ArrayType):
@@ -24,7 +24,7 @@ def _document_layout(df: DataFrame, path: str) -> DataFrame:
     lists = [n for n, kind in fields.items() if isinstance(kind, T.ArrayType)]
     keyed = [n for n in lists if _is_row_list(fields[n])]
     single = [n for n in fields if n not in lists]
-    if lists and not keyed and not any(isinstance(fields[n], (T.StructType, T.MapType)) for n in single):
+    if lists and not any(isinstance(fields[n], (T.StructType, T.MapType)) for n in single):
         sizes = df.select(*[F.size(f"`{n}`").alias(f"c{i}") for i, n in enumerate(lists)]).first()
         if len(set(sizes)) == 1:  # a single value stands for every row
             return df.select(*[F.col(f"`{n}`") for n in single],

@@ -113,9 +113,14 @@ def test_json_layouts(spark, tmp_path, name, content):
 
 def test_json_keyed_layout_and_formats(spark, tmp_path):
     keyed = tmp_path / "keyed.json"
-    keyed.write_text(json.dumps({"first": ROWS[:1], "second": ROWS[1:]}))
+    keyed.write_text(json.dumps({"first": ROWS[:1], "second": ROWS[1:] + ROWS[1:]}))
     rows = tables.read_table(spark, str(keyed)).orderBy("text").collect()
-    assert [(r["text"], r["_split_or_key"]) for r in rows] == [("a", "first"), ("b", "second")]
+    assert [(r["text"], r["_split_or_key"]) for r in rows] == [("a", "first"), ("b", "second"), ("b", "second")]
+    equal = tmp_path / "equal.json"
+    equal.write_text(json.dumps({"first": ROWS, "second": ROWS[::-1]}))
+    table = tables.read_table(spark, str(equal))
+    assert table.columns == ["first", "second"] and table.count() == 2
+    assert {(r["assistant_text"], r["label"]) for r in normalize(table, "facts", "p").collect()} == {("a", 0), ("b", 1)}
     lines = tmp_path / "rows.jsonl"
     lines.write_text("\n".join(json.dumps(r) for r in ROWS))
     assert tables.read_table(spark, str(lines)).count() == 2
