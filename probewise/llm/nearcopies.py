@@ -82,17 +82,13 @@ def estimates(lanes: np.ndarray) -> np.ndarray:
 
 
 def strongest_tree(similar: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of the maximum spanning forest above ``HOPELESS``.
-
-    The classes that links above any threshold make are those that the forest's edges above
-    it make, so no other pair of the block need be verified.
-    """
+    """Edges of the maximum spanning forest above ``HOPELESS``."""
     n = len(similar)
     best, source = similar[0].copy(), np.zeros(n, dtype=np.int64)
     open_ = np.ones(n, dtype=bool)
     open_[0], edges = False, []
     for _ in range(n - 1):
-        at = int(np.where(open_, best, -1.0).argmax())
+        at = int(np.where(open_, best, -2.0).argmax())
         if best[at] >= HOPELESS:
             edges.append((int(source[at]), at))
         open_[at] = False
@@ -101,6 +97,27 @@ def strongest_tree(similar: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
+def open_pairs(similar: np.ndarray, roots: np.ndarray, done: np.ndarray, turns: int) -> np.ndarray:
+    """Pairs (k x 2) of members to verify next: up to ``turns`` disjoint maximum spanning forests.
+
+    Members with the same root count as one, and pairs in ``done`` (k x 2) are not used again. The forests
+    reach across all pairs left at or above ``HOPELESS``: when every pair given out joins its two roots,
+    or none is given out, no pair of the block is left whose test could change the classes.
+    """
+    similar = similar.copy()
+    similar[done[:, 0], done[:, 1]] = similar[done[:, 1], done[:, 0]] = -1.0
+    similar[roots[:, None] == roots[None, :]] = 2.0
+    found = [np.zeros((0, 2), dtype=np.int64)]
+    for _ in range(turns):
+        edges = np.array(strongest_tree(similar), dtype=np.int64).reshape(-1, 2)
+        edges = edges[roots[edges[:, 0]] != roots[edges[:, 1]]]
+        if not len(edges):
+            break
+        similar[edges[:, 0], edges[:, 1]] = similar[edges[:, 1], edges[:, 0]] = -1.0
+        found.append(edges)
+    return np.concatenate(found)
+
+
 def similarity(one: np.ndarray, other: np.ndarray, enough: float = SIMILAR) -> float:
     """Aligned k-mers over all k-mers of two texts, if that is at least ``enough``; else a lower value.
 
@@ -180,47 +197,53 @@ def _sketches(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, keys array<long>, lanes binary")
 
 
-def _block_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b) worth verifying among rows (block, doc_id, lanes) of each block, which are sorted by block."""
-    def solve(ids: np.ndarray, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ids, at = np.unique(ids, return_index=True)
-        if len(ids) < 2:
-            return ids[:0], ids[:0]
-        edges = np.array(strongest_tree(estimates(lanes[at])), dtype=np.int64).reshape(-1, 2)
-        pairs = np.sort(ids[edges], axis=1)
-        return pairs[:, 0], pairs[:, 1]
+def _block_pairs(rows: DataFrame, turns: int) -> DataFrame:
+    """(block, a, b) to verify next, from rows (block, doc_id, other, lanes) sorted by block.
+
+    A row with lanes is a member and ``other`` its root; one without is a pair given out before.
+    """
+    def solve(block: int, ids: np.ndarray, others: np.ndarray, lanes: np.ndarray, member: np.ndarray) -> tuple:
+        known, at = np.unique(ids[member], return_index=True)
+        if len(known) < 2:
+            return np.zeros(0, np.int64), known[:0], known[:0]
+        done = np.stack([np.searchsorted(known, ids[~member]), np.searchsorted(known, others[~member])], axis=1)
+        edges = open_pairs(estimates(lanes[member][at]), others[member][at], done, turns)
+        pairs = np.sort(known[edges], axis=1)
+        return np.full(len(pairs), block), pairs[:, 0], pairs[:, 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def result(found: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]), type=pa.int64()) for k in (0, 1)],
-                names=["a", "b"])
+                [pa.array(np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]), type=pa.int64()) for k in (0, 1, 2)],
+                names=["block", "a", "b"])
 
         held: tuple | None = None
+        none = bytes(LANES)
         for batch in batches:
-            block = batch.column("block").to_numpy()
-            ids = batch.column("doc_id").to_numpy()
-            lanes = np.frombuffer(b"".join(batch.column("lanes").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
+            given = batch.column("lanes").to_pylist()
+            now = (
+                batch.column("block").to_numpy(), batch.column("doc_id").to_numpy(), batch.column("other").to_numpy(),
+                np.frombuffer(b"".join(none if x is None else x for x in given), dtype=np.uint8).reshape(len(given), LANES),
+                np.array([x is not None for x in given], dtype=bool))
             if held is not None:
-                block, ids, lanes = (np.concatenate((x, y)) for x, y in zip(held, (block, ids, lanes)))
+                now = tuple(np.concatenate((x, y)) for x, y in zip(held, now))
+            block = now[0]
             cuts = np.flatnonzero(np.diff(block, prepend=block[:1] ^ 1)) if len(block) else np.zeros(0, np.int64)
-            found = [solve(ids[low:high], lanes[low:high]) for low, high in zip(cuts, cuts[1:])]
+            found = [solve(block[low], *(x[low:high] for x in now[1:])) for low, high in zip(cuts, cuts[1:])]
             last = cuts[-1] if len(cuts) else 0
-            held = (block[last:], ids[last:], lanes[last:])
+            held = tuple(x[last:] for x in now)
             yield result(found)
         if held is not None and len(held[0]):
-            yield result([solve(held[1], held[2])])
+            yield result([solve(held[0][0], *held[1:])])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "block long, a long, b long")
 
 
-def candidate_pairs(sketches: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, of texts that share a bucket and may be similar.
+def _bucketed(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct (a, b), a < b, that are buckets of two, and (block, doc_id) of the larger buckets.
 
-    Buckets with one member end here, and of buckets with the same members one is kept. Two members
-    are a pair; more are compared by signature in blocks of ``BLOCK``, every block with every
-    other of its bucket, and only the strongest spanning forest of each comes out, so pairs grow with the
-    members and not with their square.
+    Buckets with one member end here, and of buckets with the same members one is kept. Larger
+    buckets are compared by signature in blocks of ``BLOCK``, every block with every other of its bucket.
     """
     members = sketches.select("doc_id", F.explode("keys").alias("key"))
     buckets = (
@@ -234,10 +257,54 @@ def candidate_pairs(sketches: DataFrame) -> DataFrame:
         members.join(large, "key").withColumn("own", own)
         .select("doc_id", "key", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
         .select("doc_id", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("block")))
-    rows = placed.join(sketches.select("doc_id", "lanes"), "doc_id").select("block", "doc_id", "lanes")
-    found = _block_pairs(rows.repartition("block").sortWithinPartitions("block"))
     two = buckets.filter("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    return two.unionByName(found).distinct()
+    return two, written(placed, "near-blocks")
+
+
+def _either(a: DataFrame | None, b: DataFrame) -> DataFrame:
+    return b if a is None else a.unionByName(b)
+
+
+def _linked(texts: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(node, root) of the texts that verified pairs link, among those that share a bucket.
+
+    Every round gives out the strongest open pairs of each block, verifies them and takes the
+    components. A block goes on while a pair it gave out has not come together, and
+    gives out four times as many forests each time, so that rounds grow with the logarithm of
+    a block's members. At the end every pair of a block at or above ``HOPELESS`` has
+    been verified or is in one class already.
+    """
+    two, placed = _bucketed(sketches)
+    given = tested = links = roots = active = None
+    turns = 1
+    while True:
+        lanes = sketches.select("doc_id", "lanes")
+        if active is None:
+            rows = placed.join(lanes, "doc_id").select("block", "doc_id", F.col("doc_id").alias("other"), "lanes")
+        else:
+            root = F.coalesce("root", "doc_id").alias("other")
+            rows = (
+                placed.join(active, "block").join(lanes, "doc_id")
+                .join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("block", "doc_id", root, "lanes")
+                .unionByName(given.join(active, "block").select(
+                    "block", F.col("a").alias("doc_id"), F.col("b").alias("other"), F.lit(None).cast("binary").alias("lanes"))))
+        found = written(_block_pairs(rows.repartition("block").sortWithinPartitions("block"), turns), "near-found")
+        pairs = found.select("a", "b")
+        pairs = pairs.unionByName(two).distinct() if tested is None else pairs.distinct().join(tested, ["a", "b"], "left_anti")
+        pairs = written(pairs, "near-pairs")
+        fresh = written(_verified(_with_texts(pairs, texts)).distinct(), "near-links")
+        if links is None or not fresh.isEmpty():
+            links = _either(links, fresh)
+            roots = components(links)
+        given, tested = _either(given, found), _either(tested, pairs)
+        ends = found
+        for end in ("a", "b"):
+            ends = ends.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+        apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
+        active = written(ends.filter(apart).select("block").distinct(), "near-active")
+        if active.isEmpty():
+            return roots
+        turns *= 4
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
@@ -258,6 +325,16 @@ def _verified(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, one, other): ``pairs`` with the texts of both."""
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    words, bits = sieve(ids)
+    wanted = sifted(texts, words, bits, [F.col("doc_id")]).filter("candidate").select("doc_id", "text")
+    return (
+        pairs.join(wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b")
+        .join(wanted.select(F.col("doc_id").alias("a"), F.col("text").alias("one")), "a").select("a", "b", "one", "other"))
+
+
 def _placed(texts: DataFrame) -> DataFrame:
     """(doc_id, class) for every row of ``texts`` (doc_id never missing, text never missing)."""
     rows = written(_sequences(texts), "near-sequences")
@@ -265,15 +342,7 @@ def _placed(texts: DataFrame) -> DataFrame:
     copies = written(rows.join(firsts, ["one", "two"]).filter("first < doc_id").select("doc_id").distinct(), "near-copies")
     distinct = without(texts, copies, "doc_id")
     sketches = written(_sketches(distinct).dropDuplicates(["doc_id"]), "sketches")
-    pairs = written(candidate_pairs(sketches), "near-pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    words, bits = sieve(ids)
-    wanted = sifted(texts, words, bits, [F.col("doc_id")]).filter("candidate").select("doc_id", "text")
-    both = (
-        pairs.join(wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b")
-        .join(wanted.select(F.col("doc_id").alias("a"), F.col("text").alias("one")), "a"))
-    links = written(_verified(both.select("a", "b", "one", "other")).distinct(), "near-links")
-    roots = components(links)
+    roots = _linked(texts, sketches)
 
     classes = written(
         firsts.join(roots, F.col("first") == F.col("node"), "left")

@@ -31,6 +31,42 @@ def test_classes_by_brute_force(spark, monkeypatch):
     assert kept == set(expected.values())
 
 
+def around_the_threshold(rng, families=4, members=20):
+    """Variants of a text of which some align just enough with each other, some with a passage moved."""
+    words = [f"w{i}" for i in range(3000)]
+    texts = {}
+    for _ in range(families):
+        base = rng.sample(words, 120)
+        for _ in range(members):
+            own = list(base)
+            for _ in range(rng.choice([1, 1, 2, 2, 3])):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            if rng.random() < 0.4:
+                cut = rng.randint(20, 100)
+                own = own[cut:] + own[:cut]
+            texts[len(texts)] = " ".join(own)
+    return texts
+
+
+def test_classes_of_variants_around_the_threshold(spark):
+    texts = around_the_threshold(random.Random(2))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    expected = plain.near_classes(texts)
+    assert {r.doc_id: r.class_id for r in n.near_classes(docs).collect()} == expected
+
+
+def test_every_open_pair_comes_out():
+    rng = np.random.default_rng(17)
+    for _ in range(20):
+        similar = rng.uniform(0.5, 1.0, (12, 12))
+        similar = (similar + similar.T) / 2
+        roots, done, turns = rng.integers(0, 8, 12), np.zeros((0, 2), dtype=np.int64), 1
+        wanted = {(i, j) for i in range(12) for j in range(i + 1, 12) if similar[i, j] >= n.HOPELESS and roots[i] != roots[j]}
+        while len(pairs := n.open_pairs(similar, roots, done, turns)):  # none of them verified
+            done, turns = np.concatenate((done, pairs)), turns * 2
+        assert len(done) == len(wanted) and {tuple(sorted(p)) for p in done.tolist()} == wanted
+
+
 def test_order_matters(spark):
     rng = random.Random(13)
     words = [f"w{i}" for i in range(400)]
