@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probewise.llm import (
-    exact, fingerprint, mixing, nearcopies, negatives, packing, personal, quality, sharding, substrings, toxicity)
+    exact, fingerprint, mixing, nearcopies, negatives, packing, personal, quality, sharding, squares, substrings,
+    toxicity)
 from probewise.llm.shared import table
 from probewise.workspace import ship
 
@@ -70,9 +71,14 @@ def op11_strassen_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, shifted)
 
 
+def op12_dyadic_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return squares.periodic_runs(table(spark, sf_dir), squares.looped)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_personal_data, op2_anchor_substrings, op3_toxicity, op4_quality, op5_order_minhash, op6_source_mix, op7_exact_dedup, op8_vector_packing, op9_piecewise_hash, op10_virtual_slots,
-    op11_strassen_negatives)}
+    op11_strassen_negatives, op12_dyadic_squares)}
 
 _BLANKS = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 
@@ -180,4 +186,45 @@ found AS (
   FROM positives p JOIN scores s USING (anchor_id)
   WHERE NOT s.same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score)
 SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM found WHERE rank <= 5""",
+    "op12_dyadic_squares": """
+WITH crc AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS given,
+         4294967295 - list_reduce(
+           list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(doc_id::VARCHAR, '.'), lambda c: ascii(c)::BIGINT)),
+           lambda crc, byte: list_reduce([xor(crc, byte), 1, 1, 1, 1, 1, 1, 1, 1]::BIGINT[],
+                                         lambda x, step: xor(x >> 1, (x & 1) * 3988292384))) AS h
+  FROM documents),
+ends AS (SELECT doc_id, given, len(given) AS n, h % 10 = 0 AND len(given) > 0 AS moved, h // 10 AS g FROM crc),
+parts AS (
+  SELECT *, CASE WHEN moved THEN g % n ELSE n END AS a,
+         CASE WHEN moved THEN 1 + (n - g % n) // (3 + g % 8) ELSE 1 END AS p
+  FROM ends),
+texts AS (
+  SELECT doc_id, n, CASE WHEN moved THEN list_transform(range(n), lambda i: given[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END])
+                         ELSE given END AS w
+  FROM parts),
+threes AS (
+  SELECT doc_id, n, i, md5(w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) AS three
+  FROM (SELECT doc_id, n, w, unnest(range(n - 2)) AS i FROM texts WHERE n >= 6)),
+alike AS (
+  SELECT x.doc_id, y.i - x.i AS period, x.i AS i
+  FROM threes x JOIN threes y ON x.doc_id = y.doc_id AND x.three = y.three AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+stretches AS (
+  SELECT doc_id, min(i) AS start, count(*) + 2 + period AS length, period
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, period ORDER BY i) AS part FROM alike)
+  GROUP BY doc_id, period, part HAVING count(*) + 2 + period >= greatest(6, 4 * period)),
+runs AS (SELECT doc_id, start, length, min(period) AS period FROM stretches GROUP BY doc_id, start, length),
+listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed,
+         arg_min({'start': start, 'length': length, 'period': period}, {'a': -length, 'b': start, 'c': period}) AS best
+  FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (
+  SELECT k.doc_id, string_agg(k.word, ' ' ORDER BY k.i) AS kept
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(n)) AS i FROM texts) k
+  LEFT JOIN gone g ON g.doc_id = k.doc_id AND g.i = k.i WHERE g.i IS NULL GROUP BY k.doc_id)
+SELECT t.doc_id, coalesce(l.n_runs, 0)::BIGINT AS n_runs, l.best.start::BIGINT AS start, l.best.length::BIGINT AS length,
+       l.best.period::BIGINT AS period, (1000 * l.best.length // l.best.period)::BIGINT AS exponent_milli,
+       sha256(coalesce(l.listed, '')) AS runs_sha256, sha256(coalesce(k.kept, '')) AS collapsed_sha256
+FROM texts t LEFT JOIN listed l USING (doc_id) LEFT JOIN kept k USING (doc_id)""",
 }
