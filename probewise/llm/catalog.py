@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probewise.llm import (
-    exact, fingerprint, mixing, nearcopies, negatives, packing, personal, quality, sharding, squares, substrings,
+    exact, fingerprint, languages, mixing, nearcopies, negatives, packing, personal, quality, sharding, squares, substrings,
     toxicity)
 from probewise.llm.shared import table
 from probewise.workspace import ship
@@ -76,9 +76,16 @@ def op12_dyadic_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return squares.periodic_runs(table(spark, sf_dir), squares.looped)
 
 
+def op13_language_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    docs = table(spark, sf_dir)
+    return languages.labelled(docs, languages.fitted(docs))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_personal_data, op2_anchor_substrings, op3_toxicity, op4_quality, op5_order_minhash, op6_source_mix, op7_exact_dedup, op8_vector_packing, op9_piecewise_hash, op10_virtual_slots,
-    op11_strassen_negatives, op12_dyadic_squares)}
+    op11_strassen_negatives, op12_dyadic_squares,
+    op13_language_chain)}
 
 _BLANKS = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 

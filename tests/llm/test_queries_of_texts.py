@@ -13,6 +13,8 @@ RESULTS = {
     "op7_exact_dedup": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"],
     "op8_vector_packing": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
     "op9_piecewise_hash": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+    "op12_dyadic_squares": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
+    "op13_language_chain": ["doc_id", "held_out", "lang_pred", "score"],
     "op10_virtual_slots": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
 }
 
