@@ -18,13 +18,12 @@ SHINGLE = 5      # words of a k-mer
 SIMILAR = 0.8    # share of k-mers that must align
 SKETCHES = 16
 TAKEN = 3        # k-mers of a sketch, in text order
-LANES = 128      # bytes of the signature that thins out large buckets
-HOPELESS = 0.6   # estimated similarity (standard error 0.035) below which a pair of a large bucket is let go
-BLOCK = 1024     # members of a bucket that are compared with each other at once
+BLOCK = 4096     # texts of a bucket that are compared with each other in one task
+BLOCK_WORDS = 1 << 22  # words of such texts
+RARE = 8         # k-mers of up to so many texts are counted pair by pair, others by matrix products
 NO_ID = 1 << 62  # missing ids are numbered from here by a hash of the text
 
 _SEEDS = w.mixed(np.arange(1, SKETCHES + 1, dtype=np.uint64) * w.ODD)
-_BINS = (np.arange(LANES, dtype=np.uint64) << np.uint64(64 - (LANES - 1).bit_length()))
 
 
 def shingles(words: list[str], size: int = SHINGLE) -> np.ndarray:
@@ -47,15 +46,13 @@ def labelled(kmers: np.ndarray) -> np.ndarray:
     return w.mixed(kmers + turn * w.ODD)
 
 
-def sketch(kmers: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """Bucket keys and a signature of a text with at least one k-mer.
+def sketch(kmers: np.ndarray) -> np.ndarray:
+    """Bucket keys of a text with at least one k-mer.
 
     For each seed the ``TAKEN`` labelled k-mers with the least hash are put in text order;
-    the key is a hash of that row. The signature has a byte of the least labelled k-mer of
-    each of ``LANES`` ranges, 0 for an empty range.
+    the key is a hash of that row.
     """
-    marks = labelled(kmers)
-    values = w.mixed(marks[None, :] ^ _SEEDS[:, None])
+    values = w.mixed(labelled(kmers)[None, :] ^ _SEEDS[:, None])
     if len(kmers) > TAKEN:
         at = np.sort(np.argpartition(values, TAKEN - 1, axis=1)[:, :TAKEN], axis=1)
     else:
@@ -63,33 +60,43 @@ def sketch(kmers: np.ndarray) -> tuple[np.ndarray, bytes]:
     keys = _SEEDS.copy()
     for column in range(at.shape[1]):
         keys = w.mixed(keys * w.ODD + kmers[at[:, column]])
-    ordered = np.append(np.sort(marks), np.uint64(0))
-    first = np.searchsorted(ordered[:-1], _BINS)
-    filled = np.append(first[1:], len(marks)) > first
-    lanes = np.where(filled, (ordered[first] >> np.uint64(20)) % np.uint64(255) + np.uint64(1), 0).astype(np.uint8)
-    return keys, lanes.tobytes()
-
-
-def estimates(lanes: np.ndarray) -> np.ndarray:
-    """Estimated similarity of all rows of ``lanes`` (members x LANES), within one block."""
-    n = len(lanes)
-    equal = np.zeros((n, n), dtype=np.uint8)
-    for lane in lanes.T:
-        equal += lane[:, None] == lane[None, :]
-    empty = (lanes == 0).astype(np.float32)
-    both = empty @ empty.T
-    return (equal - both) / np.maximum(1, lanes.shape[1] - both)
+    return keys
+
+
+def common(marks: list[np.ndarray]) -> np.ndarray:
+    """How many labelled k-mers each two texts share, which is no less than how many align."""
+    n = len(marks)
+    owner = np.repeat(np.arange(n), [len(m) for m in marks])
+    _, kind, often = np.unique(np.concatenate(marks), return_inverse=True, return_counts=True)
+    out = np.zeros(n * n, dtype=np.float32)
+    order = np.argsort(kind, kind="stable")
+    owner, starts = owner[order], np.cumsum(often) - often
+    for k in range(2, min(RARE, n) + 1):
+        at = starts[often == k]
+        for i in range(k):
+            for j in range(k):
+                if i != j:
+                    out += np.bincount(owner[at + i] * n + owner[at + j], minlength=n * n)
+    out = out.reshape(n, n)
+    frequent = np.flatnonzero(often > RARE)
+    for low in range(0, len(frequent), 4096):
+        some = frequent[low:low + 4096]
+        held = np.zeros((n, len(some)), dtype=np.float32)
+        at = np.repeat(starts[some], often[some]) + np.arange(often[some].sum()) - np.repeat(np.cumsum(often[some]) - often[some], often[some])
+        held[owner[at], np.repeat(np.arange(len(some)), often[some])] = 1
+        out += held @ held.T
+    return out
 
 
 def strongest_tree(similar: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of the maximum spanning forest above ``HOPELESS``."""
+    """Edges of the maximum spanning forest of pairs above 0."""
     n = len(similar)
     best, source = similar[0].copy(), np.zeros(n, dtype=np.int64)
     open_ = np.ones(n, dtype=bool)
     open_[0], edges = False, []
     for _ in range(n - 1):
         at = int(np.where(open_, best, -2.0).argmax())
-        if best[at] >= HOPELESS:
+        if best[at] > 0:
             edges.append((int(source[at]), at))
         open_[at] = False
         closer = similar[at] > best
@@ -97,25 +104,62 @@ def strongest_tree(similar: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def open_pairs(similar: np.ndarray, roots: np.ndarray, done: np.ndarray, turns: int) -> np.ndarray:
-    """Pairs (k x 2) of members to verify next: up to ``turns`` disjoint maximum spanning forests.
+def links_within(kmers: list[np.ndarray], enough: float = SIMILAR) -> list[tuple[int, int]]:
+    """Pairs of texts that align well enough and connect all texts that any such pairs connect.
 
-    Members with the same root count as one, and pairs in ``done`` (k x 2) are not used again. The forests
-    reach across all pairs left at or above ``HOPELESS``: when every pair given out joins its two roots,
-    or none is given out, no pair of the block is left whose test could change the classes.
+    Pairs that share too few k-mers in any order are out. Of the others, the strongest spanning forest between
+    texts not yet connected is aligned, again and again, until it is empty: then
+    every pair left is connected, or has been aligned and failed, or is out. After a failure, one text is aligned with all that have open
+    pairs, as a pivot: unaligned k-mers are a metric, so two texts whose distances to the pivot differ by more
+    than an aligning pair may leave are out as well.
     """
-    similar = similar.copy()
-    similar[done[:, 0], done[:, 1]] = similar[done[:, 1], done[:, 0]] = -1.0
-    similar[roots[:, None] == roots[None, :]] = 2.0
-    found = [np.zeros((0, 2), dtype=np.int64)]
-    for _ in range(turns):
-        edges = np.array(strongest_tree(similar), dtype=np.int64).reshape(-1, 2)
-        edges = edges[roots[edges[:, 0]] != roots[edges[:, 1]]]
-        if not len(edges):
+    n = len(kmers)
+    sizes = np.array([len(x) for x in kmers], dtype=np.float32)
+    both = sizes[:, None] + sizes[None, :]
+    shared = common([labelled(x) for x in kmers])
+    share = shared / (both - shared)
+    share[share < enough - 1e-6] = -1.0
+    np.fill_diagonal(share, -1.0)
+    apart = both * ((1 - enough) / (1 + enough)) + 1e-3
+    root, pivots, found = np.arange(n), np.zeros(n, dtype=bool), []
+    while (share > 0).any():
+        trial = share.copy()
+        trial[(root[:, None] == root[None, :])] = 2.0
+        edges = [(i, j) for i, j in strongest_tree(trial) if root[i] != root[j]]
+        if not edges:
             break
-        similar[edges[:, 0], edges[:, 1]] = similar[edges[:, 1], edges[:, 0]] = -1.0
-        found.append(edges)
-    return np.concatenate(found)
+        failed = False
+        for i, j in edges:
+            if similarity(kmers[i], kmers[j], enough) >= enough:
+                found.append((i, j))
+                root[root == root[j]] = root[i]
+            else:
+                share[i, j] = share[j, i] = -1.0
+                failed = True
+        share[root[:, None] == root[None, :]] = -1.0
+        open_ = (share > 0).sum(axis=1)
+        open_[pivots] = 0
+        if failed and open_.any():
+            pivot = int(open_.argmax())
+            pivots[pivot] = True
+            at = np.flatnonzero((share > 0).any(axis=1))
+            far = np.array([sizes[pivot] + sizes[i] - 2 * aligned(kmers[pivot], kmers[i]) for i in at])
+            out = np.abs(far[:, None] - far[None, :]) > apart[np.ix_(at, at)]
+            share[np.ix_(at, at)] = np.where(out, -1.0, share[np.ix_(at, at)])
+    return found
+
+
+def aligned(one: np.ndarray, other: np.ndarray) -> int:
+    """K-mers of the longest common subsequence."""
+    where: dict[int, int] = {}
+    for i, x in enumerate(one.tolist()):
+        where[x] = where.get(x, 0) | 1 << i
+    state = full = (1 << len(one)) - 1
+    for x in other.tolist():
+        hit = where.get(x, 0) & state
+        if hit:
+            state = (state + hit | state - hit) & full
+    return len(one) - state.bit_count()
 
 
 def similarity(one: np.ndarray, other: np.ndarray, enough: float = SIMILAR) -> float:
@@ -180,159 +224,77 @@ def _sequences(texts: DataFrame) -> DataFrame:
 
 
 def _sketches(texts: DataFrame) -> DataFrame:
+    """(doc_id, words, keys) of the texts with a whole k-mer."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys, lanes = [], [], []
+            ids, counts, keys = [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 words = w.words_of(text.as_py())
-                if words:
-                    key, lane = sketch(shingles(words))
+                if len(words) >= SHINGLE:
                     ids.append(doc_id)
-                    keys.append(key.view(np.int64))
-                    lanes.append(lane)
+                    counts.append(len(words))
+                    keys.append(sketch(shingles(words)).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, type=pa.int64()), pa.array(keys, type=pa.list_(pa.int64())), pa.array(lanes, type=pa.binary())],
-                names=["doc_id", "keys", "lanes"])
-
-    return texts.mapInArrow(run, "doc_id long, keys array<long>, lanes binary")
+                [pa.array(ids, type=pa.int64()), pa.array(counts, type=pa.int64()), pa.array(keys, type=pa.list_(pa.int64()))],
+                names=["doc_id", "words", "keys"])
 
+    return texts.mapInArrow(run, "doc_id long, words long, keys array<long>")
 
-def _block_pairs(rows: DataFrame, turns: int) -> DataFrame:
-    """(block, a, b) to verify next, from rows (block, doc_id, other, lanes) sorted by block.
 
-    A row with lanes is a member and ``other`` its root; one without is a pair given out before.
-    """
-    def solve(block: int, ids: np.ndarray, others: np.ndarray, lanes: np.ndarray, member: np.ndarray) -> tuple:
-        known, at = np.unique(ids[member], return_index=True)
-        if len(known) < 2:
-            return np.zeros(0, np.int64), known[:0], known[:0]
-        done = np.stack([np.searchsorted(known, ids[~member]), np.searchsorted(known, others[~member])], axis=1)
-        edges = open_pairs(estimates(lanes[member][at]), others[member][at], done, turns)
-        pairs = np.sort(known[edges], axis=1)
-        return np.full(len(pairs), block), pairs[:, 0], pairs[:, 1]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def result(found: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]), type=pa.int64()) for k in (0, 1, 2)],
-                names=["block", "a", "b"])
+def _blocks(sketches: DataFrame) -> DataFrame:
+    """(doc_id, block) of the texts that share a bucket with another.
 
-        held: tuple | None = None
-        none = bytes(LANES)
-        for batch in batches:
-            given = batch.column("lanes").to_pylist()
-            now = (
-                batch.column("block").to_numpy(), batch.column("doc_id").to_numpy(), batch.column("other").to_numpy(),
-                np.frombuffer(b"".join(none if x is None else x for x in given), dtype=np.uint8).reshape(len(given), LANES),
-                np.array([x is not None for x in given], dtype=bool))
-            if held is not None:
-                now = tuple(np.concatenate((x, y)) for x, y in zip(held, now))
-            block = now[0]
-            cuts = np.flatnonzero(np.diff(block, prepend=block[:1] ^ 1)) if len(block) else np.zeros(0, np.int64)
-            found = [solve(block[low], *(x[low:high] for x in now[1:])) for low, high in zip(cuts, cuts[1:])]
-            last = cuts[-1] if len(cuts) else 0
-            held = tuple(x[last:] for x in now)
-            yield result(found)
-        if held is not None and len(held[0]):
-            yield result([solve(held[0][0], *held[1:])])
-
-    return rows.mapInArrow(run, "block long, a long, b long")
-
-
-def _bucketed(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct (a, b), a < b, that are buckets of two, and (block, doc_id) of the larger buckets.
-
-    Buckets with one member end here, and of buckets with the same members one is kept. Larger
-    buckets are compared by signature in blocks of ``BLOCK``, every block with every other of its bucket.
+    Buckets with one member end here, and of buckets with the same members one is kept. A bucket of more than ``BLOCK``
+    texts or ``BLOCK_WORDS`` words is dealt to several parts by a hash, and each two parts are a block.
     """
-    members = sketches.select("doc_id", F.explode("keys").alias("key"))
+    members = sketches.select("doc_id", "words", F.explode("keys").alias("key"))
     buckets = (
         members.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"),
-                                   F.bit_xor(F.xxhash64("doc_id")).alias("set"))
-        .filter("n > 1").groupBy("n", "low", "high", "set").agg(F.min("key").alias("key")))
-    buckets = written(buckets, "buckets")
-    large = buckets.filter("n > 2").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    own = F.pmod(F.xxhash64("doc_id", "key"), F.col("blocks"))
-    placed = (
-        members.join(large, "key").withColumn("own", own)
-        .select("doc_id", "key", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+                                   F.bit_xor(F.xxhash64("doc_id")).alias("set"), F.sum("words").alias("words"))
+        .filter("n > 1").groupBy("n", "low", "high", "set").agg(F.min("key").alias("key"), F.max("words").alias("words")))
+    parts = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("words") / BLOCK_WORDS))
+    chosen = written(buckets.select("key", parts.alias("parts")), "buckets")
+    own = F.pmod(F.xxhash64("doc_id", "key"), F.col("parts"))
+    return (
+        members.select("doc_id", "key").join(chosen, "key").withColumn("own", own)
+        .select("doc_id", "key", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
         .select("doc_id", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("block")))
-    two = buckets.filter("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    return two, written(placed, "near-blocks")
-
 
-def _either(a: DataFrame | None, b: DataFrame) -> DataFrame:
-    return b if a is None else a.unionByName(b)
 
+def _links(rows: DataFrame) -> DataFrame:
+    """(a, b) from ``rows`` (block, doc_id, text) that are sorted by block: links that connect what is linked within a block."""
+    def solved(ids: list[int], texts: list[str]) -> tuple[list[int], list[int]]:
+        pairs = links_within([shingles(w.words_of(t)) for t in texts])
+        return [ids[i] for i, _ in pairs], [ids[j] for _, j in pairs]
 
-def _linked(texts: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(node, root) of the texts that verified pairs link, among those that share a bucket.
-
-    Every round gives out the strongest open pairs of each block, verifies them and takes the
-    components. A block goes on while a pair it gave out has not come together, and
-    gives out four times as many forests each time, so that rounds grow with the logarithm of
-    a block's members. At the end every pair of a block at or above ``HOPELESS`` has
-    been verified or is in one class already.
-    """
-    two, placed = _bucketed(sketches)
-    given = tested = links = roots = active = None
-    turns = 1
-    while True:
-        lanes = sketches.select("doc_id", "lanes")
-        if active is None:
-            rows = placed.join(lanes, "doc_id").select("block", "doc_id", F.col("doc_id").alias("other"), "lanes")
-        else:
-            root = F.coalesce("root", "doc_id").alias("other")
-            rows = (
-                placed.join(active, "block").join(lanes, "doc_id")
-                .join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("block", "doc_id", root, "lanes")
-                .unionByName(given.join(active, "block").select(
-                    "block", F.col("a").alias("doc_id"), F.col("b").alias("other"), F.lit(None).cast("binary").alias("lanes"))))
-        found = written(_block_pairs(rows.repartition("block").sortWithinPartitions("block"), turns), "near-found")
-        pairs = found.select("a", "b")
-        pairs = pairs.unionByName(two).distinct() if tested is None else pairs.distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "near-pairs")
-        fresh = written(_verified(_with_texts(pairs, texts)).distinct(), "near-links")
-        if links is None or not fresh.isEmpty():
-            links = _either(links, fresh)
-            roots = components(links)
-        given, tested = _either(given, found), _either(tested, pairs)
-        ends = found
-        for end in ("a", "b"):
-            ends = ends.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
-        apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
-        active = written(ends.filter(apart).select("block").distinct(), "near-active")
-        if active.isEmpty():
-            return roots
-        turns *= 4
-
-
-def _verified(pairs: DataFrame) -> DataFrame:
-    """(a, b) of ``pairs`` (a, b, one, other) whose texts align well enough."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, first = None, None
+        last, ids, texts = None, [], []
         for batch in batches:
-            good = []
-            for a, one, other in zip(batch.column("a").to_pylist(), batch.column("one"), batch.column("other")):
-                if a != last:
-                    last, first = a, w.words_of(one.as_py())
-                second = w.words_of(other.as_py())
-                good.append(min(len(first), len(second)) >= SHINGLE
-                            and similarity(shingles(first), shingles(second)) >= SIMILAR)
-            mask = pa.array(good, type=pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
-
-    return pairs.mapInArrow(run, "a long, b long")
-
-
-def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, one, other): ``pairs`` with the texts of both."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    words, bits = sieve(ids)
-    wanted = sifted(texts, words, bits, [F.col("doc_id")]).filter("candidate").select("doc_id", "text")
-    return (
-        pairs.join(wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b")
-        .join(wanted.select(F.col("doc_id").alias("a"), F.col("text").alias("one")), "a").select("a", "b", "one", "other"))
+            one, other = [], []
+            for block, doc_id, text in zip(batch.column("block").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text")):
+                if block != last:
+                    a, b = solved(ids, texts) if len(ids) > 1 else ([], [])
+                    one += a
+                    other += b
+                    last, ids, texts = block, [], []
+                ids.append(doc_id)
+                texts.append(text.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(other, pa.int64())], names=["a", "b"])
+        if len(ids) > 1:
+            a, b = solved(ids, texts)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _linked(texts: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(node, root) of the texts that links connect; every two texts of a bucket are compared in some block."""
+    blocks = written(_blocks(sketches).groupBy("doc_id").agg(F.collect_set("block").alias("blocks")), "near-blocks")
+    words, bits = sieve(blocks.select("doc_id"))
+    wanted = sifted(texts, words, bits, [F.col("doc_id")]).filter("candidate").groupBy("doc_id").agg(F.min("text").alias("text"))
+    rows = wanted.join(blocks, "doc_id").select("doc_id", "text", F.explode("blocks").alias("block"))
+    links = written(_links(rows.repartition("block").sortWithinPartitions("block")).distinct(), "near-links")
+    return components(links)
 
 
 def _placed(texts: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 WORD = re.compile("[^ \t-\r]+")
 PATTERNS = {
@@ -66,7 +67,15 @@ def aligned_share(a, b, size=5):
     return row[-1] / max(1, len(x) + len(y) - row[-1])
 
 
+def most_aligned(a, b, size=5):
+    """No pair aligns more than this: runs of words in both, in any order, over all runs."""
+    x, y = (Counter(tuple(t[i:i + size]) for i in range(len(t) - size + 1)) for t in (a, b))
+    both = sum((x & y).values())
+    return both / max(1, sum(x.values()) + sum(y.values()) - both)
+
+
 def near_classes(texts, enough=0.8):
+    """Classes by aligning every pair that counts of runs do not rule out."""
     words = {d: tuple(WORD.findall(t or "")) for d, t in texts.items()}
     root = {d: d for d in words}
 
@@ -78,8 +87,10 @@ def near_classes(texts, enough=0.8):
     ids = sorted(words)
     for i, a in enumerate(ids):
         for b in ids[i + 1:]:
+            n, m = sorted((len(words[a]) - 4, len(words[b]) - 4))
             same = words[a] == words[b]
-            if same or min(len(words[a]), len(words[b])) >= 5 and aligned_share(words[a], words[b]) >= enough:
+            near = n > 0 and n >= enough * m and most_aligned(words[a], words[b]) >= enough
+            if same or near and aligned_share(words[a], words[b]) >= enough:
                 low, high = sorted((find(a), find(b)))
                 root[high] = low
     return {d: find(d) for d in ids}

@@ -19,14 +19,6 @@ RESULTS = {
 }
 
 
-def difference(one, other):
-    names = sorted(one.columns)
-    if names != sorted(other.columns):
-        return f"columns {names} and {sorted(other.columns)}"
-    rows = [sorted(map(tuple, x[names].astype(object).values.tolist()), key=repr) for x in (one, other)]
-    return next((f"{a} and {b}" for a, b in zip(*rows) if a != b), None) if len(rows[0]) == len(rows[1]) else "row counts"
-
-
 @pytest.mark.parametrize("name", RESULTS)
 def test_result_columns_and_rows(spark, name):
     out = catalog.QUERIES[name](spark, SMALL)
