@@ -38,4 +38,4 @@ def mean_pool(token_vectors: DataFrame, keys: tuple[str, ...] = ("example_id",),
 
     Vectors are added up whole inside each task, so a long example is not gathered in one place.
     """
-    return vector_moments(token_vectors, keys, x).select(*keys, F.col("mean").alias("x"))
+    return vector_moments(token_vectors, keys, x, few=False).select(*keys, F.col("mean").alias("x"))

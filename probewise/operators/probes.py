@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import warnings
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -12,21 +13,41 @@ from pyspark.sql import DataFrame, functions as F
 
 from probewise.config import COMBINED, GLOBAL_BANK, ProbeSettings
 from probewise.functions import kernels
-from probewise.operators.partials import summed, vector_moments
+from probewise.operators.partials import FAN, summed, vector_moments
 from probewise.operators.projection import orthonormal
 from probewise.operators.small import local_table
+from probewise.operators.split import known
 from probewise.schemas import BANK
 
-NEWTON_WIDTH = 256  # widest vector for which second derivatives are summed
-NEWTON_STEPS = 60
-MAX_DOMAINS = 1_000  # every domain becomes a scope with its own models
-TOLERANCE = 1e-10
+PASSES = 500              # passes over the rows after which a fit ends unfinished
+PAIRS = 10                # steps and changes of the gradient that a scope keeps
+CONVERGED = 1e-10         # gain still expected, relative to the loss
+STUCK = 1e-6              # the same when rounding lets no step gain any more
+SAMPLE_ROWS = 8_192       # rows of a scope whose curvature the steps start from
+SAMPLE_BYTES = 256 << 20  # of the samples of all scopes together
+MAX_DOMAINS = 1_000       # every domain becomes a scope with its own models
 
 
 @dataclass
 class Probe:
     weights: np.ndarray
     intercept: float
+    converged: bool = True
+    passes: int = 0
+    gradient: float = 0.0  # length of the gradient where the fit ended
+
+
+@dataclass
+class Sample:
+    """Some rows of a scope on the driver; ``share`` is how many rows each stands for."""
+
+    x: np.ndarray
+    y: np.ndarray
+    share: float
+
+    @property
+    def whole(self) -> bool:
+        return self.share == 1.0
 
 
 @dataclass
@@ -35,26 +56,33 @@ class _Fit:
 
     point: np.ndarray
     loss: float = np.inf
+    gradient: np.ndarray | None = None
     direction: np.ndarray | None = None
     slope: float = 0.0
     step: float = 1.0
+    passes: int = 0
+    pairs: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     done: bool = False
     failed: bool = False
+    converged: bool = False
 
     def trial(self) -> np.ndarray:
         return self.point if self.direction is None else self.point + self.step * self.direction
 
+    def expected(self) -> float:
+        return -0.5 * self.slope / max(1.0, self.loss)
+
 
 def column_moments(rows: DataFrame, keys: tuple[str, ...] = ("scope",), x: str = "x") -> DataFrame:
     """(keys, mean, scale) by component, with the population deviation; constant columns get scale 1."""
     return vector_moments(rows, keys, x).select(*keys, "mean", F.transform(
-        "spread", lambda v: F.when(v > 0, F.sqrt(v / F.col("n"))).otherwise(1.0)).alias("scale"))
+        "spread", lambda v: F.when(F.sqrt(v / F.col("n")) > 1e-12, F.sqrt(v / F.col("n"))).otherwise(1.0)).alias("scale"))
 
 
 def fold_scaler(probe: Probe, mean: np.ndarray, scale: np.ndarray) -> Probe:
     """Express a probe fitted on standardised columns in raw coordinates."""
     weights = probe.weights / np.maximum(scale, 1e-12)
-    return Probe(weights, probe.intercept - float(weights @ mean))
+    return replace(probe, weights=weights, intercept=probe.intercept - float(weights @ mean))
 
 
 def _sigmoid(t: np.ndarray) -> np.ndarray:
@@ -69,19 +97,57 @@ def _working_matrix(x: np.ndarray, basis: np.ndarray | None, scaler) -> np.ndarr
     return x
 
 
-def newton_probes(train: DataFrame, weights: dict[int, tuple[float, float]], width: int,
-                  alpha: float, bases: dict[int, np.ndarray], scalers: dict[int, tuple] | None = None,
-                  whole: tuple[int, ...] = (0,)) -> dict[int, Probe]:
+def _inverse_curvature(sample: Sample, weights: tuple[float, float], alpha: float, point: np.ndarray):
+    """v -> B^-1 v for the curvature B of the objective that the sample shows at ``point``.
+
+    A sample of some rows says little about directions it hardly holds, so B gets a part of its mean
+    curvature everywhere; the pairs of earlier steps correct that.
+    """
+    x, size = sample.x, len(point)
+    p = _sigmoid(x @ point)
+    part = np.where(sample.y == 1, weights[1], weights[0]) * p * (1.0 - p) * sample.share
+    mean = float((part[:, None] * x * x).sum()) / size
+    everywhere = np.full(size, alpha) if sample.whole else np.full(size, alpha + mean * min(1.0, size / max(1, len(x))))
+    if len(x) >= size:
+        everywhere[-1] += 1e-12 - (alpha if sample.whole else 0.0)
+        full = (x * part[:, None]).T @ x + np.diag(everywhere)
+        return lambda v: np.linalg.solve(full, v)
+    everywhere[-1] = max(everywhere[-1], 1e-6 * mean)
+    root = np.sqrt(part)[:, None] * x
+    inner = np.eye(len(x)) + (root / everywhere) @ root.T
+    return lambda v: v / everywhere - (root.T @ np.linalg.solve(inner, root @ (v / everywhere))) / everywhere
+
+
+def _corrected(gradient: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], start) -> np.ndarray:
+    """The quasi-Newton direction: ``start`` (v -> B^-1 v), made to agree with the gradient changes of earlier steps."""
+    out, parts = gradient.copy(), []
+    for step, change in reversed(pairs):
+        part = (step @ out) / (step @ change)
+        out -= part * change
+        parts.append(part)
+    out = start(out)
+    for (step, change), part in zip(pairs, reversed(parts)):
+        out += step * (part - (change @ out) / (step @ change))
+    return -out
+
+
+def fitted_probes(train: DataFrame, weights: dict[int, tuple[float, float]], width: int,
+                  alpha: float, bases: dict[int, np.ndarray], samples: dict[int, Sample],
+                  scalers: dict[int, tuple] | None = None, whole: tuple[int, ...] = (0,), few: bool = False) -> dict[int, Probe]:
     """Fit one probe per scope; one pass over the rows serves one step of all scopes.
 
-    Minimises alpha/2 |w|^2 + sum_i s_i logloss_i with a free intercept. Steps are
-    damped, so nearly separable scopes converge too.
+    Minimises alpha/2 |w|^2 + sum_i s_i logloss_i with a free intercept by limited-memory quasi-Newton steps: a pass
+    sums the loss and the gradient, width + 2 numbers a scope, whatever the width. The curvature to start from is that of a bounded
+    sample of the scope; where the sample is all of it, steps are Newton's and no correction is needed. Steps are halved until they
+    gain, so nearly separable scopes converge too.
     """
     scalers = scalers or {}
-    upper = np.triu_indices(width + 1)
-    fits = {s: _Fit(np.zeros(width + 1)) for s in weights}
     size = width + 1
-    for _ in range(NEWTON_STEPS):
+    held = {s: Sample(np.hstack([_working_matrix(samples[s].x.astype(np.float64), bases.get(s), scalers.get(s)),
+                                 np.ones((len(samples[s].x), 1))]), samples[s].y, samples[s].share) for s in weights}
+    fits = {s: _Fit(np.zeros(size)) for s in weights}
+    ridge = np.append(np.full(width, alpha), 0.0)
+    for _ in range(PASSES):
         open_fits = {s: f for s, f in fits.items() if not f.done}
         if not open_fits:
             break
@@ -91,59 +157,72 @@ def newton_probes(train: DataFrame, weights: dict[int, tuple[float, float]], wid
             x = _working_matrix(kernels.as_matrix(columns["x"]), bases.get(scope_id), scalers.get(scope_id))
             y = columns["y"].to_numpy(zero_copy_only=False)
             s = np.where(y == 1, *weights[scope_id][::-1])
-            x = np.hstack([x, np.ones((len(x), 1))])
-            t = x @ points[scope_id]
-            p = _sigmoid(t)
+            t = x @ points[scope_id][:-1] + points[scope_id][-1]
+            error = s * (_sigmoid(t) - y)
             loss = float((s * (np.logaddexp(0.0, t) - y * t)).sum())
-            gradient = x.T @ (s * (p - y))
-            curvature = (x * (s * p * (1.0 - p))[:, None]).T @ x
-            return np.concatenate([[loss], gradient, curvature[upper]])
+            return np.concatenate([[loss], error @ x, [error.sum()]])
 
-        sums = summed(train, kernel, {s: 1 + size + len(upper[0]) for s in open_fits}, whole)
-        ridge = np.full(size, alpha)
-        ridge[-1] = 0.0
+        sums = summed(train, kernel, {s: 1 + size for s in open_fits}, whole, few)
         for s, fit in open_fits.items():
             point = points[s]
-            loss = sums[s][0] + 0.5 * float((ridge * point * point).sum())
-            if fit.direction is not None and loss > fit.loss + 1e-4 * fit.step * fit.slope:
-                fit.step *= 0.5
-                fit.done = fit.step < 1e-8
-                continue
-            gradient = sums[s][1:1 + size] + ridge * point
-            curvature = np.zeros((size, size))
-            curvature[upper] = sums[s][1 + size:]
-            curvature = curvature + np.triu(curvature, 1).T + np.diag(ridge)
-            curvature[-1, -1] += 1e-12
-            fit.point, fit.loss, fit.step = point, loss, 1.0
-            try:
-                fit.direction = -np.linalg.solve(curvature, gradient)
-            except np.linalg.LinAlgError:  # this scope ends here, the others go on
-                fit.failed = fit.done = True
-                continue
-            fit.slope = float(gradient @ fit.direction)
-            fit.done = -0.5 * fit.slope <= TOLERANCE * max(1.0, loss)
-            if fit.done:
-                fit.point = fit.trial()
+            fit.passes += 1
+            _advance(fit, point, sums[s][0] + 0.5 * float((ridge * point * point).sum()), sums[s][1:] + ridge * point,
+                     held[s], weights[s], alpha)
     for s, fit in fits.items():
-        if not fit.done:
-            warnings.warn(f"the probe of scope {s} has not converged in {NEWTON_STEPS} steps", stacklevel=2)
-    return {s: Probe(f.point[:-1], float(f.point[-1])) for s, f in fits.items() if not f.failed}
-
-
-def wide_probe(train: DataFrame, scope_id: int, n: int, weights: tuple[float, float], alpha: float,
-               basis: np.ndarray | None, scaler=None) -> Probe:
-    """The same fit for wide vectors, one scope at a time, without second derivatives."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-
-    mine = train if scope_id == 0 else train.filter(F.col("scope_id") == scope_id)
-    working = kernels.matrix_udf(lambda m: _working_matrix(m, basis, scaler))(F.col("x"))
-    table = mine.select(
-        array_to_vector(working).alias("features"), F.col("y").cast("double").alias("label"),
-        F.when(F.col("y") == 1, weights[1]).otherwise(weights[0]).alias("weight"))
-    model = LogisticRegression(weightCol="weight", regParam=alpha / n, elasticNetParam=0.0,
-                               standardization=False, maxIter=2000, tol=1e-8).fit(table)
-    return Probe(model.coefficients.toArray(), float(model.intercept))
+        if not fit.converged:
+            warnings.warn(f"the probe of scope {s} has not converged in {fit.passes} passes", stacklevel=2)
+    return {s: Probe(f.point[:-1], float(f.point[-1]), f.converged, f.passes, float(np.linalg.norm(f.gradient)))
+            for s, f in fits.items() if not f.failed}
+
+
+def _advance(fit: _Fit, point: np.ndarray, loss: float, gradient: np.ndarray, sample: Sample,
+             weights: tuple[float, float], alpha: float) -> None:
+    """Accept ``point`` or halve the step that led to it; then choose the next direction."""
+    if fit.direction is not None and not loss <= fit.loss + 1e-4 * fit.step * fit.slope:
+        fit.step *= 0.5
+        if fit.step < 1e-8:
+            fit.done, fit.converged = True, fit.expected() <= STUCK
+        return
+    if not np.isfinite(loss):
+        fit.failed = fit.done = True
+        return
+    if fit.direction is not None and not sample.whole:
+        step, change = point - fit.point, gradient - fit.gradient
+        if step @ change > 1e-12 * np.linalg.norm(step) * np.linalg.norm(change):
+            fit.pairs = [*fit.pairs, (step, change)][-PAIRS:]
+    fit.point, fit.loss, fit.gradient, fit.step = point, loss, gradient, 1.0
+    try:
+        start = _inverse_curvature(sample, weights, alpha, point)
+        fit.direction = _corrected(gradient, fit.pairs, start)
+        if gradient @ fit.direction >= 0:
+            fit.pairs, fit.direction = [], -start(gradient)
+    except np.linalg.LinAlgError:  # this scope ends here, the others go on
+        fit.failed = fit.done = True
+        return
+    fit.slope = float(gradient @ fit.direction)
+    if fit.expected() <= CONVERGED:
+        fit.done = fit.converged = True
+
+
+def sampled_rows(rows: DataFrame, counts: dict[int, int], width: int, whole: tuple[int, ...] = (0,)) -> dict[int, Sample]:
+    """A sample of each scope of ``rows`` (scope_id, y, x), of about ``SAMPLE_ROWS`` rows or as many as ``SAMPLE_BYTES`` allow.
+
+    It only shapes the steps of a fit, not where they end.
+    """
+    most = max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // max(1, len(counts) * 4 * width)))
+    share = {s: 1.0 if n <= most else most / n for s, n in counts.items()}
+    own = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for s, f in share.items() for v in (int(s), float(f))]), F.col("scope_id")), F.lit(0.0))
+    all_of = F.lit(max((share.get(s, 0.0) for s in whole), default=0.0))
+    drawn = rows.select("scope_id", "y", "x", (F.rand(5) < own).alias("own"), (F.rand(6) < all_of).alias("all"))
+    table = drawn.filter(F.col("own") | F.col("all")).toArrow()
+    ids, y = table.column("scope_id").to_numpy(), table.column("y").to_numpy()
+    x = kernels.as_matrix(table.column("x").combine_chunks()).astype(np.float32) if table.num_rows else np.zeros((0, width), np.float32)
+    out = {}
+    for s, n in counts.items():
+        mine = table.column("all").to_numpy() if s in whole else table.column("own").to_numpy() & (ids == s)
+        mine = mine.astype(bool)
+        out[s] = Sample(x[mine], y[mine], n / max(1, int(mine.sum())) if share[s] < 1.0 else 1.0)
+    return out
 
 
 @dataclass
@@ -162,7 +241,8 @@ class ScopeIndex:
 
 
 def index_scopes(train: DataFrame) -> ScopeIndex:
-    domains = [r["domain"] for r in train.select("domain").distinct().limit(MAX_DOMAINS + 1).collect()]
+    """Scopes of all domains; rows without one belong to the domain ``None``, as in splits."""
+    domains = [r["domain"] for r in train.select(known(F.col("domain")).alias("domain")).distinct().limit(MAX_DOMAINS + 1).collect()]
     if len(domains) > MAX_DOMAINS:
         raise ValueError(f"more than {MAX_DOMAINS} domains: the domain column does not name scopes")
     return ScopeIndex([COMBINED] + sorted(domains))
@@ -173,11 +253,11 @@ def extract_banks(train: DataFrame, settings: ProbeSettings = ProbeSettings()) -
 
     Per scope: fit a probe, keep its unit direction, remove it, repeat. All scopes
     take their k-th direction together. A scope ends early when a fit fails or it
-    has one class.
+    has one class. Rows whose label is neither 0 nor 1 are left out and counted (``n_left_out``).
     """
     spark = train.sparkSession
     scopes = index_scopes(train)
-    rows = (train.select("domain", "y", "x").join(scopes.column(spark), "domain")
+    rows = (train.select(known(F.col("domain")).alias("domain"), "y", "x").join(scopes.column(spark), "domain")
             .select("scope_id", F.col("y").cast("int").alias("y"), F.col("x").cast("array<float>").alias("x"))
             .persist(StorageLevel.MEMORY_AND_DISK))
     try:
@@ -188,79 +268,77 @@ def extract_banks(train: DataFrame, settings: ProbeSettings = ProbeSettings()) -
 
 def _extract(rows: DataFrame, scopes: ScopeIndex, settings: ProbeSettings) -> DataFrame:
     spark = rows.sparkSession
+    labelled = F.coalesce(F.col("y").isin(0, 1), F.lit(False))
     shape = rows.groupBy("scope_id").agg(
-        F.sum((F.col("y") == 1).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"),
-        F.min(F.size("x")).alias("lo"), F.max(F.size("x")).alias("hi")).collect()
-    if not shape:
+        F.sum((labelled & (F.col("y") == 1)).cast("long")).alias("pos"), F.sum(labelled.cast("long")).alias("n"),
+        F.count(F.lit(1)).alias("rows"), F.min(F.when(labelled, F.size("x"))).alias("lo"), F.max(F.when(labelled, F.size("x"))).alias("hi")).collect()
+    widths = {w for r in shape if r["n"] for w in (r["lo"], r["hi"])}
+    if not widths:
         return local_table(spark, [], BANK)
-    width = shape[0]["lo"]
-    if any(r["lo"] != width or r["hi"] != width for r in shape):
+    if len(widths) > 1:
         raise ValueError("activation vectors differ in length")
-    sizes = {r["scope_id"]: (r["n"] - r["pos"], r["pos"]) for r in shape}
+    width = widths.pop()
+    rows = rows.filter(labelled)
+    few = rows.rdd.getNumPartitions() <= FAN  # of the table kept above, so nothing runs for it
+    sizes = {r["scope_id"]: (r["n"] - (r["pos"] or 0), r["pos"] or 0, r["rows"] - r["n"]) for r in shape}
     sizes[0] = tuple(sum(v) for v in zip(*sizes.values()))
-    weights = {s: (sum(c) / (2.0 * c[0]), sum(c) / (2.0 * c[1])) for s, c in sizes.items() if min(c)}
+    weights = {s: ((c[0] + c[1]) / (2.0 * c[0]), (c[0] + c[1]) / (2.0 * c[1])) for s, c in sizes.items() if min(c[:2])}
+    samples = sampled_rows(rows, {s: sum(sizes[s][:2]) for s in weights}, width)
     bases: dict[int, np.ndarray] = {s: np.empty((0, width)) for s in weights}
-    banks: dict[int, list[Probe]] = {s: [] for s in weights}
+    banks: dict[int, list[tuple[Probe, float]]] = {s: [] for s in weights}
     quota = {s: settings.directions.single if s else settings.directions.combined for s in weights}
     waves = [{0}, set(weights) - {0}] if settings.combined_first else [set(weights)]
     for wave in waves:
         if settings.combined_first and 0 not in wave and banks.get(0):
-            first = orthonormal(np.array([p.weights for p in banks[0]]))
+            first = orthonormal(np.array([p.weights for p, _ in banks[0]]))
             bases.update({s: first for s in wave})
         for k in range(max((quota[s] for s in wave if s in quota), default=0)):
             active = {s: weights[s] for s in sorted(wave) if s in quota and quota[s] > k and len(banks[s]) == k}
             if not active:
                 break
-            for s, probe in _fit_round(rows, active, sizes, width, bases, settings).items():
-                length = np.linalg.norm(probe.weights)
+            for s, probe in _fit_round(rows, active, width, bases, samples, settings, few).items():
+                length = float(np.linalg.norm(probe.weights))
                 if not np.isfinite(length) or length == 0.0:
                     continue
-                banks[s].append(Probe(probe.weights / (length + 1e-8), probe.intercept))
-                bases[s] = orthonormal(np.vstack([bases[s], banks[s][-1].weights]))
+                banks[s].append((replace(probe, weights=probe.weights / (length + 1e-8)), length))
+                bases[s] = orthonormal(np.vstack([bases[s], banks[s][-1][0].weights]))
     out = [
         (scopes.names[s], k, f"{scopes.names[s]}__inlp_{k}", k, p.intercept, settings.alpha,
-         settings.positive_label, "shared_train_examples", p.weights.tolist())
-        for s in sorted(banks) for k, p in enumerate(banks[s])]
+         settings.positive_label, "shared_train_examples", p.weights.tolist(), length, p.converged, p.passes, p.gradient,
+         sizes[s][0] + sizes[s][1], sizes[s][2])
+        for s in sorted(banks) for k, (p, length) in enumerate(banks[s])]
     return local_table(spark, out, BANK)
 
 
-def _fit_round(rows: DataFrame, active: dict[int, tuple[float, float]], sizes: dict, width: int,
-               bases: dict[int, np.ndarray], settings: ProbeSettings) -> dict[int, Probe]:
+def _fit_round(rows: DataFrame, active: dict[int, tuple[float, float]], width: int, bases: dict[int, np.ndarray],
+               samples: dict[int, Sample], settings: ProbeSettings, few: bool) -> dict[int, Probe]:
     scalers = _scalers(rows, active, bases) if settings.standardise else {}
-    if width <= NEWTON_WIDTH:
-        probes = newton_probes(rows, active, width, settings.alpha, bases, scalers)
-    else:
-        probes = {}
-        for s, w in active.items():
-            try:
-                probes[s] = wide_probe(rows, s, sum(sizes[s]), w, settings.alpha, bases[s], scalers.get(s))
-            except Exception as error:  # as above: a fit that fails ends its own scope
-                warnings.warn(f"the probe of scope {s} failed: {error}", stacklevel=2)
+    probes = fitted_probes(rows, active, width, settings.alpha, bases, samples, scalers, few=few)
     for s, probe in probes.items():
         if s in scalers:
             probe = fold_scaler(probe, *scalers[s])
         # A part along removed directions changes no score on the remaining data.
         inside = bases[s]
-        probes[s] = Probe(probe.weights - inside.T @ (inside @ probe.weights), probe.intercept)
+        probes[s] = replace(probe, weights=probe.weights - inside.T @ (inside @ probe.weights))
     return probes
 
 
-def _scalers(rows: DataFrame, active, bases) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Column means and deviations of each scope's remaining data: means first, then distances from them."""
-    width = rows.select(F.size("x").alias("w")).first()["w"]
-
-    def remaining(scope_id: int, columns: dict[str, pa.Array]) -> np.ndarray:
-        return _working_matrix(kernels.as_matrix(columns["x"]), bases.get(scope_id), None)
+def _scalers(rows: DataFrame, active, bases, whole: tuple[int, ...] = (0,)) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Column means and deviations of each scope's remaining data."""
+    wanted = set(active)
 
-    def totals(scope_id: int, columns: dict[str, pa.Array]) -> np.ndarray:
-        x = remaining(scope_id, columns)
-        return np.concatenate([[len(x)], x.sum(axis=0)])
+    def remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("scope_id").to_numpy()
+            for s in sorted((set(np.unique(ids).tolist()) | set(whole)) & wanted):
+                part = batch if s in whole else batch.filter(pa.array(ids == s))
+                if part.num_rows:
+                    x = _working_matrix(kernels.as_matrix(part.column("x")), bases.get(s), None)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(x), s, dtype=np.int32)), kernels.as_list_column(x)], names=["scope_id", "x"])
 
-    sums = summed(rows, totals, {s: 1 + width for s in active}, whole=(0,))
-    means = {s: t[1:] / t[0] for s, t in sums.items()}
-    spread = summed(rows, lambda s, c: ((remaining(s, c) - means[s]) ** 2).sum(axis=0), {s: width for s in active}, whole=(0,))
-    scales = {s: np.sqrt(v / sums[s][0]) for s, v in spread.items()}
-    return {s: (means[s], np.where(v < 1e-12, 1.0, v)) for s, v in scales.items()}
+    moments = column_moments(rows.select("scope_id", "x").mapInArrow(remaining, "scope_id int, x array<double>"), ("scope_id",))
+    return {r["scope_id"]: (np.array(r["mean"]), np.array(r["scale"])) for r in moments.collect()}
 
 
 def bank_matrices(bank: DataFrame) -> dict[str, np.ndarray]:

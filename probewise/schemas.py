@@ -23,6 +23,12 @@ BANK = T.StructType([
     T.StructField("positive_label", T.StringType()),
     T.StructField("split_source", T.StringType()),
     T.StructField("row", T.ArrayType(T.DoubleType())),
+    T.StructField("length", T.DoubleType()),         # of the weights that row is the direction of
+    T.StructField("converged", T.BooleanType()),
+    T.StructField("passes", T.IntegerType()),
+    T.StructField("gradient_norm", T.DoubleType()),  # where the fit ended
+    T.StructField("n_rows", T.LongType()),
+    T.StructField("n_left_out", T.LongType()),       # rows without a label of 0 or 1
 ])
 
 # One row per task, scope and block of a vector of partial sums.
