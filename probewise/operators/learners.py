@@ -1,7 +1,7 @@
 """Per-scope learners: batch gradients for the tasks, optimiser steps for the driver.
 
-``batch_sums`` runs inside tasks on one Arrow batch and returns a flat vector that
-Spark adds up; ``step`` turns the total into one optimiser step. Learners are
+``batch_sums`` returns the sums of one mini-batch as a flat vector; ``step`` turns them into one
+optimiser step; ``state`` and ``restore`` carry parameters and moments between tasks and driver. Learners are
 small: row weights, a bias, quantiser scales and, where asked for, one matrix.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from copy import deepcopy
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +63,7 @@ class Learner:
     params: dict[str, np.ndarray]
     optimizer: AdamW
     slots: int
+    width: int  # numbers of a training row
 
     def batch_sums(self, columns: dict[str, pa.Array]) -> np.ndarray:
         raise NotImplementedError
@@ -80,11 +82,38 @@ class Learner:
 
     def frozen(self) -> "Learner":
         """A copy to send to tasks, without the optimiser's moments."""
-        copy = deepcopy({k: v for k, v in self.__dict__.items() if k != "optimizer"})
+        return self._copied("optimizer")
+
+    def slim(self) -> "Learner":
+        """A copy that can train and score derived columns, without what only deriving them needs."""
+        return self._copied()
+
+    def _copied(self, *without: str) -> "Learner":
         other = object.__new__(type(self))
-        other.__dict__.update(copy)
+        other.__dict__.update(deepcopy({k: v for k, v in self.__dict__.items() if k not in without}))
         return other
 
+    def whole_model(self, snapshot):
+        """The model to use elsewhere, from a snapshot of this learner or of a slim copy."""
+        return snapshot
+
+    def state(self) -> np.ndarray:
+        """Parameters and the optimiser's moments as one vector."""
+        parts = []
+        for name, value in self.params.items():
+            first, second, t = self.optimizer.state.get(name, (0.0, 0.0, 0))
+            parts += [value.ravel(), np.broadcast_to(first, value.shape).ravel(), np.broadcast_to(second, value.shape).ravel(), [float(t)]]
+        return np.concatenate(parts)
+
+    def restore(self, state: np.ndarray) -> None:
+        at = 0
+        for name, value in self.params.items():
+            size = value.size
+            found = [state[at + i * size:at + (i + 1) * size].reshape(value.shape).copy() for i in range(3)]
+            self.params[name] = found[0]
+            self.optimizer.state[name] = (found[1], found[2], float(state[at + 3 * size]))
+            at += 3 * size + 1
+
 
 class HammingReadout(Learner):
     """Row weights and bias over fixed sign codes; batches carry the similarities."""
@@ -94,7 +123,7 @@ class HammingReadout(Learner):
         k = len(rows)
         self.params = {"raw": np.full(k, math.log(math.expm1(1.0))), "bias": np.zeros(1)}
         self.optimizer = AdamW({n: settings.readout for n in self.params})
-        self.slots = k + 3
+        self.slots, self.width = k + 3, k
 
     @property
     def alphas(self) -> np.ndarray:
@@ -121,6 +150,14 @@ class HammingReadout(Learner):
     def model(self) -> HammingModel:
         return HammingModel(self.rows, self.alphas, float(self.params["bias"][0]), weighted=True)
 
+    def slim(self):
+        other = self._copied("rows")
+        other.rows = np.ones((len(self.rows), 1))  # similarities are in the columns
+        return other
+
+    def whole_model(self, snapshot: HammingModel) -> HammingModel:
+        return HammingModel(self.rows, snapshot.alphas, snapshot.bias, weighted=True)
+
     def feature_scores(self, model: HammingModel, v: np.ndarray) -> np.ndarray:
         return (v * model.alphas).max(axis=1) + model.bias
 
@@ -139,13 +176,19 @@ class HashMatrixLearner(HammingReadout):
         self.optimizer = AdamW({n: settings.readout for n in self.params} | {"matrix": settings.matrix})
         self.parts = [("row", k), ("bias", 1), ("loss", 1), ("n", 1), ("code", d),
                       ("row_code", k * d), ("matrix", d * d), ("balance", d * d)]
-        self.slots = sum(size for _, size in self.parts)
+        self.slots, self.width = sum(size for _, size in self.parts), d
         self.penalties = (0.0, 0.0)
 
     @property
     def alphas(self):
         return super().alphas if self.weighted else np.ones(len(self.rows))
 
+    def slim(self):
+        return self._copied()
+
+    def whole_model(self, snapshot: HammingModel) -> HammingModel:
+        return snapshot
+
     def _encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hard codes and the slope of the smooth stand-in."""
         z = x @ self.params["matrix"].T
@@ -225,7 +268,7 @@ class ProjectedReadout(Learner):
             "row": np.array([math.log(max(self.base.row_scale, quantiser.floor))])}
         self.optimizer = AdamW({n: settings.optimiser for n in self.params})
         self.parts = [("raw", k), ("bias", 1), ("act", 1), ("row", 1), ("loss", 1), ("n", 1)]
-        self.slots = sum(size for _, size in self.parts)
+        self.slots, self.width = sum(size for _, size in self.parts), unit.shape[1] if projection is None else len(projection)
         self.learned = False
 
     @staticmethod
@@ -246,6 +289,18 @@ class ProjectedReadout(Learner):
     def features(self, x: np.ndarray) -> np.ndarray:
         return self.base.project(x)
 
+    def slim(self):
+        other = self._copied("base")
+        other.base = replace(self.base, rows=self.features(self.base.rows), projection=None, normalize=False)
+        return other
+
+    def snapshot(self) -> ProjectedModel:
+        return self.slim().model()
+
+    def whole_model(self, snapshot: ProjectedModel) -> ProjectedModel:
+        return replace(self.base, alphas=snapshot.alphas, bias=snapshot.bias,
+                       act_scale=snapshot.act_scale, row_scale=snapshot.row_scale)
+
     def _scales(self) -> tuple[float, float]:
         return tuple(max(float(np.exp(self.params[n][0])), self.settings.quantiser.floor) for n in ("act", "row"))
 
@@ -328,7 +383,7 @@ class LearnedProjection(ProjectedReadout):
         self.optimizer.rates["projection"] = settings.optimiser
         self.parts += [("rows", len(rows) * p), ("projection", p * d)]
         self.slots += len(rows) * p + p * d
-        self.learned = True
+        self.learned, self.width = True, d
 
     @staticmethod
     def _first_projection(rows, wanted: Projection):
@@ -342,6 +397,15 @@ class LearnedProjection(ProjectedReadout):
             weight = q * np.sign(np.diag(r))
         return weight, {"method": wanted.method, "uses_labels": True}
 
+    def slim(self):
+        return self._copied()
+
+    def snapshot(self) -> ProjectedModel:
+        return self.model()
+
+    def whole_model(self, snapshot: ProjectedModel) -> ProjectedModel:
+        return snapshot
+
     def _through_norm(self, raw: np.ndarray, gradient: np.ndarray) -> np.ndarray:
         if not self.normalised:
             return gradient

@@ -1,4 +1,4 @@
-"""Training loops: one pass over the rows serves one step of every scope."""
+"""Training loops: one job trains all scopes for an epoch."""
 
 from __future__ import annotations
 
@@ -7,14 +7,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from probewise.config import Optimiser
 from probewise.functions.kernels import as_list_column, as_matrix
 from probewise.operators import curve
 from probewise.operators.learners import Learner
-from probewise.operators.partials import summed
+from probewise.operators.partials import totals_by_scope, vectors_in_blocks
+from probewise.schemas import PARTIAL_SUMS
 
+PART_BYTES = 32 << 20  # derived columns of the rows that one task trains on by itself
 SCORE_COUNTS = "model_id int, snapshot int, group_id int, score double, pos long, neg long"
 
 
@@ -96,49 +98,83 @@ class Progress:
     stopped: bool = False
 
 
-def dealt(train: DataFrame) -> DataFrame:
-    """``train`` with ``deal``, a number in [0, 1) that decides a row's batch, in its order inside each partition."""
-    number = F.shiftrightunsigned(F.xxhash64(F.lit("deal"), "example_id"), 11).cast("double") / float(1 << 53)
-    return train.withColumn("deal", number).sortWithinPartitions("deal")
+def _number(salt: str, digits: int) -> Column:
+    """A number in [0, 1) from ``example_id``."""
+    text = F.substring(F.md5(F.concat(F.lit(f"{salt}|"), F.col("example_id").cast("string"))), 1, digits)
+    return F.conv(text, 16, 10).cast("double") / float(16 ** digits)
 
 
-def _stretches(train: DataFrame, counts: dict[int, int], b: int, epoch: int) -> tuple[DataFrame, dict[int, tuple | None]]:
-    """Rows that step ``b`` of an epoch may need, and the stretch (low, width) of ``deal`` each scope takes.
+def part_count(rows: int, width: int) -> int:
+    """Parts of about ``PART_BYTES``: their number grows with the data, and small data are one."""
+    return max(1, -(-rows * width * 8 // PART_BYTES))
 
-    An epoch starts elsewhere on the circle, so batches differ from epoch to epoch. A scope of
-    one batch takes all its rows.
-    """
-    start = epoch * 0.6180339887498949 % 1.0
-    stretches = {s: None if n == 1 else ((start + b / n) % 1.0, 1.0 / n) for s, n in counts.items()}
-    if None in stretches.values():
-        return train, stretches
-    low, high = min(b / n for n in counts.values()), max((b + 1) / n for n in counts.values())
-    return train.filter(_inside(F.col("deal"), (start + low) % 1.0, high - low)), stretches
+
+def parted(train: DataFrame, count: int) -> DataFrame:
+    """``train`` with ``part`` and ``deal``: the rows of a part, which a task trains on by itself in a pass, lie together."""
+    dealt = train.withColumns({"part": F.floor(_number("part", 13) * count).cast("int"), "deal": _number("deal", 13)})
+    return dealt.repartition(count, "part").sortWithinPartitions("part", "scope_id", "deal")
+
+
+def one_pass(learner: Learner, columns: dict[str, pa.Array], start: float, batch: int) -> np.ndarray:
+    """Train ``learner`` on all rows once, ``batch`` at a time: (rows, rows x state, sum of losses, steps)."""
+    deal = columns["deal"].to_numpy(zero_copy_only=False)
+    order, losses = np.argsort((deal - start) % 1.0, kind="stable"), []
+    for low in range(0, len(order), batch):
+        mine = pa.array(order[low:low + batch])
+        losses.append(learner.step(learner.batch_sums({name: values.take(mine) for name, values in columns.items()})))
+    return np.concatenate([[len(order)], len(order) * learner.state(), [float(np.sum(losses)), len(losses)]])
 
 
-def _inside(deal, low: float, width: float):
-    high = low + width
-    return (deal >= low) & (deal < high) if high <= 1.0 else (deal >= low) | (deal < high - 1.0)
+def _pass(train: DataFrame, learners: dict[int, Learner], column: str, whole: tuple[int, ...], start: float, batch: int,
+          few: bool) -> dict[int, np.ndarray]:
+    """Sums of ``one_pass`` over the parts of each scope, in one job."""
+    shared = train.sparkSession.sparkContext.broadcast(learners)
 
+    def train_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
 
-def _batch_sums(learner: Learner, columns: dict, stretch: tuple | None) -> np.ndarray:
-    if stretch is None:
-        return learner.batch_sums(columns)
-    mine = np.flatnonzero(_inside(columns["deal"].to_numpy(), *stretch))
-    if not len(mine):
-        return np.zeros(learner.slots)
-    return learner.batch_sums({name: values.take(pa.array(mine)) for name, values in columns.items()})
+        def add(part: pa.Table) -> None:
+            ids = part.column("scope_id").to_numpy()
+            for s, learner in shared.value.items():
+                mine = np.arange(len(ids)) if s in whole else np.flatnonzero(ids == s)
+                if len(mine):
+                    own = part.take(pa.array(mine)).combine_chunks()
+                    columns = {c: own.column(c).combine_chunks() for c in (column, "y", "deal")}
+                    found = one_pass(learner.slim(), columns, start, batch)
+                    totals[s] = totals[s] + found if s in totals else found
+
+        held: list[pa.RecordBatch] = []
+        for given in batches:
+            numbers = given.column("part").to_numpy()
+            cuts = np.append(np.flatnonzero(np.diff(numbers, prepend=numbers[:1] - 1)), len(numbers)) if len(numbers) else [0]
+            for low, high in zip(cuts, cuts[1:]):
+                if held and held[0].column("part")[0].as_py() != numbers[low]:
+                    add(pa.Table.from_batches(held))
+                    held = []
+                held.append(given.slice(low, high - low))
+        if held:
+            add(pa.Table.from_batches(held))
+        yield from vectors_in_blocks(totals)
+
+    slim = train.select("part", "scope_id", "y", "deal", column)
+    out = totals_by_scope(slim.mapInArrow(train_parts, PARTIAL_SUMS), few)
+    shared.destroy()
+    return out
 
 
 def fit_learners(learners: dict[int, Learner], train: DataFrame, val: DataFrame, epochs: int,
                  eval_every: int = 1, patience: int | None = None, margin: float = 0.0,
-                 steps: dict[int, int] | None = None, pending: int = 8, column: str = "v",
-                 whole: tuple[int, ...] = ()) -> dict[int, Progress]:
+                 batch: int = 512, pending: int = 8, column: str = "v",
+                 whole: tuple[int, ...] = (), few: bool = True) -> dict[int, Progress]:
     """Train all learners together and keep each one's best validation state.
 
+    An epoch is one job, however many rows and steps it has: every part of ``train`` (``parted``) takes its own mini-batch steps from the state that
+    the epoch starts with, and the states they end with are averaged by rows. With one part these are
+    just the steps, one after the other. Each epoch starts elsewhere in the order of rows, so batches differ.
+
     States are scored ``pending`` at a time in one job; the choice of the best
     state and early stopping are then replayed in order, so waiting only costs
-    steps that are thrown away.
+    epochs that are thrown away. ``few``: the parts are few enough for the driver to add up.
     """
     progress = {s: Progress() for s in learners}
     waiting: list[tuple[int, dict[int, object], dict[int, dict]]] = []
@@ -146,24 +182,19 @@ def fit_learners(learners: dict[int, Learner], train: DataFrame, val: DataFrame,
         active = {s: learners[s] for s in learners if not progress[s].stopped}
         if not active:
             break
-        losses: dict[int, list[float]] = {s: [] for s in active}
-        counts = {s: (steps or {}).get(s, 1) for s in active}
-        for b in range(max(counts.values())):
-            turn = {s: learner for s, learner in active.items() if b < counts[s]}
-            part, stretches = _stretches(train, {s: counts[s] for s in turn}, b, epoch)
-            frozen = train.sparkSession.sparkContext.broadcast({s: learner.frozen() for s, learner in turn.items()})
-            sums = summed(part, lambda s, columns: _batch_sums(frozen.value[s], columns, stretches[s]),
-                          {s: learner.slots for s, learner in turn.items()}, whole)
-            for s, learner in turn.items():
-                if sums[s].any():
-                    losses[s].append(learner.step(sums[s]))
-            frozen.destroy()
+        start = epoch * 0.6180339887498949 % 1.0
+        sums = _pass(train, {s: learner.slim() for s, learner in active.items()}, column, whole, start, batch, few)
+        losses = {}
+        for s, learner in active.items():
+            if s in sums:
+                learner.restore(sums[s][1:-2] / sums[s][0])
+                losses[s] = float(sums[s][-2] / sums[s][-1])
         last = epoch == epochs - 1
         if (epoch + 1) % eval_every and not last:
             continue
         waiting.append((
             epoch + 1, {s: learner.snapshot() for s, learner in active.items()},
-            {s: {"loss": float(np.mean(losses[s])) if losses[s] else None, **learner.report()} for s, learner in active.items()}))
+            {s: {"loss": losses.get(s), **learner.report()} for s, learner in active.items()}))
         if len(waiting) >= pending or last:
             _replay(waiting, learners, progress, val, patience, margin, column, whole)
             waiting = []
@@ -197,12 +228,12 @@ def _replay(waiting, learners, progress, val, patience, margin, column, whole) -
 
 
 def feature_scorer(learner: Learner, model):
-    frozen = learner.frozen()
-    return lambda v: frozen.feature_scores(model, v)
+    slim = learner.slim()
+    return lambda v: slim.feature_scores(model, v)
 
 
 def final_models(learners: dict[int, Learner], progress: dict[int, Progress]) -> dict[int, object]:
-    return {s: p.best if p.best is not None else learners[s].model() for s, p in progress.items()}
+    return {s: learners[s].whole_model(p.best) if p.best is not None else learners[s].model() for s, p in progress.items()}
 
 
 def bias_from_counts(scores: np.ndarray, pos: np.ndarray, neg: np.ndarray, pos_weight: float,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -11,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from probewise.config import (
     ExperimentSettings, HammingSettings, ProbeSettings, ProjectedSettings)
 from probewise.functions import kernels, vectors
-from probewise.operators import curve, pooling, probes, sampling, scopes, scoring, split as splits, training
+from probewise.operators import curve, partials, pooling, probes, sampling, scopes, scoring, split as splits, training
 from probewise.operators.normalize import normalize
 from probewise.operators.small import local_table
 from probewise.plans import evaluate, experiment, extract
 from probewise.plans import fixtures as fx
-from probewise.sources import activations as stores, loading
+from probewise.sources import activations as stores, loading, tables
 from probewise.workspace import shared_folder, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -477,6 +478,40 @@ def spelled_dicts(spark, sf_dir):
     return rows.select("doc_id", *_example_columns())
 
 
+@query(f"WITH {fx.DOCS} SELECT doc_id, lang AS domain, md5('about ' || source) AS prompt_md5, md5(text) AS text_md5, "
+       "CAST(CASE WHEN lang = 'en' THEN 1 - quality ELSE toxic END AS INT) AS label FROM docs")
+def map_records(spark, sf_dir):
+    """Records held in maps: the answer in one, prompt and labels in another, nested in a struct."""
+    labels = F.when(F.col("lang") == "en", F.create_map(F.lit("truthful"), F.when(F.col("quality") == 1, "yes").otherwise("wrong"))).otherwise(
+        F.create_map(F.lit("label"), F.col("toxic").cast("string"), F.lit("text"), F.lit("hidden")))
+    raw = fx.labelled_documents(spark, sf_dir).select(
+        "doc_id", "lang", F.create_map(F.lit("text"), "text", F.lit("note"), "source").alias("record"),
+        F.struct(F.map_concat(F.create_map(F.lit("prompt"), F.concat(F.lit("about "), "source")), labels).alias("fields")).alias("more"))
+    return normalize(raw, F.col("lang"), "documents", keep=("doc_id",)).select("doc_id", *_example_columns())
+
+
+_MIXED = """CASE doc_id % 6 WHEN 0 THEN CAST(toxic AS VARCHAR) WHEN 1 THEN CASE WHEN toxic = 1 THEN 'true' ELSE 'false' END
+  WHEN 2 THEN CASE WHEN toxic = 1 THEN '"deceptive"' ELSE '"honest"' END WHEN 3 THEN '[' || toxic || '.7, "x"]'
+  WHEN 4 THEN '{"class": "' || CASE WHEN toxic = 1 THEN 'lie' ELSE 'truth' END || '"}' ELSE 'null' END"""
+
+
+@query(f"WITH {fx.DOCS} SELECT doc_id, md5('about ' || lang) AS prompt_md5, md5('from ' || source) AS text_md5, "
+       "CAST(toxic AS INT) AS label FROM docs WHERE doc_id % 6 NOT IN (4, 5) "
+       "UNION ALL SELECT doc_id, md5('about ' || lang), md5('from ' || source), CAST(1 - quality AS INT) FROM docs WHERE doc_id % 6 IN (4, 5)")
+def mixed_type_json(spark, sf_dir):
+    """Lines of JSON whose label is a number, a flag, a word, a list, an object or null; only ``is_true`` decides the last two."""
+    docs = fx.labelled_documents(spark, sf_dir)
+    line = F.concat(
+        F.lit('{"doc_id": '), "doc_id", F.lit(', "label": '), F.expr(_MIXED.replace("VARCHAR", "STRING")),
+        F.when(F.col("doc_id") % 6 >= 4, F.concat(F.lit(', "is_true": '), F.when(F.col("quality") == 1, "true").otherwise("false"))).otherwise(""),
+        F.lit(', "log": {"messages": [{"role": "user", "content": "about '), "lang",
+        F.lit('"}, {"role": "assistant", "content": "from '), "source", F.lit('"}]}}'))
+    path = f"{shared_folder(spark)}/mixed-{uuid.uuid4().hex}"
+    docs.select(line.alias("value")).write.text(path)
+    raw = tables.read_shapeless(spark, path).withColumn("doc_id", F.expr("variant_get(record, '$.doc_id', 'long')"))
+    return normalize(raw, "facts", path, literal_columns=(), keep=("doc_id",)).select("doc_id", *_example_columns()[1:])
+
+
 @query(f"WITH {fx.DOCS} SELECT doc_id, md5(text) AS text_md5, CAST(toxic AS INT) AS label FROM docs WHERE length(text) > 20")
 def long_string_fallback(spark, sf_dir):
     raw = fx.labelled_documents(spark, sf_dir).select(
@@ -571,7 +606,6 @@ def claim_sample(spark, sf_dir):
 SELECT format, doc_id, lang AS domain, md5('Please tell me a fact.') AS prompt_md5, md5(text) AS text_md5,
   CAST(toxic AS INT) AS label FROM docs CROSS JOIN f""")
 def table_formats(spark, sf_dir):
-    import uuid
     from functools import reduce
     from probewise.sources.tables import read_table
     raw = fx.labelled_documents(spark, sf_dir).select("doc_id", "text", F.col("toxic").alias("label"), "lang")
@@ -659,7 +693,6 @@ def cache_inspect(spark, sf_dir):
 
 @query(f"WITH {fx.ACT} SELECT domain, y, count(*) AS n, round(sum(x[1]), 4) AS first_sum FROM act GROUP BY ALL")
 def store_round_trip(spark, sf_dir):
-    import uuid
     path = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
     acts = fx.activations(spark, sf_dir).drop("label")
     stored = stores.stored_or_made(spark, path, lambda: acts)
@@ -834,17 +867,64 @@ def _train_rows(spark, sf_dir) -> DataFrame:
     return splits.rows_in_split(acts, splits.shared_split(acts), "train")
 
 
-@query()
+def _bank_certificate(train: DataFrame, bank: DataFrame) -> DataFrame:
+    """What a right bank shows: (scope, row_id, ..., unit_length, largest_dot, gradient).
+
+    ``gradient`` is the length of the gradient of each row's objective, worked out anew from all training
+    rows of the scope without the directions of earlier rows, per row.
+    """
+    counts = train.groupBy("domain").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"))
+    counts = scopes.spread_scopes(counts).groupBy("scope").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+    earlier = F.sort_array(F.collect_list(F.when(F.col("b.row_id") < F.col("a.row_id"), F.struct(F.col("b.row_id"), F.col("b.row")))))
+    rows = bank.alias("a").join(bank.select("scope", "row_id", "row").alias("b"), "scope").groupBy(
+        "scope", F.col("a.row_id").alias("row_id"), "row_name", F.col("a.row").alias("row"), "length", "bias_from_probe", "alpha",
+        "converged").agg(earlier.getField("row").alias("earlier")).join(F.broadcast(counts), "scope")
+    weight = F.col("n") / (2 * F.when(F.col("y") == 1, F.col("pos")).otherwise(F.col("n") - F.col("pos")))
+    x = vectors.as_doubles(F.col("x"))
+    margin = vectors.dot(x, F.col("row")) * F.col("length") + F.col("bias_from_probe")
+    scored = scopes.spread_scopes(train.select("domain", "y", "x")).join(F.broadcast(rows), "scope").withColumn(
+        "error", weight * (1 / (1 + F.exp(-margin)) - F.col("y")))
+    terms = scored.select("scope", "row_id", F.transform(F.concat(x, F.array(F.lit(1.0))), lambda v: v * F.col("error")).alias("x"))
+    sums = partials.vector_moments(terms, ("scope", "row_id")).select(
+        "scope", "row_id", F.transform("mean", lambda v: v * F.col("n")).alias("sum"))
+    width = F.size("row")
+
+    def removed(total, row):
+        along = vectors.dot(total, row)
+        return F.zip_with(total, F.transform(row, lambda v: v * along), lambda a, b: a - b)
+
+    inside = F.reduce("earlier", F.slice("sum", 1, width), removed)
+    gradient = F.zip_with(inside, F.transform("row", lambda v: v * F.col("length") * F.col("alpha")), lambda a, b: a + b)
+    length = F.sqrt(vectors.dot(gradient, gradient) + F.pow(F.element_at("sum", -1), 2))
+    return rows.join(sums, ["scope", "row_id"]).select(
+        "scope", "row_id", "row_name", F.col("n").alias("n_rows"), "converged",
+        F.sqrt(vectors.dot(F.col("row"), F.col("row"))).alias("unit_length"),
+        F.coalesce(F.array_max(F.transform("earlier", lambda r: F.abs(vectors.dot(r, F.col("row"))))), F.lit(0.0)).alias("largest_dot"),
+        (length / F.col("n")).alias("gradient"))
+
+
+_BANK_SCOPES = f"""WITH {fx.ACT}, {fx.split_sql(fx.BY_DOMAIN)}, {_SPREAD},
+scopes AS (SELECT scope, count(*) AS n_rows FROM spread JOIN split USING (example_id) WHERE split = 'train'
+  GROUP BY scope HAVING count(DISTINCT y) = 2),
+rows AS (SELECT scope, CAST(unnest(range(CASE WHEN scope = 'combined' THEN 10 ELSE 4 END)) AS INT) AS row_id, n_rows FROM scopes)"""
+
+
+@query(f"{_BANK_SCOPES} SELECT scope, row_id, scope || '__inlp_' || row_id AS row_name, n_rows, true AS converged, "
+       "1.0::DOUBLE AS unit_length, 0.0::DOUBLE AS largest_dot, 0.0::DOUBLE AS gradient FROM rows")
 def inlp_bank(spark, sf_dir):
-    bank = probes.extract_banks(_train_rows(spark, sf_dir), ProbeSettings())
-    return bank.select("scope", "row_id", "row_name", F.round("bias_from_probe", 4).alias("bias_from_probe"),
-                       fx.text_of(F.col("row")).alias("row"))
+    train = written(_train_rows(spark, sf_dir).select("domain", "y", "x"), "train")
+    bank = probes.extract_banks(train, ProbeSettings())
+    return _rounded(_bank_certificate(train, bank), "largest_dot", "gradient").withColumn("unit_length", F.round("unit_length", 4))
 
 
-@query()
+@query(f"{_BANK_SCOPES} SELECT CAST(row_number() OVER (ORDER BY scope <> 'combined', scope, row_id) - 1 AS INT) AS row_id, "
+       "scope AS source_scope, scope || '__inlp_' || row_id AS row_name, 1.0::DOUBLE AS unit_length, 1.0::DOUBLE AS own_dot FROM rows")
 def deployment_bank(spark, sf_dir):
     bank = probes.extract_banks(_train_rows(spark, sf_dir), ProbeSettings())
-    return probes.deployment_bank(bank).select("row_id", "source_scope", "row_name", fx.text_of(F.col("row")).alias("row"))
+    own = bank.select("row_name", F.col("row").alias("own"))
+    return probes.deployment_bank(bank).join(own, "row_name").select(
+        "row_id", "source_scope", "row_name", F.round(F.sqrt(vectors.dot(F.col("row"), F.col("row"))), 4).alias("unit_length"),
+        F.round(vectors.dot(F.col("row"), F.col("own")), 4).alias("own_dot"))
 
 
 # --- training and experiments ---------------------------------------------------------------------
@@ -863,7 +943,7 @@ def _prepared(spark, sf_dir) -> experiment.Prepared:
 _EPOCHS = 4
 
 
-def _readout_history(spark, sf_dir, made) -> DataFrame:
+def _readout_history(spark, sf_dir, made, epochs: int = _EPOCHS, parts: int = 1, batch: int = 512) -> DataFrame:
     """History of learners over the fixture bank, one per scope, all from one bank."""
     acts = fx.activations(spark, sf_dir).drop("label")
     bank = fx.bank_rows(acts)
@@ -881,7 +961,7 @@ def _readout_history(spark, sf_dir, made) -> DataFrame:
     table = written(training.scope_features(
         rows, {s: m.frozen().features for s, m in learners.items()}), "features", by=("split",))
     progress = training.fit_learners(
-        learners, table.filter("split = 'train'"), table.filter("split = 'val'"), _EPOCHS)
+        learners, training.parted(table.filter("split = 'train'"), parts), table.filter("split = 'val'"), epochs, batch=batch)
     history = [(index.names[s], h["epoch"], h["loss"], h["val_auroc"], h.get("act_scale"), h.get("row_scale"))
                for s, p in progress.items() for h in p.history]
     out = local_table(spark, history, "scope string, epoch int, loss double, val_auroc double, act_scale double, row_scale double")
@@ -902,6 +982,18 @@ def hamming_readout_training(spark, sf_dir):
     return history.drop("act_scale", "row_scale")
 
 
+_LOCAL = {"epochs": 3, "parts": 2, "batch": 64}  # three batches of the largest part
+
+
+@query(f"WITH {fx.ACT}, {fx.split_sql(fx.BY_DOMAIN)}, {fx.BANK}, {fx.TRAINING}, {fx.local_training_sql(**_LOCAL, most=4)} "
+       + " UNION ALL ".join(fx.readout_report_sql(t) for t in range(1, _LOCAL["epochs"] + 1)))
+def local_step_training(spark, sf_dir):
+    """Two parts train by themselves, in batches, and are averaged after each pass."""
+    from probewise.operators.learners import HammingReadout
+    history = _readout_history(spark, sf_dir, lambda bank, w: HammingReadout(bank, HammingSettings(), w), **_LOCAL)
+    return history.drop("act_scale", "row_scale")
+
+
 @query(_unrolled(fx.QUANTISED, fx.quantised_step_sql, fx.quantised_report_sql))
 def quantised_readout_training(spark, sf_dir):
     from probewise.operators.learners import ProjectedReadout
@@ -940,6 +1032,18 @@ def hamming_experiment(spark, sf_dir):
     return _rounded(experiment.run_hamming(_prepared(spark, sf_dir), _UNWEIGHTED).metrics, *_METRICS)
 
 
+@query(f"SELECT train_scope, eval_scope, split, n, accuracy, precision, recall, f1, auroc FROM ({_CROSS_ROWS})")
+def given_bank_experiment(spark, sf_dir):
+    """The unweighted sign experiment from a bank that is given: every domain its own row, all rows together the whole bank."""
+    acts = fx.activations(spark, sf_dir).drop("label")
+    own = fx.mean_difference_bank(acts)
+    bank = own.withColumn("row_id", F.lit(0)).unionByName(own.withColumn("scope", F.lit("combined"))).withColumn(
+        "row_name", F.concat("scope", F.lit("__given_"), "row_id"))
+    prepared = experiment.prepare(acts, _DEFAULTS, bank=written(bank, "bank"))
+    metrics = experiment.run_hamming(prepared, _UNWEIGHTED).metrics.filter("split <> 'val'")
+    return _rounded(metrics.select("train_scope", "eval_scope", "split", "n", *_METRICS[:-1]), *_METRICS[:-1])
+
+
 @query(f"WITH {fx.ACT} SELECT example_id, domain, CAST(label >= 5 AS INT) AS y FROM act")
 def label_refresh(spark, sf_dir):
     acts = fx.activations(spark, sf_dir)
@@ -958,9 +1062,73 @@ def stream_score(spark, sf_dir):
     return _run_to_end(score_stream(rows, model).drop("x"))
 
 
+_WINDOW, _LATENESS = "6 hours", "1 hour"
+
+
+@query(f"""WITH {fx.ACT}, {fx.BANK}, best AS ({fx.best_sql(_HAMMING_PAIRS)}),
+seen AS (SELECT e.ts, e.event_type AS domain, CAST(b.score >= 0.25 AS INT) AS flagged FROM events e JOIN best b ON b.example_id = e.user_id),
+counted AS (SELECT to_timestamp(epoch_us(ts) // 21600000000 * 21600)::TIMESTAMP AS since, domain, count(*) AS n, sum(flagged) AS n_flagged
+  FROM seen GROUP BY ALL)
+SELECT strftime(since, '%Y-%m-%d %H:%M') AS window_start, domain, n, CAST(n_flagged AS BIGINT) AS n_flagged, round(n_flagged / n, 6) AS rate
+FROM counted WHERE since + INTERVAL 6 HOUR <= (SELECT max(ts) FROM seen) - INTERVAL 1 HOUR""")
+def stream_alarm_rate(spark, sf_dir):
+    """Events as a stream, each with its user's activation, scored and counted by type in windows that are complete."""
+    from probewise.streaming.alarm_rate import alarm_rate
+    from probewise.streaming.score_stream import score_stream
+    acts = fx.activations(spark, sf_dir)
+    model = scoring.HammingModel(fx.bank_rows(acts), threshold=0.25)
+    schema = fx.table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    joined = events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("domain"), F.col("user_id").alias("example_id")).join(
+        acts.select("example_id", "x"), "example_id")
+    rates = _run_to_end(alarm_rate(score_stream(joined, model), "ts", _WINDOW, _LATENESS))
+    return _rounded(rates.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "domain", "n", "n_flagged", "rate"), "rate")
+
+
+_ROTATIONS = 40
+
+
+@query(f"""WITH {fx.ACT}, bank AS (SELECT CAST(example_id * {_ROTATIONS} + s AS INT) AS row_id, list_concat(x[s + 1:], x[1:s]) AS row
+  FROM act CROSS JOIN (SELECT unnest(range({_ROTATIONS})) AS s)),
+best AS ({fx.best_sql(_HAMMING_PAIRS)}) SELECT example_id, CAST(row_id AS INT) AS winner, score FROM best""")
+def blocked_bank_wta(spark, sf_dir):
+    """A bank of forty rows for every example, itself turned by 0 to 39 places, in blocks."""
+    acts = fx.activations(spark, sf_dir)
+    bank = acts.select("example_id", "x", F.explode(F.sequence(F.lit(0), F.lit(_ROTATIONS - 1))).alias("s")).select(
+        (F.col("example_id") * _ROTATIONS + F.col("s")).cast("int").alias("row_id"),
+        F.concat(F.slice("x", F.col("s") + 1, F.size("x")), F.slice("x", F.lit(1), F.col("s"))).cast("array<double>").alias("row"))
+    best = scoring.blocked_winners(acts.select("example_id", "x"), written(bank, "large-bank"), block_bytes=4 << 20, together=2)
+    return best.select("example_id", "winner", "score")
+
+
+@query(f"WITH {fx.ACT}, {fx.BANK}, best AS (" + fx.best_sql(_HAMMING_PAIRS.replace("/ len(x) AS score", "/ len(x) * (1 + row_id / 8.0) + 0.125 AS score"))
+       + ") SELECT example_id, CAST(row_id AS INT) AS winner, round(score, 6) AS score, CAST(score >= 0.5 AS INT) AS flagged FROM best")
+def artifact_round_trip(spark, sf_dir):
+    """Scores of a weighted model that was saved and read back."""
+    from probewise.sources import artifacts
+    from probewise.streaming.score_stream import score_stream
+    acts = fx.activations(spark, sf_dir)
+    bank = fx.bank_rows(acts)
+    model = scoring.HammingModel(bank, 1 + np.arange(len(bank)) / 8.0, 0.125, threshold=0.5, weighted=True)
+    path = f"{shared_folder(spark)}/artifact-{uuid.uuid4().hex}"
+    artifacts.save_models(experiment.hamming_rows(spark, {("sign", "combined"): model, ("sign", "d1"): scoring.HammingModel(bank[:1])}), path)
+    loaded = artifacts.load_hamming(spark, path, "combined")["sign", "combined"]
+    scored = score_stream(acts.select("example_id", "x"), loaded)
+    return _rounded(scored.select("example_id", "winner", "score", "flagged"), "score")
+
+
+@query(f"WITH {fx.ACT} SELECT example_id, domain, 1 - y AS y, CAST(2 AS BIGINT) AS version FROM act")
+def store_versions(spark, sf_dir):
+    """A store replaced by rows that are read from it."""
+    path = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    stores.write_activations(fx.activations(spark, sf_dir).select("example_id", "domain", "y", "x"), path)
+    stores.write_activations(stores.read_activations(spark, path).withColumn("y", 1 - F.col("y")), path, replace=True)
+    newest = stores.newest_version(spark, path)[0]
+    return stores.read_activations(spark, path).select("example_id", "domain", "y", F.lit(newest).cast("long").alias("version"))
+
+
 def _run_to_end(stream: DataFrame) -> DataFrame:
     """Drain what a stream can read now into files and read them back."""
-    import uuid
     spark = stream.sparkSession
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     running = (stream.writeStream.format("parquet").option("path", f"{folder}/rows")

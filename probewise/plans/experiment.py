@@ -13,6 +13,7 @@ from probewise.config import COMBINED, GLOBAL_BANK, ExperimentSettings, Schedule
 from probewise.operators import curve, probes, split as splits, training
 from probewise.operators.learners import (
     HammingReadout, HashMatrixLearner, Learner, LearnedProjection, ProjectedReadout)
+from probewise.operators.partials import FAN
 from probewise.operators.probes import ScopeIndex
 from probewise.operators.scopes import scopes_of, training_table
 from probewise.operators.scoring import HammingModel, ProjectedModel
@@ -33,6 +34,7 @@ class Prepared:
     scopes: ScopeIndex
     matrices: dict[str, np.ndarray]
     n_train: dict[tuple[int, str], tuple[int, int]]  # (scope, split) -> (neg, pos)
+    left_out: int = 0  # rows without a label of 0 or 1: they are split, but neither trained on nor evaluated
 
     @property
     def trained(self) -> list[str]:
@@ -50,8 +52,16 @@ class Results:
 
 
 def prepare(means: DataFrame, settings: ExperimentSettings = ExperimentSettings(),
-            tokens: DataFrame | None = None) -> Prepared:
-    """One split, then banks from its training examples; tokens follow their example."""
+            tokens: DataFrame | None = None, bank: DataFrame | None = None) -> Prepared:
+    """One split, then banks from its training examples, unless ``bank`` is given; tokens follow their example.
+
+    Rows without a domain belong to the scope ``None``; rows without a label are counted and left out.
+    """
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("domain", splits.known(F.col("domain")))
+
+    means = placed(means)
+    tokens = None if tokens is None else placed(tokens)
     unique = written(splits.one_row_per_example(means), "examples")
     stratum = splits.stratum_key().alias("stratum")
     rule = splits.split_rule(unique.select("example_id", stratum), settings.split)
@@ -67,10 +77,11 @@ def prepare(means: DataFrame, settings: ExperimentSettings = ExperimentSettings(
         indexed = tagged(table).join(scopes.column(means.sparkSession), "domain").select(
             "scope_id", "domain", "example_id", F.col("y").cast("int").alias("y"), "split",
             F.col("x").cast("array<float>").alias("x"))
-        return written(indexed, name, by=("split",))
+        return written(indexed.filter(F.col("y").isin(0, 1)), name, by=("split",))
 
     mean_rows = stored(means, "means")
-    bank = written(probes.extract_banks(mean_rows.filter(F.col("split") == "train"), settings.probe), "bank")
+    if bank is None:
+        bank = written(probes.extract_banks(mean_rows.filter(F.col("split") == "train"), settings.probe), "bank")
     source = training_table(means, tokens, settings.train_on)
     rows = mean_rows if source is means else stored(source, "tokens")
     shape = rows.groupBy("scope_id", "split").agg(
@@ -80,8 +91,9 @@ def prepare(means: DataFrame, settings: ExperimentSettings = ExperimentSettings(
         for s in (r["scope_id"], 0):
             neg, pos = counts.get((s, r["split"]), (0, 0))
             counts[(s, r["split"])] = (neg + r["neg"], pos + r["pos"])
+    left_out = source.filter(~F.coalesce(F.col("y").isin(0, 1), F.lit(False))).count()
     return Prepared(rows, split, bank, probes.deployment_bank(bank), scopes,
-                    probes.bank_matrices(bank), counts)
+                    probes.bank_matrices(bank), counts, left_out)
 
 
 def _usable(prepared: Prepared) -> list[int]:
@@ -212,17 +224,16 @@ def _fit(prepared: Prepared, learners: dict[int, Learner], whole, on_vectors: bo
         features = {s: learner.frozen().features for s, learner in learners.items()}
         table = written(training.scope_features(rows, features, whole), "features", by=("split",))
         column, all_rows = "v", ()
-    # Sorted by the number that deals rows to batches, a step reads only its stretch of the cache.
-    train = training.dealt(table.filter(F.col("split") == "train").drop("split")).persist(StorageLevel.MEMORY_AND_DISK)
     everyone = sum(sum(prepared.n_train.get((s, "train"), (0, 0))) for s in range(1, len(prepared.scopes.names)))
-    steps = {s: max(1, -(-(everyone if s in whole else sum(prepared.n_train.get((s, "train"), (0, 0)))) // plan.batch))
-             for s in learners}
+    taken = everyone * (1 if on_vectors else 1 + len(set(whole) & set(learners)))
+    parts = training.part_count(taken, max((learner.width for learner in learners.values()), default=1))
+    train = training.parted(table.filter(F.col("split") == "train").drop("split"), parts).persist(StorageLevel.MEMORY_AND_DISK)
     val = table.filter(F.col("split") == "val").drop("split")
     kept = val.select("*").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         progress = training.fit_learners(
-            learners, train, kept, plan.epochs, plan.score_every, plan.patience, steps=steps, column=column,
-            whole=all_rows, **options)
+            learners, train, kept, plan.epochs, plan.score_every, plan.patience, batch=plan.batch, column=column,
+            whole=all_rows, few=parts <= FAN, **options)
     finally:
         train.unpersist()
         kept.unpersist()
@@ -369,16 +380,21 @@ def _levels(model: ProjectedModel) -> tuple[int, int]:
 
 def hamming_artifacts(prepared: Prepared, results: Results, save_matrices: bool = False) -> DataFrame:
     """One row per method and scope with codes, weights, bias and threshold."""
-    rows = []
-    for (method, scope), model in results.models.items():
-        best = results.history.filter((F.col("method") == method) & (F.col("scope") == scope)).agg(
-            F.max("val_auroc")).first()[0]
-        rows.append((
-            method, bool(model.weighted), scope, _nested(model.rows),
-            [[int(c) for c in row] for row in model.row_codes], [float(a) for a in model.alphas],
-            float(model.bias), float(model.threshold), best, int(model.rows.shape[1]),
-            _nested(model.matrix) if save_matrices and method == "learned_matrix" else None))
-    return local_table(prepared.rows.sparkSession, rows, (
+    reached = {(r["method"], r["scope"]): r["best"] for r in results.history.groupBy("method", "scope").agg(
+        F.max("val_auroc").alias("best")).collect()}
+    return hamming_rows(prepared.rows.sparkSession, results.models, reached, save_matrices)
+
+
+def hamming_rows(spark: SparkSession, models: dict[tuple[str, str], HammingModel], reached: dict[tuple[str, str], float] | None = None,
+                 save_matrices: bool = False) -> DataFrame:
+    """Models by (method, scope) in the columns of a saved artifact."""
+    rows = [(
+        method, bool(model.weighted), scope, _nested(model.rows),
+        [[int(c) for c in row] for row in model.row_codes], [float(a) for a in model.alphas],
+        float(model.bias), float(model.threshold), (reached or {}).get((method, scope)), int(model.rows.shape[1]),
+        _nested(model.matrix) if save_matrices and method == "learned_matrix" else None)
+        for (method, scope), model in models.items()]
+    return local_table(spark, rows, (
         "method string, weighted_rows boolean, scope string, rows array<array<double>>, "
         "binary_codes array<array<tinyint>>, alphas array<double>, bias double, threshold double, "
         "best_val_auroc double, code_length int, hash_matrix array<array<double>>"))

@@ -260,3 +260,52 @@ def quantised_report_sql(t: int) -> str:
     return (f"SELECT scope, {t} AS epoch, round(loss, 6) AS loss, round(auroc, 6) AS val_auroc, round(exp(act), 6) AS act_scale, "
             f"round(exp(row), 6) AS row_scale FROM loss{t} JOIN act{t} USING (scope) JOIN row{t} USING (scope) JOIN "
             f"({auroc_sql(scored, 'scope')}) USING (scope)")
+
+
+def local_training_sql(epochs: int, parts: int, batch: int, most: int) -> str:
+    """Training of row weights and bias in passes: each part takes its own steps, then states are averaged by rows.
+
+    ``most`` is the largest number of batches of a part.
+    """
+    number = "('0x' || substr(md5('{}|' || example_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+    ctes = [f"""
+dealt AS MATERIALIZED (SELECT *, floor({number.format('part')} * {parts}) AS part, {number.format('deal')} AS deal
+  FROM seen WHERE split = 'train'),
+weigh AS MATERIALIZED (SELECT scope, part, count(*) AS rows FROM dealt GROUP BY ALL),
+step0 AS MATERIALIZED (SELECT scope, 0::DOUBLE AS t FROM size)"""]
+    for e in range(1, epochs + 1):
+        start = repr((e - 1) * 0.6180339887498949 % 1.0)
+        ctes.append(f"""
+placed{e} AS MATERIALIZED (SELECT scope, example_id, part, (row_number() OVER (PARTITION BY scope, part
+  ORDER BY deal - {start}::DOUBLE + CASE WHEN deal < {start}::DOUBLE THEN 1 ELSE 0 END) - 1) // {batch} AS batch FROM dealt),
+w{e}_0 AS MATERIALIZED (SELECT scope, part, row_id, raw, m, v FROM raw{e - 1} JOIN weigh USING (scope)),
+b{e}_0 AS MATERIALIZED (SELECT scope, part, bias, m, v, t, 0::DOUBLE AS losses, 0 AS steps
+  FROM bias{e - 1} JOIN weigh USING (scope) JOIN step{e - 1} USING (scope))""")
+        for k in range(1, most + 1):
+            weighted = (f"SELECT p.*, part, s * (ln(1 + exp(raw)) + 1e-6) AS q, pw, bias FROM pair p "
+                        f"JOIN placed{e} USING (scope, example_id) JOIN w{e}_{k - 1} USING (scope, part, row_id) "
+                        f"JOIN b{e}_{k - 1} USING (scope, part) JOIN size USING (scope) WHERE batch = {k - 1}")
+
+            def adam(name: str) -> str:
+                return (f"CASE WHEN g IS NULL THEN {name} ELSE {name} * (1 - 0.03 * 1e-4) - 0.03 * ((0.9 * m + 0.1 * g) / (1 - pow(0.9, t + 1))) "
+                        f"/ (sqrt((0.999 * v + 0.001 * g * g) / (1 - pow(0.999, t + 1))) + 1e-8) END AS {name}, "
+                        "CASE WHEN g IS NULL THEN m ELSE 0.9 * m + 0.1 * g END AS m, CASE WHEN g IS NULL THEN v ELSE 0.999 * v + 0.001 * g * g END AS v")
+
+            ctes.append(f"""
+hit{e}_{k} AS MATERIALIZED (SELECT scope, part, row_id, s, q + bias AS z, y, pw, 1 / (1 + exp(-(q + bias))) * (1 - y + pw * y) - pw * y AS e
+  FROM ({best_sql(weighted, 'scope, example_id', 'q DESC')})),
+total{e}_{k} AS MATERIALIZED (SELECT scope, part, count(*) AS rows, sum(e) / count(*) AS g,
+  avg(pw * y * ln(1 + exp(-z)) + (1 - y) * ln(1 + exp(z))) AS loss FROM hit{e}_{k} GROUP BY ALL),
+w{e}_{k} AS MATERIALIZED (SELECT scope, part, row_id, {adam('raw')} FROM (
+  SELECT p.scope, p.part, p.row_id, raw, p.m, p.v, t, CASE WHEN o.rows IS NOT NULL THEN coalesce(own, 0) / o.rows / (1 + exp(-raw)) END AS g
+  FROM w{e}_{k - 1} p JOIN b{e}_{k - 1} b USING (scope, part) LEFT JOIN total{e}_{k} o USING (scope, part)
+  LEFT JOIN (SELECT scope, part, row_id, sum(e * s) AS own FROM hit{e}_{k} GROUP BY ALL) USING (scope, part, row_id))),
+b{e}_{k} AS MATERIALIZED (SELECT scope, part, {adam('bias')}, t + (g IS NOT NULL)::INT AS t, losses + coalesce(loss, 0) AS losses,
+  steps + (g IS NOT NULL)::INT AS steps FROM b{e}_{k - 1} LEFT JOIN total{e}_{k} USING (scope, part))""")
+        mean = "sum({0} * rows) / sum(rows) AS {0}"
+        ctes.append(f"""
+raw{e} AS MATERIALIZED (SELECT scope, row_id, {', '.join(mean.format(c) for c in ('raw', 'm', 'v'))} FROM w{e}_{most} JOIN weigh USING (scope, part) GROUP BY ALL),
+bias{e} AS MATERIALIZED (SELECT scope, {', '.join(mean.format(c) for c in ('bias', 'm', 'v'))} FROM b{e}_{most} JOIN weigh USING (scope, part) GROUP BY ALL),
+step{e} AS MATERIALIZED (SELECT scope, {mean.format('t')} FROM b{e}_{most} JOIN weigh USING (scope, part) GROUP BY ALL),
+loss{e} AS MATERIALIZED (SELECT scope, sum(losses) / sum(steps) AS loss FROM b{e}_{most} GROUP BY ALL)""")
+    return ",".join(ctes)

@@ -216,7 +216,7 @@ def test_training_loop_matches_numpy_with_early_stopping(spark):
     made = {s: learners.HammingReadout(r, cfg, 1.2) for s, r in rows.items()}
     feats = training.scope_features(table, {s: m.frozen().features for s, m in made.items()}).persist()
     progress = training.fit_learners(
-        made, feats.filter("split = 'train'"), feats.filter("split = 'val'"), cfg.sign_schedule.epochs,
+        made, training.parted(feats.filter("split = 'train'"), 1), feats.filter("split = 'val'"), cfg.sign_schedule.epochs,
         eval_every=cfg.sign_schedule.score_every, patience=cfg.sign_schedule.patience, margin=1e-5, pending=4)
     models = training.final_models(made, progress)
     for s in rows:
@@ -246,24 +246,60 @@ def test_bias_only_training_equals_the_general_learner():
     assert losses[0] == pytest.approx((1.4 * y * np.logaddexp(0, -scores) + (1 - y) * np.logaddexp(0, scores)).mean())
 
 
-def test_mini_batches_cover_every_row_once(spark):
-    x, y, _ = planted(100, 4, ("a",))
-    rows = np.eye(4)[:2]
-    cfg = HammingSettings()
-    table = spark.createDataFrame([(0, "train", i, int(t), HammingModel(rows).matches(r[None, :])[0].tolist())
-                                   for i, (t, r) in enumerate(zip(y, x.astype(float)))],
-                                  "scope_id int, split string, example_id long, y int, v array<double>")
-    seen = []
-
-    class Counting(learners.HammingReadout):
-        def step(self, sums):
-            seen.append(sums[-1])
-            return super().step(sums)
-
-        def frozen(self):
-            copy = learners.HammingReadout(self.rows, cfg, self.pos_weight)
-            copy.params = self.params
-            return copy
-
-    training.fit_learners({0: Counting(rows, cfg, 1.0)}, training.dealt(table), table, 1, steps={0: 4})
-    assert sum(seen) == 100 and len(seen) == 4
+def test_a_pass_takes_every_row_once_in_batches():
+    rng = np.random.default_rng(11)
+    sims, y, deal = rng.normal(size=(100, 2)), rng.integers(0, 2, 100), rng.random(100)
+    cfg, seen = HammingSettings(), []
+
+    class Watched(learners.HammingReadout):
+        def batch_sums(self, columns):
+            seen.append(columns["deal"].to_pylist())
+            return super().batch_sums(columns)
+
+    learner = Watched(np.eye(4)[:2], cfg, 1.0)
+    found = training.one_pass(learner, {**columns(y, v=sims), "deal": pa.array(deal)}, 0.4, 32)
+    assert [len(b) for b in seen] == [32, 32, 32, 4] and sorted(sum(seen, [])) == sorted(deal)
+    assert sum(seen, []) == sorted(deal, key=lambda d: (d - 0.4) % 1.0)
+    assert found[0] == 100 and found[-1] == 4
+    twin = learners.HammingReadout(np.eye(4)[:2], cfg, 1.0)
+    for batch in seen:
+        at = [deal.tolist().index(d) for d in batch]
+        twin.step(twin.batch_sums(columns(y[at], v=sims[at])))
+    np.testing.assert_allclose(found[1:-2] / 100, twin.state())
+    other = learners.HammingReadout(np.eye(4)[:2], cfg, 1.0)
+    other.restore(found[1:-2] / 100)
+    np.testing.assert_allclose(other.params["raw"], twin.params["raw"])
+
+
+def test_slim_learners_train_and_score_alike():
+    x, y, _ = planted(60, 6)
+    rows = np.random.default_rng(12).normal(size=(3, 6))
+    for learner in (learners.HammingReadout(rows, HammingSettings(), 1.2),
+                    learners.ProjectedReadout(rows, ProjectedSettings(Projection(4, normalise=True)))):
+        slim = learner.slim()
+        v = learner.features(x.astype(float))
+        for one in (learner, slim):
+            one.step(one.batch_sums(columns(y, v=v)))
+        np.testing.assert_allclose(slim.state(), learner.state())
+        whole = learner.whole_model(slim.snapshot())
+        np.testing.assert_allclose(slim.feature_scores(slim.snapshot(), v), learner.feature_scores(learner.model(), v))
+        np.testing.assert_allclose(whole.scores(x.astype(float)), learner.model().scores(x.astype(float)))
+
+
+def test_parts_that_are_averaged_reach_the_same_ranking(spark):
+    x, y, _ = planted(4000, 6, ("a",))
+    rows = np.eye(6)[:4]
+    is_val = np.arange(4000) % 4 == 0
+    table = spark.createDataFrame(
+        [(0, "val" if v else "train", i, int(t), m.tolist())
+         for i, (v, t, m) in enumerate(zip(is_val, y, x.astype(float) @ rows.T))],
+        "scope_id int, split string, example_id long, y int, v array<double>").persist()
+    reached = {}
+    for parts in (1, 5):
+        learner = learners.HammingReadout(rows, HammingSettings(), 1.0)
+        progress = training.fit_learners(
+            {0: learner}, training.parted(table.filter("split = 'train'"), parts).persist(), table.filter("split = 'val'"),
+            25, batch=64, pending=25, few=parts == 1)
+        reached[parts] = progress[0].best_auroc
+    assert reached[1] > 0.75 and abs(reached[1] - reached[5]) < 0.01
+    table.unpersist()
