@@ -109,6 +109,56 @@ def _python_cell(v) -> dict:
     return {"kind": "s" if isinstance(v, str) else "o", "text": str(v), "number": None}
 
 
+def _variant_cell(value: Column) -> Column:
+    """The cell of a VARIANT; a list gives its first element, whatever that holds."""
+    kind = F.schema_of_variant(value)
+    text = F.try_variant_get(value, F.lit("$"), "string")
+    number = F.try_variant_get(value, F.lit("$"), "double")
+    plain = kind.startswith("STRING")
+    return (
+        F.when(kind == "VOID", _empty()).when(plain, _make("s", text))
+        .when(kind == "BOOLEAN", _make("b", F.when(text == "true", "True").otherwise("False"), (text == "true").cast("int")))
+        .when(number.isNull() | kind.startswith("OBJECT") | kind.startswith("ARRAY"), _make("o", text))
+        .when(F.isnan(number), _empty()).otherwise(_make("n", text, number)))
+
+
+def _variant_entries(value: Column) -> Column:
+    return F.map_entries(F.try_variant_get(value, F.lit("$"), "map<string,variant>"))
+
+
+def variant_cells(df: DataFrame, value: Column, name: str, depth: int = DEPTH) -> DataFrame:
+    """``df`` with ``name``: the cells of a VARIANT object by field, those ``depth`` levels down included; NULL for other values.
+
+    Fields of one object come in the order of their names, outer ones first. Of a list ``messages`` the first
+    content by role stands under ``messages/role``.
+    """
+    levels = [f"{name}_{i}" for i in range(depth + 1)]
+    df = df.withColumn(levels[0], _variant_entries(value))
+    for above, level in zip(levels, levels[1:]):
+        inner = F.filter(F.transform(above, lambda e: _variant_entries(e["value"])), lambda v: v.isNotNull())
+        df = df.withColumn(level, F.flatten(inner))
+    every = F.concat(*levels)
+
+    def first_element(e: Column) -> Column:
+        return F.try_variant_get(e["value"], F.lit("$[0]"), "variant")
+
+    def one(e: Column) -> Column:
+        listed = F.schema_of_variant(e["value"]).startswith("ARRAY")
+        first = first_element(e)
+        element = F.when(first.isNull(), _empty()).when(F.schema_of_variant(first) == "VOID", _make("o", F.lit("None"))).otherwise(_variant_cell(first))
+        return F.struct(e["key"].alias("name"), F.when(listed, element).otherwise(_variant_cell(e["value"])).alias("cell"))
+
+    turns = F.try_variant_get(F.get(F.filter(every, lambda e: e["key"] == "messages"), F.lit(0))["value"], F.lit("$"), "array<variant>")
+
+    def spoken(role: str) -> Column:
+        said = F.filter(turns, lambda m: F.try_variant_get(m, F.lit("$.role"), "string") == role)
+        content = F.transform(F.slice(said, 1, 1), lambda m: F.struct(
+            F.lit(f"messages/{role}").alias("name"), _variant_cell(F.try_variant_get(m, F.lit("$.content"), "variant")).alias("cell")))
+        return F.coalesce(content, F.array().cast(f"array<struct<name: string, cell: {CELL}>>"))
+
+    return df.withColumn(name, F.concat(F.transform(every, one), spoken("assistant"), spoken("user"))).drop(*levels)
+
+
 def looks_like_dict(text: Column) -> Column:
     bare = strip(text)
     return bare.startswith("{") & bare.endswith("}")
@@ -148,6 +198,8 @@ class Cells:
 
     Fields only fill names the row does not have; the first nested value that holds
     a name wins. ``literal_columns`` are columns, or paths of fields, whose text may spell a dictionary.
+    Maps and VARIANT objects have no fixed fields: their names are looked up in each row, after those of typed fields
+    and spelled dictionaries, and within one object in the order of names.
     """
 
     def __init__(self, df: DataFrame, literal_columns: Sequence[str | Path] = ()):
@@ -157,14 +209,22 @@ class Cells:
         for path, name in self.spelled.items():
             text = F.when(looks_like_dict(_at(path)), _at(path))
             df = df.withColumn(name, literal_cells(text, DEPTH + 1 - len(path)))
-        self.df = df
+        self.shapeless: list[tuple[Column, int]] = []
         self.nested: list[tuple[str, Column, T.DataType, Column]] = []
         for name, kind in self.top.items():
             self._walk(F.col(f"`{name}`"), kind, DEPTH)
         order = list(self.top)
         self.literals = [F.col(self.spelled[p]) for p in sorted(self.spelled, key=lambda p: (len(p), order.index(p[0])))]
+        for i, (value, depth) in enumerate(self.shapeless):
+            df = variant_cells(df, value, f"_shapeless{i}", depth)
+            self.literals.append(F.col(f"_shapeless{i}"))
+        self.df = df
 
     def _walk(self, value: Column, kind: T.DataType, depth: int) -> None:
+        if isinstance(kind, T.VariantType) and depth:
+            self.shapeless.append((value, depth - 1 + (depth == DEPTH)))
+        elif isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType) and depth:
+            self.shapeless.append((F.to_variant_object(value), depth - 1))
         if depth == 0 or not isinstance(kind, T.StructType):
             return
         for field in kind.fields:

@@ -1,17 +1,17 @@
 """Arrow-batch scoring functions: one matrix product per batch, bank in the closure.
 
-A bank is at most a few dozen rows; ``bounded_bank`` checks that before it is
-shipped to the tasks.
+``bounded_bank`` checks the size of a bank before it is shipped to the tasks; larger ones are
+scored in blocks (``scoring.blocked_winners``).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.functions import arrow_udf
 
-MAX_BANK_ROWS = 4096
+MAX_BANK_BYTES = 256 << 20
 
 
 def as_matrix(column: pa.Array, dtype=np.float64) -> np.ndarray:
@@ -35,12 +35,19 @@ def as_list_column(matrix: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(matrix).ravel()))
 
 
+def bank_bytes(bank: DataFrame) -> int:
+    """Size of a bank's arrays as doubles, with something for every row."""
+    arrays = [F.coalesce(F.size(f.name), F.lit(0)) for f in bank.schema.fields if isinstance(f.dataType, T.ArrayType)]
+    numbers = sum(arrays[1:], arrays[0]) if arrays else F.lit(0)
+    return int(bank.agg(F.coalesce(F.sum(numbers * 8 + 64), F.lit(0))).first()[0])
+
+
 def bounded_rows(bank: DataFrame) -> list:
-    """Collect a bank of at most ``MAX_BANK_ROWS`` rows; a larger one is an error."""
-    rows = bank.limit(MAX_BANK_ROWS + 1).collect()
-    if len(rows) > MAX_BANK_ROWS:
-        raise ValueError(f"a bank of more than {MAX_BANK_ROWS} rows is too large to ship to every task")
-    return rows
+    """Collect a bank of at most ``MAX_BANK_BYTES``; a larger one is an error."""
+    size = bank_bytes(bank)
+    if size > MAX_BANK_BYTES:
+        raise ValueError(f"a bank of {size >> 20} MB is too large to ship to every task")
+    return bank.collect()
 
 
 def bounded_bank(bank: DataFrame, order: str = "row_id", column: str = "row") -> np.ndarray:

@@ -14,8 +14,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from probewise.operators.partials import vector_moments
 from probewise.functions import kernels, vectors
+from probewise.operators.partials import vector_moments
+from probewise.workspace import written
+
+BLOCK_BYTES = 32 << 20  # of a bank that is multiplied at once
+TOGETHER = 8            # blocks of a bank that are held at the same time
 
 
 def qrange(bits: int, signed: bool = True) -> tuple[int, int]:
@@ -234,3 +238,62 @@ def bit_balance(rows: DataFrame, model: HammingModel, x: str = "x") -> DataFrame
     """One row (n, mean_code): the mean code of every bit; the balance penalty is the mean of its squares."""
     coded = rows.select(kernels.matrix_udf(model.codes)(F.col(x)).alias("code"))
     return vector_moments(coded, (), "code").select("n", F.col("mean").alias("mean_code"))
+
+
+def sign_similarity(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Hamming similarity of the signs of ``x`` and of ``rows``, for ``blocked_winners``."""
+    return kernels.signs(x) @ kernels.signs(rows).T / max(1, rows.shape[1])
+
+
+def cosine_similarity(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    return kernels.unit_rows(x) @ kernels.unit_rows(rows).T
+
+
+def blocked_winners(rows: DataFrame, bank: DataFrame, similarity=sign_similarity, x: str = "x",
+                    block_bytes: int = BLOCK_BYTES, together: int = TOGETHER) -> DataFrame:
+    """``rows`` with the score and ``winner`` (row_id) of the best of any number of bank rows (row_id, row[, alpha]).
+
+    The bank is dealt to blocks of about ``block_bytes`` by row_id. A task multiplies a batch with one
+    block after the other and keeps the best so far, the lowest row_id among equals; rows never move. Driver and tasks
+    hold ``together`` blocks at most: after so many, what has been reached is written and the next pass reads it.
+    An empty bank gives a NULL score and winner.
+    """
+    spark, weighted = rows.sparkSession, "alpha" in bank.columns
+    wanted = bank.select("row_id", "row", *(["alpha"] if weighted else []))
+    count = -(-kernels.bank_bytes(wanted) // block_bytes)
+    out = rows.withColumn("_best", F.lit(None).cast("struct<score: double, winner: int>"))
+    shared = []
+    for number in range(count):
+        mine = wanted.filter(F.pmod(F.xxhash64("row_id"), F.lit(count)) == number).sort("row_id").toArrow().combine_chunks()
+        if not mine.num_rows:
+            continue
+        ids = mine.column("row_id").to_numpy().astype(np.int64)
+        matrix = kernels.as_matrix(mine.column("row").combine_chunks())
+        alphas = mine.column("alpha").to_numpy() if weighted else np.ones(len(ids))
+        shared.append(spark.sparkContext.broadcast((ids, matrix, alphas)))
+        out = out.withColumn("_best", _better(shared[-1], similarity)(F.col(x), F.col("_best")))
+        if len(shared) % together == 0 and number + 1 < count:
+            out = written(out, "best-so-far")
+            for block in shared[-together:]:
+                block.destroy()
+    return out.withColumns({"score": F.col("_best.score"), "winner": F.col("_best.winner")}).drop("_best")
+
+
+def _better(block, similarity):
+    """The better one of what is held so far and the best row of a block."""
+    @arrow_udf("struct<score double, winner int>")
+    def better(column: pa.Array, held: pa.Array) -> pa.Array:
+        if not len(column):
+            return pa.array([], pa.struct([("score", pa.float64()), ("winner", pa.int32())]))
+        ids, matrix, alphas = block.value
+        scores = similarity(kernels.as_matrix(column), matrix) * alphas
+        best = scores.argmax(axis=1)
+        score, winner = scores[np.arange(len(best)), best], ids[best]
+        old = held.field("score").to_numpy(zero_copy_only=False).astype(np.float64)
+        old_winner = held.field("winner").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        none = np.asarray(held.is_null())
+        keep = ~none & ((old > score) | ((old == score) & (old_winner < winner)))
+        return pa.StructArray.from_arrays(
+            [pa.array(np.where(keep, old, score)), pa.array(np.where(keep, old_winner, winner).astype(np.int32))], ["score", "winner"])
+
+    return better

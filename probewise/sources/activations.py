@@ -2,18 +2,36 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from probewise.functions.kernels import matrix_udf
+from probewise.operators.small import local_table
 from probewise.schemas import MEAN_COLUMNS, TOKEN_COLUMNS
 
+VERSIONS = "number long, folder string"
+
 
 def read_activations(spark: SparkSession, path: str, tokens: bool = False) -> DataFrame:
-    """An activation table with all required columns."""
-    return require_columns(spark.read.parquet(path), TOKEN_COLUMNS if tokens else MEAN_COLUMNS)
+    """An activation table with all required columns: the newest version of a store, or a plain folder of files."""
+    newest = newest_version(spark, path)
+    table = spark.read.parquet(path if newest is None else f"{path}/{newest[1]}")
+    return require_columns(table, TOKEN_COLUMNS if tokens else MEAN_COLUMNS)
+
+
+def newest_version(spark: SparkSession, path: str) -> tuple[int, str] | None:
+    """Number and folder of the newest complete version of a store; None if it has no list of versions."""
+    try:
+        row = spark.read.schema(VERSIONS).parquet(f"{path}/versions").orderBy(F.desc("number"), "folder").first()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return None if row is None else (row["number"], row["folder"])
 
 
 def require_columns(table: DataFrame, required: tuple[str, ...] = MEAN_COLUMNS) -> DataFrame:
@@ -29,11 +47,30 @@ def half_precision(x):
 
 
 def write_activations(rows: DataFrame, path: str, half: bool = False, replace: bool = False) -> None:
-    """Store activations by domain; an existing store is only replaced on request."""
+    """Store activations by domain as a new version; an existing store is only replaced on request.
+
+    Rows go to a folder of their own, and one small row naming it is added to the list of versions when all are written. So readers keep the
+    version before until then, also where ``rows`` come from the store itself or the writer fails. Older versions stay.
+    """
+    spark, before = rows.sparkSession, newest_version(rows.sparkSession, path)
+    if not replace and (before is not None or _has_files(spark, path)):
+        raise FileExistsError(f"there is a store in {path}; pass replace to write a new version")
     if half:
         rows = rows.withColumn("x", half_precision(F.col("x")))
-    rows = rows.withColumn("x", F.col("x").cast("array<float>"))
-    rows.write.mode("overwrite" if replace else "errorifexists").partitionBy("domain").parquet(path)
+    folder = f"version-{uuid.uuid4().hex}"
+    rows.withColumn("x", F.col("x").cast("array<float>")).write.partitionBy("domain").parquet(f"{path}/{folder}")
+    number = 1 if before is None else before[0] + 1
+    local_table(spark, [(number, folder)], VERSIONS).coalesce(1).write.mode("append").parquet(f"{path}/versions")
+
+
+def _has_files(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
+    return True
 
 
 def stored_or_made(spark: SparkSession, path: str, make: Callable[[], DataFrame], force: bool = False,
@@ -42,8 +79,8 @@ def stored_or_made(spark: SparkSession, path: str, make: Callable[[], DataFrame]
     if not force:
         try:
             return read_activations(spark, path)
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
                 raise
     write_activations(make(), path, half, replace=force)
     return read_activations(spark, path)

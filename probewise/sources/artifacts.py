@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from probewise.config import GLOBAL_BANK
+from probewise.functions.kernels import bounded_rows
+from probewise.operators.scoring import HammingModel, ProjectedModel
 from probewise.plans.experiment import Prepared, Results, artifact_examples, hamming_artifacts, projected_artifacts
 
 
@@ -28,11 +31,47 @@ def save_projected(prepared: Prepared, results: Results, path: str, layer: int =
 
 
 def save_hamming(prepared: Prepared, results: Results, path: str, save_matrices: bool = False) -> None:
-    hamming_artifacts(prepared, results, save_matrices).write.partitionBy(
-        "method", "weighted_rows", "scope").parquet(f"{path}/wta_model")
+    save_models(hamming_artifacts(prepared, results, save_matrices), path)
     _save_shared(prepared, results, path)
 
 
+def save_models(models: DataFrame, path: str) -> None:
+    models.write.partitionBy("method", "weighted_rows", "scope").parquet(f"{path}/wta_model")
+
+
+def _matrix(values: list | None) -> np.ndarray | None:
+    return np.array(values, dtype=np.float64) if values else None
+
+
+def load_hamming(spark: SparkSession, path: str, *scopes: str) -> dict[tuple[str, str], HammingModel]:
+    """Models by (method, scope) as ``save_hamming`` wrote them, of all scopes or those named.
+
+    A learned hash matrix must have been saved with the models, or their codes cannot be formed: that is an error.
+    """
+    models = {}
+    for r in _saved(spark, path, scopes):
+        matrix = _matrix(r["hash_matrix"])
+        if r["method"] == "learned_matrix" and matrix is None:
+            raise ValueError(f"the hash matrix of {r['scope']} was not saved")
+        models[r["method"], r["scope"]] = HammingModel(
+            _matrix(r["rows"]), np.array(r["alphas"]), r["bias"], matrix, r["threshold"], r["method"], r["weighted_rows"])
+    return models
+
+
+def load_projected(spark: SparkSession, path: str, *scopes: str) -> dict[str, ProjectedModel]:
+    """Models by scope as ``save_projected`` wrote them, of all scopes or those named."""
+    return {r["scope"]: ProjectedModel(
+        _matrix(r["rows"]), _matrix(r["projection_weight"]) if r["use_projection"] else None, np.array(r["alphas"]), r["bias"], r["threshold"],
+        r["use_lsq_qat"], r["lsq_bit_precision"], r["lsq_signed"], r["act_scale"], r["row_scale"], r["normalize_after_projection"],
+        r["eval_distance_mode"]) for r in _saved(spark, path, scopes)}
+
+
+def _saved(spark: SparkSession, path: str, scopes: tuple[str, ...]) -> list:
+    table = spark.read.parquet(f"{path}/wta_model")
+    table = table.withColumn("scope", F.col("scope").cast("string"))
+    return bounded_rows(table.filter(F.col("scope").isin(*scopes)) if scopes else table)
+
+
 def _save_shared(prepared: Prepared, results: Results, path: str) -> None:
     prepared.bank.write.partitionBy("scope").parquet(f"{path}/bank")
     results.history.write.partitionBy("scope").parquet(f"{path}/wta_history")

@@ -43,6 +43,11 @@ def read_json_document(spark: SparkSession, path: str) -> DataFrame:
     return _document_layout(df, path)
 
 
+def read_shapeless(spark: SparkSession, path: str) -> DataFrame:
+    """(record): each line of a JSON Lines file as a VARIANT, so a field may have another type in every row."""
+    return spark.read.format("json").option("singleVariantColumn", "record").load(path)
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """Dispatch by suffix: jsonl, json, csv or parquet."""
     suffix = path.rsplit(".", 1)[-1].lower()

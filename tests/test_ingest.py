@@ -220,3 +220,47 @@ def test_missing_fallbacks_count_by_their_column(spark):
     flag = spark.createDataFrame(rows, "text string, label string, is_true boolean, other int").drop("other")
     number = spark.createDataFrame(rows, "text string, label string, other boolean, is_true int").drop("other")
     assert [[r["label"] for r in normalize(df, "facts", "p").collect()] for df in (flag, number)] == [[1], [0]]
+
+
+def flattened(row):
+    """The reference rule on Python values: outer names first, then those of nested dictionaries."""
+    out = dict(row)
+    for _ in range(3):
+        for value in list(out.values()):
+            if isinstance(value, dict):
+                for name in sorted(value):
+                    out.setdefault(name, value[name])
+    return out
+
+
+SHAPELESS = [
+    ({"text": "an answer", "label": 1}, "an answer", 1), ({"text": "an answer", "label": "true", "honest": False}, "an answer", 1),
+    ({"text": ["one", "two"], "label": [0, "x"]}, "one", 0), ({"text": "an answer", "label": [], "target": "lie"}, "an answer", 1),
+    ({"text": "an answer", "label": None, "target": "truth"}, "an answer", 0), ({"a": {"b": {"text": "deep", "label": 1.9}}}, "deep", 1),
+    ({"a": {"b": {"c": {"text": "three down", "label": True}}}}, "three down", 1), ({"a": {"b": {"c": {"d": {"text": "too deep", "label": 1}}}}}, None, None),
+    ({"text": "an answer", "label": {"k": 1}, "is_true": True}, "an answer", 0), ({"text": "an answer", "label": 5, "is_true": True}, None, None),
+    ({"label": 0, "messages": [{"role": "user", "content": "why"}, {"role": "assistant", "content": "so"}]}, "so", 0),
+    ({"text": 7, "label": 1}, "7", 1), ({"text": "outer", "a": {"text": "inner", "label": 0}}, "outer", 0), ([1, 2], None, None), ("words", None, None),
+]
+
+
+def test_rows_without_a_fixed_shape(spark, tmp_path):
+    path = tmp_path / "rows.jsonl"
+    path.write_text("".join(json.dumps(row) + "\n" for row, _, _ in SHAPELESS))
+    raw = tables.read_shapeless(spark, str(path)).withColumn("n", F.monotonically_increasing_id()).coalesce(1)
+    got = {r["n"]: (r["assistant_text"], r["label"]) for r in normalize(raw, "facts", "p", literal_columns=(), keep=("n",)).collect()}
+    assert got == {i: (text, label) for i, (_, text, label) in enumerate(SHAPELESS) if text is not None}
+    for row, text, _ in SHAPELESS:
+        if isinstance(row, dict) and isinstance(text, str) and "messages" not in row and not isinstance(flattened(row)["text"], (list, int)):
+            assert flattened(row)["text"] == text
+
+
+def test_maps_are_looked_into(spark):
+    rows = [(1, {"text": "from a map", "label": "lie"}, None, {"x": {"text": "inner"}}), (2, {"note": "n"}, "truth", {"x": {"text": "in a map of maps"}}),
+            (3, None, "truth", None), (4, {}, None, {"x": {"label": "1", "text": "both"}}), (5, {"text": None, "label": "lie"}, None, None)]
+    raw = spark.createDataFrame(rows, "n int, record map<string,string>, label string, more map<string,map<string,string>>").select(
+        "n", F.struct("record", "more").alias("held"), "label")
+    got = {r["n"]: (r["assistant_text"], r["label"]) for r in normalize(raw, "facts", "p", literal_columns=(), keep=("n",)).collect()}
+    assert got == {2: ("in a map of maps", 0)}  # the column label is outer, also where it is empty
+    got = {r["n"]: (r["assistant_text"], r["label"]) for r in normalize(raw.drop("label"), "facts", "p", literal_columns=(), keep=("n",)).collect()}
+    assert got == {1: ("from a map", 1), 4: ("both", 1)}

@@ -147,3 +147,53 @@ def test_softplus_is_safe(spark):
     df = spark.createDataFrame([(-800.0,), (0.0,), (800.0,)], "v double")
     got = [r[0] for r in df.select(vectors.softplus(F.col("v"))).collect()]
     np.testing.assert_allclose(got, [0.0, np.log(2), 800.0])
+
+
+def test_banks_in_blocks_equal_one_product(spark):
+    rng = np.random.default_rng(21)
+    x, bank = rng.normal(size=(70, 12)), np.repeat(rng.normal(size=(60, 12)), 2, axis=0)  # every row twice: ties
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "example_id long, x array<double>").repartition(3)
+    ids = rng.permutation(120)
+    table = [(int(i), v.tolist(), 1.0 + (int(i) % 3) / 8) for i, v in zip(ids, bank)]
+    for weighted in (False, True):
+        given = spark.createDataFrame(table, "row_id int, row array<double>, alpha double").select("row_id", "row", *(["alpha"] if weighted else []))
+        for block_bytes, together in ((1 << 20, 8), (2000, 2)):
+            got = {r["example_id"]: (r["score"], r["winner"]) for r in scoring.blocked_winners(
+                rows, given, block_bytes=block_bytes, together=together).collect()}
+            scores = scoring.sign_similarity(x, bank) * (np.array([a for _, _, a in table]) if weighted else 1.0)
+            for i, own in enumerate(scores):
+                assert got[i] == (own.max(), min(ids[own == own.max()]))
+    none = scoring.blocked_winners(rows, given.limit(0)).first()
+    assert none["score"] is None and none["winner"] is None
+
+
+def test_banks_are_refused_by_size_not_by_rows(spark, monkeypatch):
+    bank = spark.range(5000).select(F.col("id").cast("int").alias("row_id"), F.array(F.lit(1.0)).alias("row"))
+    assert kernels.bounded_bank(bank).shape == (5000, 1)
+    monkeypatch.setattr(kernels, "MAX_BANK_BYTES", 5000)
+    with pytest.raises(ValueError):
+        kernels.bounded_bank(bank)
+
+
+def test_alarm_rate_goes_on_after_a_restart(spark, tmp_path):
+    from probewise.streaming.alarm_rate import alarm_rate
+
+    def arrives(name, rows):
+        spark.createDataFrame(rows, "time timestamp, domain string, flagged int").coalesce(1).write.parquet(str(tmp_path / "in" / name))
+
+    def run():
+        stream = spark.readStream.schema("time timestamp, domain string, flagged int").parquet(str(tmp_path / "in" / "*"))
+        alarm_rate(stream, "time", "10 minutes", "5 minutes").writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+            "checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start().awaitTermination()
+        rows = spark.read.parquet(str(tmp_path / "out")).selectExpr("minute(window_start) AS m", "domain", "n", "n_flagged", "rate").collect()
+        return sorted(tuple(r) for r in rows)
+
+    at = [__import__("datetime").datetime(2024, 1, 1, 0, m) for m in range(60)]
+    arrives("a", [(at[1], "d", 1), (at[2], "d", 0), (at[3], "e", None), (at[12], "d", 1), (None, "d", 1)])
+    assert run() == []  # the first window is open until minute 15
+    arrives("b", [(at[4], "d", 0), (at[17], "d", 1)])
+    assert run() == [(0, "d", 3, 1, 1 / 3), (0, "e", 1, 0, 0.0)]
+    arrives("c", [(at[5], "d", 1), (at[40], "e", 1)])  # the first comes too late
+    assert run() == [(0, "d", 3, 1, 1 / 3), (0, "e", 1, 0, 0.0), (10, "d", 2, 2, 1.0)]
+    batch = spark.read.parquet(str(tmp_path / "in" / "*"))
+    assert alarm_rate(batch, "time", "10 minutes", "5 minutes").count() == 4

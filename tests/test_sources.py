@@ -31,12 +31,30 @@ def test_store_round_trip_and_gate(spark, acts, tmp_path):
     assert stores.stored_or_made(spark, path, make).count() == 50 and len(calls) == 1
     stores.stored_or_made(spark, path, make, force=True)
     assert len(calls) == 2
-    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+    assert stores.newest_version(spark, path)[0] == 2
+    with pytest.raises(FileExistsError):
         stores.write_activations(acts, path)
     plan = first.filter("domain = 'a'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(domain" in plan
 
 
+def test_a_failing_writer_leaves_the_version_before(spark, acts, tmp_path):
+    path = str(tmp_path / "versions")
+    stores.write_activations(acts, path)
+    broken = acts.withColumn("y", F.raise_error(F.lit("the writer fails")).cast("int"))
+    with pytest.raises(Exception, match="the writer fails"):
+        stores.write_activations(broken, path, replace=True)
+    assert stores.newest_version(spark, path)[0] == 1 and stores.read_activations(spark, path).count() == 50
+    doubled = stores.read_activations(spark, path)
+    stores.write_activations(doubled.unionByName(doubled), path, replace=True)  # from the store itself
+    assert stores.newest_version(spark, path)[0] == 2 and stores.read_activations(spark, path).count() == 100
+    plain = str(tmp_path / "plain")
+    acts.write.parquet(plain)
+    assert stores.read_activations(spark, plain).count() == 50 and stores.newest_version(spark, plain) is None
+    with pytest.raises(FileExistsError):
+        stores.write_activations(acts, plain)
+
+
 def test_required_columns_and_manifest(spark, acts):
     with pytest.raises(KeyError, match="domain"):
         stores.require_columns(acts.drop("domain"))
