@@ -20,7 +20,7 @@ from probewise.workspace import written
 FOLDS = 3            # rows whose remainder is 1 are held out
 THRESHOLD = 0.7
 STEMS = (4, 5, 6)    # lengths of word beginnings that may enter the lexicon
-MOST_CANDIDATES = 20_000
+MOST_CANDIDATES = 20_000  # bounds of the fit: pieces looked up, and terms and stems of the lexicon
 MOST_TERMS = 400
 NEAR = 12            # words on either side that make the context of a hit
 REMEMBERED = 150_000  # words whose match a task keeps
@@ -220,9 +220,9 @@ def _partial_counts(rows: DataFrame, wanted=None) -> DataFrame:
 def learnt_lexicon(rows: DataFrame) -> tuple[list[str], list[str]]:
     """Terms and stems that mark label 1 in ``rows`` (text, label), a bounded sample.
 
-    Pieces of texts with label 1 are counted first; the most frequent are then looked up in the
-    others. A piece enters by its log odds times the root of its count; one
-    that a stem already chosen covers is left out.
+    Pieces of texts with label 1 are counted first; the ``MOST_CANDIDATES`` most frequent are then looked up in the
+    others. A piece enters by its log odds times the root of its count, a stem only if no stem already chosen covers
+    it; whole words under a stem follow, so that their misspellings are caught. There are ``MOST_TERMS`` at most.
     """
     spark = rows.sparkSession
     ones = rows.filter("label = 1").count()
@@ -249,7 +249,7 @@ def learnt_lexicon(rows: DataFrame) -> tuple[list[str], list[str]]:
         if odds < 3.0 or value < 6.0 or rate < 0.5 or len(terms) + len(stems) >= MOST_TERMS:
             continue
         text = piece.removesuffix("*")
-        if any(text.startswith(s) for s in stems):
+        if any(text.startswith(s) for s in stems) and piece.endswith("*"):
             continue
         if piece.endswith("*"):
             same = [w for w in positive if not w.endswith("*") and w.startswith(text)]
@@ -258,6 +258,12 @@ def learnt_lexicon(rows: DataFrame) -> tuple[list[str], list[str]]:
             stems.append(text)
         else:
             terms.append(text)
+    # A stem takes no edits, so the words it stands for are terms too: they catch their own misspellings.
+    for (_, odds), piece in ranked:
+        if len(terms) + len(stems) >= MOST_TERMS:
+            break
+        if odds >= 3.0 and not piece.endswith("*") and piece not in terms and any(piece.startswith(s) for s in stems):
+            terms.append(piece)
     return terms, stems
 
 

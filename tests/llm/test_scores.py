@@ -96,3 +96,19 @@ def test_additive_model_learns_shapes_and_a_pair():
     assert np.mean((model.scores(fresh) > 0.5) == truth) > 0.9
     assert (1, 2) in model.pairs
     assert gam.fit(x[:0], y[:0]).scores(fresh).tolist() == [0.5] * 2000
+
+
+def test_misspelt_words_under_a_stem_are_caught(spark):
+    rng = random.Random(31)
+    under = ["zorgling", "zorgtard", "zorgface", "zorgbrained", "zorgish"]
+    clean = ["".join(rng.choices("abcdefghij", k=7)) for _ in range(300)]
+    rows = [(" ".join(rng.choices(clean, k=30) + rng.sample(under, 2)), 1) for _ in range(200)]
+    rows += [(" ".join(rng.choices(clean, k=30)), 0) for _ in range(400)]
+    terms, stems = toxicity.learnt_lexicon(spark.createDataFrame(rows, "text string, label int"))
+    assert any("zorg".startswith(s) or s.startswith("zorg") for s in stems)
+    automaton, caught, tried = toxicity.Automaton(terms, stems), 0, 0
+    for word in under:
+        for i in (1, 2, 3):
+            caught += automaton.look(word[:i] + "q" + word[i + 1:]) >= 0
+            tried += 1
+    assert caught >= 0.9 * tried
