@@ -193,12 +193,14 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
     rows = written(ordered.mapInArrow(run, schema), "fingerprints")
     edges = rows.filter("edge is not null")
-    by_part = edges.groupBy("part").agg(  # one row per partition
+    by_part = written(edges.groupBy("part").agg(  # one row per partition
         F.first(F.when(F.col("edge") == "last", F.struct("doc_id", "text", "fingerprint")), True).alias("last"),
-        F.first(F.when(F.col("edge") == "first", F.struct("text", "fingerprint")), True).alias("head"))
+        F.first(F.when(F.col("edge") == "first", F.struct("text", "fingerprint")), True).alias("head")), "fingerprint-edges")
     order = W.orderBy("part")
-    seams = by_part.withColumn("after", F.coalesce(
-        F.lead("head").over(order), F.first("head").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))))
+    following = by_part.select("part").withColumn("next_part", F.coalesce(  # numbers only are put in order; texts are joined by them
+        F.lead("part").over(order), F.first("part").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))))
+    heads = by_part.select(F.col("part").alias("next_part"), F.col("head").alias("after"))
+    seams = by_part.select("part", "last").join(following, "part").join(heads, "next_part")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,7 +211,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     finished = seams.select(
         F.col("last.doc_id").alias("doc_id"), "last.text", F.col("last.fingerprint").alias("own"),
         F.col("after.text").alias("next_text"), F.col("after.fingerprint").alias("next_own"),
-    ).repartition(8).mapInArrow(finish, f"doc_id {kind}, {_RESULT}")
+    ).mapInArrow(finish, f"doc_id {kind}, {_RESULT}")
     return rows.filter("edge is null").drop("part", "edge", "text").unionByName(finished)
 
 
