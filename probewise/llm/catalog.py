@@ -60,9 +60,9 @@ def op9_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.sharded(table(spark, sf_dir)).select(
+    return sharding.rebalanced(table(spark, sf_dir)).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"))
+        F.lit(None).cast("int").alias("grown_shard"), "map_version", "next_shard", "text_group")
 
 
 def op11_strassen_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from probewise.llm.shared import row_of, whole_text
-from probewise.workspace import written
+from probewise.workspace import shared_folder, written
 
 SLOTS = 4096
 SEED = "slots"
@@ -81,13 +83,33 @@ def write_map(slot_map: DataFrame, path: str) -> None:
     slot_map.write.mode("append").partitionBy("version").parquet(path)
 
 
+def rebalanced(docs: DataFrame, shards: int = 16, slots: int = SLOTS) -> DataFrame:
+    """``sharded`` by version 1 of a stored map, with ``map_version``, ``next_shard`` and ``text_group``.
+
+    Both versions of the map are written to one table and read from there: version 2 is version 1 edited for one more shard, and
+    ``next_shard`` is where it has the row, the same shard or the new one. ``text_group`` is alike for equal texts; these are not kept
+    together, as one text may be a third of all rows and sizes are to be near equal.
+    """
+    path = f"{shared_folder(docs.sparkSession)}/slot-map-{uuid.uuid4().hex}"
+    loads = written(slot_loads(docs.select(size_of().alias("size"), virtual_slot(slots).alias("virtual"))), "slot-loads")
+    write_map(first_map(loads, shards), path)
+    stored = docs.sparkSession.read.schema("virtual int, shard int, version int").parquet(path)
+    write_map(grown_map(stored.filter("version = 1"), loads, shards + 1), path)
+    both = docs.sparkSession.read.schema("virtual int, shard int, version int").parquet(path)
+    after = both.filter("version = 2").select("virtual", F.col("shard").alias("next_shard"))
+    grouped = docs.select("doc_id", "text", F.xxhash64(whole_text()).alias("text_group"))
+    placed = sharded(grouped, shards, slots, both.filter("version = 1").select("virtual", "shard"), carry=["text_group"], loads=loads)
+    return placed.join(F.broadcast(after), "virtual").select(  # one row per virtual slot
+        "doc_id", "size", "text_crc32", "shard", "slot", F.lit(1).alias("map_version"), "next_shard", "row.text_group")
+
+
 def sharded(docs: DataFrame, shards: int = 16, slots: int = SLOTS, slot_map: DataFrame | None = None,
-            carry: list[str] = ()) -> DataFrame:
+            carry: list[str] = (), loads: DataFrame | None = None) -> DataFrame:
     """doc_id, size, text_crc32, virtual, shard, slot and ``row`` for every row of ``docs``.
 
     ``slot`` numbers the rows of a shard without gaps: a prefix sum over the virtual slots
     of the shard, then the place inside the slot, so nothing larger than one virtual slot
-    is sorted. Without ``slot_map`` the map is made from the bytes of this input.
+    is sorted. Without ``slot_map`` the map is made from the bytes of this input; ``loads`` are its ``slot_loads``, if known.
 
     A missing text has no bytes (size 1); rows repeated whole lie in one slot, side by
     side; a missing id is hashed as such with the text. Without rows there are none.
@@ -95,7 +117,7 @@ def sharded(docs: DataFrame, shards: int = 16, slots: int = SLOTS, slot_map: Dat
     slotted = docs.select(
         "doc_id", size_of().alias("size"), F.crc32(F.encode(whole_text(), "UTF-8")).alias("text_crc32"),
         virtual_slot(slots).alias("virtual"), row_of(list(carry)).alias("row"))
-    loads = written(slot_loads(slotted.drop("row", "text_crc32")), "slot-loads")
+    loads = written(slot_loads(slotted.drop("row", "text_crc32")), "slot-loads") if loads is None else loads
     slot_map = written(first_map(loads, shards), "slot-map") if slot_map is None else slot_map
     before = W.partitionBy("shard").orderBy("virtual").rowsBetween(W.unboundedPreceding, -1)
     places = (

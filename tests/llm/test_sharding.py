@@ -49,3 +49,16 @@ def test_a_grown_map_moves_slots_only_into_the_new_shard(spark, tmp_path):
     assert 0.18 <= share <= 0.2
     placed = sharding.sharded(docs, slot_map=both.filter("version = 2"))
     assert placed.select("shard").distinct().count() == 5
+
+
+def test_both_versions_of_the_map_over_a_table(spark, odd, none):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("y"), (F.col("id") % 40).cast("int")).alias("text"))
+    rows = sharding.rebalanced(docs).collect()
+    assert {(r.doc_id, r.shard, r.slot) for r in rows} == {(r.doc_id, r.shard, r.slot) for r in sharding.sharded(docs).collect()}
+    assert all(r.next_shard in (r.shard, 16) and r.map_version == 1 for r in rows)
+    loads = Counter()
+    for r in rows:
+        loads[r.next_shard] += r["size"]
+    assert len(loads) == 17 and 0.04 < loads[16] / sum(loads.values()) <= 1 / 17
+    assert len({r.text_group for r in rows}) == 40
+    assert sharding.rebalanced(odd).count() == odd.count() and sharding.rebalanced(none).collect() == []
