@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from probewise.workspace import written
 
 STEPS = 32            # bins are found in two steps of so many; their square is the number of bins
+SKETCH_SIZE = 2048    # of a score sketch: ranks are off by about a thousandth
 MOST_RANGES = 1 << 13  # groups whose bin edges, 8 KB each, may be broadcast
 
 
@@ -50,14 +51,62 @@ def _binned(counts: DataFrame, keys: Sequence[str], groups: int | None) -> DataF
     if groups is not None and groups <= MOST_RANGES:
         ranges = F.broadcast(ranges)
 
+    return _in_bins(counts.join(ranges, list(keys)))
+
+
+def _in_bins(rows: DataFrame) -> DataFrame:
+    """``rows`` with the bin of ``score`` among edges that are given in two steps."""
     def reached(among: Column) -> Column:
         return F.size(F.filter(among, lambda e: e <= F.col("score")))
 
-    placed = counts.join(ranges, list(keys)).withColumn("_step", reached(F.col("_coarse")))
+    placed = rows.withColumn("_step", reached(F.col("_coarse")))
     return placed.withColumn("_bin", F.col("_step") * STEPS + reached(F.get("_fine", F.col("_step")))).drop(
         "_step", "_coarse", "_fine")
 
 
+def score_sketches(rows: DataFrame, keys: Sequence[str], score: str = "score") -> DataFrame:
+    """(keys, sketch): a mergeable sketch of each group's scores, a few KB whatever the number of rows."""
+    return rows.groupBy(*keys).agg(F.kll_sketch_agg_double(F.col(score).cast("double"), F.lit(SKETCH_SIZE)).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, sketch): sketches of parts of a table as those of the whole."""
+    return sketches.groupBy(*keys).agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def approximate_quantiles(sketches: DataFrame, keys: Sequence[str], grid: Sequence[float]) -> DataFrame:
+    """(keys, quantiles): scores whose ranks are near ``grid``, in its order; the opt-in form of an exact quantile grid."""
+    ranks = F.array(*[F.lit(float(p)) for p in grid])
+    return sketches.select(*keys, F.kll_sketch_get_quantile_double("sketch", ranks).alias("quantiles"))
+
+
+def auroc_bounds(rows: DataFrame, keys: Sequence[str], sketches: DataFrame | None = None, score: str = "score", y: str = "y",
+                 groups: int | None = None) -> DataFrame:
+    """(keys, low, high): bounds between which the exact AUROC lies, NULL for one class.
+
+    For tables with too many distinct scores to count them all: rows are counted in bins whose edges come from the group's
+    sketch, so what is shuffled are at most ``STEPS`` squared counts a group. Pairs in different bins are decided, those in one
+    bin are all lost in ``low`` and all won in ``high``. Rows without a score or a label of 0 or 1 are left out.
+    """
+    keys = list(keys)
+    known = rows.filter(F.col(score).isNotNull() & F.col(y).isin(0, 1)).select(*keys, F.col(score).cast("double").alias("score"), F.col(y).alias("y"))
+    bins = STEPS * STEPS
+    edges = approximate_quantiles(score_sketches(known, keys) if sketches is None else sketches, keys, [i / bins for i in range(1, bins)])
+    ranges = edges.select(
+        *keys, F.filter("quantiles", lambda e, i: i % STEPS == STEPS - 1).alias("_coarse"),
+        F.transform(F.sequence(F.lit(0), F.lit(STEPS - 1)), lambda c: F.slice("quantiles", c * STEPS + 1, F.lit(STEPS - 1))).alias("_fine"))
+    if groups is not None and groups <= MOST_RANGES:
+        ranges = F.broadcast(ranges)
+    counts = _in_bins(known.join(ranges, keys)).groupBy(*keys, "_bin").agg(
+        F.sum((F.col("y") == 1).cast("long")).alias("pos"), F.sum((F.col("y") == 0).cast("long")).alias("neg"))
+    below = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumn("under", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    pairs = F.sum("pos").cast("double") * F.sum("neg")
+    won, tied = F.sum(F.col("pos").cast("double") * F.col("under")), F.sum(F.col("pos").cast("double") * F.col("neg"))
+    return placed.groupBy(*keys).agg(
+        F.when(pairs > 0, won / pairs).alias("low"), F.when(pairs > 0, (won + tied) / pairs).alias("high"))
+
+
 def auroc(counts: DataFrame, keys: Sequence[str], groups: int | None = None) -> DataFrame:
     """(keys, auroc): rank statistic with ties at half weight, NULL for one class."""
     keys = list(keys)

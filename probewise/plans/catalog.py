@@ -129,6 +129,22 @@ def _cosine_best(spark, sf_dir) -> DataFrame:
     return scored.withColumn("score", F.round("score", 9))
 
 
+@query(f"{_COSINE}, auc AS ({fx.auroc_sql('best', 'domain')}) SELECT domain, round(auroc, 6) AS auroc, true AS between, true AS narrow, "
+       "true AS median_near FROM auc")
+def auroc_bounds(spark, sf_dir):
+    """The exact AUROC lies between bounds from sketches and binned counts, and a sketched median near the exact one."""
+    scored = written(_cosine_best(spark, sf_dir).select("domain", "score", "y"), "scored")
+    exact = curve.auroc(curve.count_scores(scored, ["domain"]), ["domain"])
+    sketches = curve.score_sketches(scored, ["domain"])
+    middle = curve.approximate_quantiles(sketches, ["domain"], [0.5])
+    ranks = scored.join(middle, "domain").groupBy("domain").agg(
+        F.avg((F.col("score") <= F.col("quantiles")[0]).cast("double")).alias("share"), F.count(F.lit(1)).alias("n"))
+    bounds = curve.auroc_bounds(scored, ["domain"], sketches)
+    return exact.join(bounds, "domain").join(ranks, "domain").select(
+        "domain", F.round("auroc", 6).alias("auroc"), F.col("auroc").between(F.col("low") - 1e-12, F.col("high") + 1e-12).alias("between"),
+        (F.col("high") - F.col("low") < 0.02).alias("narrow"), (F.abs(F.col("share") - 0.5) < 0.01 + 1 / F.col("n")).alias("median_near"))
+
+
 @query(f"{_COSINE} SELECT example_id, score, CAST(row_id AS INT) AS winner FROM best")
 def cosine_wta(spark, sf_dir):
     return _cosine_best(spark, sf_dir).select("example_id", "score", "winner")

@@ -93,3 +93,28 @@ def test_one_outlier_does_not_fill_a_bin(spark):
     assert binned.groupBy("_bin").count().agg(F.max("count")).first()[0] <= 50_000 / 500
     assert binned.groupBy("_bin").agg(F.min("score").alias("lo"), F.max("score").alias("hi")).orderBy("_bin").selectExpr(
         "lo > coalesce(lag(hi) over (order by _bin), -1) as apart").filter("not apart").isEmpty()
+
+
+def test_bounds_hold_and_sketches_merge(spark):
+    rng = np.random.default_rng(41)
+    score, y = np.round(rng.normal(size=6000), 3), rng.integers(0, 2, 6000)
+    score += 0.8 * y
+    rows = [(f"g{i % 2}", float(s), int(t)) for i, (s, t) in enumerate(zip(score, y))]
+    rows += [("same", 1.0, i % 2) for i in range(50)] + [("one", float(i), 1) for i in range(9)] + [("g0", None, 1), ("g0", 5.0, None)]
+    df = spark.createDataFrame(rows, "g string, score double, y int").repartition(6)
+    exact = {r["g"]: r["auroc"] for r in curve.auroc(curve.stored_counts(df.dropna(), ["g"]), ["g"]).collect()}
+    parts = df.withColumn("part", F.spark_partition_id())
+    merged = curve.merged_sketches(curve.score_sketches(parts, ["g", "part"]), ["g"])
+    for sketches in (None, merged):
+        for r in curve.auroc_bounds(df, ["g"], sketches).collect():
+            if r["g"] == "one":
+                assert r["low"] is None and r["high"] is None
+                continue
+            assert r["low"] <= exact[r["g"]] <= r["high"]
+            assert r["high"] - r["low"] < 0.01 or r["g"] == "same" and (r["low"], r["high"]) == (0.0, 1.0)
+    grid = [0.1, 0.5, 0.9]
+    for r in curve.approximate_quantiles(merged, ["g"], grid).filter("g like 'g%'").collect():
+        own = np.array([s for g, s, _ in rows if g == r["g"] and s is not None])
+        for p, q in zip(grid, r["quantiles"]):
+            assert abs((own <= q).mean() - p) < 0.01
+    assert curve.auroc_bounds(df.limit(0), ["g"]).collect() == []
