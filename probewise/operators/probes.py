@@ -34,7 +34,7 @@ class Probe:
     intercept: float
     converged: bool = True
     passes: int = 0
-    gradient: float = 0.0  # length of the gradient where the fit ended
+    gradient: float = 0.0  # length of the gradient at the last point that was evaluated
 
 
 @dataclass
@@ -202,6 +202,8 @@ def _advance(fit: _Fit, point: np.ndarray, loss: float, gradient: np.ndarray, sa
     fit.slope = float(gradient @ fit.direction)
     if fit.expected() <= CONVERGED:
         fit.done = fit.converged = True
+        if sample.whole:  # Newton's last step costs no pass
+            fit.point = fit.trial()
 
 
 def sampled_rows(rows: DataFrame, counts: dict[int, int], width: int, whole: tuple[int, ...] = (0,)) -> dict[int, Sample]:

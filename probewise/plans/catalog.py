@@ -930,7 +930,8 @@ rows AS (SELECT scope, CAST(unnest(range(CASE WHEN scope = 'combined' THEN 10 EL
 def inlp_bank(spark, sf_dir):
     train = written(_train_rows(spark, sf_dir).select("domain", "y", "x"), "train")
     bank = probes.extract_banks(train, ProbeSettings())
-    return _rounded(_bank_certificate(train, bank), "largest_dot", "gradient").withColumn("unit_length", F.round("unit_length", 4))
+    return _rounded(_bank_certificate(train, bank), "largest_dot").withColumns(
+        {"unit_length": F.round("unit_length", 4), "gradient": F.round("gradient", 5)})
 
 
 @query(f"{_BANK_SCOPES} SELECT CAST(row_number() OVER (ORDER BY scope <> 'combined', scope, row_id) - 1 AS INT) AS row_id, "
