@@ -14,6 +14,7 @@ from probewise.config import (
 from probewise.functions import kernels, vectors
 from probewise.operators import curve, partials, pooling, probes, sampling, scopes, scoring, split as splits, training
 from probewise.operators.normalize import normalize
+from probewise.operators.projection import row_span_projection
 from probewise.operators.small import local_table
 from probewise.plans import evaluate, experiment, extract
 from probewise.plans import fixtures as fx
@@ -204,7 +205,7 @@ _CHAT_ACT = ("SELECT conv_id AS example_id, 'c' || CAST(conv_id % 2 AS VARCHAR)
 
 
 @query(f"WITH {fx.CHAT}, {fx.split_sql(_CHAT_ACT)}, tok AS (SELECT conv_id AS example_id, "
-       "unnest(range(0, least(64, len(string_split(assistant_text, ' '))))) AS token_position FROM chat) "
+       "unnest(range(0, len(string_split(assistant_text, ' ')))) AS token_position FROM chat) "
        "SELECT split, CAST(token_position AS INT) AS token_position, count(*) AS n FROM tok JOIN split "
        "USING (example_id) GROUP BY ALL")
 def split_tagging(spark, sf_dir):
@@ -213,9 +214,8 @@ def split_tagging(spark, sf_dir):
     acts = pairs.select(F.col("conv_id").alias("example_id"),
                         F.concat(F.lit("c"), (F.col("conv_id") % 2).cast("string")).alias("domain"),
                         longer.cast("int").alias("y"))
-    tokens = pooling.capped_tokens(
-        pairs.select(F.col("conv_id").alias("example_id"), F.split("assistant_text", " ").alias("tokens")),
-        "tokens", 64, "example_id")
+    tokens = pairs.select(
+        F.col("conv_id").alias("example_id"), F.posexplode(F.split("assistant_text", " ")).alias("token_position", "token"))
     tagged = splits.tag_split(tokens, splits.shared_split(acts))
     return tagged.groupBy("split", "token_position").agg(F.count(F.lit(1)).alias("n"))
 
@@ -362,9 +362,9 @@ def _cross_metrics(spark, sf_dir) -> DataFrame:
     val = training.count_model_scores(held_out.filter("split = 'val'"), scorers, True, "x", (0,))
     val = written(val.select("model_id", "score", "pos", "neg"), "val-counts")
     points = curve.score_curve(val, ["model_id"], len(models))
-    cuts = curve.select_threshold(curve.candidate_thresholds(
-        points, ["model_id"], curve.GRIDS["hamming"]), ["model_id"], "accuracy")
-    test = training.count_model_scores(held_out.filter("split = 'test'"), scorers, False, "x")
+    cuts = written(curve.select_threshold(curve.candidate_thresholds(
+        points, ["model_id"], curve.GRIDS["hamming"]), ["model_id"], "accuracy"), "cuts")
+    test = written(training.count_model_scores(held_out.filter("split = 'test'"), scorers, False, "x"), "test-counts")
     table = evaluate.cross_scope_metrics(test, cuts, list(models), len(models) ** 2)
     same = F.col("model_id") == F.col("eval_id")
     out = table.select(
@@ -944,6 +944,22 @@ def deployment_bank(spark, sf_dir):
         F.round(vectors.dot(F.col("row"), F.col("own")), 4).alias("own_dot"))
 
 
+@query(f"WITH {fx.ACT}, {fx.BANK}, k AS (SELECT count(*) AS n, max(len(row)) AS d FROM bank) "
+       "SELECT CAST(dim AS INT) AS dim, CAST(n AS INT) AS rows, CAST(d AS INT) AS width, CAST(n AS INT) AS rank, CAST(least(n, dim) AS INT) AS kept, "
+       "CAST(greatest(dim - n, 0) AS INT) AS filled, n <= dim AS exact, n <= dim AS products_kept, true AS orthonormal "
+       "FROM k CROSS JOIN (SELECT unnest([3, 5, 32]) AS dim)")
+def projection_metadata(spark, sf_dir):
+    """What projections of the domains' bank report: rank, directions kept and filled up, and whether dot products survive."""
+    bank = fx.bank_rows(fx.activations(spark, sf_dir))
+    table = []
+    for dim in (3, 5, 32):
+        weight, found = row_span_projection(bank, dim)
+        square = np.abs(weight @ weight.T - np.eye(len(weight))).max() < 1e-9
+        table.append((dim, found.bank_rows, found.width, found.rank, found.kept, found.filled, bool(found.exact), found.gram_error < 1e-9, bool(square)))
+    return local_table(spark, table, "dim int, rows int, width int, rank int, kept int, filled int, exact boolean, "
+                                     "products_kept boolean, orthonormal boolean")
+
+
 # --- training and experiments ---------------------------------------------------------------------
 
 _DEFAULTS = ExperimentSettings()
