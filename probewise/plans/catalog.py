@@ -886,7 +886,7 @@ def _train_rows(spark, sf_dir) -> DataFrame:
 def _bank_certificate(train: DataFrame, bank: DataFrame) -> DataFrame:
     """What a right bank shows: (scope, row_id, ..., unit_length, largest_dot, gradient).
 
-    ``gradient`` is the length of the gradient of each row's objective, worked out anew from all training
+    ``unit_length`` is that of the row without the 1e-8 by which lengths are enlarged before they divide; ``gradient`` is the length of the gradient of each row's objective, worked out anew from all training
     rows of the scope without the directions of earlier rows, per row.
     """
     counts = train.groupBy("domain").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"))
@@ -914,7 +914,7 @@ def _bank_certificate(train: DataFrame, bank: DataFrame) -> DataFrame:
     length = F.sqrt(vectors.dot(gradient, gradient) + F.pow(F.element_at("sum", -1), 2))
     return rows.join(sums, ["scope", "row_id"]).select(
         "scope", "row_id", "row_name", F.col("n").alias("n_rows"), "converged",
-        F.sqrt(vectors.dot(F.col("row"), F.col("row"))).alias("unit_length"),
+        (F.sqrt(vectors.dot(F.col("row"), F.col("row"))) * (F.col("length") + 1e-8) / F.col("length")).alias("unit_length"),
         F.coalesce(F.array_max(F.transform("earlier", lambda r: F.abs(vectors.dot(r, F.col("row"))))), F.lit(0.0)).alias("largest_dot"),
         (length / F.col("n")).alias("gradient"))
 
@@ -941,7 +941,7 @@ def deployment_bank(spark, sf_dir):
     own = bank.select("row_name", F.col("row").alias("own"))
     return probes.deployment_bank(bank).join(own, "row_name").select(
         "row_id", "source_scope", "row_name", F.round(F.sqrt(vectors.dot(F.col("row"), F.col("row"))), 4).alias("unit_length"),
-        F.round(vectors.dot(F.col("row"), F.col("own")), 4).alias("own_dot"))
+        F.round(vectors.dot(F.col("row"), F.col("own")) / F.sqrt(vectors.dot(F.col("own"), F.col("own"))), 4).alias("own_dot"))
 
 
 @query(f"WITH {fx.ACT}, {fx.BANK}, k AS (SELECT count(*) AS n, max(len(row)) AS d FROM bank) "
