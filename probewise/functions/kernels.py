@@ -80,11 +80,24 @@ def sign_words(x: Column) -> Column:
     def pack(column: pa.Array) -> pa.Array:
         if not len(column):
             return pa.array([], pa.list_(pa.int64()))
-        return as_list_column(packed_signs(as_matrix(column, np.float32)))
+        return as_list_column(packed_signs(as_matrix(column)))
 
     return pack(x)
 
 
+def unpacked_signs(words: Column, width: int) -> Column:
+    """The codes of ``sign_words`` as vectors of ``width`` ones and minus ones."""
+
+    @arrow_udf("array<float>")
+    def unpack(column: pa.Array) -> pa.Array:
+        if not len(column):
+            return pa.array([], pa.list_(pa.float32()))
+        bits = np.unpackbits(as_matrix(column, np.int64).view(np.uint8), axis=1, count=width, bitorder="little")
+        return as_list_column(bits.astype(np.float32) * 2 - 1)
+
+    return unpack(words)
+
+
 def unit_rows(matrix: np.ndarray, eps: float = 1e-8) -> np.ndarray:
     return matrix / (np.linalg.norm(matrix, axis=1, keepdims=True) + eps)
 

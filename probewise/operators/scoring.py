@@ -253,30 +253,68 @@ def blocked_winners(rows: DataFrame, bank: DataFrame, similarity=sign_similarity
                     block_bytes: int = BLOCK_BYTES, together: int = TOGETHER) -> DataFrame:
     """``rows`` with the score and ``winner`` (row_id) of the best of any number of bank rows (row_id, row[, alpha]).
 
-    The bank is dealt to blocks of about ``block_bytes`` by row_id. A task multiplies a batch with one
-    block after the other and keeps the best so far, the lowest row_id among equals; rows never move. Driver and tasks
+    Signs without weights: rows that have the code of a bank row are settled by a join, as no similarity is above 1; the others
+    meet each different code once. The bank is dealt to blocks of about ``block_bytes`` by row_id and stored so. A task multiplies a batch
+    with one block after the other and keeps the best so far, the lowest row_id among equals; rows in this loop never move. Driver and tasks
     hold ``together`` blocks at most: after so many, what has been reached is written and the next pass reads it.
     An empty bank gives a NULL score and winner.
     """
-    spark, weighted = rows.sparkSession, "alpha" in bank.columns
+    weighted = "alpha" in bank.columns
     wanted = bank.select("row_id", "row", *(["alpha"] if weighted else []))
-    count = -(-kernels.bank_bytes(wanted) // block_bytes)
     out = rows.withColumn("_best", F.lit(None).cast("struct<score: double, winner: int>"))
-    shared = []
+    if similarity is sign_similarity and not weighted:
+        codes = _distinct_codes(wanted)
+        found = codes.agg(F.count(F.lit(1)), F.min("width"), F.max("width")).first()
+        if found[0]:
+            out = written(_with_equal_code(rows, codes, x), "equal-codes")
+            left = out.filter(F.col("_best").isNull())
+            if not left.isEmpty():
+                if found[1] != found[2]:
+                    raise ValueError("vectors must be present and of one length")
+                rest = codes.select("row_id", kernels.unpacked_signs(F.col("words"), found[1]).alias("row"))
+                size = found[0] * (8 * found[1] + 64)
+                out = out.filter(F.col("_best").isNotNull()).unionByName(
+                    _best_of_blocks(left, rest, -(-size // block_bytes), similarity, x, together))
+    else:
+        out = _best_of_blocks(out, wanted, -(-kernels.bank_bytes(wanted) // block_bytes), similarity, x, together)
+    return out.withColumns({"score": F.col("_best.score"), "winner": F.col("_best.winner")}).drop("_best")
+
+
+def _distinct_codes(bank: DataFrame) -> DataFrame:
+    """(width, words, row_id): each sign code of a bank once, with the lowest row_id that has it."""
+    coded = bank.select("row_id", F.size("row").alias("width"), kernels.sign_words(F.col("row")).alias("words"))
+    return written(coded.groupBy("width", "words").agg(F.min("row_id").alias("row_id")), "codes")
+
+
+def _with_equal_code(rows: DataFrame, codes: DataFrame, x: str) -> DataFrame:
+    """``rows`` with ``_best`` where a bank row has the same signs in all places: score 1 and that row_id."""
+    same = codes.filter("width > 0").select(F.col("width").alias("_width"), F.col("words").alias("_words"), F.struct(
+        F.lit(1.0).alias("score"), F.col("row_id").cast("int").alias("winner")).alias("_best"))
+    coded = rows.withColumns({"_width": F.size(x), "_words": kernels.sign_words(F.col(x))})
+    return coded.join(same, ["_width", "_words"], "left").select(*rows.columns, "_best")
+
+
+def _best_of_blocks(out: DataFrame, bank: DataFrame, count: int, similarity, x: str, together: int) -> DataFrame:
+    """``out`` with ``_best`` after all ``count`` blocks of ``bank``."""
+    if not count:
+        return out
+    spark, shared = out.sparkSession, []
+    stored = written(bank.withColumn("block", F.pmod(F.xxhash64("row_id"), F.lit(count)).cast("int")).repartition("block"),
+                     "bank-blocks", by=("block",))
     for number in range(count):
-        mine = wanted.filter(F.pmod(F.xxhash64("row_id"), F.lit(count)) == number).sort("row_id").toArrow().combine_chunks()
+        mine = stored.filter(F.col("block") == number).drop("block").sort("row_id").toArrow().combine_chunks()
         if not mine.num_rows:
             continue
         ids = mine.column("row_id").to_numpy().astype(np.int64)
         matrix = kernels.as_matrix(mine.column("row").combine_chunks())
-        alphas = mine.column("alpha").to_numpy() if weighted else np.ones(len(ids))
+        alphas = mine.column("alpha").to_numpy() if "alpha" in bank.columns else np.ones(len(ids))
         shared.append(spark.sparkContext.broadcast((ids, matrix, alphas)))
         out = out.withColumn("_best", _better(shared[-1], similarity)(F.col(x), F.col("_best")))
         if len(shared) % together == 0 and number + 1 < count:
             out = written(out, "best-so-far")
             for block in shared[-together:]:
                 block.destroy()
-    return out.withColumns({"score": F.col("_best.score"), "winner": F.col("_best.winner")}).drop("_best")
+    return out
 
 
 def _better(block, similarity):

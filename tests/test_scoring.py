@@ -167,6 +167,28 @@ def test_banks_in_blocks_equal_one_product(spark):
     assert none["score"] is None and none["winner"] is None
 
 
+def test_rows_whose_code_is_in_the_bank_meet_no_block(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x, bank = rng.normal(size=(60, 70)), rng.normal(size=(40, 70))
+    bank[20:30] = x[:10] * rng.uniform(0.1, 9.0, size=(10, 70))  # the codes of ten rows, one of them twice
+    bank[35], x[50], bank[36] = x[3], -1e-60, 1e-60              # too small for a float, but of unlike signs
+    table = [(99 - i, row.tolist()) for i, row in enumerate(bank)]
+    given = spark.createDataFrame(table, "row_id int, row array<double>")
+    rows = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "example_id int, x array<double>")
+    got = {r["example_id"]: (r["score"], r["winner"]) for r in scoring.blocked_winners(rows, given, block_bytes=6000, together=2).collect()}
+    ids = 99 - np.arange(40)
+    for i, own in enumerate(scoring.sign_similarity(x, bank)):
+        assert got[i] == (own.max(), min(ids[own == own.max()]))
+    assert got[3] == (1.0, 64) and got[50][0] < 1.0
+
+    def refused(*_):
+        raise AssertionError("a block was scored")
+
+    monkeypatch.setattr(scoring, "_better", refused)
+    settled = scoring.blocked_winners(rows.filter("example_id < 10"), given, block_bytes=6000, together=2).collect()
+    assert {r["example_id"]: r["winner"] for r in settled} == {i: got[i][1] for i in range(10)}
+
+
 def test_banks_are_refused_by_size_not_by_rows(spark, monkeypatch):
     bank = spark.range(5000).select(F.col("id").cast("int").alias("row_id"), F.array(F.lit(1.0)).alias("row"))
     assert kernels.bounded_bank(bank).shape == (5000, 1)
