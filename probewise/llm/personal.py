@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -11,10 +13,10 @@ from probewise.llm.shared import whole_text
 from probewise.workspace import written
 
 KINDS = ("email", "ip", "card", "phone")
-MOST_ROWS = 20_000     # candidates that the trees are fitted on, and as many that calibrate them
 PRECISION = 0.95       # of what a threshold lets through, on candidates the trees have not seen
 LEAST_SEEN = 30        # candidates above a threshold that this must rest on
 TREES, DEPTH = 12, 4
+LEAST_BINS = 32
 CONTEXT = 30
 
 # The base patterns, written so that a regular-expression engine neither recurses nor starts
@@ -171,27 +173,29 @@ class Trees:
         return 1 / (1 + F.exp(-2 * total))
 
 
-def fitted(rows: DataFrame, most: int = MOST_ROWS) -> Trees | None:
-    """Trees from the proposals in ``rows`` (of ``candidates``), at most ``most`` by a hash; None without both classes.
+def fitted(rows: DataFrame) -> Trees | None:
+    """Trees from all proposals in ``rows`` (of ``candidates``); None without both classes.
 
-    A proposal counts as personal data if it overlaps a base span of its kind. Others of
-    them, never used for fitting, calibrate: a kind's threshold is the lowest at which ``PRECISION``
-    of at least ``LEAST_SEEN`` proposals above it are right.
+    A proposal counts as personal data if it overlaps a base span of its kind. Proposals are dealt in two halves by a
+    hash: one fits the trees, the other, which they have not seen, calibrates: a kind's threshold is the lowest at which
+    ``PRECISION`` of at least ``LEAST_SEEN`` proposals above it are right. Equal features are one row with their number as its weight,
+    and there are bins enough for trees to look for their splits in all of these.
     """
     every = rows.select("doc_id", F.explode("loose").alias("x")).select("doc_id", "x.*")
-    order = F.xxhash64(F.lit("proposals"), "doc_id", "kind", "start")
-    some = written(every.select("kind", F.col("hit").cast("int").alias("label"), "features", order.alias("order"))
-                   .orderBy("order").limit(2 * most), "proposals")
-    fold = F.pmod("order", F.lit(2))
-    learn = some.filter(fold == 0).select(array_to_vector("features").alias("features"), "label")
+    half = F.pmod(F.xxhash64(F.lit("proposals"), "doc_id", "kind", "start"), F.lit(2))
+    counted = written(every.groupBy(half.alias("fold"), "kind", F.col("hit").cast("int").alias("label"), "features").agg(
+        F.count(F.lit(1)).alias("n")), "proposals")
+    learn = counted.filter("fold = 0").select(
+        array_to_vector("features").alias("features"), "label", F.col("n").cast("double").alias("weight"))
     counts = {r["label"]: r["count"] for r in learn.groupBy("label").count().collect()}
     if len(counts) < 2:
         return None
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, labelCol="label").fit(learn)
+    bins = max(LEAST_BINS, isqrt(sum(counts.values())) + 1)  # of fewer rows than its square the library takes no sample
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, labelCol="label", weightCol="weight", maxBins=bins).fit(learn)
     trees = Trees([t._java_obj.rootNode() for t in model.trees], list(model.treeWeights), {})
     judged = (
-        some.filter(fold == 1).select("kind", "label", F.floor(trees.chance(F.col("features")) * 100).cast("int").alias("step"))
-        .groupBy("kind", "step").agg(F.sum("label").alias("right"), F.count("*").alias("all")).collect())
+        counted.filter("fold = 1").select("kind", "label", "n", F.floor(trees.chance(F.col("features")) * 100).cast("int").alias("step"))
+        .groupBy("kind", "step").agg(F.sum(F.col("label") * F.col("n")).alias("right"), F.sum("n").alias("all")).collect())
     for kind in range(len(KINDS)):
         right = seen = 0
         for row in sorted((r for r in judged if r["kind"] == kind), key=lambda r: -r["step"]):

@@ -2,6 +2,8 @@ import random
 
 import pytest
 import plain
+from pyspark.sql import functions as F
+
 from probewise.llm import personal
 
 
@@ -53,6 +55,15 @@ def test_trees_add_look_alikes_but_not_plain_numbers(spark):
     assert sum(added[i] for i in range(500, 1200)) == 0
 
 
+def test_every_proposal_counts(spark):
+    """A hundred of 120,000 proposals have a sign of their own: half of them are enough for a threshold, a third of that is not."""
+    rare, number = F.col("id") % 1200 == 7, personal.KINDS.index("phone")
+    features = F.concat(F.array(F.lit(float(number)), F.when(rare, 9.0).otherwise(F.col("id") % 5)), F.array_repeat(F.lit(0.0), 20))
+    rows = spark.range(120_000).select(F.col("id").alias("doc_id"), F.array(F.struct(
+        F.lit(number).alias("kind"), F.lit(0).alias("start"), F.lit(9).alias("end"), rare.alias("hit"), features.alias("features"))).alias("loose"))
+    assert number in personal.fitted(rows).thresholds
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None), (None, "")]])
 def test_nothing_to_find(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
