@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from probewise.config import Optimiser
 from probewise.functions.kernels import as_list_column, as_matrix
@@ -16,7 +17,12 @@ from probewise.operators.learners import Learner
 from probewise.operators.partials import totals_by_scope, vectors_in_blocks
 from probewise.schemas import PARTIAL_SUMS
 
-PART_BYTES = 32 << 20  # derived columns of the rows that one task trains on by itself
+PART_BYTES = 32 << 20   # derived columns of the rows that one task trains on by itself
+CELL_BYTES = 256 << 10  # numbers of training rows that are packed into one
+BATCH_CELLS = 16        # of these in an Arrow batch
+MOST_UNITS = 8          # parts, or scopes of parts, that one task trains on in turn
+PACKED = "part int, scope_id int, n int, width int, y binary, deal binary, rows binary"
+PACKED_NAMES = ["part", "scope_id", "n", "width", "y", "deal", "rows"]
 SCORE_COUNTS = "model_id int, snapshot int, group_id int, score double, pos long, neg long"
 
 
@@ -109,19 +115,60 @@ def part_count(rows: int, width: int) -> int:
     return max(1, -(-rows * width * 8 // PART_BYTES))
 
 
-def parted(train: DataFrame, count: int) -> DataFrame:
-    """``train`` with ``part`` and ``deal``: the rows of a part, which a task trains on by itself in a pass, lie together."""
-    dealt = train.withColumns({"part": F.floor(_number("part", 13) * count).cast("int"), "deal": _number("deal", 13)})
-    return dealt.repartition(count, "part").sortWithinPartitions("part", "scope_id", "deal")
+def parted(train: DataFrame, count: int, apart: tuple[int, ...] = ()) -> DataFrame:
+    """``train`` (scope_id, example_id, y, v or x) dealt to ``count`` parts, packed as a pass reads it again and again.
+
+    A part is what a task trains on by itself in a pass. Scopes train independently, so the rows of a scope in ``apart`` may lie in
+    another task than the rest of their part. There are as many tasks as cores, but none holds more than ``MOST_UNITS`` of such units, one
+    after the other: starting a Python task costs more than a small part's training. A packed row (part, scope_id, n, width, y, deal, rows) holds up to ``CELL_BYTES`` of rows of one part and scope, in
+    order of ``deal``, with the numbers as bytes, which pass between JVM and Python in one piece.
+    """
+    column = "x" if "x" in train.columns else "v"
+    place = F.coalesce(F.array_position(F.array(*[F.lit(int(s)) for s in apart]), F.col("scope_id")), F.lit(0)) if apart else F.lit(0)
+    units = count * (1 + len(apart))
+    tasks = max(min(units, train.sparkSession.sparkContext.defaultParallelism), -(-units // MOST_UNITS))
+    dealt = train.select("scope_id", "y", column, F.floor(_number("part", 13) * count).cast("int").alias("part"), _number("deal", 13).alias("deal"))
+    sorted_rows = dealt.repartitionById(tasks, F.pmod(F.col("part") * (1 + len(apart)) + place, F.lit(tasks)).cast("int")).sortWithinPartitions("part", "scope_id", "deal")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            parts, ids, deal = (batch.column(c).to_numpy() for c in ("part", "scope_id", "deal"))
+            y = batch.column("y").to_numpy(zero_copy_only=False).astype(np.float64)
+            starts = np.flatnonzero((np.diff(parts, prepend=parts[0] - 1) != 0) | (np.diff(ids, prepend=ids[0] - 1) != 0))
+            cells = []
+            for low, high in zip(starts, np.append(starts[1:], len(ids))):  # scopes may differ in width
+                values = batch.column(column).slice(low, high - low)
+                matrix = as_matrix(values, np.float32 if pa.types.is_float32(values.type.value_type) else np.float64)
+                step = max(1, CELL_BYTES // (8 * max(1, matrix.shape[1])))
+                for i in range(low, high, step):
+                    rows = matrix[i - low:i - low + step]
+                    cells.append((parts[i], ids[i], *rows.shape, *(v.tobytes() for v in (y[i:i + len(rows)], deal[i:i + len(rows)], rows))))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(values, pa.int32() if i < 4 else pa.binary()) for i, values in enumerate(zip(*cells))], names=PACKED_NAMES)
+
+    return sorted_rows.mapInArrow(pack, PACKED)
+
+
+def _unpacked(cells: list[dict], column: str) -> dict[str, pa.Array]:
+    """The rows of packed rows, one after the other, as columns."""
+    def numbers(cell: dict) -> np.ndarray:
+        size = len(cell["rows"]) // max(1, cell["n"] * cell["width"])
+        return np.frombuffer(cell["rows"], np.float32 if size == 4 else np.float64).reshape(cell["n"], cell["width"])
+
+    y, deal = (pa.array(np.concatenate([np.frombuffer(c[name], np.float64) for c in cells])) for name in ("y", "deal"))
+    return {column: as_list_column(np.concatenate([numbers(c) for c in cells])), "y": y, "deal": deal}
 
 
 def one_pass(learner: Learner, columns: dict[str, pa.Array], start: float, batch: int) -> np.ndarray:
     """Train ``learner`` on all rows once, ``batch`` at a time: (rows, rows x state, sum of losses, steps)."""
     deal = columns["deal"].to_numpy(zero_copy_only=False)
     order, losses = np.argsort((deal - start) % 1.0, kind="stable"), []
+    ordered = {name: as_list_column(as_matrix(values)[order]) if pa.types.is_list(values.type) else values.take(pa.array(order))
+               for name, values in columns.items()}
     for low in range(0, len(order), batch):
-        mine = pa.array(order[low:low + batch])
-        losses.append(learner.step(learner.batch_sums({name: values.take(mine) for name, values in columns.items()})))
+        losses.append(learner.step(learner.batch_sums({name: values.slice(low, batch) for name, values in ordered.items()})))
     return np.concatenate([[len(order)], len(order) * learner.state(), [float(np.sum(losses)), len(losses)]])
 
 
@@ -133,35 +180,45 @@ def _pass(train: DataFrame, learners: dict[int, Learner], column: str, whole: tu
     def train_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
 
-        def add(part: pa.Table) -> None:
-            ids = part.column("scope_id").to_numpy()
+        def add(part: list[dict]) -> None:
             for s, learner in shared.value.items():
-                mine = np.arange(len(ids)) if s in whole else np.flatnonzero(ids == s)
-                if len(mine):
-                    own = part.take(pa.array(mine)).combine_chunks()
-                    columns = {c: own.column(c).combine_chunks() for c in (column, "y", "deal")}
-                    found = one_pass(learner.slim(), columns, start, batch)
+                mine = [cell for cell in part if s in whole or cell["scope_id"] == s]
+                if mine:
+                    found = one_pass(learner.slim(), _unpacked(mine, column), start, batch)
                     totals[s] = totals[s] + found if s in totals else found
 
-        held: list[pa.RecordBatch] = []
+        held: list[dict] = []
         for given in batches:
-            numbers = given.column("part").to_numpy()
-            cuts = np.append(np.flatnonzero(np.diff(numbers, prepend=numbers[:1] - 1)), len(numbers)) if len(numbers) else [0]
-            for low, high in zip(cuts, cuts[1:]):
-                if held and held[0].column("part")[0].as_py() != numbers[low]:
-                    add(pa.Table.from_batches(held))
+            numbers = [given.column(c) for c in PACKED_NAMES]
+            for i in range(given.num_rows):
+                cell = {name: values[i].as_buffer() if pa.types.is_binary(values.type) else values[i].as_py()
+                        for name, values in zip(PACKED_NAMES, numbers)}
+                if held and held[0]["part"] != cell["part"]:
+                    add(held)
                     held = []
-                held.append(given.slice(low, high - low))
+                held.append(cell)
         if held:
-            add(pa.Table.from_batches(held))
+            add(held)
         yield from vectors_in_blocks(totals)
 
-    slim = train.select("part", "scope_id", "y", "deal", column)
-    out = totals_by_scope(slim.mapInArrow(train_parts, PARTIAL_SUMS), few)
+    with _cells_by_batch(train.sparkSession):
+        out = totals_by_scope(train.mapInArrow(train_parts, PARTIAL_SUMS), few)
     shared.destroy()
     return out
 
 
+@contextmanager
+def _cells_by_batch(spark: SparkSession) -> Iterator[None]:
+    """A packed row stands for many, so that a few of them fill an Arrow batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_CELLS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def fit_learners(learners: dict[int, Learner], train: DataFrame, val: DataFrame, epochs: int,
                  eval_every: int = 1, patience: int | None = None, margin: float = 0.0,
                  batch: int = 512, pending: int = 8, column: str = "v",

@@ -227,7 +227,8 @@ def _fit(prepared: Prepared, learners: dict[int, Learner], whole, on_vectors: bo
     everyone = sum(sum(prepared.n_train.get((s, "train"), (0, 0))) for s in range(1, len(prepared.scopes.names)))
     taken = everyone * (1 if on_vectors else 1 + len(set(whole) & set(learners)))
     parts = training.part_count(taken, max((learner.width for learner in learners.values()), default=1))
-    train = training.parted(table.filter(F.col("split") == "train").drop("split"), parts).persist(StorageLevel.MEMORY_AND_DISK)
+    apart = () if on_vectors else tuple(s for s in whole if s in learners)
+    train = training.parted(table.filter(F.col("split") == "train").drop("split"), parts, apart).persist(StorageLevel.MEMORY_AND_DISK)
     val = table.filter(F.col("split") == "val").drop("split")
     kept = val.select("*").persist(StorageLevel.MEMORY_AND_DISK)
     try:

@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from helpers import brute_auroc, planted
+from pyspark.sql import functions as F
 
 from probewise.config import HammingSettings, Optimiser, ProjectedSettings, Projection, Quantiser, Schedule
 from probewise.functions.kernels import as_list_column
@@ -286,6 +287,25 @@ def test_slim_learners_train_and_score_alike():
         np.testing.assert_allclose(whole.scores(x.astype(float)), learner.model().scores(x.astype(float)))
 
 
+def test_parts_are_packed_and_dealt_evenly(spark):
+    """Four parts of scopes 0 to 2, scope 0 apart: eight tasks with one unit each, whose rows are all there, in order of their deal."""
+    given = [(s, i, i % 2, [float(i), s / 3][:2 - s % 2]) for i in range(400) for s in (0, 1 + i % 2)]
+    table = spark.createDataFrame(given, "scope_id int, example_id long, y int, v array<double>")
+    cells = training.parted(table, 4, (0,)).withColumn("task", F.spark_partition_id()).collect()
+    units = {}
+    for c in cells:
+        units.setdefault(c["task"], set()).add((c["part"], c["scope_id"] == 0))
+    assert sorted(next(iter(u)) for u in units.values()) == [(p, own) for p in range(4) for own in (False, True)]
+    assert all(len(u) == 1 for u in units.values())
+    found = []
+    for c in cells:
+        columns = training._unpacked([c.asDict()], "v")
+        deal = columns["deal"].to_pylist()
+        assert deal == sorted(deal)
+        found += [(c["scope_id"], int(v[0]), int(y), v) for y, v in zip(columns["y"].to_pylist(), columns["v"].to_pylist())]
+    assert sorted(found) == sorted(given)
+
+
 def test_parts_that_are_averaged_reach_the_same_ranking(spark):
     x, y, _ = planted(4000, 6, ("a",))
     rows = np.eye(6)[:4]
